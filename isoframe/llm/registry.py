@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm.op2_simhash import op2_simhash
+from isoframe.llm.op4_packing import op4_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_packing": op4_packing,
 }
 
 ORACLES: dict[str, str] = {}
