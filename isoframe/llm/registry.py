@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm.op2_simhash import op2_simhash
 from isoframe.llm.op4_packing import op4_packing
+from isoframe.llm.op6_mixing import op6_mixing
+from isoframe.llm.op7_sketches import op7_sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
+    "op6_mixing": op6_mixing,
+    "op7_sketches": op7_sketches,
 }
 
 ORACLES: dict[str, str] = {}
