@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoframe.llm.op10_rules import ORACLE as OP10_SQL
+from isoframe.llm.op10_rules import op10_rules
 from isoframe.llm.op2_simhash import op2_simhash
 from isoframe.llm.op4_packing import op4_packing
 from isoframe.llm.op6_mixing import op6_mixing
@@ -16,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_mixing": op6_mixing,
     "op7_sketches": op7_sketches,
+    "op10_rules": op10_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_rules": OP10_SQL}
