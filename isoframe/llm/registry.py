@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from isoframe.llm.op10_rules import ORACLE as OP10_SQL
 from isoframe.llm.op10_rules import op10_rules
 from isoframe.llm.op2_simhash import op2_simhash
+from isoframe.llm.op3_langid import op3_langid
 from isoframe.llm.op4_packing import op4_packing
 from isoframe.llm.op5_toxicity import op5_toxicity
 from isoframe.llm.op6_mixing import op6_mixing
@@ -16,6 +17,7 @@ from isoframe.llm.op7_sketches import op7_sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_langid": op3_langid,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
