@@ -27,9 +27,13 @@ RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 def shingle_hashes(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     """64-bit hashes of the n-word shingles (fewer words: of all; no word: none), in text order, repeats included."""
+    return hash_words((text or "").encode().split(), n)
+
+
+def hash_words(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the n-word shingles of a list of words."""
     import xxhash
 
-    words = (text or "").encode().split()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(w, SEED) for w in words], np.uint64)
     if not len(h):

@@ -14,6 +14,7 @@ from isoframe.llm.op4_packing import op4_packing
 from isoframe.llm.op5_toxicity import op5_toxicity
 from isoframe.llm.op6_mixing import op6_mixing
 from isoframe.llm.op7_sketches import op7_sketches
+from isoframe.llm.op8_tokens import op8_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_sketches": op7_sketches,
+    "op8_tokens": op8_tokens,
     "op10_rules": op10_rules,
 }
 
