@@ -15,6 +15,7 @@ from isoframe.llm.op5_toxicity import op5_toxicity
 from isoframe.llm.op6_mixing import op6_mixing
 from isoframe.llm.op7_sketches import op7_sketches
 from isoframe.llm.op8_tokens import op8_tokens
+from isoframe.llm.op9_licenses import op9_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_sketches": op7_sketches,
     "op8_tokens": op8_tokens,
+    "op9_licenses": op9_licenses,
     "op10_rules": op10_rules,
 }
 
