@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm.op10_rules import ORACLE as OP10_SQL
 from isoframe.llm.op10_rules import op10_rules
+from isoframe.llm.op1_quality import op1_quality
 from isoframe.llm.op2_simhash import op2_simhash
 from isoframe.llm.op3_langid import op3_langid
 from isoframe.llm.op4_packing import op4_packing
@@ -18,6 +19,7 @@ from isoframe.llm.op8_tokens import op8_tokens
 from isoframe.llm.op9_licenses import op9_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_langid": op3_langid,
     "op4_packing": op4_packing,
