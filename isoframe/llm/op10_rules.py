@@ -155,6 +155,22 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def drop_rejected(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, that the base rule and the cascade keep."""
+    names = measure(docs) if order is None else order
+    at = docs.columns.index("text")
+
+    def passes(text: str | None) -> bool:
+        p = Page(text or "")
+        return not p.base_failed and not any(RULES[name](p) for name in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

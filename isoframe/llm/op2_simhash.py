@@ -151,6 +151,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns as they are, with the least doc_id of each component.
+
+    Rows that repeat a doc_id are one document, of which one row stays. A null doc_id names no document: such rows stay.
+    """
+    groups = cut(near_duplicates(docs, max_bits))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, grouped."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

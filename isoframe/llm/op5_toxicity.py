@@ -346,3 +346,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, scored by a model of its labels."""
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text the model does not call toxic."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -140,6 +140,19 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as the mix takes it.
+
+    Rows that share a doc_id are matched to their copies in the order of their sizes.
+    """
+    taken = mix(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "size", "copies")
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("id", "none").orderBy("size", "copies"))).where("copies > 0").select("id", "none", "nth", "copies")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), F.col("row.doc_id").isNull().alias("none"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "none").orderBy(F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)), F.xxhash64("row.text"), F.xxhash64("row.source"))))
+    return rows.join(taken, ["id", "none", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of the whole documents table."""
     return mix(read_table(spark, sf_dir, "documents"))
