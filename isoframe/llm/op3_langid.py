@@ -23,7 +23,7 @@ from isoframe.llm.common import crc_mod, map_arrow, read_table
 HELD_OUT, HELD_OUT_REST = 3, 1
 UNKNOWN = "und"
 #: Characters of the sample of one language, at most, the documents it is drawn from, and how long each may be.
-SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 64_000, 120, 20_000
+SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 16_000, 120, 20_000
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -34,13 +34,13 @@ def plain(text: str) -> str:
 
 
 class Node(dict):
-    """A state of a suffix automaton: the next characters lead to states."""
+    """A state of a suffix automaton under construction: the next characters lead to states."""
 
     __slots__ = ("length", "link")
 
 
-def suffix_automaton(text: str) -> Node:
-    """The start of the minimal automaton of all substrings of a text, built online."""
+def suffix_automaton(text: str) -> dict:
+    """The start of the minimal automaton of all substrings of a text, built online, as nested plain dictionaries."""
     root = Node()
     root.length, root.link = 0, None
     last = root
@@ -64,10 +64,20 @@ def suffix_automaton(text: str) -> Node:
                 p[c] = split
                 p = p.link
         last = new
-    return root
-
-
-def phrases(root: Node, text: str) -> int:
+    # Parsing needs the transitions alone; plain dictionaries are smaller and faster to follow.
+    plain_of: dict[int, dict] = {id(root): {}}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c, after in node.items():
+            if id(after) not in plain_of:
+                plain_of[id(after)] = {}
+                todo.append(after)
+            plain_of[id(node)][c] = plain_of[id(after)]
+    return plain_of[id(root)]
+
+
+def phrases(root: dict, text: str) -> int:
     """Number of longest matches that a text parses into; a character that the sample lacks is a phrase."""
     n = 0
     at = root
@@ -85,7 +95,7 @@ def phrases(root: Node, text: str) -> int:
 
 
 @lru_cache(maxsize=2)
-def _automata(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, Node, float]]:
+def _automata(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, dict, float]]:
     return [(lang, suffix_automaton(text), math.log2(len(text) + 1)) for lang, text in samples]
 
 
