@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from isoframe.plans import interval_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_queries.QUERIES}
+ORACLES: dict[str, str] = {**interval_queries.ORACLES}
