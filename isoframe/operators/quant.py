@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.operators import intervals as iv
+from isoframe.sources.store import settle
 
 NOVEL_MIN_SAMPLES, NOVEL_MIN_READS = 3, 10
 # Splice motifs read forwards on '+', and the same motifs reverse-complemented, found on '-'.
@@ -101,6 +102,7 @@ def islands(df: DataFrame, name: str, keys: tuple[str, ...] = ("chrom", "strand"
 
 def site_islands(introns: DataFrame, exon_islands: DataFrame, name: str, prefix: str) -> DataFrame:
     """introns with {prefix}_up and {prefix}_down: the island beside each splice site."""
+    introns = settle(introns)
     out = introns
     for side, up in ((f"{prefix}_up", True), (f"{prefix}_down", False)):
         at = iv.splice_site_points(introns.select("chrom", "start", "end", "strand").withColumns({"_s": F.col("start"), "_e": F.col("end")}), up)
