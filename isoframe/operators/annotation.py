@@ -91,7 +91,7 @@ def genes(model: DataFrame) -> DataFrame:
     for name, keys in (("gene_group_stranded", ("chrom", "strand")), ("gene_group_unstranded", ("chrom",))):
         isles = islands(rows, name, keys)
         isles = isles if "strand" in isles.columns else isles.withColumn("strand", F.lit("*"))
-        hit = iv.overlap_join(rows.select("chrom", "start", "end", "strand", "gene_id"), isles, kind="within", suffixes=("", "_i")).select("gene_id", F.col(f"{name}_i").alias(name))
+        hit = iv.overlap_join(rows.select("chrom", "start", "end", "strand", "gene_id"), isles, kind="within", suffixes=("", "_i")).groupBy("gene_id").agg(F.min(f"{name}_i").alias(name))
         out = out.join(hit, "gene_id", "left")
     return out
 
@@ -247,7 +247,7 @@ def splice_junctions(intron_rows: DataFrame, nmd: DataFrame | None = None) -> Da
 
 def tandem_junctions(intron_rows: DataFrame) -> DataFrame:
     """Distinct pairs of consecutive introns of a transcript (starts 0-based)."""
-    w = Window.partitionBy("transcript_id").orderBy("start")
+    w = Window.partitionBy("transcript_id").orderBy("start", "end")
     rows = intron_rows.select("chrom", (F.col("start") - 1).alias("start1"), F.col("end").alias("end1"), (F.lead("start").over(w) - 1).alias("start2"), F.lead("end").over(w).alias("end2"), "strand")
     return rows.where("start2 is not null").distinct()
 

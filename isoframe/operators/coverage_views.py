@@ -36,21 +36,21 @@ def coverage_per_base(cover: DataFrame, chrom: str, start: int, end: int, strand
     return every.join(deep, ["sample", "x"], "left").select("sample", "x", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
-def region_means(cover: DataFrame, regions: DataFrame, stranded: str = "unstranded") -> DataFrame:
-    """(sample, name, mean): mean depth of each region (chrom, start, end, strand, name) in each sample, rounded to 2 places."""
+def region_means(cover: DataFrame, regions: DataFrame, stranded: str = "unstranded", places: int = 2) -> DataFrame:
+    """(sample, name, mean): mean depth of each region (chrom, start, end, strand, name) in each sample, rounded."""
     asked = regions.withColumn("plane", plane(stranded, F.col("strand"))).withColumn("strand", F.lit("*"))
     runs = cover.withColumn("plane", F.col("strand")).withColumn("strand", F.lit("*"))
     met = iv.overlap_join(asked, runs, keys=("chrom", "plane"), suffixes=("", "_c"))
     total = met.groupBy(F.col("sample_c").alias("sample"), "name").agg(F.sum(F.col("depth_c") * (F.least("end", "end_c") - F.greatest("start", "start_c") + 1)).alias("_t"))
     every = regions.select("name", width().alias("_w")).crossJoin(cover.select("sample").distinct())  # a mean for each sample by definition
-    return every.join(total, ["sample", "name"], "left").select("sample", "name", F.round(F.coalesce("_t", F.lit(0)) / F.col("_w"), 2).alias("mean"))
+    return every.join(total, ["sample", "name"], "left").select("sample", "name", F.round(F.coalesce("_t", F.lit(0)) / F.col("_w"), places).alias("mean"))
 
 
 def bin_breaks(start: int, end: int, bins: int = 2000) -> list[tuple[int, int]]:
     """Bins of a region: evenly spaced breaks, rounded, so that widths may differ by one."""
     n = end - start + 1
     count = max(1, math.ceil(n / max(1, math.ceil(n / bins))))
-    edges = [start + round(i * n / count) for i in range(count + 1)]
+    edges = [start + (2 * i * n + count) // (2 * count) for i in range(count + 1)]
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 

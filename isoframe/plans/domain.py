@@ -27,8 +27,8 @@ VIEWS = {
           CASE WHEN o_orderpriority LIKE '1%' THEN '*' WHEN o_orderpriority < '4' THEN '+' ELSE '-' END AS strand, o_orderkey AS gene
         FROM orders""",
     "exons": """
-        SELECT o_custkey AS transcript, 'c' || CAST(o_custkey % 7 AS VARCHAR(9)) AS chrom, o_orderkey * 3 AS start,
-          o_orderkey * 3 + 2000 + CAST(floor(o_totalprice) AS BIGINT) % 900 AS "end",
+        SELECT o_custkey AS transcript, 'c' || CAST(o_custkey % 7 AS VARCHAR(9)) AS chrom, o_orderkey * 40 AS start,
+          o_orderkey * 40 + 200 + CAST(floor(o_totalprice) AS BIGINT) % 90 AS "end",
           CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderkey
         FROM orders""",
     "reads": """
