@@ -36,11 +36,15 @@ def _bin(position: str | Column, level: Column, base: int) -> Column:
 
 
 def choose_base(*tables: DataFrame) -> tuple[int, list[set[int]]]:
-    """A bin width of about twice the mean length, and the levels that each table uses: one small aggregate a table."""
-    found = [t.agg(F.avg(width()).alias("mean")).first()["mean"] or 1 for t in tables]
-    base = 1 << max(4, min(17, int(2 * max(found)).bit_length()))
-    used = [{r["level"] for r in t.select(_level(base).alias("level")).distinct().collect()} for t in tables]
-    return base, used
+    """A bin width of about twice the largest mean length, and the levels that each table uses.
+
+    One aggregate a table, of at most 64 rows: counts by the number of bits of the length.
+    """
+    bits = [t.groupBy(F.length(F.bin(width() - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(width()).alias("w")).collect() for t in tables]
+    means = [sum(r["w"] for r in rows) / sum(r["n"] for r in rows) for rows in bits if rows]
+    base = 1 << max(4, min(17, int(2 * max(means, default=1)).bit_length()))
+    level = lambda b: next((n for n in range(LEVELS - 1) if 1 << b <= base * LEVEL_FACTOR**n), LEVELS - 1)
+    return base, [{level(r["b"]) for r in rows} or {0} for rows in bits]
 
 
 def overlap_join(

@@ -134,6 +134,8 @@ def splice_over(counts: DataFrame) -> DataFrame:
     down = F.sum(F.when(cross, F.col("count")).otherwise(0.0)).over(w("strand", "jg_down"))
     base = base.withColumns({"_up": F.when(F.col("jg_up").isNotNull(), up).otherwise(0.0), "_down": F.when(F.col("jg_down").isNotNull(), down).otherwise(0.0)})
     base = base.withColumns({"over_left": F.when(minus, F.col("_down")).otherwise(F.col("_up")), "over_right": F.when(minus, F.col("_up")).otherwise(F.col("_down"))}).drop("_up", "_down")
+    # The windows are computed once; what overlaps is then asked of the written table.
+    base = settle(base)
     inner = base.where("jg_up = jg_down and count > 0").select("sample", "chrom", "start", "end", "strand", "jg_up", "count")
     asked = base.where("jg_up = jg_down").select("sample", "chrom", "start", "end", "strand", "jg_up")
     met = iv.overlap_join(asked, inner, keys=("sample", "chrom", "jg_up"))

@@ -16,6 +16,7 @@ from isoframe.operators import sequence as sq
 from isoframe.operators.tables import unique_first
 from isoframe.plans.cube_queries import _CELLS, cells
 from isoframe.plans.domain import rounded, table, view, with_views
+from isoframe.sources.store import settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -213,7 +214,7 @@ _COVER = """WITH e AS (SELECT 's' || CAST(l_suppkey % 3 AS VARCHAR) AS sample, c
 
 def _cover(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "intervals").withColumn("sample", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")))
-    return iv.coverage_runs(rows, ("sample", "chrom")).withColumn("strand", F.lit("*"))
+    return settle(iv.coverage_runs(rows, ("sample", "chrom")).withColumn("strand", F.lit("*")))
 
 
 @query(_COVER + """, s AS (SELECT DISTINCT sample FROM c)
