@@ -9,6 +9,7 @@ file; nothing is trained.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float]], byte_score: float):
         self.score = {p: round(s * UNIT) * ONE - 1 for p, s in pieces if p}
         self.byte = round(byte_score * UNIT) * ONE - 1
+        self.single: dict[str, int] = {}
         self.ends: dict = {}  # pieces, read backwards, as nested dictionaries; None leads to the score
         for p, s in self.score.items():
             at = self.ends
@@ -44,19 +46,33 @@ class Vocabulary:
                 at = at.setdefault(c, {})
             at[None] = s
 
+    def one(self, c: str) -> int:
+        """The best score of a single character: its piece, or its bytes."""
+        found = self.single.get(c)
+        if found is None:
+            found = self.byte * len(c.encode())
+            if c in self.score:
+                found = max(found, self.score[c])
+            self.single[c] = found
+        return found
+
     def forward(self, text: str, scores: list[int], known: int) -> list[int]:
         """Extend the forward scores of text[:known] (one more than known, the first 0) to the whole text."""
-        ends = self.ends
+        single, ends = self.single, self.ends
         for i in range(known, len(text)):
-            best = scores[i] + self.byte * len(text[i].encode())
-            at, j = ends, i
-            while j >= 0:
+            c = text[i]
+            s = single.get(c)
+            best = scores[i] + (self.one(c) if s is None else s)
+            at, j = ends.get(c), i - 1
+            while at is not None and j >= 0:
                 at = at.get(text[j])
                 if at is None:
                     break
                 piece = at.get(None)
-                if piece is not None and scores[j] + piece > best:
-                    best = scores[j] + piece
+                if piece is not None:
+                    s = scores[j] + piece
+                    if s > best:
+                        best = s
                 j -= 1
             scores.append(best)
         return scores
@@ -126,15 +142,22 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = WordTrie(vocabulary(tokenizer))
-        for batch in batches:
-            words_of, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").encode().split()
-                words_of.append(len(words))
-                tokens.append(sum(trie.count(w.decode()) * n for w, n in Counter(words).items()))
-                if trie.nodes > TRIE_NODES:
-                    trie.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        # A trie has no cycles: its nodes are freed by reference counts, and walks over them by the collector are pure cost.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                words_of, tokens = [], []
+                for text in batch.column(1).to_pylist():
+                    words = (text or "").encode().split()
+                    words_of.append(len(words))
+                    tokens.append(sum(trie.count(w.decode()) * n for w, n in Counter(words).items()))
+                    if trie.nodes > TRIE_NODES:
+                        trie.clear()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        finally:
+            if collects:
+                gc.enable()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, n_words long, n_tokens long")
 
