@@ -78,7 +78,9 @@ def overlap_join(
         # Whether a row overlaps depends on its coordinates alone, so these are matched once and joined back.
         at = [*keys, "start", "end", "strand"]
         places = left.select(*at).distinct()
-        hits = overlap_join(places, right.select(*at), kind, ignore_strand, "inner", suffixes, base, keys)
+        # What overlaps some interval overlaps their union: merged, they meet each place a few times at most.
+        others = reduce(right, (*keys, "strand")) if kind == "any" else right
+        hits = overlap_join(places, others.select(*at), kind, ignore_strand, "inner", suffixes, base, keys)
         return left.join(hits.select(*[F.col(c + suffixes[0]).alias(c) for c in at]).distinct(), at, how)
 
     def posted(df: DataFrame, suffix: str, levels: set[int] | None) -> DataFrame:
