@@ -29,8 +29,8 @@ MOST_TERMS = 400
 HELD_OUT = 5
 STEMS = range(3, 9)
 MIN_PRECISION = 0.8
-#: Shortest whole words and stems that misspellings are matched to, and from which length two edits are.
-FUZZY_WORD, FUZZY_STEM, TWO_EDITS = 4, 8, 9
+#: Shortest words and stems that misspellings are matched to, and from which length two edits are.
+FUZZY, TWO_EDITS = 4, 9
 FUZZY_WEIGHT = 0.75
 WINDOW = 6
 STRIP = ".,;:!?\"'()[]{}<>|*&%$#„“”‚‘’«»…-_/\\"
@@ -229,7 +229,10 @@ def significant(counts: dict[str, tuple[int, int]], toxic: int, clean: int, trie
 
 
 def choose_terms(good: dict[str, int]) -> list[Term]:
-    """The most specific of the patterns that occur together, MOST_TERMS at most."""
+    """The most specific of the patterns that occur together, and the words of the chosen stems, MOST_TERMS at most.
+
+    A stem stands for its words exactly; nearly, they come on their own as well, for a stem is near more ordinary words.
+    """
     chosen: list[str] = []
     for a, p in sorted(((a, p) for p, a in good.items()), key=lambda x: (-x[0], x[1])):
         if p.endswith("*"):
@@ -237,7 +240,10 @@ def choose_terms(good: dict[str, int]) -> list[Term]:
         related = any(q == p or q.endswith("*") and p.startswith(q[:-1]) or p.endswith("*") and q.startswith(p[:-1]) for q in chosen)
         if not related and len(chosen) < MOST_TERMS:
             chosen.append(p)
-    return [Term(p[:-1], p[-1] == "*", (2 if len(p) > TWO_EDITS and p[-1] == "$" else 1) if len(p) > (FUZZY_STEM if p[-1] == "*" else FUZZY_WORD) else 0) for p in sorted(chosen)]
+    stems = tuple(p[:-1] for p in chosen if p.endswith("*"))
+    words = sorted((-a, p) for p, a in good.items() if p.endswith("$") and len(p) > FUZZY and p.startswith(stems))
+    chosen += [p for _, p in words[: MOST_TERMS - len(chosen)]]
+    return [Term(p[:-1], p[-1] == "*", 0 if len(p) <= FUZZY else 1 if len(p) <= TWO_EDITS else 2) for p in sorted(chosen)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from isoframe.llm.op5_toxicity import Automaton, Model, Term, context, fit, score_documents
+from isoframe.llm.op5_toxicity import Automaton, Model, Term, choose_terms, context, fit, score_documents
 
 SCHEMA = "doc_id long, text string, score string, toxic string"
 
@@ -83,3 +83,29 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a", "", "")], SCHEMA)
     assert score_documents(some, fit(some, labels)).first().predicted == 0
     assert Model().score("anything") < 0.01
+
+
+def test_misspelt_terms_that_are_also_inflected(spark):
+    rng = random.Random(2)
+    vocab = [f"{a}{b}{c}" for a in ("tha", "re", "ing", "on") for b in ("nd", "er", "ti", "sh") for c in ("", "es", "ou")]
+    rows, labels = [], []
+    for i in range(700):
+        words = rng.choices(vocab, k=rng.randint(20, 80))
+        toxic = int(rng.random() < 0.2)
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["klutz", "dolt", "knucklehead"]) + rng.choice(["", "", "", "s"]))
+        rows.append((i, " ".join(words), "", ""))
+        labels.append((i, 1 - toxic, toxic))
+    misspelt = ["kultz", "klutzz", "klut", "kluzts", "dlot", "doltt", "dlots", "knukclehaed", "nucklehed", "knukclehaeds"]
+    more = [(1000 + i, " ".join([*vocab[:20], w, *vocab[20:]]), "", "") for i, w in enumerate(misspelt)]
+    docs = spark.createDataFrame(rows + more, SCHEMA)
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(t.stem and "klutz".startswith(t.text) for t in model.terms)
+    by = {r.doc_id: r.predicted for r in score_documents(docs, model).collect()}
+    assert [w for i, w in enumerate(misspelt) if not by[1000 + i]] == []
+    assert all(by[i] == t for i, _, t in labels)
+
+
+def test_a_stem_near_ordinary_words_keeps_the_edits_of_its_words():
+    terms = {(t.text, t.stem): t.edits for t in choose_terms({"scum*": 100, "scum$": 80, "scums$": 20, "knuckleh*": 60, "knucklehead$": 50, "oaf$": 9, "oaf*": 9})}
+    assert terms == {("scum", True): 1, ("scum", False): 1, ("scums", False): 1, ("knucklehead", False): 2, ("knuckleh", True): 1, ("oaf", False): 0}
