@@ -3,6 +3,7 @@
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so two sketches of whatever sizes
 keep the same hashes of what their texts share: sketches merge by union, and containment and resemblance are ratios of
 counts. A text with no hash below the threshold keeps its least hash, which merges too and stands for the text alone.
+The query keeps the whole range (SCALE 1): at 1/2 and below, too few hashes of short texts are left to tell likeness.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from isoframe.llm.common import map_arrow, read_table
 
 SHINGLE_WORDS = 5
-SCALE = 8
+#: Sketches keep the hashes below 1/SCALE of the range.
+SCALE = 1
 SEED = 42
 #: Rows in one range of doc_id, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
@@ -50,14 +52,14 @@ def hash_words(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
 def sketch(text: str | None, scale: int = SCALE) -> np.ndarray:
     """Sorted distinct hashes below 1/scale of the range, or else the least one."""
     h = shingle_hashes(text)
-    kept = np.unique(h[h < np.uint64((1 << 64) // scale)])
+    kept = np.unique(h[h <= np.uint64((1 << 64) // scale - 1)])
     return kept if len(kept) or not len(h) else h.min(keepdims=True)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of the union of what two sketches stand for."""
     both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // scale)]
+    low = both[both <= np.uint64((1 << 64) // scale - 1)]
     return low if len(low) else both[:1]
 
 

@@ -50,3 +50,24 @@ def test_estimates_are_near_the_truth():
     assert abs(op.containment(x, half) - 0.5) < 0.06
     assert np.array_equal(op.merge(x, half), op.sketch(" ".join(a[:6000])))
     assert np.array_equal(op.decode(op.encode(x)), x)
+
+
+def test_short_texts_have_their_exact_likeness():
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rng = np.random.default_rng(4)
+    for n in range(1, 60):
+        text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+        other = op.edited(text, "and something else follows " * 20)
+        a, b = shingles(text), shingles(other)
+        assert op.resemblance(op.sketch(text), op.sketch(other)) == len(a & b) / len(a | b)
+        assert op.containment(op.sketch(text), op.sketch(other)) == len(a & b) / len(a)
+
+
+def test_a_smaller_fraction_estimates_and_merges():
+    words = [f"w{i}" for i in np.random.default_rng(0).integers(0, 10**6, 20000)]
+    x, y = op.sketch(" ".join(words[:12000]), 8), op.sketch(" ".join(words[6000:18000]), 8)
+    assert len(x) < 2000 and abs(op.containment(x, y) - 0.5) < 0.06
+    assert np.array_equal(op.merge(x, y, 8), op.sketch(" ".join(words[:18000]), 8))
