@@ -22,7 +22,7 @@ from isoframe.llm.common import crc_mod, map_arrow, read_table
 
 HELD_OUT, HELD_OUT_REST = 3, 1
 UNKNOWN = "und"
-#: Characters of the sample of one language, at most, the documents it is drawn from, and how long each may be.
+#: Characters of the sample of one language, at most, the documents it is drawn from, and up to what length whole.
 SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 16_000, 120, 20_000
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -113,7 +113,8 @@ def predict(samples: tuple[tuple[str, str], ...], text: str | None) -> tuple[str
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """Samples of the languages of labelled rows outside the held-out fold.
 
-    A hash of doc_id draws about SAMPLE_DOCS documents for each language, whose whole texts are joined up to sample_chars.
+    A hash of doc_id draws about SAMPLE_DOCS documents for each language, whose texts are joined up to sample_chars: whole
+    up to SAMPLE_DOC_CHARS, of longer ones a piece from the start, an eighth of the sample or more where documents are few.
     What is collected is bounded by the number of languages. Rows without text, letters or a language teach nothing.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT) != HELD_OUT_REST))
@@ -122,10 +123,13 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str,
         return ()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
     limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_DOCS / n) * (1 << 30)))) for lang, n in counts.items()], F.lit(0))
-    rows = known.where((draw < limit) & (F.length("text") <= SAMPLE_DOC_CHARS)).select("lang", draw.alias("draw"), "text").collect()
+    long = F.length("text") > SAMPLE_DOC_CHARS
+    rows = known.where((draw < limit) & F.col("text").isNotNull()).select("lang", draw.alias("draw"), long.alias("long"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")).collect()
     out = []
     for lang in sorted(counts):
-        text = " ".join(plain(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], r["text"])))
+        own = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], r["text"]))
+        piece = sample_chars // max(1, min(8, len(own)))
+        text = " ".join(plain(r["text"])[: piece if r["long"] else None] for r in own)
         if LETTER.search(text):
             out.append((lang, text[:sample_chars]))
     return tuple(out)

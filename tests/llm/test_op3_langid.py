@@ -62,3 +62,16 @@ def test_ties_and_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert learn(empty) == () and identify(empty, ()).count() == 0
     assert identify(spark.createDataFrame(corpus()[:2], SCHEMA), ()).first().lang_pred == "und"
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    from isoframe.llm.op3_langid import SAMPLE_CHARS, SAMPLE_DOC_CHARS, learn, predict
+
+    rows = [(i, "the cat sat on the mat and the dog ran off with it " * 3, "en") for i in range(30)]
+    rows += [(100 + i, f"der hund läuft über die wiese und schläft dann nummer {i} " * 500, "de") for i in range(30)]
+    assert all(len(t) > SAMPLE_DOC_CHARS for _, t, lang in rows if lang == "de")
+    samples = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in samples] == ["de", "en"] and all(len(t) <= SAMPLE_CHARS for _, t in samples)
+    assert predict(samples, "die wiese und der hund")[0] == "de"
+    one = learn(spark.createDataFrame([r for r in rows if r[0] in (100, 101, 102)], "doc_id long, text string, lang string"))
+    assert len(one[0][1]) > SAMPLE_CHARS * 0.9
