@@ -21,6 +21,11 @@ OPERATIONS = "MIDNSHP=X"
 RANGE_BYTES = 32 << 20
 _MAGIC = b"\x1f\x8b\x08\x04"
 _ROWS = 20_000
+#: Bytes of one record at most; longer sizes are no records'.
+LONGEST_RECORD = 1 << 28
+#: Bytes that hold the fixed fields of a record, its name and its first operations.
+FIXED_BYTES = 36 + 255 + 64
+_TAG_BYTES = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 
 
 def blocks(f, start: int, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
@@ -93,6 +98,20 @@ class Stream:
         self.at += n
         return out
 
+    def to_record(self, contigs: int, stop: int) -> bool:
+        """Go to the first record that begins in a block before stop; False if none does, as inside a very long record."""
+        look, seen = 1 << 18, 0
+        while True:
+            more = self.fill(look)
+            at = first_record(self.data, contigs, seen)
+            if at is not None:
+                self.at = at
+                return self.block() < stop
+            beyond = [p for p, o in self.base if o >= stop]
+            if not more or beyond and len(self.data) - beyond[0] >= FIXED_BYTES:
+                return False
+            seen, look = max(0, len(self.data) - FIXED_BYTES), 2 * look
+
     def block(self) -> int:
         """File offset of the block that the next byte is in."""
         return next(o for p, o in reversed(self.base) if p <= self.at)
@@ -111,24 +130,42 @@ def read_header(f) -> tuple[list[str], list[int], Stream]:
 
 
 def plausible(data: bytes, at: int, contigs: int) -> bool:
-    """Whether a record can begin here, by its fixed fields."""
+    """Whether a record can begin here, by its fixed fields, its name and its first operations."""
     if len(data) - at < 36:
         return False
     size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)[:11]
-    return 32 <= size < 1 << 26 and -1 <= ref < contigs and pos >= -1 and -1 <= mate < contigs and mate_pos >= -1 and l_name > 1 and l_seq >= 0 and 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq <= size
+    if not (32 <= size < LONGEST_RECORD and -1 <= ref < contigs and pos >= -1 and -1 <= mate < contigs and mate_pos >= -1 and l_name > 1 and l_seq >= 0 and 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq <= size):
+        return False
+    name = data[at + 36 : at + 36 + l_name]
+    ops = struct.unpack_from(f"<{max(0, min(n_cigar, 16, (len(data) - at - 36 - l_name) // 4))}I", data, min(at + 36 + l_name, len(data)))
+    return len(name) == l_name and name[-1] == 0 and all(0x21 <= c <= 0x7E for c in name[:-1]) and all(o & 15 < len(OPERATIONS) for o in ops)
 
 
-def first_record(data: bytes, contigs: int) -> int | None:
+def first_record(data: bytes, contigs: int, start: int = 0) -> int | None:
     """The first offset from which a chain of plausible records runs through the data."""
-    for at in range(len(data) - 36):
-        p, steps = at, 0
+    for at in range(start, len(data) - 36):
+        p = at
         while plausible(data, p, contigs):
             p += 4 + struct.unpack_from("<i", data, p)[0]
-            steps += 1
-            if p > len(data) - 36:
-                break
-        if steps and p > len(data) - 36:
-            return at
+            if p > len(data) - FIXED_BYTES:
+                return at
+    return None
+
+
+def long_cigar(body: bytes, at: int) -> tuple[int, ...] | None:
+    """The operations of a CG tag among the tags from an offset on: where they are too many for the record's own field."""
+    while at + 3 <= len(body):
+        tag, kind = body[at : at + 2], body[at + 2 : at + 3]
+        at += 3
+        if kind in b"ZH":
+            at = body.index(0, at) + 1
+        elif kind == b"B":
+            n = struct.unpack_from("<i", body, at + 1)[0]
+            if tag == b"CG" and body[at : at + 1] == b"I":
+                return struct.unpack_from(f"<{n}I", body, at + 5)
+            at += 5 + n * _TAG_BYTES[body[at : at + 1]]
+        else:
+            at += _TAG_BYTES[kind]
     return None
 
 
@@ -140,15 +177,14 @@ def records(f, first: int, stop: int, size: int) -> Iterator[tuple]:
         if start is None or start >= stop:
             return
         s = Stream(f, start)
-        s.fill(1 << 18)
-        at = first_record(s.data, len(names))
-        if at is None:
+        if not s.to_record(len(names), stop):
             return
-        s.at = at
     while s.fill(4) and s.block() < stop:
         body = s.take(struct.unpack("<i", s.take(4))[0])
-        ref, pos, l_name, _, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", body)
+        ref, pos, l_name, _, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
         ops = struct.unpack_from(f"<{n_cigar}I", body, 32 + l_name)
+        if n_cigar == 2 and ops[0] == l_seq << 4 | 4 and ops[1] & 15 == 3:  # a placeholder: clipped as a whole, then skipped
+            ops = long_cigar(body, 32 + l_name + 8 + (l_seq + 1) // 2 + l_seq) or ops
         cigar = "".join(f"{o >> 4}{OPERATIONS[o & 15]}" for o in ops) or "*"
         yield body[32 : 32 + l_name - 1].decode(), flag, names[ref] if ref >= 0 else None, pos, cigar
 
@@ -215,7 +251,8 @@ def read_contigs(path: str) -> list[tuple[str, int]]:
 
 
 def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple[str, int, str, int, str]], block: int = 60_000) -> None:
-    """A small BAM file of (qname, flag, chrom, pos, cigar), without bases: for fixtures and round trips."""
+    """A small BAM file of (qname, flag, chrom, pos, cigar), without bases: for fixtures and round trips. More operations than
+    the record's field can count go to a CG tag."""
     number = {c: i for i, (c, _) in enumerate(contigs)}
     out = bytearray(b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", len(contigs)))
     for c, n in contigs:
@@ -224,7 +261,11 @@ def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple[str, i
 
     for q, flag, chrom, pos, cigar in rows:
         ops = [int(n) << 4 | OPERATIONS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-        body = struct.pack("<iiBBHHHiiii", number.get(chrom, -1), pos, len(q) + 1, 0, 0, len(ops), flag, 0, -1, -1, 0) + q.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops)
+        tags = b""
+        if len(ops) > 0xFFFF:
+            tags = b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
+            ops = [4, sum(o >> 4 for o in ops if o & 15 in (0, 2, 3, 7, 8)) << 4 | 3]
+        body = struct.pack("<iiBBHHHiiii", number.get(chrom, -1), pos, len(q) + 1, 0, 0, len(ops), flag, 0, -1, -1, 0) + q.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + tags
         out += struct.pack("<i", len(body)) + body
     with open(path, "wb") as f:
         for i in [*range(0, len(out), block), None]:

@@ -8,20 +8,54 @@ from __future__ import annotations
 
 import json
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the checkpoints that this process has made and not deleted.
+_made: list[str] = []
 
-def settle(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the session names for them; only where it names none, in a new local one."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="isoframe-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; on one machine, where it names none, a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="isoframe-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder: lineage ends there, and a lost executor costs no rerun."""
+    shared_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    where = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if where.isDefined():
+        _made.append(where.get())
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside are deleted at the end: for steps whose results are written or collected by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[start:]:
+            delete(spark, path)
+        del _made[start:]
 
 
 class Store:
@@ -34,9 +68,10 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def has(self, name: str) -> bool:
-        fs, p = self._fs(f"{name}/_SUCCESS")
-        return bool(fs.exists(p))
+    def has(self, *names: str) -> bool:
+        """Whether all the tables named are finished."""
+        found = [self._fs(f"{name}/_SUCCESS") for name in names]
+        return all(bool(fs.exists(p)) for fs, p in found)
 
     def names(self) -> list[str]:
         fs, p = self._fs("")

@@ -12,12 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from isoframe.operators.reads import usable
 
 ROW = "sample string, qname string, flag int, chrom string, pos long, cigar string"
+#: Alignments as they arrive.
+TIMED = ROW + ", arrived timestamp"
 
 
-def pair_mates(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def pair_mates(stream: DataFrame, time: str = "arrived", timeout: str = "10 minutes") -> DataFrame:
     """(sample, qname, complete, flag1, chrom1, pos1, cigar1, flag2, ...): pairs, and lone mates once they time out.
 
-    State holds one mate for each name at most and goes when its pair leaves, or after timeout_ms without the other mate.
+    time: a timestamp column of the stream, the event time. State holds one mate for each name at most and goes when its
+    pair leaves, or once the watermark has passed its time. The watermark trails the latest time by `timeout`, so a mate
+    that comes later than that is left out as late.
     """
     out = "sample string, qname string, complete boolean, " + ", ".join(f"flag{i} int, chrom{i} string, pos{i} long, cigar{i} string" for i in (1, 2))
     names = [f"{c}{i}" for i in (1, 2) for c in ("flag", "chrom", "pos", "cigar")]
@@ -28,7 +32,10 @@ def pair_mates(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
             state.remove()
             yield pd.DataFrame([(*key, False, *held, None, None, None, None)], columns=["sample", "qname", "complete", *names])
             return
-        rows = [tuple(r) for b in batches for r in b[["flag", "chrom", "pos", "cigar"]].itertuples(index=False)]
+        rows, latest = [], 0
+        for b in batches:
+            rows += [tuple(r) for r in b[["flag", "chrom", "pos", "cigar"]].itertuples(index=False)]
+            latest = max(latest, int(b["_time"].max()))
         if state.exists:
             rows.insert(0, state.get)
             state.remove()
@@ -40,9 +47,10 @@ def pair_mates(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
         if rows:
             flag, chrom, pos, cigar = rows[0]
             state.update((int(flag), chrom, int(pos), cigar))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
         if done:
             yield pd.DataFrame(done, columns=["sample", "qname", "complete", *names])
 
-    paired = usable(stream).where(F.col("flag").bitwiseAND(1) != 0)
-    return paired.groupBy("sample", "qname").applyInPandasWithState(step, out, "flag int, chrom string, pos long, cigar string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    paired = usable(stream).where(F.col("flag").bitwiseAND(1) != 0).withWatermark(time, timeout)
+    paired = paired.select("sample", "qname", "flag", "chrom", "pos", "cigar", time, F.unix_millis(time).alias("_time"))
+    return paired.groupBy("sample", "qname").applyInPandasWithState(step, out, "flag int, chrom string, pos long, cigar string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -7,7 +8,7 @@ from isoframe.operators.dataset import make_matrix
 from isoframe.operators.filters import EventFilter
 from isoframe.plans import pipeline as pl
 from isoframe.sources.store import Store
-from isoframe.streaming.mates import ROW, pair_mates
+from isoframe.streaming.mates import ROW, TIMED, pair_mates
 
 EXONS = {"T1": [(101, 200), (301, 400), (501, 600), (701, 800)], "T2": [(101, 200), (501, 600), (701, 800)], "T3": [(101, 200), (301, 400), (501, 800)]}
 SAMPLES = [f"s{i}" for i in range(6)]
@@ -117,15 +118,24 @@ def test_novel_exon_is_found(spark, stores, tmp_path):
 
 
 def test_stream_pairs_equal_batch(spark, tmp_path):
+    start = datetime(2024, 1, 1)
     rows = [("s", f"q{i}", f, "c1", p + i, "20M") for i in range(30) for f, p in ((0x41, 100), (0x81, 300))][:-1]
     random.Random(0).shuffle(rows)
+    rows = [(*r, start + timedelta(seconds=k)) for k, r in enumerate(rows)]
+    # A mate far later moves the watermark on, so that the lone one times out.
+    late = [("s", "last", 0x41, "c1", 5, "20M", start + timedelta(hours=1)), ("s", "last", 0x81, "c1", 9, "20M", start + timedelta(hours=1))]
     for k in range(3):
-        spark.createDataFrame(rows[k * 20 : k * 20 + 20], ROW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame(late, TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    stream = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = pair_mates(stream).writeStream.format("memory").queryName("mates").outputMode("append").start()
+    stream = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = pair_mates(stream).writeStream.format("memory").queryName("mates").outputMode("append").trigger(availableNow=True).start()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("select * from mates where complete").collect()
+    try:
+        assert q.awaitTermination(120), "the stream does not end"
+    finally:
+        q.stop()
+    got = spark.sql("select * from mates where complete and qname <> 'last'").collect()
     assert len(got) == 29 and all(r.flag1 == 0x41 and r.pos2 - r.pos1 == 200 for r in got)
+    lone = {r[1] for r in rows} - {r.qname for r in got}
+    assert {r.qname for r in spark.sql("select * from mates where not complete").collect()} == lone and len(lone) == 1
