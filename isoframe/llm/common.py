@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from isoframe.sources.store import settle as cut
+from isoframe.sources.store import shared_dir
+
+__all__ = ["cut", "shared_dir", "read_table", "prepare", "map_arrow", "hash_sample", "crc_mod"]
+
 #: Rows of text in one Arrow batch; with documents of a few kB this keeps a batch near a few MB.
 TEXT_BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, where Spark knows the setting.
@@ -27,23 +31,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests, one machine), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="isoframe-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: lineage ends, and a lost executor costs no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow under the batch bounds of prepare()."""
     prepare(df.sparkSession)
@@ -51,12 +38,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, those of the smallest hashes of key: the same ones in each run and at any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit("sample")), F.col(key)).limit(rows)
+    """At most `rows` rows, those of the smallest hashes of key: the same ones in each run and at any partitioning.
+
+    Only rows below a threshold on the hash, about two for each one wanted, are sorted.
+    """
+    draw = F.xxhash64(F.col(key), F.lit("sample"))
+    total = df.count()
+    if total > 2 * rows + 1000:
+        df = df.where(F.shiftright(draw, 1) < int((2 * rows + 1000) / total * 2**63) - 2**62)
+    return df.orderBy(draw, F.col(key)).limit(rows)
 
 
-def crc_mod(column: str, n: int):
+def crc_mod(column: str, n: int) -> Column:
     """crc32 of the decimal text of a column, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
-
-

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.llm.common import cut
+from isoframe.sources.store import discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if print_of["n"] == 0 or (print_of["n"], print_of["s"]) == seen:
             break
         seen = (print_of["n"], print_of["s"])
-        now = cut(_small_star(_large_star(now)))
+        before, now = now, cut(_small_star(_large_star(now)))
+        discard(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Base counts are due for every document. The rules of the verdict are an AND, so their order changes the work and never
-the verdict: each rule's cost and rejection rate are measured on a hash sample, the rules run in order of rejections per
-second, and a document that one rule rejects meets no later one.
+The rules, base rules included, are an AND, so their order changes the work and never the verdict: each rule's cost and
+rejection rate are measured on a hash sample, the rules run in order of rejections per second, and a document that one
+rule rejects meets no later one. Counts are worked out when a rule first asks for them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +28,41 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 
 
-@dataclass
 class Page:
-    """A text with its words and base counts."""
-
-    text: str
-    words: list[bytes] = field(init=False)
-    word_chars: int = field(init=False)
-    n_symbols: int = field(init=False)
-    n_lines: int = field(init=False)
-    n_dup_lines: int = field(init=False)
-    n_repeat_words: int = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.words = self.text.encode().split()
-        self.word_chars = len(self.text) - sum(map(self.text.count, SPACE))
-        self.n_symbols = sum(map(self.text.count, SYMBOLS))
-        lines = [x for x in self.text.split("\n") if x.strip(SPACE)]
-        self.n_lines, self.n_dup_lines = len(lines), len(lines) - len(set(lines))
-        self.n_repeat_words = repeat_words(self.words)
+    """A text, its words and counts, each worked out when a rule first asks for it."""
+
+    def __init__(self, text: str, words: list[bytes] | None = None):
+        self.text = text
+        if words is not None:
+            self.words = words
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode().split()
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, SPACE))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x for x in self.text.split("\n") if x.strip(SPACE)]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeat_words(self.words)
 
     @property
     def base_failed(self) -> bool:
-        n = len(self.words)
-        return n < MIN_WORDS or 100 * self.n_repeat_words > MAX_REPEAT_PERCENT * n
+        return any(rule(self) for rule in BASE.values())
 
 
 def repeat_words(words: list[bytes], n: int = WINDOW) -> int:
@@ -88,11 +99,15 @@ def _wordless(p: Page) -> bool:
     return 10 * sum(1 for w in p.words if w.isascii() and not re.search(rb"[A-Za-z]", w)) > 4 * len(p.words)
 
 
-#: Rules that reject, by name.
+#: The base rules, and those of the method's verdict: each rejects, by name.
+BASE: dict[str, Callable[[Page], bool]] = {
+    "few_words": lambda p: len(p.words) < MIN_WORDS,
+    "mostly_repeats": lambda p: 100 * p.n_repeat_words > MAX_REPEAT_PERCENT * len(p.words),
+}
 RULES: dict[str, Callable[[Page], bool]] = {
     "symbols": lambda p: 10 * p.n_symbols > len(p.words),
     "exclamations": lambda p: 10 * p.text.count("!") > len(p.words),
-    "repeated_lines": lambda p: 10 * p.n_dup_lines > 4 * p.n_lines,
+    "repeated_lines": lambda p: 10 * p.n_dup_lines > 4 * len(p.lines),
     "repeated_windows": lambda p: 10 * p.n_repeat_words > 4 * len(p.words),
     "capital_words": _capital_words,
     "wordless": _wordless,
@@ -100,40 +115,46 @@ RULES: dict[str, Callable[[Page], bool]] = {
 }
 
 
-def measure(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules by falling rejections per second on a hash sample of the documents."""
+def measure(docs: DataFrame, rules: dict[str, Callable[[Page], bool]] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of the rules by falling rejections per second on a hash sample of the documents.
+
+    A rule's cost is that of all it asks for but the words, which nearly every rule needs.
+    """
+    rules = BASE | RULES if rules is None else rules
     total = docs.select("doc_id").count()
     share = min(1.0, sample_rows / max(total, 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+    names = list(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent = dict.fromkeys(RULES, (0.0, 0, 0))
+        judges = BASE | RULES
+        spent = dict.fromkeys(names, (0.0, 0, 0))
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                p = Page(text or "")
-                if p.base_failed:
-                    continue
-                for name, rule in RULES.items():
+                words = Page(text or "").words
+                for name in names:
+                    p = Page(text or "", words)
                     t = time.perf_counter()
-                    no = rule(p)
+                    no = judges[name](p)
                     s = spent[name]
                     spent[name] = (s[0] + time.perf_counter() - t, s[1] + no, s[2] + 1)
-        cols = [pa.array(list(spent)), *(pa.array([s[i] for s in spent.values()], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64())))]
+        cols = [pa.array(names), *(pa.array([s[i] for s in spent.values()], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64())))]
         yield pa.RecordBatch.from_arrays(cols, names=["rule", "seconds", "rejected", "seen"])
 
     rows = map_arrow(sample, run, "rule string, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
     # A rule that rejected nothing in the sample counts half a rejection, so that cheap ones still go first.
     rate = {r["rule"]: (r["r"] + 0.5) / (r["s"] + 1e-9) for r in rows}
-    return sorted(RULES, key=lambda name: -rate.get(name, 0.0))
+    return sorted(names, key=lambda name: -rate.get(name, 0.0))
 
 
 def apply_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
+    The counts are due for every row, so the cascade saves what the other rules cost; drop_rejected() saves the counts too.
     Null and empty texts have no words, so they fail the base rule. Words lie between ASCII white space. Repeated rows
     and a null doc_id keep their rows. Other columns of docs are neither read nor returned. An empty table gives no rows.
     """
-    names = measure(docs) if order is None else order
+    names = measure(docs, RULES) if order is None else order
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "rejected_by": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +177,18 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The rows of docs, all columns as they are, that the base rule and the cascade keep."""
+    """The rows of docs, all columns as they are, that the base rules and the others keep, as one cascade.
+
+    Null, empty and wordless texts go. Repeated rows and a null doc_id are judged by their texts like any others. An empty
+    table gives an empty one.
+    """
     names = measure(docs) if order is None else order
     at = docs.columns.index("text")
 
     def passes(text: str | None) -> bool:
         p = Page(text or "")
-        return not p.base_failed and not any(RULES[name](p) for name in names)
+        judges = BASE | RULES
+        return not any(judges[name](p) for name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

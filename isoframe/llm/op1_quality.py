@@ -1,7 +1,7 @@
 """Quality by co-training: a content view and a metadata view teach each other, and their calibrated scores combine.
 
-The content view sees the text's character trigrams; the metadata view sees language, source, stated length and the
-page's layout. Each round both views train a logistic model on the labelled rows and on what the other view has taught
+The content view sees the text alone: character trigrams, repetition, kinds of characters and lines. The metadata view
+sees none of it: language, source and the stated length. Each round both views train a logistic model on the labelled rows and on what the other view has taught
 them, label a pool of unlabelled documents, and pass the labels they are surest of to the other view (Blum and Mitchell,
 1998). A fold of true labels that neither view trained on calibrates both and weighs them. All documents are scored.
 """
@@ -27,7 +27,8 @@ ROUNDS = 4
 SURE, SHARE = 0.95, 0.1
 HELD_OUT = 5
 BINS, LANGS, SOURCES = 256, 8, 16
-CONTENT = BINS + 2
+CONTENT, LENGTHS = BINS + 2 + 9, 12
+METADATA = LANGS + SOURCES + LENGTHS + 1
 #: Bytes of text at which trigram shares count half: those of a short text are mostly chance.
 SHORT = 200
 
@@ -39,12 +40,16 @@ _LOWER = bytes(range(256)).lower()
 
 
 def content_view(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams, ASCII case folded, and the shares of repeated words and lines."""
+    """Square roots of the shares of hashed byte trigrams, ASCII case folded; shares of repeated words and lines; square roots
+    of the shares of kinds of characters; length, and length of lines."""
     raw = (text or "").encode()
-    b = np.frombuffer(raw.translate(_LOWER), np.uint8).astype(np.uint32)
+    own = np.frombuffer(raw, np.uint8)
     x = np.zeros(CONTENT, np.float32)
-    if len(b) < 3:
+    kinds, n = np.bincount(_KIND[own], minlength=7), max(len(raw), 1)
+    x[BINS + 2 :] = (*np.sqrt(kinds / n), math.log1p(n) / 10, math.log1p(n / (kinds[0] + 1)) / 10)
+    if len(raw) < 3:
         return x
+    b = np.frombuffer(raw.translate(_LOWER), np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]) * np.uint32(2654435761)
     x[:BINS] = np.sqrt(np.bincount(h >> np.uint32(24), minlength=BINS) / len(h)) * (len(b) / (len(b) + SHORT))
     for i, parts in enumerate((raw.split(), [p for p in raw.split(b"\n") if p.strip()])):
@@ -52,15 +57,14 @@ def content_view(text: str | None) -> np.ndarray:
     return x
 
 
-def metadata_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Hashed language and source, the stated length, and the layout: shares of kinds of characters, length of lines."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    kinds = np.bincount(_KIND[raw], minlength=7)
-    n = max(len(raw), 1)
-    x = np.zeros(LANGS + SOURCES + 10, np.float32)
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Hashed language and source, and the stated length, as a number and by powers of e."""
+    x = np.zeros(METADATA, np.float32)
     x[zlib.crc32(str(lang).encode()) % LANGS] = 0.5
     x[LANGS + zlib.crc32(str(source).encode()) % SOURCES] = 0.5
-    x[LANGS + SOURCES :] = (*np.sqrt(kinds / n), math.log1p(n) / 10, math.log1p(max(n_chars or 0, 0)) / 10, math.log1p(n / (kinds[0] + 1)) / 10)
+    long = math.log1p(max(n_chars or 0, 0))
+    x[LANGS + SOURCES + min(int(long), LENGTHS - 1)] = 0.5
+    x[-1] = long / 10
     return x
 
 
@@ -152,8 +156,8 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarr
 def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     columns = [batch.column(at + i).to_pylist() for i in range(4)]
     if not batch.num_rows:
-        return np.zeros((0, CONTENT), np.float32), np.zeros((0, LANGS + SOURCES + 10), np.float32)
-    return np.stack([content_view(t) for t in columns[0]]), np.stack([metadata_view(*row) for row in zip(*columns, strict=True)])
+        return np.zeros((0, CONTENT), np.float32), np.zeros((0, METADATA), np.float32)
+    return np.stack([content_view(t) for t in columns[0]]), np.stack([metadata_view(*row) for row in zip(*columns[1:], strict=True)])
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -163,16 +167,19 @@ def _plain(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> Model:
     """Co-train on hash samples: fit_rows labelled rows outside the held-out fold, pool_rows unlabelled ones, at most.
 
-    A doc_id with several labels is good by majority, ties included. Without labels every score is 0.5; with labels of
+    A doc_id with several labels is good by majority, ties included; one with several rows counts once, with the row of the
+    least hash. Without labels every score is 0.5; with labels of
     one class every score is that class.
     """
     rows = _plain(docs)
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = hash_sample(marks.where(crc_mod("doc_id", HELD_OUT) != 0), "doc_id", fit_rows)
-    pool = hash_sample(rows.select("doc_id").where("doc_id is not null").join(marks.select("doc_id"), "doc_id", "left_anti"), "doc_id", pool_rows)
+    pool = hash_sample(rows.select("doc_id").where("doc_id is not null").distinct().join(marks.select("doc_id"), "doc_id", "left_anti"), "doc_id", pool_rows)
     # fit_rows + pool_rows rows of two numbers
-    chosen = known.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("label"))).distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars")
+    chosen = known.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("label")))
+    sample = rows.join(F.broadcast(chosen), "doc_id")
+    row = F.struct("text", "lang", "source", "n_chars")
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by(row, F.xxhash64("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "label", "row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

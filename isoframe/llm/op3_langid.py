@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,14 @@ from isoframe.llm.common import crc_mod, map_arrow, read_table
 
 HELD_OUT, HELD_OUT_REST = 3, 1
 UNKNOWN = "und"
-#: Characters of the sample of one language, at most, the documents it is drawn from, and up to what length whole.
-SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 16_000, 120, 20_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters of the sample of one language, at most, and the documents it is drawn from, about; of a document an eighth of
+#: the sample or more where there are fewer than eight.
+SAMPLE_CHARS, SAMPLE_DOCS = 64_000, 120
+LETTER = regex.compile(r"\p{L}")
 NO_LETTERS = re.compile(r"[\W\d_]+")
+#: A parse that is this many bits behind the best can stop: its odds are below what a double can add to 1.
+BITS_BEHIND = 600.0
+HEAD = 160
 
 
 def plain(text: str) -> str:
@@ -77,8 +82,11 @@ def suffix_automaton(text: str) -> dict:
     return plain_of[id(root)]
 
 
-def phrases(root: dict, text: str) -> int:
-    """Number of longest matches that a text parses into; a character that the sample lacks is a phrase."""
+def phrases(root: dict, text: str, most: float = math.inf) -> int:
+    """Number of longest matches that a text parses into; a character that the sample lacks is a phrase.
+
+    The parse ends early once there are more than `most`.
+    """
     n = 0
     at = root
     for c in text:
@@ -90,6 +98,8 @@ def phrases(root: dict, text: str) -> int:
             if after is None:
                 n += 1
                 after = root
+            if n > most:
+                return n
         at = after
     return n + (at is not root)
 
@@ -104,34 +114,39 @@ def predict(samples: tuple[tuple[str, str], ...], text: str | None) -> tuple[str
     if not samples or not text or not LETTER.search(text):
         return UNKNOWN, 0.0
     low = plain(text)
-    bits = [(phrases(root, low) * cost, lang) for lang, root, cost in _automata(samples)]
-    best, lang = min(bits)
+    # The likeliest by the head of the text is parsed first, so that the others can stop early.
+    order = sorted(_automata(samples), key=lambda a: phrases(a[1], low[:HEAD]) * a[2])
+    bits, best = [], math.inf
+    for lang, root, cost in order:
+        bits.append((phrases(root, low, (best + BITS_BEHIND) / cost) * cost, lang))
+        best = min(best, bits[-1][0])
     # Odds of the languages at a tenth of the bits, since phrases of one document are not independent.
-    return lang, 1 / sum(2 ** (max(-500.0, (best - b) / 10)) for b, _ in bits)
+    return min(bits)[1], 1 / sum(2 ** (max(-500.0, (best - b) / 10)) for b, _ in bits)
 
 
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """Samples of the languages of labelled rows outside the held-out fold.
 
-    A hash of doc_id draws about SAMPLE_DOCS documents for each language, whose texts are joined up to sample_chars: whole
-    up to SAMPLE_DOC_CHARS, of longer ones a piece from the start, an eighth of the sample or more where documents are few.
-    What is collected is bounded by the number of languages. Rows without text, letters or a language teach nothing.
+    A hash of the text draws about SAMPLE_DOCS different texts of each language (all, where there are no more), of which
+    pieces from the start are joined up to sample_chars. What is collected is bounded by the number of languages. Rows
+    without letters or a language teach nothing; repeated texts teach once.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", HELD_OUT) != HELD_OUT_REST))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", "lang")
+    known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", HELD_OUT) != HELD_OUT_REST))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return ()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
-    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_DOCS / n) * (1 << 30)))) for lang, n in counts.items()], F.lit(0))
-    long = F.length("text") > SAMPLE_DOC_CHARS
-    rows = known.where((draw < limit) & F.col("text").isNotNull()).select("lang", draw.alias("draw"), long.alias("long"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")).collect()
+    draw = F.pmod(F.xxhash64("h", F.lit("language sample")), F.lit(1 << 30))
+    # Twice as many where there are many: an estimated count must not leave a language without a text.
+    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 30)))) for lang, n in counts.items()], F.lit(0))
+    drawn = known.where(draw < limit).select("lang", draw.alias("draw"), "h", F.substring("text", 1, 2 * sample_chars).alias("text"))
+    rows = drawn.groupBy("lang", "draw", "h").agg(F.first("text").alias("text")).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "h", "text"))), 1, SAMPLE_DOCS).alias("own")).collect()
     out = []
-    for lang in sorted(counts):
-        own = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], r["text"]))
+    for lang, own in sorted((r["lang"], r["own"]) for r in rows):
         piece = sample_chars // max(1, min(8, len(own)))
-        text = " ".join(plain(r["text"])[: piece if r["long"] else None] for r in own)
+        text = " ".join(plain(r["text"])[:piece] for r in own)[:sample_chars]
         if LETTER.search(text):
-            out.append((lang, text[:sample_chars]))
+            out.append((lang, text))
     return tuple(out)
 
 

@@ -26,6 +26,8 @@ from isoframe.llm.common import crc_mod, cut, hash_sample, map_arrow, read_table
 FIT_ROWS = 12_000
 #: Terms of the lexicon, at most.
 MOST_TERMS = 400
+#: States of the determinised product that are kept; beyond, they are worked out anew, which costs no result.
+MOST_STATES = 50_000
 HELD_OUT = 5
 STEMS = range(3, 9)
 MIN_PRECISION = 0.8
@@ -77,6 +79,10 @@ class Automaton:
                 self.most[node] = max(self.most[node], t.edits)
             self.ends[node].append(i)
         self.alphabet = {c for t in terms for c in t.text}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the states that words have led to so far; they are worked out anew when next asked for."""
         self.states: dict[frozenset, State] = {}
         self.start = self._state({(0, 0, ""): 0})
 
@@ -138,6 +144,8 @@ class Automaton:
 
     def hits(self, word: str) -> tuple[tuple[int, int], ...]:
         """(term, edits) of the terms near the word, exact ones first."""
+        if len(self.states) > MOST_STATES:
+            self.clear()
         state = self.start
         for c in word:
             after = state.get(c, False)
@@ -264,12 +272,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[floa
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from labelled rows outside the held-out fold, fit_rows of them at most.
 
-    A doc_id with several labels counts as toxic by majority, ties included. No labels, or none of one class: no lexicon,
+    A doc_id with several labels counts as toxic by majority, ties included; one with several rows teaches with the text of
+    the least hash. No labels, none of one class, or no significant term: no lexicon,
     and every score is near 0.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     chosen = hash_sample(marks.where(crc_mod("doc_id", HELD_OUT) != 0), "doc_id", fit_rows)  # fit_rows rows of two numbers
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row for each id, so that repeated rows cannot exceed fit_rows.
+    sample = cut(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"))
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Model()
@@ -305,6 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     varied = {r["pattern"]: r["n"] for r in map_arrow(sample.where("toxic = 1").select("text"), surroundings, "pattern string, near long").groupBy("pattern").agg(F.count_distinct("near").alias("n")).collect()}
     model = Model(choose_terms(significant({p: (min(n, varied.get(p, 0)), clean.get(p, 0)) for p, n in good.items()}, size[1], size[0], len(toxic))))
 
+    if not model.terms:
+        return Model()
+
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
@@ -325,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             rows = [model.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), batch.column(1)], names=["a", "b", "c", "toxic"])
 
-    # Documents with equal features count together: what comes back is fit_rows rows at most.
+    # fit_rows rows of four numbers at most
     rows = map_arrow(sample.select("text", "toxic"), measured, "a double, b double, c double, toxic int").collect()
     model.weights = fit_logistic(np.array([[r["a"], r["b"], r["c"]] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return model
@@ -355,7 +369,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text the model does not call toxic."""
+    """The rows of docs, all columns as they are, whose text the model does not call toxic.
+
+    Null and empty texts have no hits and stay. Repeated rows and a null doc_id are judged by their texts like any others.
+    An empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

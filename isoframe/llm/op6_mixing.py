@@ -5,7 +5,8 @@ sample settles. The flight phase moves the fractions of three documents at a tim
 balancing equations (documents, words) until one of them is settled (Chauvet and Tille, 2006), which leaves two open
 at most. It runs in buckets of a bounded number of documents, then over what the buckets left open, until one bucket
 holds what is left of a source; the landing phase settles those one or two so that the words miss the target least.
-Buckets and random draws come from hashes of doc_id, so a rerun agrees, whatever the partitioning.
+Rows alike in every column are one unit of the sample with as many copies due as all of them; units are dealt to buckets
+by hashes of doc_id and of the row, so that no id, null included, is a bucket, and a rerun agrees at any partitioning.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from isoframe.llm.common import cut, read_table
 
@@ -29,12 +31,12 @@ EPS = 1e-9
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target, n) from rows of (source, size).
+    """(source, source_size, target, n) from rows of (source, size, times); n counts the units.
 
     Sources by code point, null last, weigh 3, 1, 2, repeating. Targets share SHARE of all sizes by weight; where one
     would exceed MOST times its source's size it stops there and the rest is shared again, which is filling to a level.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    total = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # One row for each source from here on; the windows see no documents.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
@@ -87,7 +89,7 @@ def _settle(units: DataFrame, level: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         size, x = table.column("size").to_pylist(), table.column("x").to_pylist()
         ids = table.column("order").to_numpy()
-        order = np.lexsort((table.column("size").to_numpy(), ids)).tolist()
+        order = np.lexsort((table.column("row_hash").to_numpy(), table.column("size").to_numpy(), ids)).tolist()
         s, y = [size[i] for i in order], [x[i] for i in order]
         rng = np.random.Generator(np.random.Philox([int(ids.view(np.uint64).sum(dtype=np.uint64)), len(s), level]))
         rest = flight(s, y, rng.random)
@@ -98,26 +100,30 @@ def _settle(units: DataFrame, level: int) -> DataFrame:
         return table.set_column(table.schema.get_field_index("x"), "x", pa.array(x, pa.float64()))
 
     buckets = F.ceil(F.col("left") / F.lit(BUCKET_ROWS)).cast("long")
-    dealt = units.withColumn("buckets", F.greatest(buckets, F.lit(1))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("buckets"))).withColumn("order", F.xxhash64("doc_id", F.lit(f"order {level}")))
-    schema = "doc_id long, source string, size long, source_size long, target double, whole long, x double, left long, buckets long, bucket long, order long"
+    dealt = units.withColumn("buckets", F.greatest(buckets, F.lit(1))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash", F.lit(level)), F.col("buckets"))).withColumn("order", F.xxhash64("doc_id", "row_hash", F.lit(f"order {level}")))
+    schema = "doc_id long, row_hash long, source string, size long, times long, source_size long, target double, whole long, x double, left long, buckets long, bucket long, order long"
     return dealt.groupBy("source", "bucket").applyInArrow(run, schema).drop("order", "bucket")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, copies (how often the mix has it).
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    size counts words between ASCII white space (null text: 0). A null source is a source of its own, the last. Repeated
-    rows are documents of their own; rows with a null doc_id share a bucket. A source without words has target 0. Other
-    columns of docs are neither read nor returned. An empty table gives no rows.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order."""
+    return F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)])
+
+
+def _settled(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, size, source_size, target, times, total): units of `times` equal rows and the copies of all of them."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row_hash"), F.col("source").cast("string").alias("source"), _size().alias("size"))
+    sizes = cut(rows.groupBy("doc_id", "row_hash", "source", "size").agg(F.count(F.lit(1)).alias("times")))
     targets = cut(source_targets(sizes))
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("times")
     t = targets.withColumnRenamed("source", "of")
     units = sizes.join(t, sizes.source.eqNullSafe(t.of)).drop("of").withColumn("whole", F.floor(due + F.lit(EPS)))
     units = units.withColumn("x", F.greatest(due - F.col("whole"), F.lit(0.0))).withColumnRenamed("n", "left")
-    units = units.select("doc_id", "source", "size", "source_size", "target", "whole", "x", "left")
+    units = units.select("doc_id", "row_hash", "source", "size", "times", "source_size", "target", "whole", "x", "left")
     most = targets.agg(F.max("n")).first()[0] or 0
     done: list[DataFrame] = []
     level = 0
@@ -136,21 +142,47 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    copies = (F.col("whole") + F.round("x").cast("long")).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return rows.select("doc_id", "row_hash", "size", "source_size", "target", "times", (F.col("whole") + F.round("x").cast("long")).cast("long").alias("total"))
+
+
+def _counted(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as its count says, numbered from 0; no array is longer than the square root of a count or so."""
+    n = F.col(count).cast("long")
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / BUCKET_ROWS))).alias("_block"))
+    first = F.col("_block") * BUCKET_ROWS
+    return blocks.select("*", F.explode(F.sequence(first, F.least(first + BUCKET_ROWS, n) - 1)).alias(name)).drop("_block")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken, copies (how often the mix has it).
+
+    size counts words between ASCII white space (null text: 0). A null source is a source of its own, the last. Repeated
+    rows share the copies due to all of them evenly; rows with a null doc_id are documents of their own. A source without
+    words has target 0. Other columns of docs tell rows apart and are not returned. An empty table gives no rows.
+    """
+    # The copies of a unit are dealt to its rows as evenly as can be.
+    rows = _counted(_settled(docs), "times", "k")
+    each, more = F.floor(F.col("total") / F.col("times")), F.col("total") % F.col("times")
+    rows = rows.withColumn("copies", (each + F.when(F.col("k") < more, 1).otherwise(0)).cast("long"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, each as often as the mix takes it.
 
-    Rows that share a doc_id are matched to their copies in the order of their sizes.
+    Null texts have no words but take part; repeated rows are as one that is taken as often as all of them; rows with a
+    null doc_id are told apart by their other columns. An empty table gives an empty one.
     """
-    taken = mix(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "size", "copies")
-    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("id", "none").orderBy("size", "copies"))).where("copies > 0").select("id", "none", "nth", "copies")
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), F.col("row.doc_id").isNull().alias("none"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "none").orderBy(F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)), F.xxhash64("row.text"), F.xxhash64("row.source"))))
-    return rows.join(taken, ["id", "none", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    taken = cut(_settled(docs).where("total > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("row_hash").alias("_hash"), "times", "total"))
+    rows = docs.select(F.struct("*").alias("_row"), _row_hash(docs).alias("_hash"))
+    rows = rows.select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("_row.doc_id").isNull().alias("_none"), "_hash")
+    key = ["_id", "_none", "_hash"]
+    met = rows.join(taken, key)
+    once = met.where("times = 1").select("_row", "total")
+    if not taken.where("times > 1").isEmpty():
+        # Equal rows: one stands for all of them, picked before the shuffle.
+        once = once.unionByName(met.where("times > 1").groupBy(*key, "total").agg(F.first("_row").alias("_row")).select("_row", "total"))
+    return _counted(once, "total", "_k").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so two sketches of whatever sizes
 keep the same hashes of what their texts share: sketches merge by union, and containment and resemblance are ratios of
-counts. A text with no hash below the threshold keeps its least hash, which merges too and stands for the text alone.
-The query keeps the whole range (SCALE 1): at 1/2 and below, too few hashes of short texts are left to tell likeness.
+counts. The fraction is 1/SCALE; of a text of FINE or fewer distinct shingles, too few to sample, the sketch keeps all.
+Two sketches are compared, and merged, at the coarser of their two thresholds. A fine one that has no hash below it is no
+evidence either way: its containment in a coarse one is undefined.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from isoframe.llm.common import map_arrow, read_table
 
 SHINGLE_WORDS = 5
-#: Sketches keep the hashes below 1/SCALE of the range.
-SCALE = 1
+#: Sketches keep the hashes below 1/SCALE of the range, those of FINE or fewer distinct shingles all.
+SCALE, FINE = 4, 1024
 SEED = 42
 #: Rows in one range of doc_id, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
@@ -49,37 +51,64 @@ def hash_words(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(32)
 
 
-def sketch(text: str | None, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct hashes below 1/scale of the range, or else the least one."""
-    h = shingle_hashes(text)
-    kept = np.unique(h[h <= np.uint64((1 << 64) // scale - 1)])
-    return kept if len(kept) or not len(h) else h.min(keepdims=True)
+@dataclass(frozen=True)
+class Sketch:
+    """Sorted distinct hashes: all of a text's, if fine, else those below 1/scale of the range."""
 
+    hashes: np.ndarray
+    fine: bool
+    scale: int = SCALE
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    def at(self, scale: int) -> np.ndarray:
+        """The hashes that a sketch of 1/scale would have."""
+        return self.hashes[self.hashes <= np.uint64((1 << 64) // scale - 1)]
+
+
+def _of(hashes: np.ndarray, scale: int) -> Sketch:
+    whole = Sketch(hashes, True, scale)
+    return whole if len(hashes) <= FINE else Sketch(whole.at(scale), False, scale)
+
+
+def sketch(text: str | None, scale: int = SCALE) -> Sketch:
+    return _of(np.unique(shingle_hashes(text)), scale)
+
+
+def _common(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both at the coarser threshold."""
+    if a.scale != b.scale:
+        raise ValueError("sketches of different scales")
+    return (a.hashes, b.hashes) if a.fine == b.fine else (a.at(a.scale), b.at(a.scale))
+
+
+def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of the union of what two sketches stand for."""
-    both = np.union1d(a, b)
-    low = both[both <= np.uint64((1 << 64) // scale - 1)]
-    return low if len(low) else both[:1]
+    both = np.union1d(*_common(a, b))
+    return _of(both, a.scale) if a.fine and b.fine else Sketch(both, False, a.scale)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+def resemblance(a: Sketch, b: Sketch) -> float:
     """Estimated Jaccard likeness; 1 for two empty sketches."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+    x, y = _common(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: Sketch, b: Sketch) -> float | None:
+    """Estimated share of a's shingles that b has; 1 for an empty a, None where no hash of a lies below b's threshold."""
+    x, y = _common(a, b)
+    if not len(x):
+        return None if len(a.hashes) else 1.0
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
 
 
-def encode(a: np.ndarray) -> str:
-    return base64.b64encode(a.astype("<u8").tobytes()).decode()
+def encode(a: Sketch) -> str:
+    """The scale (1 for a fine sketch) and the hashes in base 64."""
+    return f"{1 if a.fine else a.scale}:{base64.b64encode(a.hashes.astype('<u8').tobytes()).decode()}"
 
 
-def decode(s: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(s), "<u8").astype(np.uint64)
+def decode(s: str, scale: int = SCALE) -> Sketch:
+    head, body = s.split(":")
+    return Sketch(np.frombuffer(base64.b64decode(body), "<u8").astype(np.uint64), head == "1", scale if head == "1" else int(head))
 
 
 def edited(text: str, following: str) -> str:
@@ -129,7 +158,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    contained_in_edited, contained_in_next (null where undefined).
 
     A null text counts as empty. The next document is the one with the next smaller doc_id (after the least: the
     greatest); rows with one doc_id follow each other by a hash of their text, those with a null doc_id come last. A
@@ -142,7 +172,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         def row(now, then) -> tuple:
             changed = edited(now[3], then[3])
             other = sketch(changed)
-            return now[1], len(now[3]), hashlib.sha256(changed.encode()).hexdigest(), encode(now[4]), encode(other), resemblance(now[4], other), resemblance(now[4], then[4])
+            return now[1], len(now[3]), hashlib.sha256(changed.encode()).hexdigest(), encode(now[4]), encode(other), resemblance(now[4], other), resemblance(now[4], then[4]), containment(now[4], other), containment(now[4], then[4])
 
         for batch in batches:
             out = []
@@ -151,11 +181,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 if held is not None and held[0] == k and not held[2]:
                     out.append(row(held, now))
                 held = now
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "contained_in_next"])
 
-    return map_arrow(with_next(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(with_next(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double, contained_in_next double")
 
 
 def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A document is a sequence of pre-tokens, its words between ASCII white space, eac
 score of a pre-token is that of its best segmentation into vocabulary pieces. The forward score of a prefix does not
 depend on what follows, so the distinct pre-tokens of a stretch of input go into one trie, each node's forward score is
 computed once for all words below it, and terminals keep their token counts. The pieces come from a public tokenizer
-file; nothing is trained.
+file, as they are; their probabilities are counted over all documents: how often the file's own tokenizer uses each piece
+in their words.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ TOKENIZER = "piece_bpe_32k.model"
 MARK = "▁"
 #: Nodes at which a task starts a new trie: bounds its memory, and costs no result.
 TRIE_NODES = 400_000
-#: Words longer than this are segmented by themselves, not through the trie.
-LONG_WORD = 64
+#: Prefixes are shared up to this many characters; what a longer word goes on with is scored from there.
+DEPTH = 64
+#: Distinct words that a task counts before it passes the counts on.
+COUNTED_WORDS = 200_000
 #: Scores are whole numbers, this many to one unit of log probability, and carry the number of tokens in their low part.
 UNIT = 1 << 20
 ONE = 1 << 24
@@ -84,17 +87,68 @@ def tokens_of(score: int) -> int:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(name: str = TOKENIZER) -> Vocabulary:
-    """The pieces of a public tokenizer file; a piece's log probability falls with the logarithm of its rank."""
+def _tokenizer(name: str):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
 
-    model = SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    return SentencePieceProcessor(model_file=public_tokenizers.path(name))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each distinct word occurs in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(_words(text))
+                if len(seen) > COUNTED_WORDS:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    return map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def piece_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> dict[int, int]:
+    """How often the file's tokenizer uses each piece over all documents: as many numbers as the file has pieces, at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            words = [w.decode() for w in batch.column(0).to_pylist()]
+            for ids, n in zip(_tokenizer(tokenizer).encode(words, num_threads=1), batch.column(1).to_pylist(), strict=True):
+                for i in ids:
+                    seen[i] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+
+    found = map_arrow(word_counts(docs), run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return {r["piece"]: r["n"] for r in found}
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(name: str, counts: tuple[tuple[int, int], ...]) -> Vocabulary:
+    model, seen = _tokenizer(name), dict(counts)
     size = model.get_piece_size()
-    total = math.log(sum(1 / (r + 1) for r in range(size)))
+    total = math.log(sum(seen.values()) + size)
+    single = [i for i in range(size) if model.is_byte(i)]
     normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    ranked = sorted(normal, key=lambda i: (-model.get_score(i), i))
-    return Vocabulary([(model.id_to_piece(i), -math.log(r + 1) - total) for r, i in enumerate(ranked)], -math.log(size) - total)
+    # All bytes cost alike, as much as the rarest piece or more.
+    byte = math.log(1 + min((seen.get(i, 0) for i in single), default=0)) - total
+    return Vocabulary([(model.id_to_piece(i), math.log(1 + seen.get(i, 0)) - total) for i in normal], byte)
+
+
+def vocabulary(counts: dict[int, int], name: str = TOKENIZER) -> Vocabulary:
+    """The pieces of a public tokenizer file with log probabilities by their counts, one added to each."""
+    return _vocabulary(name, tuple(sorted(counts.items())))
 
 
 class WordTrie:
@@ -115,33 +169,37 @@ class WordTrie:
         if found is not None:
             return found
         text = MARK + word
-        if len(text) > LONG_WORD:
-            return tokens_of(self.vocab.forward(text, [0], 0)[-1])
         node, scores = self.root, [0]
-        for i, c in enumerate(text):
+        for i, c in enumerate(text[:DEPTH]):
             after = node.get(c)
             if after is None:
-                self.vocab.forward(text, scores, i)
-                for k in range(i, len(text)):
-                    node[text[k]] = node = {None: scores[k + 1]}
-                self.nodes += len(text) - i
+                head = text[:DEPTH]
+                self.vocab.forward(head, scores, i)
+                for k in range(i, len(head)):
+                    node[head[k]] = node = {None: scores[k + 1]}
+                self.nodes += len(head) - i
                 break
             scores.append(after[None])
             node = after
+        if len(text) > DEPTH:
+            return tokens_of(self.vocab.forward(text, scores, DEPTH)[-1])
         found = self.counts[word] = tokens_of(scores[-1])
         return found
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, counts: dict[int, int] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_tokens.
 
+    counts: of pieces, to score them by; those of docs if None, where repeated rows count as often as they occur.
     Null, empty and blank texts have 0 of both. Of segmentations that score alike the one with fewest tokens counts.
     Repeated rows and a null doc_id keep their rows. Other columns of docs are neither read nor returned. An empty table
     gives no rows.
     """
 
+    known = tuple(sorted((piece_counts(docs, tokenizer) if counts is None else counts).items()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = WordTrie(vocabulary(tokenizer))
+        trie = WordTrie(_vocabulary(tokenizer, known))
         # A trie has no cycles: its nodes are freed by reference counts, and walks over them by the collector are pure cost.
         collects = gc.isenabled()
         gc.disable()
@@ -149,7 +207,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             for batch in batches:
                 words_of, tokens = [], []
                 for text in batch.column(1).to_pylist():
-                    words = (text or "").encode().split()
+                    words = _words(text)
                     words_of.append(len(words))
                     tokens.append(sum(trie.count(w.decode()) * n for w, n in Counter(words).items()))
                     if trie.nodes > TRIE_NODES:

@@ -4,7 +4,8 @@ A template of t shingles falls in the class of the least power of two n >= t. Wi
 every occurrence lies inside one, whatever the text around it. BANDS one-row bands make the retrieval near certain: with
 a share c >= 0.8 of the template in the window the likeness is at least ct / (2n + (1 - c)t), above 0.22 in the worst
 case, and some band of 32 agrees with a probability above 0.9996. Window minima of one class are the pairwise minima of
-the class below, and a batch of documents is one array, so the scan is a few array passes for each band.
+the class below. A batch of documents is one array, so the scan is a few array passes for each band; each document begins
+on a boundary of the longest class and no window reaches past its end, so what is found depends on its text alone.
 """
 
 from __future__ import annotations
@@ -22,17 +23,29 @@ from isoframe.llm.op7_sketches import SHINGLE_WORDS, hash_words
 
 BANDS = 32
 CONTAINMENT = 0.8
+LAST = np.uint64((1 << 64) - 1)
 
 # Notices of common public licenses.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Apache-2.0 wording": "Licensed under the Apache License 2.0",
+    "Apache-2.0 identifier": "SPDX-License-Identifier: Apache-2.0",
     "MIT line": "Released under the MIT License.",
+    "MIT wording": "licensed under the MIT License",
+    "MIT wording 2": "available under the MIT License",
+    "MIT wording 3": "distributed under the MIT License",
     "MIT notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "BSD-2-Clause notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause notice": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0 wording": "licensed under the GNU General Public License v3.0",
+    "LGPL notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 line": "licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0 line": "licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -40,6 +53,11 @@ TEMPLATES: dict[str, str] = {
     "Unlicense notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: A notice that comes with another one, which is not reported beside it.
+PART_OF = {"BSD-3-Clause notice": "BSD-2-Clause notice"}
+#: Notices so alike that one nearly contains the other: those that are contained best are reported.
+ALIKE = [("AGPL notice", "GPL notice", "LGPL notice")]
+
 #: ASCII letters and digits in lower case and all bytes beyond ASCII are word characters, others separate words.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
 _SEEDS = [(int(a), int(b) | 1) for a, b in np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 64, (BANDS, 2), np.uint64)]
@@ -63,6 +81,7 @@ class Index:
 
     def __init__(self, templates: Mapping[str, str]):
         self.names = sorted(templates)
+        self.number = {name: i for i, name in enumerate(self.names)}
         self.shingles: list[np.ndarray] = []
         self.classes: dict[int, list[int]] = {}
         for i, name in enumerate(self.names):
@@ -90,36 +109,50 @@ def scan(index: Index, texts: list[str | None]) -> list[dict[int, float]]:
     """For each text the templates it contains, with the share of their shingles in the best window."""
     found: list[dict[int, float]] = [{} for _ in texts]
     hashes = [hash_words(w) if len(w) >= SHINGLE_WORDS else np.zeros(0, np.uint64) for w in map(fold, texts)]
-    ends = np.cumsum([len(h) for h in hashes])
-    stream = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    if not len(stream):
+    longest = max(index.classes)
+    ends = np.cumsum([-(-len(h) // longest) * longest for h in hashes])
+    if not len(ends) or not ends[-1]:
         return found
+    starts = np.concatenate(([0], ends[:-1]))
+    stream, blank = np.zeros(ends[-1], np.uint64), np.ones(ends[-1], bool)
+    for h, s in zip(hashes, starts.tolist(), strict=True):
+        stream[s : s + len(h)] = h
+        blank[s : s + len(h)] = False
     hits: dict[int, dict[int, set[int]]] = {n: {} for n in index.classes}
     for band in range(BANDS):
         low, n = band_hash(stream, band), 1
-        while n <= max(index.classes):
+        low[blank] = LAST
+        while n <= longest:
             if n in index.classes:
-                window = np.minimum(low, np.append(low[1:], low[-1]))
+                after = np.append(low[1:], LAST)
+                after[ends // n - 1] = LAST
+                window = np.minimum(low, after)
                 values, table = index.bands[n][band]
                 for w in np.nonzero(table[(window >> np.uint64(48)).astype(np.int64)])[0].tolist():
                     for member in np.nonzero(values == window[w])[0].tolist():
                         hits[n].setdefault(w, set()).add(index.classes[n][member])
-            odd = low[-1:] if len(low) % 2 else low[:0]
-            low = np.append(np.minimum(low[0 : len(low) - len(odd) : 2], low[1::2]), odd)
+            if n < longest:
+                low = np.minimum(low[0::2], low[1::2])
             n *= 2
     for n, windows in hits.items():
         for w, members in windows.items():
-            start, end = w * n, min((w + 2) * n, len(stream))
-            for d in range(int(np.searchsorted(ends, start, "right")), len(texts)):
-                first = int(ends[d] - len(hashes[d]))
-                if first >= end:
-                    break
-                part = hashes[d][max(start - first, 0) : end - first]
-                for i in members:
-                    share = float(np.isin(index.shingles[i], part).mean())
-                    if share >= CONTAINMENT and share > found[d].get(i, 0.0):
-                        found[d][i] = share
-    return found
+            d = int(np.searchsorted(ends, w * n, "right"))
+            first = w * n - int(starts[d])
+            part = hashes[d][first : first + 2 * n]
+            for i in members:
+                share = float(np.isin(index.shingles[i], part).mean())
+                if share >= CONTAINMENT and share > found[d].get(i, 0.0):
+                    found[d][i] = share
+    return [resolve(index, f) for f in found]
+
+
+def resolve(index: Index, found: dict[int, float]) -> dict[int, float]:
+    """What is found without notices that another one accounts for."""
+    gone = {part for whole, part in PART_OF.items() if index.number.get(whole) in found}
+    for group in ALIKE:
+        shares = {name: found[index.number[name]] for name in group if index.number.get(name) in found}
+        gone |= {name for name, share in shares.items() if share < max(shares.values())}
+    return {i: share for i, share in found.items() if index.names[i] not in gone}
 
 
 def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:

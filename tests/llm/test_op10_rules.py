@@ -3,7 +3,7 @@ import re
 import duckdb
 import numpy as np
 
-from isoframe.llm.op10_rules import ORACLE, RULES, apply_rules, repeat_words
+from isoframe.llm.op10_rules import BASE, ORACLE, RULES, apply_rules, drop_rejected, repeat_words
 
 SCHEMA = "doc_id long, text string, kept string, words string"
 
@@ -50,3 +50,13 @@ def test_clean_kept_and_junk_rejected(spark):
 
 def test_empty_table(spark):
     assert apply_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_cascade_drops_what_the_table_rejects(spark):
+    rows = fixture()
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(str(r[:2]) for r, g in zip(rows, apply_rules(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)).orderBy("doc_id").collect(), strict=True) if g.kept)
+    for order in (None, [*BASE, *RULES], [*RULES, *BASE][::-1]):
+        got = drop_rejected(df, order)
+        assert got.columns == df.columns and sorted(str(tuple(r)[:2]) for r in got.collect()) == want
+    assert drop_rejected(spark.createDataFrame([], SCHEMA)).count() == 0

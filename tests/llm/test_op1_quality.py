@@ -49,8 +49,30 @@ def test_pseudo_labels_help_the_weak_view():
 def test_views_take_anything():
     for text in (None, "", "a", "ab", "é🙂\n\n", "x" * 500000):
         assert np.isfinite(content_view(text)).all()
-        assert np.isfinite(metadata_view(text, None, None, None)).all()
-    assert np.isfinite(metadata_view("a", "en", "s", -5)).all()
+        assert np.isfinite(metadata_view(None, text, None)).all()
+    assert np.isfinite(metadata_view("en", "s", -5)).all()
+
+
+def test_the_metadata_view_sees_no_text_and_the_views_teach_each_other(spark):
+    """Sources tell quality here: the metadata view passes labels on, and scores do not move with the text alone."""
+    rows, truth = corpus()
+    rows = [(i, t, lang, "good" if truth[i] and i % 10 else "bad", n, a, b) for i, t, lang, _, n, a, b in rows]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs, spark.createDataFrame([(i, truth[i], 0) for i in range(200)], LABELS))
+    got = {r.doc_id: r for r in score_documents(docs, model).collect()}
+    assert np.mean([(r.metadata_score >= 0.5) == truth[i] for i, r in got.items()]) > 0.85
+    other = score_documents(spark.createDataFrame([(i, "*** " * 9, *r) for i, _, *r in rows], SCHEMA), model).collect()
+    assert all(r.metadata_score == got[r.doc_id].metadata_score for r in other)
+
+
+def test_repeated_rows_do_not_exceed_the_bound(spark, monkeypatch):
+    from isoframe.llm import op1_quality as op
+
+    seen = []
+    monkeypatch.setattr(op, "co_train", lambda views, y, fold: seen.append(len(y)) or op.Model())
+    docs = spark.createDataFrame([(i % 5, f"text {i}", "en", "s", 5, "", "") for i in range(400)], SCHEMA)
+    fit(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0)], LABELS))
+    assert seen == [5]
 
 
 def test_odd_tables(spark):

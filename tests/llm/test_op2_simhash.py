@@ -1,9 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
-from isoframe.llm.op2_simhash import near_duplicates, simhash
+from isoframe.llm.op2_simhash import drop_near_duplicates, near_duplicates, simhash
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -53,12 +54,18 @@ def test_prints_and_groups_equal_brute_force(spark):
     assert brute_groups(prints) == {i: g[1] for i, g in got.items()}
 
 
-def test_full_posting_keeps_links(spark, monkeypatch):
-    """Many fingerprints that share six bytes: the look-up by masks must connect what pairs would."""
+@pytest.mark.parametrize("most", [1, 5, 40, 512])
+def test_full_postings_keep_links(spark, most):
+    """Many fingerprints that share four or six bytes: split postings and the look-up by differences connect what pairs would."""
     from isoframe.llm import op2_simhash as op
 
+    rng = np.random.default_rng(most)
     values = [(7 << 16) | v for v in range(0, 4096, 3)] + [1 << 40, 3 << 40]
-    got = op.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    values += [int(v) for v in rng.integers(0, 1 << 20, 400) | (5 << 40)]  # four bytes in common and more
+    for v in values[-60:]:
+        values.append(v ^ 1 << int(rng.integers(63)) ^ 1 << int(rng.integers(63)))
+    values = sorted(set(values))
+    got = op.links(spark.createDataFrame([(v,) for v in values], "fp long"), most=most)
     root = {v: v for v in values}
 
     def find(i):
@@ -74,6 +81,42 @@ def test_full_posting_keeps_links(spark, monkeypatch):
     assert sorted(have.values()) == sorted(want.values())
 
 
+def test_pairs_below_the_minimum_of_matches_are_not_retained():
+    """Four or five shared bytes meet in a posting and are tallied out; a link always shares six."""
+    from isoframe.llm import op2_simhash as op
+
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    b = a.copy()
+    for k in range(400):  # k % 5 bytes differ, by one bit each
+        for p in rng.permutation(8)[: k % 5]:
+            b[k] ^= np.uint64(1 << int(8 * p + rng.integers(8)))
+    both = np.stack([a, b], axis=1).ravel()
+    x, y = op._pairs(np.repeat(np.arange(400), 2), both, 2)
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(int(a[k]), int(b[k])) for k in range(400) if k % 5 <= 2}
+    assert op.shared_bytes(a ^ b).tolist() == [8 - k % 5 for k in range(400)]
+
+
+def test_drops_rows_by_their_texts(spark):
+    """Unlike texts that share an id all stay; repeated and near rows leave one; ties go by the text, not by chance."""
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**6, 80))
+    a, b, c = text(), text(), text()
+    rows = [(0, a, "x", "1"), (1, a, "x", "2"), (1, b, "y", "3"), (1, b, "z", "4"), (None, b, "n", "5"), (None, c, "n", "6"), (None, c, "n", "7"), (4, c.upper(), "u", "8"), (5, None, "e", "9"), (6, "", "e", "10")]
+    chosen = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        got = drop_near_duplicates(docs)
+        assert got.schema == docs.schema
+        kept = sorted((r.doc_id, r.text) for r in got.collect())
+        assert kept == sorted([(0, a), (1, b), (4, c.upper()), (5, None)])
+        chosen.append(sorted(r.component_id for r in got.collect()))
+    assert chosen[0] == chosen[1]
+    only_null = spark.createDataFrame([(None, c, "n", "6"), (None, c, "n", "6"), (None, a, "n", "6")], SCHEMA)
+    assert sorted(r.text for r in drop_near_duplicates(only_null).collect()) == sorted([a, c])
+    assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_edges_of_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0

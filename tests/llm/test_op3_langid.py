@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
-from isoframe.llm.op3_langid import identify, learn, phrases, predict, suffix_automaton
+import pytest
+
+from isoframe.llm.op3_langid import SAMPLE_CHARS, identify, learn, phrases, plain, predict, suffix_automaton
 
 SCHEMA = "doc_id long, text string, lang string, score string, held_out string"
 
@@ -65,13 +68,35 @@ def test_ties_and_empty_tables(spark):
 
 
 def test_a_language_of_long_texts_only_is_learnt(spark):
-    from isoframe.llm.op3_langid import SAMPLE_CHARS, SAMPLE_DOC_CHARS, learn, predict
-
+    schema = "doc_id long, text string, lang string"
     rows = [(i, "the cat sat on the mat and the dog ran off with it " * 3, "en") for i in range(30)]
-    rows += [(100 + i, f"der hund läuft über die wiese und schläft dann nummer {i} " * 500, "de") for i in range(30)]
-    assert all(len(t) > SAMPLE_DOC_CHARS for _, t, lang in rows if lang == "de")
-    samples = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows += [(100 + i, f"der hund läuft über die wiese und schläft dann nummer {i} " * 2500, "de") for i in range(30)]
+    samples = learn(spark.createDataFrame(rows, schema))
     assert [lang for lang, _ in samples] == ["de", "en"] and all(len(t) <= SAMPLE_CHARS for _, t in samples)
     assert predict(samples, "die wiese und der hund")[0] == "de"
-    one = learn(spark.createDataFrame([r for r in rows if r[0] in (100, 101, 102)], "doc_id long, text string, lang string"))
+    one = learn(spark.createDataFrame([r for r in rows if r[0] in (100, 101, 102)], schema))
     assert len(one[0][1]) > SAMPLE_CHARS * 0.9
+
+
+def test_null_texts_and_shared_ids_hide_no_language(spark):
+    """Rows without text do not thin a language's draw, and one id or one text of all its rows is no matter."""
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, None, "aa") for i in range(6000)] + [(7, "the quick brown fox", "aa")]
+    rows += [(10, f"{w} ung lich sch", "bb") for w in ("der", "die", "das")] + [(i, "ción ado que", "cc") for i in range(400)]
+    samples = learn(spark.createDataFrame(rows, schema))
+    assert [lang for lang, _ in samples] == ["aa", "bb", "cc"]
+    assert dict(samples)["cc"].strip() == "ción ado que"
+
+
+def test_symbols_without_letters_are_unknown():
+    assert [predict((("aa", "abc"),), t)[0] for t in ("½ ²", "Ⅳ ①", "12 !", "", None, "ª b")] == ["und"] * 5 + ["aa"]
+
+
+def test_early_end_of_a_parse_changes_nothing():
+    rng = random.Random(5)
+    samples = tuple((lang, "".join(rng.choices(alphabet, k=900))) for lang, alphabet in (("x", "abcd "), ("y", "cdef "), ("z", "abef ")))
+    for _ in range(60):
+        text = "".join(rng.choices(rng.choice(["abcd ", "cdef ", "abef ", "adf "]), k=rng.randint(1, 3000)))
+        bits = sorted((phrases(suffix_automaton(s), plain(text)) * math.log2(len(s) + 1), lang) for lang, s in samples)
+        lang, score = predict(samples, text)
+        assert lang == bits[0][1] and score == pytest.approx(1 / sum(2 ** (max(-500.0, (bits[0][0] - b) / 10)) for b, _ in bits), abs=1e-15)

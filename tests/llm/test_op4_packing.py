@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -5,6 +6,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from isoframe.llm.op4_packing import CAPACITY, best_fit, pack, plan, reduce_by_dominance, token_ids
 
@@ -90,16 +93,37 @@ def test_plan_of_large_counts_is_near_the_bound():
     assert sum(n for _, n in patterns) <= 1.002 * bound
 
 
-def test_ids_are_those_of_the_tokenizer_file():
+def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", "A b  c\n\n d'll 12345 ééß 你好 🙂‍", "x<|endoftext|>y", " " * 5000 + "z", "a" * 3000, "\t\r\n mixed space"]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_tokenizer_file():
+    t = _tokenizer()
+    texts = ["", "A b  c\n\n d'll 12345 ééß 你好 🙂‍", "x<|endoftext|>y", " " * 5000 + "z", "a" * 3000, "\t\r\n mixed space"]
     for x in texts:
         assert token_ids(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=200) | st.text(alphabet=" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u2028'sStTlLdDmM12٣½ⅣéÉßǅ\u0301你🙂\u200d!?.,_-", max_size=80))
+def test_ids_of_any_text_are_those_of_the_tokenizer_file(text):
+    assert token_ids(text).tolist() == [*_slow.encode(text, add_special_tokens=False).ids, 0]
+
+
+_slow = _tokenizer()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no tables")
+def test_ids_of_the_documents_table_are_those_of_the_tokenizer_file():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist():
+        assert token_ids(text).tolist() == [*_slow.encode(text or "", add_special_tokens=False).ids, 0]
+
+
 def test_round_trip(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["the", "of", "zzq", "é"], n)) for n in rng.integers(0, 900, 80)]

@@ -33,6 +33,18 @@ def test_automaton_equals_distance():
             assert dict(a.hits(word)) == want, (terms, word)
 
 
+def test_forgetting_states_changes_nothing(monkeypatch):
+    from isoframe.llm import op5_toxicity as op
+
+    rng = random.Random(3)
+    terms = [Term("blockhead", False, 2), Term("nitwit", True, 1), Term("oaf", False, 0)]
+    words = ["".join(rng.choices("blockheadnitwf", k=rng.randint(2, 10))) for _ in range(500)] + ["blokhead", "nitwti", "nitwits", "oaf"]
+    want = [Automaton(terms).hits(w) for w in words]
+    monkeypatch.setattr(op, "MOST_STATES", 20)
+    small = Automaton(terms)
+    assert [small.hits(w) for w in words] == want and any(want) and len(small.states) < 60
+
+
 def test_context_separates_quotation():
     def at(text):
         words = text.lower().split()

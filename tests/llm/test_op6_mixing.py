@@ -1,11 +1,11 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from isoframe.llm import op6_mixing
-from isoframe.llm.op6_mixing import flight, mix
+from isoframe.llm.op6_mixing import flight, mix, mixed_documents
 
 SCHEMA = "doc_id long, text string, source string, size string, target string, x string"
 
@@ -90,3 +90,32 @@ def test_repeated_rows_and_empty_tables(spark):
     assert len(got) == 4 and sum(r.taken for r in got) >= 8
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.taken for r in mix(spark.createDataFrame([(1, None, "s", "", "", "")], SCHEMA)).collect()] == [0]
+
+
+def test_one_id_is_no_bucket_and_copies_come_to_what_is_due(spark, monkeypatch):
+    """Null ids, one shared id and equal rows, many of each: totals hold, and no flight sees more than a bucket."""
+    rng = random.Random(3)
+    rows = [(None, "w " * rng.randint(1, 60), rng.choice("ab"), "", "", "") for _ in range(500)]
+    rows += [(7, "w " * rng.randint(1, 60), rng.choice("ab"), "", "", "") for _ in range(500)]
+    rows += [(8, "w w w", "a", "", "", "")] * 333 + [(None, None, None, None, None, None)] * 20
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(op6_mixing, "BUCKET_ROWS", 64)
+    got = mix(df).collect()
+    assert len(got) == len(rows)
+    by_source = defaultdict(int)
+    for _, t, s, *_ in rows:
+        by_source[s] += len((t or "").split())
+    want, taken = brute_targets(by_source), defaultdict(int)
+    for r in got:
+        s = next(k for k in by_source if by_source[k] == r.source_size)
+        taken[s] += r.taken
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 60 for s in want if s)
+    assert {r.copies for r in got if r.doc_id == 8} <= {1, 2}
+    full = mixed_documents(df)
+    assert full.schema == df.schema
+    copies = Counter(r.doc_id for r in full.collect())
+    due = Counter()
+    for r in got:
+        due[r.doc_id] += r.copies
+    assert copies == due

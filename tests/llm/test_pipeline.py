@@ -1,3 +1,4 @@
+import glob
 import os
 import random
 from collections import Counter, defaultdict
@@ -88,14 +89,27 @@ def test_run_writes_and_returns_the_last_stage(spark, folder):
 
 
 def test_stages_take_odd_rows(spark, folder):
-    """Nulls, empty texts, repeated rows and an empty table; extra columns ride along."""
+    """Nulls, empty and very long texts, ties, repeated rows and an empty table; extra columns ride along."""
     text = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, text, "en", "a", 1, "x"), (1, text, "en", "a", 1, "x"), (2, None, None, None, None, None), (None, text + " end", None, None, None, None), (None, "", "en", "b", 0, "y")]
+    long = " ".join(f"v{i}" for i in range(40_000))
+    rows = [(1, text, "en", "a", 1, "x"), (1, text, "en", "a", 1, "x"), (2, None, None, None, None, None), (None, text + " end", None, None, None, None), (None, "", "en", "b", 0, "y"), (3, long, "en", "a", 1, "x")]
     schema = COLUMNS + ", size string"
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        for name, stage in pipeline.STAGES[:-1]:
-            assert stage(spark, docs, folder).columns == docs.columns, name
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            if name == "packing":
+                assert out.where("doc_id = 3").count() > 1 or docs.isEmpty()
+            else:
+                assert out.schema == docs.schema, name
+            assert (out.count() > 0) == (not docs.isEmpty()), name
     kept = op2_simhash.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()
-    assert Counter(r.doc_id for r in kept) == {1: 1, 2: 1, None: 2}
+    assert Counter(r.doc_id for r in kept) == {1: 1, 2: 1, 3: 1, None: 1}
     mixed = op6_mixing.mixed_documents(spark.createDataFrame(rows, schema)).collect()
     assert all(r.size in ("x", None, "y") for r in mixed) and Counter(r.doc_id for r in mixed)[1] >= 2
+
+
+def test_run_leaves_its_last_stage_only(spark, folder):
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{root}/rdd-*"))
+    pipeline.run(spark, folder)
+    assert set(glob.glob(f"{root}/rdd-*")) == before
