@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences: toxicity, quality rules, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns
-of documents. run() writes what a stage returns to the shared folder and reads it back for the next one.
+of documents. run() writes what a stage returns to the shared folder and reads it back for the next one; what a stage
+left there on its way is deleted once its rows are written.
+
+In every stage other columns ride along, whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,32 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm import op2_simhash, op4_packing, op5_toxicity, op6_mixing, op10_rules
 from isoframe.llm.common import read_table, shared_dir
+from isoframe.sources.store import delete, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of the labels does not call toxic."""
+    """Documents that the model of the labels does not call toxic. Null and empty texts stay; without labels all stay."""
     return op5_toxicity.drop_toxic(docs, op5_toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule cascade keeps."""
+    """Documents that the rule cascade keeps. Null, empty and wordless texts go; repeated rows are judged alike."""
     return op10_rules.drop_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the least doc_id (nulls last), then by a hash of the text; repeated rows
+    are near-duplicates, and so are null and empty texts."""
     return op2_simhash.drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, twice at most. A null source is a source; texts without words
+    take part; equal rows are taken as often as all of them."""
     return op6_mixing.mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences. A null or empty text is one piece; repeated rows are packed each."""
     return op4_packing.pack(docs)
 
 
@@ -60,9 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if written is not None:  # only the next stage needed it
-            at = spark._jvm.org.apache.hadoop.fs.Path(written)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if written is not None:  # only this stage needed it
+            delete(spark, written)
         docs, written = spark.read.parquet(path), path
     return docs
