@@ -36,10 +36,19 @@ def settle(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     where = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if where.isDefined():
-        _made.append(where.get())
+        out._checkpoint = where.get()
+        _made.append(out._checkpoint)
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what settle() wrote for df, which nothing reads any more."""
+    path = getattr(df, "_checkpoint", None)
+    if path in _made:
+        _made.remove(path)
+        delete(df.sparkSession, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of whatever file system it is on."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
