@@ -72,7 +72,7 @@ def repair(model: DataFrame) -> DataFrame:
     df = df.withColumn("transcript_support_level", F.coalesce(F.split("transcript_support_level", " ")[0], F.lit("NA")))
     exon = F.col("type") == "exon"
     place = Window.partitionBy("transcript_id", "type").orderBy(F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start")))
-    df = _with(df, "exon_number", F.lit(None).cast("string")).withColumn("exon_number", F.when(exon, F.coalesce(F.col("exon_number").cast("int"), F.row_number().over(place))))
+    df = _with(df, "exon_number", F.lit(None).cast("string")).withColumn("exon_number", F.when(exon, F.coalesce(F.col("exon_number").cast("int"), F.row_number().over(place))).otherwise(F.col("exon_number").cast("int")))
     df = _with(df, "exon_id", F.when(exon, F.concat(F.col("transcript_id"), F.lit("_Exon"), F.col("exon_number").cast("string"))))
     out = df
     meta = {"transcript": ("transcript_id", "transcript_name", "transcript_biotype", "transcript_support_level", "gene_id", "gene_name", "gene_biotype"), "gene": ("gene_id", "gene_name", "gene_biotype")}
@@ -101,8 +101,12 @@ def transcripts(model: DataFrame) -> DataFrame:
 
 
 def proteins(model: DataFrame) -> DataFrame:
+    """Coding parts; one without a number has that of the exon of its transcript that it lies in."""
     cols = [c for c in ("protein_id", "ccds_id") if c in model.columns]
-    return model.where("type = 'CDS'").select("chrom", "start", "end", "strand", "gene_id", "transcript_id", "transcript_name", "exon_number", "phase", *cols)
+    rows = model.where("type = 'CDS'").select("chrom", "start", "end", "strand", "gene_id", "transcript_id", "transcript_name", "exon_number", "phase", *cols)
+    own = model.where("type = 'exon'").select(F.col("transcript_id").alias("_t"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("exon_number").alias("_n"))
+    met = rows.join(own, (F.col("transcript_id") == F.col("_t")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), "left")
+    return met.withColumn("exon_number", F.coalesce("exon_number", "_n")).select(*rows.columns)
 
 
 def misc(model: DataFrame) -> DataFrame:

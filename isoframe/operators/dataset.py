@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoframe.operators import intervals as iv
 from isoframe.operators.filters import EventFilter, apply_filters
 from isoframe.operators.quant import psi
+from isoframe.sources.store import settle
 
 
 @dataclass(frozen=True)
@@ -130,24 +131,22 @@ def drop_overlapping_introns(data: SpliceDataset) -> SpliceDataset:
     return data.subset(events=kept)
 
 
-def drop_overlapping_introns_iterative(data: SpliceDataset, rounds: int = 100) -> SpliceDataset:
+def drop_overlapping_introns_iterative(data: SpliceDataset) -> SpliceDataset:
     """The older rule: of each island of overlapping introns the highest mean ratio stays, and introns that overlap none of those
-    that stay come back, until nothing changes."""
+    that stay come back, until nothing changes. Each round settles one intron of every island, so it ends."""
     from isoframe.functions.coords import parse_interval
 
     ratio = data.assays.groupBy("event_name").agg(F.avg(F.coalesce(F.try_divide(F.col("included"), F.col("included") + F.col("excluded")), F.lit(0.0))).alias("mean"))
-    ir = data.events.where("event_type = 'IR'").select("event_name", parse_interval("event1a").alias("_r")).select("event_name", "_r.*").join(ratio, "event_name").cache()
+    ir = settle(data.events.where("event_type = 'IR'").select("event_name", parse_interval("event1a").alias("_r")).select("event_name", "_r.*").join(ratio, "event_name"))
     open_, kept = ir, None
-    for _ in range(rounds):
-        merged = iv.reduce(open_).withColumn("island", F.monotonically_increasing_id())
+    while not open_.isEmpty():
+        merged = settle(iv.reduce(open_).withColumn("island", F.monotonically_increasing_id()))
         inside = iv.overlap_join(open_, merged, kind="within", suffixes=("", "_i"))
-        best = inside.groupBy("island_i").agg(F.max_by("event_name", F.struct("mean", -F.col("start"), -F.col("end"))).alias("event_name"))
-        chosen = ir.join(best.select("event_name"), "event_name", "left_semi")
-        kept = (chosen if kept is None else kept.unionByName(chosen)).cache()
-        open_ = iv.anti_overlap(open_, kept).cache()
-        if open_.isEmpty():
-            break
-    gone = ir.select("event_name").join(kept.select("event_name"), "event_name", "left_anti")
+        best = inside.groupBy("island_i").agg(F.max_by("event_name", F.struct("mean", -F.col("start"), -F.col("end"), "event_name")).alias("event_name"))
+        chosen = settle(ir.join(best.select("event_name"), "event_name", "left_semi"))
+        kept = chosen if kept is None else settle(kept.unionByName(chosen))
+        open_ = settle(iv.anti_overlap(open_, chosen))
+    gone = ir.select("event_name") if kept is None else ir.select("event_name").join(kept.select("event_name"), "event_name", "left_anti")
     return data.subset(events=data.events.select("event_name").join(gone, "event_name", "left_anti"))
 
 

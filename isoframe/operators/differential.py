@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from isoframe.functions import designs as dg
 from isoframe.functions import special as sp
+from isoframe.sources.store import settle
 
 EVENTS_IN_GROUP = 512
 DISPERSIONS = np.exp(np.linspace(math.log(1e-4), math.log(4.0), 25))
@@ -44,14 +45,22 @@ def select_events(events: DataFrame, ir_mode: str = "all", drop_anti: tuple[str,
 def adjust(df: DataFrame, p: str = "p_value", name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg adjustment of a column; nulls stay null and do not count.
 
-    Tests are ranked and counted by distinct p-values, of which equal ones collapse before the single ordered pass.
+    Distinct p-values are dealt to ranges. Ranks and running minima are worked out within a range; what the other ranges
+    add is one number for each range.
     """
     distinct = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
-    down = Window.orderBy(F.col("_p").desc())
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumns({"_rank": F.sum("_k").over(up), "_m": F.sum("_k").over(Window.partitionBy())})
-    ranked = ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(down.rowsBetween(Window.unboundedPreceding, 0))))
-    return df.join(ranked.select("_p", name), F.col(p) == F.col("_p"), "left").drop("_p")
+    dealt = settle(distinct.repartitionByRange("_p").withColumn("_range", F.spark_partition_id()))
+    ranges = Window.orderBy("_range")
+    sums = dealt.groupBy("_range").agg(F.sum("_k").alias("_s"))
+    sums = sums.select("_range", (F.sum("_s").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_m"))
+    inside = Window.partitionBy("_range").orderBy("_p")
+    rank = F.col("_before") + F.sum("_k").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.join(sums, "_range").withColumn("_q", F.col("_p") * F.col("_m") / rank)
+    ranked = settle(ranked.select("_p", "_range", F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_q")))
+    least = ranked.groupBy("_range").agg(F.min("_q").alias("_l"))
+    after = least.select("_range", F.min("_l").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    done = ranked.join(after, "_range").select("_p", F.least(F.lit(1.0), "_q", F.coalesce("_after", F.lit(1.0))).alias(name))
+    return df.join(done, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def _matrix(counts: DataFrame, samples: Sequence[str]) -> DataFrame:
@@ -63,12 +72,13 @@ def _matrix(counts: DataFrame, samples: Sequence[str]) -> DataFrame:
 
 
 def _by_group(matrix: DataFrame, fit, schema: str) -> DataFrame:
-    """fit(names, inc, exc) -> columns, over groups of about EVENTS_IN_GROUP events."""
+    """fit(inc, exc, ...) -> columns, over groups of about EVENTS_IN_GROUP events; further array columns are further arguments."""
     n = max(1, math.ceil(matrix.count() / EVENTS_IN_GROUP))
+    columns = [c for c in matrix.columns if c != "event_name"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("event_name")
-        out = fit(np.stack(rows["inc"].to_list()), np.stack(rows["exc"].to_list()))
+        out = fit(*[np.stack(rows[c].to_list()) for c in columns])
         return pd.DataFrame({"event_name": rows["event_name"].to_numpy(), **out})
 
     return matrix.withColumn("_g", F.pmod(F.xxhash64("event_name"), F.lit(n))).groupBy("_g").applyInPandas(run, f"event_name string, {schema}")
@@ -108,8 +118,22 @@ def size_factors(counts: DataFrame, samples: Sequence[str]) -> np.ndarray:
 # --- designs -------------------------------------------------------------------------------------------------------
 
 
+def check_design(samples: dict[str, list], factor: str, nominator: str | None, denominator: str | None, batches: Sequence[str] = ()) -> None:
+    """Raise unless the factor and the batches are columns, all different, and the levels named are different ones of the factor."""
+    named = [factor, *batches]
+    if missing := [c for c in named if c not in samples]:
+        raise ValueError(f"the samples have no columns {missing}")
+    if len(set(named)) < len(named):
+        raise ValueError(f"the factor and the batches must differ: {named}")
+    if bool(nominator) != bool(denominator) or nominator and nominator == denominator:
+        raise ValueError("nominator and denominator are two different levels, or both left out")
+    if missing := [level for level in (nominator, denominator) if level and level not in samples[factor]]:
+        raise ValueError(f"{factor} has no levels {missing}")
+
+
 def count_design(samples: dict[str, list], factor: str, nominator: str | None, denominator: str | None, batches: Sequence[str] = (), degrees: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Design over samples and contrast rows: nominator against denominator, all levels, or the spline of a numeric factor."""
+    check_design(samples, factor, nominator, denominator, batches)
     data = dict(samples)
     base = "~ 1" + "".join(f" + {b}" for b in batches)
     if degrees is not None:
@@ -180,7 +204,7 @@ def limma_test(counts: DataFrame, samples: dict[str, list], factor: str, nominat
         inv = np.linalg.pinv(cov)
         return {"log_fc": br[:, 0], "q": np.einsum("ij,jk,ik->i", br, inv, br), "s2": s2, "ave_expr": np.column_stack([cpm(inc), cpm(exc)]).mean(axis=1), "log_fc_inc": bi[:, 0], "log_fc_exc": be[:, 0], "low": np.minimum(inc.mean(axis=1), exc.mean(axis=1))}
 
-    fits = _by_group(_matrix(counts, names), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double").where("low > 0").cache()
+    fits = settle(_by_group(_matrix(counts, names), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double").where("low > 0"))
     df = len(rx) - int(np.linalg.matrix_rank(rx))
     s0, d0 = moderation(fits, df)
 
@@ -257,7 +281,7 @@ def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.nd
     scale = {"tmm": lambda: sizes * tmm_factors(counts, names, sizes), "ratio": lambda: size_factors(counts, names), "none": lambda: np.ones(len(names))}[normalise]()
     offset = np.log(scale / np.exp(np.mean(np.log(scale))))
     rx, rc = ratio_design(x, c)
-    matrix = _matrix(counts, names).cache()
+    matrix = settle(_matrix(counts, names))
     views = {
         "inc": (lambda inc, exc: inc, x, c, offset),
         "exc": (lambda inc, exc: exc, x, c, offset),
@@ -266,16 +290,16 @@ def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.nd
     used = {k: v for k, v in views.items() if k == "ratio" or len(x) > np.linalg.matrix_rank(x)}
 
     def profiles(inc: np.ndarray, exc: np.ndarray) -> dict:
-        return {k: list(nb_profile(pick(inc, exc), d, o)) for k, (pick, d, _, o) in used.items()}
+        return {f"grid_{k}": list(nb_profile(pick(inc, exc), d, o)) for k, (pick, d, _, o) in used.items()}
 
-    grid = _by_group(matrix, profiles, ", ".join(f"{k} array<double>" for k in used)).cache()
-    shared = {k: np.array([grid.agg(*[F.avg(F.col(k)[i]).alias(str(i)) for i in range(len(DISPERSIONS))]).first()]).ravel() for k in used}
+    grid = settle(_by_group(matrix, profiles, ", ".join(f"grid_{k} array<double>" for k in used)))
+    shared = {k: np.array([grid.agg(*[F.avg(F.col(f"grid_{k}")[i]).alias(str(i)) for i in range(len(DISPERSIONS))]).first()]).ravel() for k in used}
 
-    def fit(inc: np.ndarray, exc: np.ndarray) -> dict:
+    def fit(inc: np.ndarray, exc: np.ndarray, *profile: np.ndarray) -> dict:
         out: dict = {}
-        for k, (pick, d, con, o) in used.items():
+        for (k, (pick, d, con, o)), own in zip(used.items(), profile, strict=True):
             y = pick(inc, exc)
-            phi = DISPERSIONS[np.argmax(nb_profile(y, d, o) + PRIOR_EVENTS * shared[k], axis=1)]
+            phi = DISPERSIONS[np.argmax(own + PRIOR_EVENTS * shared[k], axis=1)]
             beta, mu = nb_fit(y, d, o, phi)
             null = _null(d, con)
             _, mu0 = nb_fit(y, null, o, phi)
@@ -288,7 +312,7 @@ def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.nd
         return out
 
     cols = ", ".join(f"{n}_{k} double" for k in used for n in ("fc", "lr", "z", "s2", "phi"))
-    fits = _by_group(matrix, fit, cols).cache()
+    fits = settle(_by_group(matrix.join(grid, "event_name").select("event_name", "inc", "exc", *[f"grid_{k}" for k in used]), fit, cols))
     k = len(c)
     df = len(rx) - int(np.linalg.matrix_rank(rx))
     s0, d0 = moderation(fits.withColumn("s2", F.col("s2_ratio")), df) if test == "qlf" else (1.0, 0.0)
@@ -352,7 +376,7 @@ def double_exponential_test(counts: DataFrame, samples: dict[str, list], factor:
         logit = lambda q: np.log(q / (1 - q))
         return {"psi_nominator": p[0], "psi_denominator": p[1], "mle_log_fc": (logit(p[0]) - logit(p[1])) / math.log(2), "s2": np.maximum(full, 1e-12) / max(df, 1), "lr": np.maximum(deviance(p0[:, None] * np.ones_like(y)) - full, 0)}
 
-    fits = _by_group(_matrix(counts, names), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double").cache()
+    fits = settle(_by_group(_matrix(counts, names), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double"))
     s0, d0 = moderation(fits, df)
 
     @F.pandas_udf(DoubleType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +60,16 @@ def over_representation(genes: DataFrame, links: DataFrame, universe: DataFrame
     return adjust(per).orderBy("p_value", "go_id")
 
 
-def enrich_events(events: DataFrame, links: DataFrame, background: DataFrame | None = None, **options) -> DataFrame:
-    """over_representation of the genes of events, against those of background events."""
-    return over_representation(genes_of_events(events), links, genes_of_events(background) if background is not None else None, **options)
+def enrich_events(events: DataFrame, links: DataFrame, background: DataFrame | None = None, id_maps: Sequence[DataFrame] = (), versions: bool = False, **options) -> DataFrame:
+    """over_representation of the genes of events, against those of background events.
+
+    id_maps: tables (gene_id, other_id) for links by other ids, of which the first that names enough genes is used.
+    versions: whether gene ids carry Ensembl-style versions, which are cut.
+    """
+    plain = lambda df: df.select(plain_gene_id().alias("gene_id")).distinct() if versions else df
+    found = plain(genes_of_events(events))
+    pool = plain(genes_of_events(background)) if background is not None else None
+    return over_representation(found, gene_terms(links, found if pool is None else pool, *id_maps), pool, **options)
 
 
 def events_of_term(events: DataFrame, links: DataFrame, go_id: str) -> DataFrame:

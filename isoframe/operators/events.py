@@ -25,12 +25,13 @@ def skip_coordinates(introns: DataFrame) -> DataFrame:
 
 
 def _finish(rows: DataFrame, kind: str, name: Column, unique: list[str]) -> DataFrame:
-    """One row for each set of junctions, named and numbered by gene and transcript name."""
+    """One row for each set of junctions, named, and numbered within a contig by gene and transcript name."""
     first = unique_first(rows, unique, ["gene_id", "transcript_name_a", "intron_number_a", "transcript_name_b", "intron_number_b", "transcript_id_a", "transcript_id_b"])
     named = first.withColumns({"event_type": F.lit(kind), "event_name": name})
-    # One pass over the events of a kind: as many as splice sites in the annotation.
-    number = F.row_number().over(Window.orderBy("gene_id", "transcript_name_a", *unique))
-    named = named.withColumn("event_id", F.concat(F.lit(kind + "#"), number.cast("string")))
+    # Numbers count within a contig, so that no task sees all events.
+    contig = F.regexp_extract(unique[0], r"^(.+):\d+-", 1)
+    number = F.row_number().over(Window.partitionBy(contig).orderBy("gene_id", "transcript_name_a", *unique))
+    named = named.withColumn("event_id", F.concat(F.lit(kind + "#"), contig, F.lit("/"), number.cast("string")))
     return named.select(*[F.col(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
 
 

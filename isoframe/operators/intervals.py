@@ -1,7 +1,8 @@
 """Interval algebra on flat columns chrom, start, end, strand (1-based closed).
 
 Overlap joins are equi-joins on bins. An interval belongs to the level whose bins are at least as wide as it is long, so
-it touches two bins at most; the shorter interval of a pair is also posted at the longer one's level. Merges and coverage
+it touches two bins at most, and is also posted at the coarser levels that the other table uses: a pair meets at the
+level of the longer one. Merges and coverage
 run in two steps, within bins and then across bins, so that one contig is not one task: what is left for the second
 step is bounded by the genome, not by the data.
 """
@@ -9,23 +10,24 @@ step is bounded by the genome, not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.functions.coords import strands_meet, width
+from isoframe.sources.store import settle
 
 LEVEL_FACTOR = 8
-LEVELS = 8
 #: Width of the bins that merges and coverage work in first.
 STEP = 1 << 16
 
 
-def _level(base: int) -> Column:
+def _level(base: int, levels: int) -> Column:
     """The least level whose bins are as wide as the interval is long."""
     w = width()
-    level = F.lit(LEVELS - 1)
-    for n in reversed(range(LEVELS - 1)):
+    level = F.lit(levels - 1)
+    for n in reversed(range(levels - 1)):
         level = F.when(w <= base * LEVEL_FACTOR**n, F.lit(n)).otherwise(level)
     return level
 
@@ -35,16 +37,28 @@ def _bin(position: str | Column, level: Column, base: int) -> Column:
     return F.floor(p / (F.lit(base) * F.pow(F.lit(LEVEL_FACTOR), level))).cast("long")
 
 
-def choose_base(*tables: DataFrame) -> tuple[int, list[set[int]]]:
-    """A bin width of about twice the largest mean length, and the levels that each table uses.
+@dataclass(frozen=True)
+class Bins:
+    """The width of the finest bins, the number of levels, and the levels that the left and the right table use."""
+
+    base: int
+    levels: int
+    left: frozenset[int]
+    right: frozenset[int]
+
+
+def choose_bins(left: DataFrame, right: DataFrame, base: int | None = None) -> Bins:
+    """Bins of about twice the larger mean length, and levels up to the longest interval.
 
     One aggregate a table, of at most 64 rows: counts by the number of bits of the length.
     """
-    bits = [t.groupBy(F.length(F.bin(width() - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(width()).alias("w")).collect() for t in tables]
+    bits = [t.groupBy(F.length(F.bin(width() - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(width()).alias("w")).collect() for t in (left, right)]
     means = [sum(r["w"] for r in rows) / sum(r["n"] for r in rows) for rows in bits if rows]
-    base = 1 << max(4, min(17, int(2 * max(means, default=1)).bit_length()))
-    level = lambda b: next((n for n in range(LEVELS - 1) if 1 << b <= base * LEVEL_FACTOR**n), LEVELS - 1)
-    return base, [{level(r["b"]) for r in rows} or {0} for rows in bits]
+    if base is None:
+        base = 1 << max(4, min(17, int(2 * max(means, default=1)).bit_length()))
+    level = lambda b: next(n for n in range(64) if 1 << b <= base * LEVEL_FACTOR**n)
+    used = [frozenset(level(r["b"]) for r in rows) or frozenset({0}) for rows in bits]
+    return Bins(base, max(used[0] | used[1]) + 1, *used)
 
 
 def overlap_join(
@@ -56,6 +70,7 @@ def overlap_join(
     suffixes: tuple[str, str] = ("_a", "_b"),
     base: int | None = None,
     keys: Sequence[str] = ("chrom",),
+    bins: Bins | None = None,
 ) -> DataFrame:
     """Pairs that share a base ("any"), where left lies within right ("within"), or that are equal ("equal").
 
@@ -70,53 +85,44 @@ def overlap_join(
             on.append(strands_meet("strand" + suffixes[0], "strand" + suffixes[1]))
         joined = a.join(b, on, how)
         return joined if how == "inner" else joined.select(*[F.col(c + suffixes[0]).alias(c) for c in left.columns])
-    if base is None:
-        base, (in_left, in_right) = choose_base(left, right)
-    else:
-        in_left = in_right = set(range(LEVELS))
+    if kind not in ("any", "within"):
+        raise ValueError(f"kind is any, within or equal, not {kind!r}")
     if how != "inner":
         # Whether a row overlaps depends on its coordinates alone, so these are matched once and joined back.
         at = [*keys, "start", "end", "strand"]
         places = left.select(*at).distinct()
         # What overlaps some interval overlaps their union: merged, they meet each place a few times at most.
-        others = reduce(right, (*keys, "strand")) if kind == "any" else right
-        hits = overlap_join(places, others.select(*at), kind, ignore_strand, "inner", suffixes, base, keys)
+        others = settle(reduce(right, (*keys, "strand"))) if kind == "any" else right
+        hits = overlap_join(places, others.select(*at), kind, ignore_strand, "inner", suffixes, base, keys, bins)
         return left.join(hits.select(*[F.col(c + suffixes[0]).alias(c) for c in at]).distinct(), at, how)
-
-    def posted(df: DataFrame, suffix: str, levels: set[int] | None) -> DataFrame:
-        """At its own level, or at each of the levels given that is not finer."""
-        own = _level(base)
-        at = F.explode(F.filter(F.array(*map(F.lit, sorted(levels))), lambda n: n >= own)) if levels is not None else own
-        rows = df.select("*", at.alias("_level"), own.alias("_own"))
-        bins = F.array_distinct(F.array(_bin("start", F.col("_level"), base), _bin("end", F.col("_level"), base)))
-        rows = rows.select("*", F.explode(bins).alias("_bin"))
+    if bins is None:
+        bins = choose_bins(left, right, base)
+    base = bins.base
+
+    def posted(df: DataFrame, suffix: str, others: frozenset[int]) -> DataFrame:
+        """At its own level and at each coarser one that the other table uses."""
+        own = _level(base, bins.levels)
+        above = F.filter(F.array(*map(F.lit, sorted(others))), lambda n: n > own)
+        rows = df.select("*", F.explode(F.concat(F.array(own), above)).alias("_level"), own.alias("_own"))
+        places = F.array_distinct(F.array(_bin("start", F.col("_level"), base), _bin("end", F.col("_level"), base)))
+        rows = rows.select("*", F.explode(places).alias("_bin"))
         return rows.select(*[F.col(c).alias(c if c in ("_level", "_bin") else c + suffix) for c in rows.columns], *[F.col(c).alias(f"_key_{c}") for c in keys])
 
-    def joined(own_left: bool) -> DataFrame:
-        a = posted(left, suffixes[0], None if own_left else in_right)
-        b = posted(right, suffixes[1], in_left if own_left else None)
-        s = lambda c, i: F.col(c + suffixes[i])
+    a, b = posted(left, suffixes[0], bins.right).alias("a"), posted(right, suffixes[1], bins.left).alias("b")
+    s = lambda c, i: F.col(c + suffixes[i])
+    if kind == "within":
+        met = (s("start", 1) <= s("start", 0)) & (s("end", 0) <= s("end", 1))
+    else:
         met = (s("start", 0) <= s("end", 1)) & (s("start", 1) <= s("end", 0))
-        if kind == "within":
-            met = (s("start", 1) <= s("start", 0)) & (s("end", 0) <= s("end", 1))
-        elif kind != "any":
-            raise ValueError(f"kind is any, within or equal, not {kind!r}")
-        if not ignore_strand:
-            met = met & strands_meet(s("strand", 0), s("strand", 1))
-        if not own_left:
-            met = met & (s("_own", 1) > s("_own", 0))
-        # Two bins may be shared: the pair counts in the first.
-        met = met & (F.col("a._bin") == _bin(F.greatest(s("start", 0), s("start", 1)), F.col("a._level"), base))
-        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*[f"_key_{k}" for k in keys], "_level", "_bin")]
-        for c in on:
-            met = met & c
-        return a.alias("a").join(b.alias("b"), met)
-
+    if not ignore_strand:
+        met = met & strands_meet(s("strand", 0), s("strand", 1))
+    # A pair counts at the level of the longer one, where either touches two bins at most, and in the first bin they share.
+    met = met & (F.col("a._level") == F.greatest(s("_own", 0), s("_own", 1)))
+    met = met & (F.col("a._bin") == _bin(F.greatest(s("start", 0), s("start", 1)), F.col("a._level"), base))
+    for c in (*[f"_key_{k}" for k in keys], "_level", "_bin"):
+        met = met & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     pick = [F.col(c + suffixes[0]) for c in left.columns] + [F.col(c + suffixes[1]) for c in right.columns]
-    pairs = joined(True).select(*pick)
-    if in_right - {0} and min(in_left, default=0) < max(in_right):
-        pairs = pairs.unionByName(joined(False).select(*pick))
-    return pairs
+    return a.join(b, met).select(*pick)
 
 
 def semi_overlap(left: DataFrame, right: DataFrame, **options) -> DataFrame:
@@ -224,7 +230,8 @@ def row_difference(start_a: Column, end_a: Column, start_b: Column, end_b: Colum
 def depth_histogram(runs: DataFrame, blocks: DataFrame, key: str, run_keys: Sequence[str] = ("chrom",), base: int | None = None) -> DataFrame:
     """(key, depth, bases): how many bases of each key's blocks lie at each depth, uncovered ones at depth 0."""
     a = blocks.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", key)
-    b = runs.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", "depth")
+    # Runs are worked out from all reads: once, for the lengths and the join.
+    b = settle(runs.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", "depth"))
     met = overlap_join(a, b, keys=run_keys, base=base, suffixes=("", "_run"))
     covered = met.groupBy(key, F.col("depth_run").alias("depth")).agg(F.sum(F.least("end", "end_run") - F.greatest("start", "start_run") + 1).alias("bases"))
     whole = blocks.groupBy(key).agg(F.sum(width()).alias("_whole"))

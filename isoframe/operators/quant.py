@@ -126,14 +126,15 @@ def splice_over(counts: DataFrame) -> DataFrame:
     the island on that side for another one; of one inside an island: reads of all junctions there that overlap it. Neither
     is less than splice_*.
     """
-    w = lambda *c: Window.partitionBy("sample", "chrom", *c)
-    cross = F.col("jg_up") != F.col("jg_down")
+    w = lambda *c: Window.partitionBy("sample", "chrom", "strand", *c)
     minus = F.col("strand") == "-"
-    base = counts.withColumns({"splice_left": F.sum("count").over(w("strand", "start")), "splice_right": F.sum("count").over(w("strand", "end"))})
-    up = F.sum(F.when(cross, F.col("count")).otherwise(0.0)).over(w("strand", "jg_up"))
-    down = F.sum(F.when(cross, F.col("count")).otherwise(0.0)).over(w("strand", "jg_down"))
-    base = base.withColumns({"_up": F.when(F.col("jg_up").isNotNull(), up).otherwise(0.0), "_down": F.when(F.col("jg_down").isNotNull(), down).otherwise(0.0)})
-    base = base.withColumns({"over_left": F.when(minus, F.col("_down")).otherwise(F.col("_up")), "over_right": F.when(minus, F.col("_up")).otherwise(F.col("_down"))}).drop("_up", "_down")
+    base = counts.withColumns({"splice_left": F.sum("count").over(w("start")), "splice_right": F.sum("count").over(w("end"))})
+    # Islands are few and may hold many junctions: their sums are pre-aggregated and joined back.
+    for side in ("jg_up", "jg_down"):
+        total = counts.where("jg_up <> jg_down").groupBy("sample", "chrom", "strand", side).agg(F.sum("count").alias(f"_{side}"))
+        base = base.join(total, ["sample", "chrom", "strand", side], "left")
+    up, down = (F.coalesce(f"_{side}", F.lit(0.0)) for side in ("jg_up", "jg_down"))
+    base = base.withColumns({"over_left": F.when(minus, down).otherwise(up), "over_right": F.when(minus, up).otherwise(down)}).select(*counts.columns, "splice_left", "splice_right", "over_left", "over_right")
     # The windows are computed once; what overlaps is then asked of the written table.
     base = settle(base)
     inner = base.where("jg_up = jg_down and count > 0").select("sample", "chrom", "start", "end", "strand", "jg_up", "count")

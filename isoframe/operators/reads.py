@@ -59,8 +59,10 @@ def fragments(alignments: DataFrame) -> DataFrame:
     rows = usable(alignments).select("sample", "qname", "flag", "chrom", "pos", cigar_blocks().alias("blocks"))
     single = rows.where(F.col("flag").bitwiseAND(1) == 0).select("sample", "chrom", _direction(F.col("flag")).alias("direction"), F.lit("single").alias("kind"), F.array("blocks").alias("reads"))
     mates = rows.where(F.col("flag").bitwiseAND(1) != 0).groupBy("sample", "qname")
-    mates = mates.agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("flag").bitwiseAND(0x40) == 0).alias("second"), "chrom", "flag", "blocks"))).alias("m"))
-    pair = mates.where((F.size("m") == 2) & (F.col("m")[0]["chrom"] == F.col("m")[1]["chrom"]))
+    mate = F.struct("pos", (F.col("flag").bitwiseAND(0x40) == 0).alias("second"), "chrom", "flag", "blocks")
+    # Two mates are the least and the greatest of their name; names of more reads are never collected.
+    mates = mates.agg(F.count(F.lit(1)).alias("n"), F.array(F.min(mate), F.max(mate)).alias("m"))
+    pair = mates.where((F.col("n") == 2) & (F.col("m")[0]["chrom"] == F.col("m")[1]["chrom"]))
     one, two = F.col("m")[0], F.col("m")[1]
     swap = (one["pos"] == two["pos"]) & (_end(one["blocks"]) > _end(two["blocks"]))
     pair = pair.select("sample", F.when(swap, two).otherwise(one).alias("l"), F.when(swap, one).otherwise(two).alias("r"))
@@ -310,7 +312,7 @@ def synthetic_reads(genome: DataFrame, length: int = 70, stride: int = 10, error
     """(chrom, pos, name, seq): windows of contigs with one base changed, every other one reverse-complemented.
 
     genome: chrom, seq, and ord (the order of contigs). Windows of half or more other letters than ACGT are left out. The
-    changed base (1-based error_at) follows the number of the window, the strand that of the window among those emitted,
+    changed base (1-based error_at; N for other letters than ACGT) follows the number of the window, the strand that of the window among those emitted,
     both counted over all contigs. pos is 1-based.
     """
     at = F.sequence(F.lit(1), F.length("seq") - length, F.lit(stride))
@@ -324,7 +326,7 @@ def synthetic_reads(genome: DataFrame, length: int = 70, stride: int = 10, error
     nth = F.col("emitted") + F.row_number().over(Window.partitionBy("ord").orderBy("pos"))
     number = F.col("windows") + F.col("k") + 1
     base = F.substring("s", error_at, 1)
-    changed = F.coalesce(*[F.when(number % 3 == i, F.translate(base, "ACGTacgt", e + e.lower())) for i, e in enumerate(ERRORS)])
+    changed = F.when(base.rlike("[ACGTacgt]"), F.coalesce(*[F.when(number % 3 == i, F.translate(base, "ACGTacgt", e + e.lower())) for i, e in enumerate(ERRORS)])).otherwise("N")
     seq = F.concat(F.substring("s", 1, error_at - 1), changed, F.substring(F.col("s"), F.lit(error_at + 1), F.lit(length)))
     rows = rows.select("chrom", "pos", seq.alias("seq"), (nth % 2 == 0).alias("reverse"))
     return rows.select("chrom", "pos", F.concat(F.when(F.col("reverse"), "RR!").otherwise("RF!"), "chrom", F.lit("!"), F.col("pos").cast("string")).alias("name"), F.when(F.col("reverse"), reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
 
 from isoframe.functions.coords import reverse_complement, width
 from isoframe.operators import intervals as iv
@@ -45,30 +43,24 @@ def fetch(rows: DataFrame, chunks: DataFrame, key: str, size: int = CHUNK) -> Da
     return whole.select(F.col("_key").alias(key), F.when(F.col("strand") == "-", reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))
 
 
-def translate_text(seq: str | None) -> str | None:
-    """Whole codons of a sequence as amino acids; codons with other letters than ACGT are X."""
-    if seq is None:
-        return None
-    s = seq.upper().replace("U", "T")
-    return "".join(CODONS.get(s[i : i + 3], "X") for i in range(0, len(s) - len(s) % 3, 3))
+def _codons(seq: str | Column) -> Column:
+    """Whole codons of a sequence, in capitals, with T for U."""
+    s = F.translate(F.upper(F.col(seq) if isinstance(seq, str) else seq), "U", "T")
+    last = F.floor(F.length(s) / 3).cast("int")
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, 3 * i - 2, F.lit(3)))).when(last == 0, F.array().cast("array<string>"))
 
 
-@F.pandas_udf(StringType())
-def translate(seq: pd.Series) -> pd.Series:
-    return seq.map(translate_text)
+def translate(seq: str | Column) -> Column:
+    """Whole codons of a sequence as amino acids; codons with other letters than ACGT are X."""
+    table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
+    return F.array_join(F.transform(_codons(seq), lambda c: F.coalesce(table[c], F.lit("X"))), "")
 
 
-@F.pandas_udf(IntegerType())
-def first_stop(seq: pd.Series) -> pd.Series:
+def first_stop(seq: str | Column) -> Column:
     """1-based position of the first base of the first stop codon in frame; null without one, or if a base is unknown."""
-
-    def find(s: str | None) -> int | None:
-        if s is None or "N" in s.upper():
-            return None
-        i = translate_text(s).find("*")
-        return None if i < 0 else 3 * i + 1
-
-    return seq.map(find).astype("Int32")
+    s = F.col(seq) if isinstance(seq, str) else seq
+    at = F.array_position(F.transform(_codons(s), lambda c: c.isin("TAA", "TAG", "TGA")), True)
+    return F.when(~F.upper(s).contains("N") & (at > 0), 3 * at - 2).cast("int")
 
 
 def all_unknown(seq: str | Column) -> Column:
@@ -87,7 +79,10 @@ def coding_exons(exons: DataFrame, cds: DataFrame) -> DataFrame:
 
 
 def intron_region(introns: DataFrame, cds: DataFrame, utr: DataFrame) -> DataFrame:
-    """introns with intron_type: UTR3, UTR5 or CDS by what their flanking parts are; the last that applies in the order CDS, UTR5, UTR3."""
+    """introns with intron_type: UTR3, UTR5 or CDS by what their flanking parts are; the last that applies in the order CDS, UTR5, UTR3.
+
+    introns: transcript_id, start, end. cds, utr: parts of transcripts with chrom, strand, start, end, and of utr the type.
+    """
     out = introns
     for name, rows in (("CDS", cds), ("UTR5", utr.where("type = 'five_prime_utr'")), ("UTR3", utr.where("type = 'three_prime_utr'"))):
         gaps = iv.gaps_within(rows, ["transcript_id"]).select("transcript_id", "start", "end", F.lit(name).alias(f"_{name}"))
@@ -95,14 +90,14 @@ def intron_region(introns: DataFrame, cds: DataFrame, utr: DataFrame) -> DataFra
     return out.withColumn("intron_type", F.coalesce("_UTR3", "_UTR5", "_CDS")).drop("_UTR3", "_UTR5", "_CDS")
 
 
-def spliced_nmd(coding: DataFrame, chunks: DataFrame, compat: bool = False) -> DataFrame:
+def spliced_nmd(coding: DataFrame, chunks: DataFrame, compat: bool = False, size: int = CHUNK) -> DataFrame:
     """(transcript_id, stop_pos, junction_pos, is_nmd) of spliced transcripts.
 
     coding: coding_exons(). NMD: the first stop lies NMD_DISTANCE or more before the last exon junction; null where the
     sequence has unknown bases, false without a stop. compat: a stop at NMD_DISTANCE or later before that junction.
     """
     rows = coding.withColumn("_id", F.struct("transcript_id", "exon_order")).where("exon_order < exon_count")
-    seq = fetch(rows.select("_id", "chrom", "start", "end", "strand"), chunks, "_id")
+    seq = fetch(rows.select("_id", "chrom", "start", "end", "strand"), chunks, "_id", size)
     whole = seq.groupBy(F.col("_id.transcript_id").alias("transcript_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_id.exon_order", "seq"))), lambda x: x["seq"]), "").alias("s"))
     found = whole.select("transcript_id", first_stop("s").alias("stop_pos"), F.length("s").alias("junction_pos"), F.upper("s").contains("N").alias("_n"))
     test = F.col("stop_pos") >= NMD_DISTANCE if compat else F.col("junction_pos") - F.col("stop_pos") + 1 >= NMD_DISTANCE

@@ -65,3 +65,18 @@ def all_pairs(df: DataFrame, by: Sequence[str], rank: Order, key: str) -> DataFr
 def number_rows(df: DataFrame, by: Sequence[str], order: Order, name: str) -> DataFrame:
     """A 1-based counter within groups."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, columns: Sequence[str]) -> DataFrame:
+    """Every row of left once, with `columns` of the right row of its key that is last at or before its time, or nulls.
+
+    Of right rows at one time the greatest by `columns` counts. Both tables meet in one sort by key and time; a null time
+    has no match.
+    """
+    value = F.struct(*[F.col(c).alias(f"_as_of_{c}") for c in columns])
+    events = right.where(F.col(at).isNotNull()).groupBy(*by, at).agg(F.max(value).alias("_value")).withColumn("_left", F.lit(None))
+    rows = left.select(*by, at, F.struct(*left.columns).alias("_left")).withColumn("_value", F.lit(None))
+    both = events.select(*by, at, "_value", "_left").unionByName(rows)
+    w = Window.partitionBy(*by).orderBy(F.col(at).asc_nulls_first(), F.col("_left").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_left is not null")
+    return met.select("_left.*", *[F.col(f"_found._as_of_{c}").alias(c if c not in left.columns else f"{c}_right") for c in columns])

@@ -11,9 +11,9 @@ from isoframe.operators import coverage_views as cv
 from isoframe.operators import differential as de
 from isoframe.operators import enrichment as en
 from isoframe.operators import events as ev
+from isoframe.operators import filters as fl
 from isoframe.operators import intervals as iv
 from isoframe.operators import sequence as sq
-from isoframe.operators.tables import unique_first
 from isoframe.plans.cube_queries import _CELLS, cells
 from isoframe.plans.domain import rounded, table, view, with_views
 from isoframe.sources.store import settle
@@ -41,6 +41,10 @@ _INTRONS = """WITH r AS (SELECT *, max("end") OVER (PARTITION BY transcript ORDE
     count(*) OVER (PARTITION BY transcript_id) AS n_introns, chrom || ':' || CAST(start AS VARCHAR) || '-' || CAST("end" AS VARCHAR) || '/' || strand AS event FROM d)"""
 
 
+#: Splice sites in one stretch of so many bases count as beside one exon island.
+ISLAND = 8_000
+
+
 def introns(spark: SparkSession, sf: str) -> DataFrame:
     """Introns of the transcripts with ends on a grid, so that sites are shared."""
     gaps = iv.gaps_within(view(spark, sf, "exons"), ["transcript"])
@@ -48,12 +52,7 @@ def introns(spark: SparkSession, sf: str) -> DataFrame:
     order = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
     w = Window.partitionBy("transcript_id")
     rows = rows.withColumns({"intron_number": F.row_number().over(w.orderBy(order, "end")), "n_introns": F.count(F.lit(1)).over(w), "event": coords.format_interval()})
-    return rows.withColumns({"is_last": F.col("intron_number") == F.col("n_introns"), "transcript_name": F.col("transcript_id"), "gene_id": F.concat(F.lit("g"), F.col("chrom")), "transcript_biotype": F.lit("protein_coding"), "transcript_support_level": F.lit("1"), "exon_up": F.concat_ws("/", "chrom", "strand"), "exon_down": F.lit("x")})
-
-
-@query(_INTRONS + "SELECT transcript_id, intron_number, event, intron_number = n_introns AS is_last FROM i", "exons")
-def numbered_introns(spark: SparkSession, sf: str) -> DataFrame:
-    return introns(spark, sf).select("transcript_id", "intron_number", "event", "is_last")
+    return rows.withColumns({"is_last": F.col("intron_number") == F.col("n_introns"), "transcript_name": F.col("transcript_id"), "gene_id": F.concat(F.lit("g"), F.col("chrom")), "transcript_biotype": F.lit("protein_coding"), "transcript_support_level": F.lit("1"), "exon_up": F.floor(coords.donor() / ISLAND).cast("string"), "exon_down": F.floor(coords.acceptor() / ISLAND).cast("string")})
 
 
 _SKIP = _INTRONS + """, k AS (SELECT *, lead(event) OVER w AS event2, chrom || ':' || CAST(least(start, lead(start) OVER w) AS VARCHAR) || '-' || CAST(greatest("end", lead("end") OVER w) AS VARCHAR) || '/' || strand AS skip FROM i WINDOW w AS (PARTITION BY transcript_id ORDER BY intron_number)),
@@ -75,35 +74,113 @@ def mutually_exclusive_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.mutually_exclusive(introns(spark, sf)).groupBy(F.col("event_region").alias("skip")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def _site_sql(kind: str, site: str, where: str = "TRUE") -> str:
-    return _INTRONS + f""", u AS (SELECT DISTINCT chrom, strand, {site} AS site, start, "end", event FROM i WHERE {where})
-  SELECT '{kind}' AS event_type, a.event AS event1a, b.event AS event1b FROM u a JOIN u b USING (chrom, strand, site) WHERE (a."end" - a.start < b."end" - b.start) OR (a."end" - a.start = b."end" - b.start AND a.event < b.event)"""
+def _site_sql(kind: str, site: str, other: str, where: str = "TRUE", islands: str = "=") -> str:
+    return _INTRONS + f""", u AS (SELECT DISTINCT chrom, strand, {site} AS site, {other} // {ISLAND} AS island, start, "end", event FROM i WHERE {where})
+  SELECT '{kind}' AS event_type, a.event AS event1a, b.event AS event1b FROM u a JOIN u b USING (chrom, strand, site) WHERE a.island {islands} b.island AND ((a."end" - a.start < b."end" - b.start) OR (a."end" - a.start = b."end" - b.start AND a.event < b.event))"""
 
 
 _ACCEPTOR = "CASE WHEN strand = '-' THEN start ELSE \"end\" END"
 _DONOR = "CASE WHEN strand = '-' THEN \"end\" ELSE start END"
 
 
-@query(_site_sql("A5SS", _ACCEPTOR), "exons")
+@query(_site_sql("A5SS", _ACCEPTOR, _DONOR), "exons")
 def alternative_5_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.alternative_5(introns(spark, sf)).select("event_type", "event1a", "event1b")
 
 
-@query(_site_sql("A3SS", _DONOR), "exons")
+@query(_site_sql("A3SS", _DONOR, _ACCEPTOR), "exons")
 def alternative_3_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.alternative_3(introns(spark, sf)).select("event_type", "event1a", "event1b")
 
 
-@query(_site_sql("AFE", _ACCEPTOR, "intron_number = 1"), "exons")
+@query(_site_sql("AFE", _ACCEPTOR, _DONOR, "intron_number = 1", "<>"), "exons")
 def alternative_first_events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = introns(spark, sf)
-    return ev.alternative_first(rows, ev.alternative_5(rows.where("false"))).select("event_type", "event1a", "event1b")
+    """First introns with one acceptor, without the pairs that are alternative 5' sites of one exon."""
+    rows = settle(introns(spark, sf))
+    return ev.alternative_first(rows, ev.alternative_5(rows)).select("event_type", "event1a", "event1b")
 
 
-@query(_site_sql("ALE", _DONOR, "intron_number = n_introns"), "exons")
+@query(_site_sql("ALE", _DONOR, _ACCEPTOR, "intron_number = n_introns", "<>"), "exons")
 def alternative_last_events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = introns(spark, sf)
-    return ev.alternative_last(rows, ev.alternative_3(rows.where("false"))).select("event_type", "event1a", "event1b")
+    rows = settle(introns(spark, sf))
+    return ev.alternative_last(rows, ev.alternative_3(rows)).select("event_type", "event1a", "event1b")
+
+
+# --- a gene model: seven customers in a row are the transcripts of a gene, one of them with a retained intron ---------------
+
+
+def model(spark: SparkSession, sf: str) -> DataFrame:
+    """Exon rows, repaired: transcripts, genes, names and numbers are worked out."""
+    m = view(spark, sf, "model")
+    t = F.concat(F.lit("t"), F.col("transcript").cast("string"))
+    rows = m.select("chrom", F.lit("exon").alias("type"), "start", "end", "strand", "gene_id", t.alias("transcript_id"), F.col("biotype").alias("transcript_biotype"))
+    return settle(an.repair(rows))
+
+
+_MODEL = """WITH r AS (SELECT *, max("end") OVER (PARTITION BY transcript ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM model),
+  gap AS (SELECT transcript, gene_id, chrom, strand, biotype, reach + 1 AS start, start - 1 AS "end" FROM r WHERE reach IS NOT NULL AND start > reach + 1)"""
+
+
+@query(_MODEL + """ SELECT 't' || CAST(transcript AS VARCHAR) || '_Intron' || CAST(row_number() OVER w AS VARCHAR) AS intron_id, CAST(row_number() OVER w AS INTEGER) AS intron_number, row_number() OVER w = count(*) OVER (PARTITION BY transcript) AS is_last,
+  chrom || ':' || CAST(start AS VARCHAR) || '-' || CAST("end" AS VARCHAR) || '/' || strand AS event FROM gap WINDOW w AS (PARTITION BY transcript ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END)""", "model")
+def numbered_introns(spark: SparkSession, sf: str) -> DataFrame:
+    return an.introns(model(spark, sf)).select("intron_id", "intron_number", "is_last", "event")
+
+
+@query("""WITH g AS (SELECT gene_id, any_value(chrom) AS chrom, any_value(strand) AS strand, min(start) AS start, max("end") AS "end" FROM model GROUP BY gene_id),
+  t AS (SELECT 't' || CAST(transcript AS VARCHAR) AS name, any_value(chrom) AS chrom, any_value(strand) AS strand, min(start) AS start, max("end") AS "end" FROM model GROUP BY transcript)
+  SELECT 'gene' AS type, gene_id AS name, chrom, strand, start, "end" FROM g UNION ALL SELECT 'transcript', * FROM t""", "model")
+def synthesised_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene and transcript rows that the model lacks."""
+    m = model(spark, sf).where("type <> 'exon'")
+    return m.select("type", F.when(F.col("type") == "gene", F.col("gene_id")).otherwise(F.col("transcript_id")).alias("name"), "chrom", "strand", "start", "end")
+
+
+@query("""WITH base AS (SELECT chrom, strand, start, "end", gene_id FROM model WHERE biotype <> 'retained_intron'), ext AS (SELECT gene_id, chrom, strand, min(start) AS s, max("end") AS e FROM base GROUP BY ALL),
+  extra AS (SELECT chrom, strand, start, "end" FROM model m WHERE biotype = 'retained_intron' AND NOT EXISTS (SELECT 1 FROM ext x WHERE x.chrom = m.chrom AND x.strand = m.strand AND x.s <= m."end" AND m.start <= x.e)),
+  u AS (SELECT chrom, strand, start, "end" FROM base UNION ALL SELECT * FROM extra),
+  r AS (SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+  n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+  SELECT chrom, strand, min(start) AS start, max("end") AS "end", chrom || '/' || strand || '/' || CAST(island AS VARCHAR) AS exon_group FROM n GROUP BY chrom, strand, island""", "model")
+def exon_islands(spark: SparkSession, sf: str) -> DataFrame:
+    return an.exon_islands(an.exons(model(spark, sf))).select("chrom", "strand", "start", "end", "exon_group")
+
+
+_MEASURABLE = _MODEL + """, one AS (SELECT DISTINCT chrom, strand, start, "end" FROM gap WHERE "end" - start + 1 > 50),
+  k AS (SELECT o.*, EXISTS (SELECT 1 FROM model e WHERE e.chrom = o.chrom AND e.strand = o.strand AND e.start <= o.start AND o."end" <= e."end") AS known_exon FROM one o),
+  p AS (SELECT chrom, strand, start - 5 AS start, "end" + 5 AS "end" FROM model), pr AS (SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+  pn AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM pr),
+  z AS (SELECT chrom, strand, min(start) AS s, max("end") AS e FROM pn GROUP BY chrom, strand, island),
+  c AS (SELECT k.chrom, k.strand, k.start, k."end", sum(least(z.e, k."end" - 5) - greatest(z.s, k.start + 5) + 1) AS cut FROM k JOIN z ON z.chrom = k.chrom AND z.strand = k.strand AND z.s <= k."end" - 5 AND k.start + 5 <= z.e WHERE NOT known_exon GROUP BY ALL),
+  m AS (SELECT k.*, k."end" - k.start + 1 AS width, k."end" - k.start - 9 - coalesce(c.cut, 0) AS inclbases FROM k LEFT JOIN c USING (chrom, strand, start, "end")),
+  ok AS (SELECT *, width - inclbases AS exclbases FROM m WHERE inclbases > 0 AND (width - inclbases) / width < 0.3)"""
+
+
+def _measurable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    m = model(spark, sf)
+    return an.measurable_introns(settle(an.introns(m)), an.exons(m), an.genes_plain(m))
+
+
+@query(_MEASURABLE + ' SELECT chrom, strand, start, "end", known_exon, CAST(inclbases AS BIGINT) AS inclbases, CAST(exclbases AS BIGINT) AS exclbases FROM ok', "model")
+def measurable_introns(spark: SparkSession, sf: str) -> DataFrame:
+    return _measurable(spark, sf)[0].select("chrom", "strand", "start", "end", "known_exon", "inclbases", "exclbases")
+
+
+@query(_MEASURABLE + """ SELECT chrom, strand, CAST(count(*) AS BIGINT) AS introns, CAST(sum(inclbases) AS BIGINT) AS bases FROM ok GROUP BY ALL""", "model")
+def measured_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The stretches that are measured, summed: what exons leave of the introns."""
+    rows, blocks = _measurable(spark, sf)
+    per = blocks.groupBy("intron_id").agg(F.sum(coords.width()).alias("n"))
+    return rows.join(per, "intron_id").groupBy("chrom", "strand").agg(F.count(F.lit(1)).alias("introns"), F.sum("n").cast("long").alias("bases"))
+
+
+@query(_MEASURABLE + """, w AS (SELECT chrom, strand, 't' || CAST(transcript AS VARCHAR) AS name, start, lead("end", 2) OVER (PARTITION BY transcript ORDER BY start, "end") AS stop FROM model)
+  SELECT ok.chrom || ':' || CAST(ok.start AS VARCHAR) || '-' || CAST(ok."end" AS VARCHAR) || '/' || ok.strand AS event1a, min(w.name) AS transcript_name_a FROM ok JOIN w ON w.chrom = ok.chrom AND w.strand = ok.strand AND w.start <= ok.start AND ok."end" <= w.stop GROUP BY 1""", "model")
+def retained_introns(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurable introns within exons; here an exon reaches over the next two of its transcript."""
+    w = Window.partitionBy("transcript_id").orderBy("start", "end")
+    long = an.exons(model(spark, sf)).withColumn("end", F.lead("end", 2).over(w)).where("end is not null")
+    return ev.retained_introns(_measurable(spark, sf)[0], long).select("event1a", "transcript_name_a")
 
 
 @query(_INTRONS + """, t AS (SELECT chrom, strand, start - 1 AS start1, "end" AS end1, lead(start) OVER w - 1 AS start2, lead("end") OVER w AS end2 FROM i WINDOW w AS (PARTITION BY transcript_id ORDER BY start, "end"))
@@ -278,13 +355,63 @@ def fetched_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return sq.fetch(asked, sq.chunked(d, 64), "doc_id", 64)
 
 
-@query(None)
+@query("""SELECT p_brand AS event_id, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, lpad(CAST(p_partkey AS VARCHAR), 12, '0')) = 1""")
+def best_option_by_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """One transcript for each event: brands are events, parts transcripts."""
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("event_id"), "p_partkey", F.col("p_size").cast("string").alias("transcript_support_level"), (F.col("p_partkey") % 3 == 0).alias("is_protein_coding"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("transcript_name"))
+    return ev.best_option(rows).select("event_id", "p_partkey")
+
+
+_AMINO = "substr('" + sq.AMINO_ACIDS + "', " + " + ".join(f"{k} * (strpos('TCAG', substr(c, {i}, 1)) - 1)" for i, k in ((1, 16), (2, 4))) + " + strpos('TCAG', substr(c, 3, 1)), 1)"
+_CODONS = "list_transform(range(0, length(s) // 3), lambda i: substr(s, CAST(3 * i + 1 AS BIGINT), 3))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents), k AS (SELECT doc_id, {_CODONS} AS codons FROM d)
+  SELECT doc_id, array_to_string(list_transform(codons, lambda c: {_AMINO}), '') AS peptide, CAST(3 * nullif(list_position(list_transform(codons, lambda c: c IN ('TAA', 'TAG', 'TGA')), TRUE), 0) - 2 AS INTEGER) AS stop_pos FROM k""")
 def translated_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """Letters of documents read as codons; tests hold translation against the code table."""
+    """Letters of documents read as codons."""
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
     return d.select("doc_id", sq.translate("s").alias("peptide"), sq.first_stop("s").alias("stop_pos"))
 
 
-@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1")
-def best_option_by_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return unique_first(table(spark, sf, "part"), ["p_brand"], [F.col("p_retailprice").desc(), "p_partkey"]).select("p_brand", "p_partkey", "p_retailprice")
+def _contigs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents' letters as contigs in chunks, and three exons on each."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"), "doc_id").where(F.length("seq") >= 120)
+    n = F.length("seq")
+    third = F.floor(n / 3)
+    parts = F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")) for a, b in ((F.lit(1), third), (third + 11, 2 * third), (2 * third + 11, n))])
+    strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
+    exons = d.select("chrom", strand.alias("strand"), F.col("chrom").alias("transcript_id"), F.explode(parts).alias("p")).select("chrom", "strand", "transcript_id", "p.start", "p.end")
+    return sq.chunked(d, 64), exons
+
+
+_COMPLEMENT = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS t FROM documents), x AS (SELECT doc_id, t, length(t) AS n, length(t) // 3 AS w FROM d WHERE length(t) >= 120),
+  j AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(t, 1, w) || substr(t, w + 11, w - 10) ELSE {_COMPLEMENT.format("substr(t, 2 * w + 11, n - 2 * w - 10)")} || {_COMPLEMENT.format("substr(t, w + 11, w - 10)")} END AS s FROM x),
+  k AS (SELECT doc_id, length(s) AS junction_pos, 3 * nullif(list_position(list_transform({_CODONS}, lambda c: c IN ('TAA', 'TAG', 'TGA')), TRUE), 0) - 2 AS stop_pos FROM j)
+  SELECT CAST(doc_id AS VARCHAR) AS transcript_id, CAST(stop_pos AS INTEGER) AS stop_pos, CAST(junction_pos AS INTEGER) AS junction_pos, coalesce(junction_pos - stop_pos + 1 >= 50, FALSE) AS is_nmd FROM k""")
+def nonsense_mediated_decay(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops before the last junction of spliced contigs."""
+    chunks, exons = _contigs(spark, sf)
+    return sq.spliced_nmd(sq.coding_exons(exons, exons), chunks, size=64)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey * 40 AS b, o_custkey % 90 AS m, CASE WHEN o_orderstatus = 'F' THEN 'SE' ELSE 'MXE' END AS kind FROM orders) SELECT 'e' || CAST(k AS VARCHAR) AS event_name FROM o WHERE kind <> 'MXE' OR m > 40""")
+def filter_exclusive_casettes(spark: SparkSession, sf: str) -> DataFrame:
+    """Mutually exclusive exons that share no base."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 40).alias("b"), (F.col("o_custkey") % 90).alias("m"), F.when(F.col("o_orderstatus") == "F", "SE").otherwise("MXE").alias("event_type"))
+    at = lambda a, z: coords.format_interval(F.lit("c"), a, z, F.lit("+"))
+    b, m = F.col("b"), F.col("m")
+    rows = o.select(F.concat(F.lit("e"), F.col("k").cast("string")).alias("event_name"), "event_type", at(b, b + 99).alias("event1a"), at(b + 141, b + 500).alias("event2a"), at(b, b + 99 + m).alias("event1b"), at(b + 141 + m, b + 500).alias("event2b"))
+    return fl.run_filter(rows, fl.EventFilter("ExclusiveMXE"))
+
+
+@query("""WITH g AS (SELECT *, gene % 60 AS m FROM genes) SELECT 'e' || CAST(gene AS VARCHAR) AS event_name FROM g WHERE m = 0 OR NOT EXISTS (SELECT 1 FROM intervals i WHERE i.chrom = g.chrom AND (i.strand = g.strand OR g.strand = '*') AND i.start >= g.start AND i."end" <= g.start + m - 1)""", "genes", "intervals")
+def filter_strict_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Alternative sites whose extra stretch holds no whole intron."""
+    g = view(spark, sf, "genes").withColumn("m", F.col("gene") % 60)
+    at = lambda a: coords.format_interval("chrom", a, F.col("start") + 1000)
+    rows = g.select(F.concat(F.lit("e"), F.col("gene").cast("string")).alias("event_name"), F.lit("A5SS").alias("event_type"), at(F.col("start") + F.col("m")).alias("event1a"), at(F.col("start")).alias("event1b"))
+    return fl.run_filter(rows, fl.EventFilter("StrictAltSS"), introns=view(spark, sf, "intervals"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from isoframe.operators import dataset as ds
 from isoframe.operators import filters as fl
 from isoframe.operators import quant as qt
-from isoframe.plans.domain import rounded, view, with_views
+from isoframe.plans.domain import rounded, table, view, with_views
 from isoframe.plans.interval_queries import alignments
+from isoframe.sources.store import settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,7 +19,7 @@ def query(sql: str | None, *views: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = with_views(sql, *views)
+            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
         return f
 
     return add
@@ -161,6 +162,51 @@ def annotation_filters(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_FACTS = """WITH f AS (SELECT o_orderpriority AS sample, 'j' || CAST(l_partkey AS VARCHAR(20)) AS event, CAST(sum(l_quantity) AS DOUBLE) AS q, CAST(sum(l_linenumber) AS DOUBLE) AS l, CAST(sum(l_suppkey % 50) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n,
+    CAST(sum(round(l_tax * 100)) AS DOUBLE) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  e AS (SELECT p_partkey AS p, 'e' || CAST(p_partkey AS VARCHAR(20)) AS event_name, CASE p_partkey % 8 WHEN 0 THEN 'IR' WHEN 1 THEN 'MXE' WHEN 2 THEN 'SE' WHEN 3 THEN 'A3SS' WHEN 4 THEN 'A5SS' WHEN 5 THEN 'AFE' WHEN 6 THEN 'ALE' ELSE 'RI' END AS kind,
+    CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE '+' END AS strand FROM part),
+  n AS (SELECT DISTINCT sample FROM f), k AS (SELECT e.*, n.sample FROM e, n),
+  a AS (SELECT k.*, kind IN ('IR', 'RI') AS ret, coalesce(o.t / 10, 0) AS d, coalesce(o.t / 100, 0) AS cov, coalesce(0.7 * o.q, 0) AS sov, coalesce(1.25 * o.q, -1) AS tot, coalesce(3 * o.n, 0) AS sl, coalesce(2 * o.n, 0) AS sr,
+    coalesce(a1.q, 0) AS a1, coalesce(a2.q, 0) AS a2, coalesce(b1.q, 0) AS b1, coalesce(b2.q, 0) AS b2,
+    coalesce(a1.q + a1.l, 0) AS la1, coalesce(a1.q + a1.s, 0) AS ra1, coalesce(a2.q + a2.l, 0) AS la2, coalesce(a2.q + a2.s, 0) AS ra2, coalesce(b1.q + b1.l, 0) AS lb1, coalesce(b1.q + b1.s, 0) AS rb1, coalesce(b2.q + b2.l, 0) AS lb2, coalesce(b2.q + b2.s, 0) AS rb2,
+    coalesce(1.25 * a1.q, 0) AS ta1, coalesce(1.25 * a2.q, 0) AS ta2, coalesce(1.25 * b1.q, 0) AS tb1, coalesce(1.25 * b2.q, 0) AS tb2
+    FROM k LEFT JOIN f o ON o.sample = k.sample AND o.event = 'j' || CAST(p AS VARCHAR) LEFT JOIN f a1 ON a1.sample = k.sample AND a1.event = 'j' || CAST(p AS VARCHAR)
+    LEFT JOIN f a2 ON a2.sample = k.sample AND a2.event = 'j' || CAST(p + 1 AS VARCHAR) AND kind IN ('SE', 'MXE') LEFT JOIN f b1 ON b1.sample = k.sample AND b1.event = 'j' || CAST(p + 2 AS VARCHAR) AND kind <> 'IR' LEFT JOIN f b2 ON b2.sample = k.sample AND b2.event = 'j' || CAST(p + 3 AS VARCHAR) AND kind = 'MXE'),
+  c AS (SELECT *, CASE WHEN ret THEN d ELSE a1 END AS c1a, CASE WHEN ret THEN CASE WHEN strand = '-' THEN sr ELSE sl END ELSE a2 END AS c2a, b1 AS c1b, CASE WHEN ret THEN CASE WHEN strand = '-' THEN sl ELSE sr END ELSE b2 END AS c2b,
+    CASE WHEN strand = '-' THEN ra1 ELSE la1 END AS ua, CASE WHEN strand = '-' THEN la1 ELSE ra1 END AS da, CASE WHEN strand = '-' THEN la2 ELSE ra2 END AS da2, CASE WHEN strand = '-' THEN rb1 ELSE lb1 END AS ub, CASE WHEN strand = '-' THEN lb1 ELSE rb1 END AS db, CASE WHEN strand = '-' THEN lb2 ELSE rb2 END AS db2 FROM a),
+  g AS (SELECT *, CASE WHEN kind IN ('AFE', 'ALE', 'A5SS', 'A3SS') THEN ub ELSE ua END AS up, CASE WHEN kind IN ('AFE', 'ALE', 'A5SS', 'A3SS') THEN db WHEN kind = 'SE' THEN da2 WHEN kind = 'MXE' THEN db2 ELSE da END AS down,
+    CASE WHEN kind IN ('MXE', 'SE', 'ALE', 'A3SS', 'RI') THEN c1a + c1b ELSE 0 END AS pu, CASE WHEN kind = 'MXE' THEN c2a + c2b WHEN kind = 'SE' THEN c2a + c1b WHEN kind IN ('AFE', 'A5SS', 'RI') THEN c1a + c1b ELSE 0 END AS pd FROM c),
+  h AS (SELECT *, CASE WHEN up > 0 THEN pu / up ELSE 0 END AS cu, CASE WHEN down > 0 THEN pd / down ELSE 0 END AS cd, greatest(ta1, tb1) AS one FROM g),
+  x AS (SELECT *, CASE WHEN kind = 'SE' THEN greatest(tb1, ta2) WHEN kind = 'MXE' THEN greatest(ta2, tb2) ELSE one END AS two FROM h)"""
+
+
+def _event_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as events, whose junctions are the parts that follow; what lineitem has of a part counts for its junction."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = lambda c: F.concat(F.lit("j"), c.cast("string"))
+    f = lines.groupBy(F.col("o_orderpriority").alias("sample"), name(F.col("l_partkey")).alias("event")).agg(F.sum("l_quantity").cast("double").alias("q"), F.sum("l_linenumber").cast("double").alias("l"), F.sum(F.col("l_suppkey") % 50).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.round(F.col("l_tax") * 100)).cast("double").alias("t"))
+    f = settle(f)
+    junctions = f.select("sample", "event", F.col("q").alias("count"), (F.col("q") + F.col("l")).alias("over_left"), (F.col("q") + F.col("s")).alias("over_right"))
+    introns = f.select("sample", F.col("event").alias("event_region"), (F.col("t") / 10).alias("depth"), (F.col("t") / 100).alias("coverage"), (F.col("q") * 0.7).alias("splice_over"), (F.col("q") * 0.5).alias("splice_max"), (F.col("q") * 1.25).alias("total_depth"), (F.col("n") * 3).alias("span_left"), (F.col("n") * 2).alias("span_right"))
+    p = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("IR", "MXE", "SE", "A3SS", "A5SS", "AFE", "ALE", "RI"))), (p % 8 + 1).cast("int"))
+    events = table(spark, sf, "part").select(F.concat(F.lit("e"), p.cast("string")).alias("event_name"), kind.alias("event_type"), F.when(p % 3 == 0, "-").otherwise("+").alias("strand"), name(p).alias("event_region"), name(p).alias("event1a"), F.when(kind.isin("SE", "MXE"), name(p + 1)).alias("event2a"), F.when(kind != "IR", name(p + 2)).alias("event1b"), F.when(kind == "MXE", name(p + 3)).alias("event2b"))
+    return events, junctions, introns
+
+
+_CELL = ("included", "excluded", "depth", "coverage", "min_depth", "up_inc", "down_inc", "up_exc", "down_exc")
+
+
+@query(_FACTS + """ SELECT sample, event_name, round(CASE WHEN kind IN ('SE', 'MXE') THEN 0.5 * (c1a + c2a) ELSE c1a END, 6) AS included, round(CASE WHEN kind = 'IR' THEN sov WHEN kind = 'MXE' THEN 0.5 * (c1b + c2b) ELSE c1b END, 6) AS excluded,
+    round(CASE WHEN tot >= 0 THEN tot ELSE greatest(one, two, up, down) END, 6) AS depth, round(CASE WHEN ret THEN cov WHEN kind IN ('MXE', 'SE') THEN least(cu, cd) WHEN kind IN ('ALE', 'A3SS') THEN cu ELSE cd END, 6) AS coverage,
+    round(CASE WHEN kind = 'IR' THEN d WHEN kind IN ('MXE', 'SE') THEN CASE WHEN cu < cd THEN up ELSE down END WHEN kind IN ('ALE', 'A3SS', 'RI') THEN up ELSE down END, 6) AS min_depth,
+    CASE WHEN ret THEN c2a WHEN kind IN ('MXE', 'SE') THEN c1a END AS up_inc, CASE WHEN ret THEN c2b WHEN kind IN ('MXE', 'SE') THEN c2a END AS down_inc, CASE WHEN kind = 'MXE' THEN c1b END AS up_exc, CASE WHEN kind = 'MXE' THEN c2b END AS down_exc FROM x""")
+def event_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """All assays and partial assays of events of the eight kinds."""
+    return rounded(qt.event_cells(*_event_facts(spark, sf)).select("sample", "event_name", *_CELL), *_CELL)
+
+
 _JC = """WITH p AS (SELECT *, pos + m1 AS j1, pos + m1 + n1 AS k1, CASE WHEN n2 > 0 THEN m2 ELSE m2 + m3 END AS w2, pos + m1 + n1 + m2 AS j2, pos + m1 + n1 + m2 + n2 AS k2, CAST(flag = 0 AS BIGINT) AS plus FROM reads),
   x AS (SELECT sample, chrom, plus, j1 AS s, k1 AS e FROM p WHERE m1 >= 5 AND w2 >= 5 UNION ALL SELECT sample, chrom, plus, j2, k2 FROM p WHERE n2 > 0 AND m2 >= 5 AND m3 >= 5),
   jc AS (SELECT sample, chrom, s, e, CASE WHEN s % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(count(*) AS DOUBLE) AS count FROM x GROUP BY ALL)"""
@@ -178,6 +224,11 @@ def junction_prevalence(spark: SparkSession, sf: str) -> DataFrame:
     return qt.prevalence(_junctions(spark, sf), 2)
 
 
+@query(_JC + "SELECT DISTINCT chrom, s AS start, e AS \"end\", strand FROM jc", "reads")
+def junctions_of_all_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return qt.junction_union(_junctions(spark, sf))
+
+
 @query(_JC + "SELECT sample, chrom, s AS start, e AS \"end\", sum(count) OVER (PARTITION BY sample, chrom, strand, s) AS splice_left, sum(count) OVER (PARTITION BY sample, chrom, strand, e) AS splice_right FROM jc", "reads")
 def splice_left_right(spark: SparkSession, sf: str) -> DataFrame:
     counts = _junctions(spark, sf).withColumns({"jg_up": F.lit(None).cast("string"), "jg_down": F.lit(None).cast("string")})

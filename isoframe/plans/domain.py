@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Views as SQL that Spark and DuckDB both run; a query names those it needs.
 VIEWS = {
     "intervals": """
-        SELECT l_returnflag AS chrom, l_orderkey * 4 + l_linenumber * 7 AS start,
-          l_orderkey * 4 + l_linenumber * 7 + CAST(l_quantity AS BIGINT) AS "end",
+        SELECT l_returnflag AS chrom, l_orderkey * 40 + l_linenumber * 7 AS start,
+          l_orderkey * 40 + l_linenumber * 7 + CAST(l_quantity AS BIGINT) AS "end",
           CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_partkey, l_suppkey
         FROM lineitem""",
     "genes": """
-        SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS chrom, o_orderkey * 4 AS start,
-          o_orderkey * 4 + o_custkey % 90 + CASE WHEN o_custkey % 50 = 0 THEN 4000 ELSE 0 END AS "end",
+        SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS chrom, o_orderkey * 40 AS start,
+          o_orderkey * 40 + o_custkey % 90 + CASE WHEN o_custkey % 50 = 0 THEN 4000 ELSE 0 END AS "end",
           CASE WHEN o_orderpriority LIKE '1%' THEN '*' WHEN o_orderpriority < '4' THEN '+' ELSE '-' END AS strand, o_orderkey AS gene
         FROM orders""",
     "exons": """
@@ -32,12 +32,23 @@ VIEWS = {
           CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderkey
         FROM orders""",
     "reads": """
-        SELECT o_orderpriority AS sample, l_returnflag AS chrom, l_orderkey * 4 + l_linenumber * 7 AS pos,
+        SELECT o_orderpriority AS sample, l_returnflag AS chrom, l_orderkey * 40 + l_linenumber * 7 AS pos,
           CASE WHEN l_linestatus = 'O' THEN 0 ELSE 16 END AS flag,
           CAST(l_quantity AS BIGINT) % 12 + 2 AS m1, l_linenumber * 10 AS n1, l_partkey % 9 + 2 AS m2, l_suppkey % 5 * 20 AS n2, l_suppkey % 11 + 1 AS m3
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "pairs": """
+        SELECT o_orderpriority AS sample, 'q' || CAST(l_orderkey AS VARCHAR(20)) || '.' || CAST(l_linenumber AS VARCHAR(9)) || '.' || CAST(l_partkey AS VARCHAR(20)) || '.' || CAST(l_suppkey AS VARCHAR(20)) AS qname,
+          l_returnflag AS chrom, l_orderkey * 40 AS pos1, CAST(l_quantity AS BIGINT) + 20 AS w1, l_orderkey * 40 + l_suppkey % 90 - 10 AS pos2, l_partkey % 40 + 20 AS w2,
+          CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS plus
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "model": """
+        SELECT o_custkey AS transcript, 'g' || CAST(CAST(floor(o_custkey / 7) AS BIGINT) AS VARCHAR(20)) AS gene_id, 'c' || CAST(CAST(floor(o_custkey / 7) AS BIGINT) % 7 AS VARCHAR(9)) AS chrom, o_orderkey * 40 AS start,
+          o_orderkey * 40 + 200 + CAST(floor(o_totalprice) AS BIGINT) % 90 AS "end",
+          CASE WHEN CAST(floor(o_custkey / 7) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand,
+          CASE WHEN o_custkey % 7 = 3 THEN 'retained_intron' ELSE 'protein_coding' END AS biotype
+        FROM orders""",
     "assay": """
-        SELECT l_partkey % 200 AS event, o_orderpriority AS sample,
+        SELECT l_partkey AS event, o_orderpriority AS sample,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS DOUBLE) AS included,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS DOUBLE) AS excluded
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.functions import coords
@@ -10,6 +10,7 @@ from isoframe.operators import intervals as iv
 from isoframe.operators import reads as rd
 from isoframe.operators import tables as tb
 from isoframe.plans.domain import rounded, table, view, with_views
+from isoframe.sources.store import settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,16 +49,16 @@ def overlap_ignore_strand(spark: SparkSession, sf: str) -> DataFrame:
     return _per_gene(iv.overlap_join(view(spark, sf, "genes"), view(spark, sf, "intervals"), ignore_strand=True))
 
 
-@query(f'SELECT i.chrom, count(*) AS n, CAST(sum(g.gene) AS BIGINT) AS genes FROM intervals i JOIN genes g ON g.chrom = i.chrom AND g.start <= i.start AND i."end" <= g."end" AND {_STRAND} GROUP BY i.chrom', "genes", "intervals")
+@query(f'SELECT g.gene, count(*) AS n, min(i.start) AS first, CAST(sum(i.l_partkey) AS BIGINT) AS parts FROM intervals i JOIN genes g ON g.chrom = i.chrom AND g.start <= i.start AND i."end" <= g."end" AND {_STRAND} GROUP BY g.gene', "genes", "intervals")
 def overlap_within(spark: SparkSession, sf: str) -> DataFrame:
     met = iv.overlap_join(view(spark, sf, "intervals"), view(spark, sf, "genes"), kind="within")
-    return met.groupBy(F.col("chrom_a").alias("chrom")).agg(F.count(F.lit(1)).alias("n"), F.sum("gene_b").cast("long").alias("genes"))
+    return met.groupBy(F.col("gene_b").alias("gene")).agg(F.count(F.lit(1)).alias("n"), F.min("start_a").alias("first"), F.sum("l_partkey_a").cast("long").alias("parts"))
 
 
-@query('SELECT a.chrom, count(*) AS n FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.start = b.start AND a."end" = b."end" AND a.strand = b.strand GROUP BY a.chrom', "intervals")
+@query('SELECT a.chrom, a.start, a."end", count(*) AS n FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.start = b.start AND a."end" = b."end" AND a.strand = b.strand GROUP BY ALL', "intervals")
 def overlap_equal(spark: SparkSession, sf: str) -> DataFrame:
     a = view(spark, sf, "intervals")
-    return iv.overlap_join(a, a, kind="equal").groupBy(F.col("chrom_a").alias("chrom")).agg(F.count(F.lit(1)).alias("n"))
+    return iv.overlap_join(a, a, kind="equal").groupBy(F.col("chrom_a").alias("chrom"), F.col("start_a").alias("start"), F.col("end_a").alias("end")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT * FROM genes g WHERE EXISTS (SELECT 1 FROM intervals i WHERE {_MEET} AND {_STRAND})", "genes", "intervals")
@@ -125,6 +126,12 @@ def upstream_flank(spark: SparkSession, sf: str) -> DataFrame:
     return iv.flank(view(spark, sf, "genes"), 100)
 
 
+@query('SELECT gene, chrom, strand, start + 20 AS start, "end" - 20 AS "end" FROM genes WHERE start + 20 <= "end" - 20', "genes")
+def trimmed_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Both ends moved inwards; what vanishes goes."""
+    return iv.resize(view(spark, sf, "genes"), -20)
+
+
 @query(
     """WITH e AS (SELECT chrom, strand, start AS pos, 1 AS d FROM intervals UNION ALL SELECT chrom, strand, "end" + 1, -1 FROM intervals),
   s AS (SELECT chrom, strand, pos, sum(d) AS d FROM e GROUP BY ALL HAVING sum(d) <> 0),
@@ -305,6 +312,115 @@ def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rd.coverage(rd.fragments(alignments(spark, sf))).where("strand = '*'").drop("strand")
 
 
-@query("""SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events""")
+@query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY user_id, ts)
+  SELECT e.user_id, e.event_id, p.value AS value_right FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type <> 'view'""")
 def as_of_previous(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("user_id", "event_id", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("previous"))
+    """The last view of the same user at or before each other event."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value", "event_type")
+    return tb.as_of_join(e.where("event_type <> 'view'"), e.where("event_type = 'view'"), ["user_id"], "ts", ["value"]).select("user_id", "event_id", "value_right")
+
+
+def paired_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Two alignments of one block for each row of the view pairs."""
+    p = view(spark, sf, "pairs")
+    mate = lambda n, flag: F.struct(F.lit(flag).alias("flag"), F.col(f"pos{n}").alias("pos"), F.concat(F.col(f"w{n}").cast("string"), F.lit("M")).alias("cigar"))
+    strand = F.when(F.col("plus") == 1, F.array(mate(1, 0x61), mate(2, 0x91))).otherwise(F.array(mate(1, 0x51), mate(2, 0xA1)))
+    return p.select("sample", "qname", "chrom", F.explode(strand).alias("m")).select("sample", "qname", "m.flag", "chrom", "m.pos", "m.cigar")
+
+
+_PAIRS = """WITH p AS (SELECT *, pos1 + w1 AS e1, pos2 + w2 AS e2, count(*) OVER (PARTITION BY sample, qname) AS times FROM pairs),
+  o AS (SELECT *, pos2 < pos1 OR (pos1 = pos2 AND e1 > e2) AS swapped FROM p WHERE times = 1),
+  l AS (SELECT sample, chrom, plus, CASE WHEN swapped THEN pos2 ELSE pos1 END AS lp, CASE WHEN swapped THEN e2 ELSE e1 END AS le, CASE WHEN swapped THEN pos1 ELSE pos2 END AS rp, CASE WHEN swapped THEN e1 ELSE e2 END AS re FROM o),
+  f AS (SELECT *, CASE WHEN le < rp THEN 'long' WHEN le >= re THEN 'short' ELSE 'intersect' END AS kind FROM l)"""
+
+
+@query(_PAIRS + " SELECT sample, chrom, kind, CAST(plus AS INTEGER) AS direction, count(*) AS n, CAST(sum(CASE kind WHEN 'long' THEN le - lp + re - rp WHEN 'short' THEN le - lp ELSE re - lp END) AS BIGINT) AS nucleotides FROM f GROUP BY ALL", "pairs")
+def paired_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Mates apart, one within the other, and overlapping ones, with what they cover."""
+    size = F.aggregate(F.flatten("reads"), F.lit(0).cast("long"), lambda acc, b: acc + b["end"] - b["start"])
+    frags = rd.fragments(paired_alignments(spark, sf))
+    return frags.groupBy("sample", "chrom", "kind", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("nucleotides"))
+
+
+@query(_PAIRS + """, c AS (SELECT sample, count_if(kind = 'long') AS long_pairs, count_if(kind = 'short') AS short_pairs, count_if(kind = 'intersect') AS intersect_pairs, count(*) AS pairs FROM f GROUP BY sample), t AS (SELECT sample, 2 * count(*) AS total_reads FROM pairs GROUP BY sample)
+  SELECT sample, total_reads, CAST(long_pairs AS BIGINT) AS long_pairs, CAST(short_pairs AS BIGINT) AS short_pairs, CAST(intersect_pairs AS BIGINT) AS intersect_pairs, pairs, CAST(0 AS BIGINT) AS unpaired, CAST(0 AS BIGINT) AS chimeric FROM c JOIN t USING (sample)""", "pairs")
+def pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.read_counts(paired_alignments(spark, sf)).select("sample", "total_reads", "long_pairs", "short_pairs", "intersect_pairs", "pairs", "unpaired", "chimeric")
+
+
+@query(_PIECES + "SELECT sample, chrom, e AS \"end\", CAST(sum(total) AS BIGINT) AS total, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM jc GROUP BY ALL", "reads")
+def junction_right_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.junction_side_counts(rd.fragments(alignments(spark, sf)), "end")
+
+
+@query(_PIECES + """, a AS (SELECT DISTINCT chrom, s, e, CASE WHEN s % 2 = 0 THEN '+' ELSE '-' END AS strand, s % 3 = 0 AS nmd FROM jc WHERE total > 1), n AS (SELECT DISTINCT sample FROM reads),
+  w AS (SELECT a.*, n.sample FROM a, n)
+  SELECT coalesce(w.sample, jc.sample) AS sample, coalesce(w.chrom, jc.chrom) AS chrom, coalesce(w.s, jc.s) AS start, coalesce(w.e, jc.e) AS "end", coalesce(strand, '.') AS strand, coalesce(nmd, FALSE) AS nmd, coalesce(total, 0) AS total
+  FROM w FULL JOIN jc ON w.sample = jc.sample AND w.chrom = jc.chrom AND w.s = jc.s AND w.e = jc.e""", "reads")
+def annotated_junction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts with strand and decay of annotated junctions, which have a row for every sample."""
+    frags = rd.fragments(alignments(spark, sf))
+    seen = rd.junction_counts(frags).where("total > 1").select("chrom", "start", "end").distinct()
+    known = seen.select("chrom", "start", "end", F.when(F.col("start") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("start") % 3 == 0).alias("nmd"))
+    return rd.junction_counts(frags, known, frags.select("sample").distinct()).select("sample", "chrom", "start", "end", "strand", "nmd", "total")
+
+
+#: Depth of every base of the genes that reads cover, by sample.
+_BASES = _PIECES + """, v AS (SELECT gene AS name, chrom, start AS s, "end" AS e, strand FROM genes WHERE "end" - start >= 60),
+  ev AS (SELECT sample, chrom, s AS site, 1 AS d FROM b UNION ALL SELECT sample, chrom, e, -1 FROM b), es AS (SELECT sample, chrom, site, sum(d) AS d FROM ev GROUP BY ALL HAVING sum(d) <> 0),
+  run AS (SELECT sample, chrom, site AS a, lead(site) OVER w AS z, CAST(sum(d) OVER w AS BIGINT) AS depth FROM es WINDOW w AS (PARTITION BY sample, chrom ORDER BY site)),
+  n AS (SELECT DISTINCT sample FROM jc), k AS (SELECT v.*, n.sample FROM v, n),
+  parts AS (SELECT sample, name, kind, chrom, pa, pz FROM (SELECT *, 'all' AS kind, s AS pa, e AS pz FROM k UNION ALL SELECT *, 'first', s + 5, s + 55 FROM k UNION ALL SELECT *, 'last', e - 55, e - 5 FROM k)),
+  o AS (SELECT p.sample, p.name, p.kind, r.depth, least(p.pz, r.z) - greatest(p.pa, r.a) AS bases FROM parts p JOIN run r ON r.sample = p.sample AND r.chrom = p.chrom AND r.depth > 0 AND r.a < p.pz AND r.z > p.pa),
+  h AS (SELECT sample, name, kind, depth, sum(bases) AS bases FROM (SELECT * FROM o UNION ALL SELECT p.sample, p.name, p.kind, 0, p.pz - p.pa - coalesce(t.n, 0) FROM parts p LEFT JOIN (SELECT sample, name, kind, sum(bases) AS n FROM o GROUP BY ALL) t USING (sample, name, kind)) WHERE bases > 0 GROUP BY ALL),
+  c AS (SELECT *, sum(bases) OVER (PARTITION BY sample, name, kind ORDER BY depth) AS cum, sum(bases) OVER (PARTITION BY sample, name, kind) AS size FROM h),
+  m AS (SELECT sample, name, kind, sum(depth * greatest(0, least(cum, size - floor(size * 0.3)) - greatest(cum - bases, floor(size * 0.3)))) / any_value(size - 2 * floor(size * 0.3)) AS depth,
+    1 - coalesce(sum(CASE WHEN depth = 0 THEN bases END), 0) / any_value(size) AS coverage FROM c GROUP BY ALL),
+  sl AS (SELECT sample, chrom, s, sum(total) AS n FROM jc GROUP BY ALL), sr AS (SELECT sample, chrom, e, sum(total) AS n FROM jc GROUP BY ALL),
+  pt AS (SELECT chrom, s AS coord FROM v UNION SELECT chrom, e FROM v),
+  sp AS (SELECT b.sample, pt.chrom, coord, count(*) AS n FROM pt JOIN b ON b.chrom = pt.chrom AND b.e - b.s > 9 AND b.s + 5 <= coord AND coord < b.e GROUP BY ALL),
+  rec AS (SELECT k.sample, k.name, coalesce(ma.depth, 0) AS depth, coalesce(ma.coverage, 0) AS coverage, coalesce(mf.depth, 0) AS first50, coalesce(ml.depth, 0) AS last50,
+      coalesce(sl.n, 0)::DOUBLE AS splice_left, coalesce(sr.n, 0)::DOUBLE AS splice_right, coalesce(jc.total, 0)::DOUBLE AS splice_exact, coalesce(a.n, 0)::DOUBLE AS span_left, coalesce(z.n, 0)::DOUBLE AS span_right
+    FROM k LEFT JOIN m ma ON ma.sample = k.sample AND ma.name = k.name AND ma.kind = 'all' LEFT JOIN m mf ON mf.sample = k.sample AND mf.name = k.name AND mf.kind = 'first' LEFT JOIN m ml ON ml.sample = k.sample AND ml.name = k.name AND ml.kind = 'last'
+    LEFT JOIN sl ON sl.sample = k.sample AND sl.chrom = k.chrom AND sl.s = k.s LEFT JOIN sr ON sr.sample = k.sample AND sr.chrom = k.chrom AND sr.e = k.e LEFT JOIN jc ON jc.sample = k.sample AND jc.chrom = k.chrom AND jc.s = k.s AND jc.e = k.e
+    LEFT JOIN sp a ON a.sample = k.sample AND a.chrom = k.chrom AND a.coord = k.s LEFT JOIN sp z ON z.sample = k.sample AND z.chrom = k.chrom AND z.coord = k.e),
+  fin AS (SELECT *, CASE WHEN depth = 0 AND splice_left = 0 AND splice_right = 0 THEN 0.0 WHEN depth < 1 THEN coverage / nullif(coverage + greatest(splice_left, splice_right), 0) ELSE depth / (depth + greatest(splice_left, splice_right)) END AS ir_ratio,
+    CASE WHEN splice_exact + depth < 10 THEN 'LowCover' WHEN splice_exact < 4 THEN 'LowSplicing' WHEN splice_exact * 1.33333333 < greatest(splice_left, splice_right) THEN 'MinorIsoform'
+      WHEN (greatest(span_left, span_right) > depth + 2 AND greatest(span_left, span_right) > depth * 1.5) OR (least(span_left, span_right) + 2 < depth AND least(span_left, span_right) * 1.5 < depth) THEN 'NonUniformIntronCover' ELSE '-' END AS warning FROM rec)"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    frags = settle(rd.fragments(alignments(spark, sf)))
+    introns = view(spark, sf, "genes").where("end - start >= 60").select(F.col("gene").alias("name"), "chrom", "start", "end", "strand")
+    points = introns.select("chrom", F.explode(F.array("start", "end")).alias("coord"))
+    return rd.intron_records(introns, introns.select("name", "chrom", "start", "end"), settle(rd.coverage(frags)), rd.junction_counts(frags), rd.span_counts(frags, points))
+
+
+_RECORD = ("depth", "coverage", "first50", "last50", "ir_ratio")
+
+
+@query(_BASES + " SELECT sample, name, " + ", ".join(f"round({c}, 6) AS {c}" for c in _RECORD) + ", splice_left, splice_right, splice_exact, span_left, span_right, warning FROM fin", "reads", "genes")
+def intron_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes as introns: depth, edges, spliced and spanning reads, the ratio of retention and its warning."""
+    return rounded(_records(spark, sf).select("sample", "name", *_RECORD, "splice_left", "splice_right", "splice_exact", "span_left", "span_right", "warning"), *_RECORD)
+
+
+@query(_BASES + " SELECT sample, round(sum(CASE WHEN name % 3 = 0 THEN depth ELSE 0 END), 3) AS clean, round(sum(CASE WHEN name % 3 = 1 THEN depth ELSE 0 END), 3) AS known_exon, round(sum(CASE WHEN name % 3 = 2 THEN depth ELSE 0 END), 3) AS anti_sense FROM fin GROUP BY sample", "reads", "genes")
+def burden_of_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Summed intron depth by class, which names tell."""
+    kind = F.element_at(F.array(F.lit("clean"), F.lit("known-exon"), F.lit("anti-near")), (F.col("name") % 3 + 1).cast("int"))
+    return rounded(rd.burden(_records(spark, sf).withColumn("name", kind)), "clean", "known_exon", "anti_sense", places=3)
+
+
+@query("""WITH r AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
+  d AS (SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, start AS pos, 1 AS d FROM intervals UNION ALL SELECT chrom, "end" + 1, -1 FROM intervals) GROUP BY ALL HAVING sum(d) <> 0),
+  x AS (SELECT chrom, pos AS start, lead(pos) OVER w - 1 AS "end", sum(d) OVER w AS depth FROM d WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
+  deep AS (SELECT chrom, start, "end", coalesce(lag("end") OVER (PARTITION BY chrom ORDER BY start) + 1 = start, FALSE) AS joined FROM x WHERE depth > 2),
+  n AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start) AS island FROM deep), i AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM n GROUP BY chrom, island),
+  l AS (SELECT chrom, max("end") + 100 AS length FROM intervals GROUP BY chrom), g AS (SELECT chrom, lag("end", 1, 0) OVER (PARTITION BY chrom ORDER BY start) + 1 AS start, start - 1 AS "end" FROM i UNION ALL SELECT l.chrom, coalesce(max(i."end"), 0) + 1, any_value(length) FROM l LEFT JOIN i USING (chrom) GROUP BY l.chrom)
+  SELECT chrom, start, "end" FROM g WHERE "end" >= start""", "intervals")
+def low_mappability_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where what is aligned back covers no deeper than a threshold."""
+    rows = view(spark, sf, "intervals")
+    cover = iv.coverage_runs(rows, ("chrom",)).withColumn("strand", F.lit("*"))
+    return rd.uncovered(cover, rows.groupBy("chrom").agg((F.max("end") + 100).alias("length")), 2).select("chrom", "start", "end")

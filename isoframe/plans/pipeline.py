@@ -15,7 +15,7 @@ from isoframe.operators import reads as rd
 from isoframe.operators import sequence as sq
 from isoframe.operators.dataset import SpliceDataset, drop_overlapping_introns, drop_overlapping_introns_iterative
 from isoframe.sources import text
-from isoframe.sources.store import Store, settle
+from isoframe.sources.store import Store, scratch, settle
 
 
 def get_resources(store: Store, fasta: str, gtf: str, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +32,11 @@ def build_reference(store: Store, fasta: str | None = None, gtf: str | None = No
     for the files."""
     if store.has("events") and not overwrite:
         return store
+    with scratch(store.spark):  # every table is written
+        return _build(store, fasta, gtf, excluded, non_polya, model, chunks, overwrite)
+
+
+def _build(store: Store, fasta: str | None, gtf: str | None, excluded: DataFrame | None, non_polya: DataFrame | None, model: DataFrame | None, chunks: DataFrame | None, overwrite: bool) -> Store:
     if model is None or chunks is None:
         chunks, model = get_resources(store, fasta, gtf, overwrite)
     else:
@@ -43,32 +48,36 @@ def build_reference(store: Store, fasta: str | None = None, gtf: str | None = No
     exons = w("exons", an.exons(model))
     cds = w("proteins", an.proteins(model)) if "phase" in model.columns else None
     w("misc", an.misc(model))
-    islands = w("exon_islands", an.exon_islands(exons))
+    w("exon_islands", an.exon_islands(exons))
     introns = w("introns", an.with_motif(an.with_islands(an.introns(model), exons), chunks))
     sides = {}
     for name, directional in (("dir", True), ("nd", False)):
         rows, blocks = an.measurable_introns(introns, exons, genes, excluded, directional)
         sides[name] = w(f"introns_{name}", rows)
         w(f"blocks_{name}", blocks)
-    nmd = intron_nmd = None
+    nmd = intron_nmd = peptides = None
     if cds is not None and not cds.isEmpty():
         coding = settle(sq.coding_exons(exons, cds))
         nmd = w("transcript_nmd", sq.spliced_nmd(coding, chunks))
-        intron_nmd = w("intron_nmd", sq.retained_nmd(introns.join(nmd.select("transcript_id"), "transcript_id", "left_semi"), coding, chunks))
-        w("peptides", sq.exon_peptides(cds, chunks))
+        inside = introns.join(nmd.select("transcript_id"), "transcript_id", "left_semi")
+        kinds = sq.intron_region(inside.select("transcript_id", "start", "end", "intron_id"), cds, model.where("type like '%prime_utr'")).select("intron_id", "intron_type")
+        intron_nmd = w("intron_nmd", sq.retained_nmd(inside, coding, chunks).join(kinds, "intron_id", "left"))
+        peptides = w("peptides", sq.exon_peptides(cds, chunks))
     w("junctions", an.splice_junctions(introns, nmd))
     w("tandem", an.tandem_junctions(introns))
     w("reading_points", an.reading_points(sides["dir"], sides["nd"]))
     w("regions", an.regions_of_interest(model, contigs, non_polya))
+    w("reference_cover", an.reference_cover(sides["dir"], sides["nd"]))
     found = settle(ev.splice_events(introns, sides["dir"], exons))
+    if peptides is not None:
+        w("event_peptides", sq.event_peptides(found, introns, peptides))
     w("events", ev.row_annotations(found.unionByName(ev.retention_events(sides["nd"])), introns, exons, nmd, intron_nmd))
-    assert islands is not None
     return store
 
 
 def view(reference: Store, what: str) -> DataFrame:
     """Reader's views of the reference: events, introns, exons, genes, transcripts, proteins, retention, nmd, peptides."""
-    tables = {"events": "events", "introns": "introns", "exons": "exons", "genes": "genes", "transcripts": "transcripts", "proteins": "proteins", "retention": "introns_nd", "nmd": "intron_nmd", "peptides": "peptides"}
+    tables = {"events": "events", "introns": "introns", "exons": "exons", "genes": "genes", "transcripts": "transcripts", "proteins": "proteins", "retention": "introns_nd", "nmd": "intron_nmd", "peptides": "event_peptides"}
     if what not in tables:
         raise ValueError(f"views are {sorted(tables)}")
     return reference.read(tables[what])
@@ -78,6 +87,11 @@ def process_alignments(out: Store, reference: Store, alignments: DataFrame, dire
     """Counts, coverage and intron records of all samples in alignments (sample, qname, flag, chrom, pos, cigar)."""
     if out.has("intron_records") and not overwrite:
         return out
+    with scratch(out.spark):
+        return _process(out, reference, alignments, directional)
+
+
+def _process(out: Store, reference: Store, alignments: DataFrame, directional: bool) -> Store:
     w = lambda name, df, **o: out.write(name, df, True, **o)
     frags = w("fragments", rd.fragments(alignments))
     w("read_counts", rd.read_counts(alignments))
@@ -135,6 +149,11 @@ def collate(out: Store, reference: Store, processed: Store, directional: bool =
     """Events x samples assays, junction assays, sample statistics and quality figures."""
     if out.has("assays") and not overwrite:
         return out
+    with scratch(out.spark):
+        return _collate(out, reference, processed, directional, ir_over)
+
+
+def _collate(out: Store, reference: Store, processed: Store, directional: bool, ir_over: bool) -> Store:
     w = lambda name, df, **o: out.write(name, df, True, **o)
     stats = w("stats", qt.sample_stats(processed.read("read_counts"), processed.read("directionality")))
     records = processed.read("intron_records")
@@ -158,12 +177,13 @@ def collate(out: Store, reference: Store, processed: Store, directional: bool =
     # Retention counts of an event follow the intron of its region.
     kept = w("events", kept)
     cells = qt.event_cells(kept.select("event_name", "event_type", "strand", "event_region", "event1a", "event2a", "event1b", "event2b"), junctions.select("sample", "event", "count", "over_left", "over_right"), ir.select("sample", "event_region", "depth", "coverage", "splice_over", "splice_max", "total_depth", "span_left", "span_right"), ir_over)
-    w("assays", cells.select("event_name", "sample", "included", "excluded", "depth", "coverage", "min_depth", "up_inc", "down_inc", "up_exc", "down_exc"), by=("sample",))
     jc = processed.read("junction_counts")
     known_reads = jc.groupBy("sample").agg(F.sum(F.when(F.col("strand") != ".", F.col("total")).otherwise(0)).alias("annotated"), F.sum(F.when(F.col("strand") == ".", F.col("total")).otherwise(0)).alias("unannotated"), F.sum(F.when(F.col("nmd"), F.col("total")).otherwise(0)).alias("nmd"))
     spans = processed.read("span_counts").groupBy("sample").agg(F.sum("total").alias("spans"))
     parts = known_reads.join(spans, "sample", "left").join(processed.read("region_classes"), "sample", "left").join(processed.read("contig_classes"), "sample", "left").join(rd.burden(records), "sample", "left").na.fill(0)
     w("qc", qt.sample_qc(stats, parts))
+    # Last, for its presence says that the rest is there.
+    w("assays", cells.select("event_name", "sample", "included", "excluded", "depth", "coverage", "min_depth", "up_inc", "down_inc", "up_exc", "down_exc"), by=("sample",))
     return out
 
 

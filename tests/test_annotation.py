@@ -178,8 +178,18 @@ def test_fetch_and_motif(spark):
     assert {r.strand: r.splice_motif for r in row} == {"+": "GTAG", "-": "CTAC"}
 
 
-def test_translate():
-    assert sq.translate_text("ATGGCCTAAn") == "MA*" and sq.translate_text("NNNAUG") == "XM" and sq.translate_text(None) is None
+def translated(seq):
+    return "".join(sq.CODONS.get(seq[i : i + 3], "X") for i in range(0, len(seq) - 2, 3))
+
+
+def test_translate(spark):
+    rng = random.Random(1)
+    texts = ["ATGGCCTAAn", "NNNAUG", None, "", "AC", "ACG", "atgtaatga"] + ["".join(rng.choices("ACGT", k=rng.randint(0, 400))) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", sq.translate("s").alias("p"), sq.first_stop("s").alias("stop")).orderBy("i").collect()
+    for t, r in zip(texts, rows, strict=True):
+        want = None if t is None else translated(t.upper().replace("U", "T"))
+        assert r.p == want
+        assert r.stop == (None if not want or "N" in t.upper() or "*" not in want else 3 * want.index("*") + 1)
 
 
 @pytest.mark.parametrize("strand", "+-")
@@ -207,4 +217,4 @@ def test_nmd(spark, strand):
     first = next(r for k, r in kept.items() if r.stop_pos == 67)
     assert first.is_nmd
     pep = {r.exon_number: r.peptide for r in sq.exon_peptides(ex.withColumn("exon_number", F.col("start").cast("int")), chunks).collect()}
-    assert "".join(pep[s] for s, _ in (place if strand == "+" else place)) == sq.translate_text(body)
+    assert "".join(pep[s] for s, _ in (place if strand == "+" else place)) == translated(body)

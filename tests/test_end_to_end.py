@@ -50,7 +50,10 @@ def stores(spark, tmp_path_factory):
 
 def test_counts_to_ratios(spark, stores):
     reference, processed, collated = stores
-    assert {"events", "introns", "junctions", "transcript_nmd", "peptides"} <= set(reference.names())
+    assert {"events", "introns", "junctions", "transcript_nmd", "peptides", "event_peptides", "reference_cover"} <= set(reference.names())
+    assert {r.intron_type for r in pl.view(reference, "nmd").collect()} == {"CDS"}
+    peptides = pl.view(reference, "peptides").where("event_type = 'SE'").first()
+    assert peptides.casette_a and peptides.upstream_a and peptides.casette_b is None
     samples = spark.createDataFrame([(s, "A" if i < 3 else "B", None) for i, s in enumerate(SAMPLES)], "sample string, cond string, nothing string")
     data = pl.load_dataset(collated, reference, samples)
     assert "nothing" not in data.samples.columns

@@ -76,6 +76,17 @@ def test_store(spark, tmp_path):
     assert s.names() == ["t"] and "bigint" in s.describe()
 
 
+def test_small_sources(spark, tmp_path):
+    from isoframe.operators.annotation import naming_style
+
+    assert naming_style(["chr1", "chr2", "MT"]) == "UCSC" and naming_style(["1", "2", "chrUn"]) == "Ensembl"
+    for name in ("a_1.fastq.gz", "a_2.fastq.gz", "b_1.fastq.gz", "b_2.fastq.gz"):
+        (tmp_path / name).write_text("")
+    assert [r[0] for r in text.find_fastq(str(tmp_path))] == ["a", "b"]
+    text.write_bedgraph(spark.createDataFrame([("c", 1, 10, 3)], "chrom string, start long, end long, depth long"), str(tmp_path / "bg"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "bg")).collect()] == ["c\t0\t10\t3"]
+
+
 def test_scratch_is_deleted(spark):
     import glob
 

@@ -133,3 +133,41 @@ def test_t_test_column(spark):
     pooled = (1 + 2.0817**2) / 2
     want = -math.log10(float(sp.t_sf2((2 - 6.667) / math.sqrt(pooled * 2 / 3), 4)))
     assert got[0] == pytest.approx(want) and got[1:] == [0.0, 0.0]
+
+
+def test_designs_are_checked():
+    for bad in (("time", "A", "B", ()), ("cond", "A", "C", ()), ("cond", "A", "A", ()), ("cond", "A", None, ()), ("cond", "A", "B", ("cond",)), ("cond", "A", "B", ("batch", "batch")), ("nothing", None, None, ())):
+        with pytest.raises(ValueError):
+            de.count_design(SAMPLES, *bad)
+
+
+def test_adjustment_equals_the_formula(spark):
+    rng = np.random.default_rng(1)
+    p = np.round(rng.random(3000) ** 3, 3)
+    got = {r.i: r.fdr for r in de.adjust(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(-1, None)], "i int, p_value double")).collect()}
+    order = np.argsort(-p, kind="stable")
+    best, want = 1.0, {}
+    for rank, i in zip(range(len(p), 0, -1), order, strict=True):
+        best = min(best, p[i] * len(p) / rank)
+        want[int(i)] = best
+    last = {}
+    for i in order:  # equal p-values share the least
+        last[p[i]] = want[int(i)]
+    assert got.pop(-1) is None
+    assert all(got[int(i)] == pytest.approx(last[p[i]], abs=1e-12) for i in order)
+
+
+def test_results_of_any_engine_have_one_form(spark):
+    df = counts(spark, n=20, moved=2)
+    for results in (de.limma_test(df, SAMPLES, "cond", "A", "B"), de.double_exponential_test(df, SAMPLES, "cond", "A", "B")):
+        got = de.unify(results)
+        assert got.columns == ["event_name", "log_fc", "p_value", "fdr"] and got.where("log_fc is null or p_value is null or fdr is null").isEmpty()
+
+
+def test_enrichment_by_other_ids_and_without_versions(spark):
+    events = spark.createDataFrame([(f"ENSG{i}.3", None) for i in range(8)], "gene_id string, gene_id_b string")
+    all_events = spark.createDataFrame([(f"ENSG{i}.3", None) for i in range(40)], "gene_id string, gene_id_b string")
+    links = spark.createDataFrame([(f"x{i}", "t1" if i < 10 else "t2", "name", "BP") for i in range(40)], "gene_id string, go_id string, go_term string, ontology string")
+    ids = spark.createDataFrame([(f"ENSG{i}", f"x{i}") for i in range(40)], "gene_id string, other_id string")
+    got = {r.go_id: r.overlap for r in en.enrich_events(events, links, all_events, [ids], versions=True).collect()}
+    assert got == {"t1": 8}
