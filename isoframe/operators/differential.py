@@ -204,7 +204,7 @@ def limma_test(counts: DataFrame, samples: dict[str, list], factor: str, nominat
         inv = np.linalg.pinv(cov)
         return {"log_fc": br[:, 0], "q": np.einsum("ij,jk,ik->i", br, inv, br), "s2": s2, "ave_expr": np.column_stack([cpm(inc), cpm(exc)]).mean(axis=1), "log_fc_inc": bi[:, 0], "log_fc_exc": be[:, 0], "low": np.minimum(inc.mean(axis=1), exc.mean(axis=1))}
 
-    fits = settle(_by_group(_matrix(counts, names), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double").where("low > 0"))
+    fits = settle(_by_group(settle(_matrix(counts, names)), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double").where("low > 0"))
     df = len(rx) - int(np.linalg.matrix_rank(rx))
     s0, d0 = moderation(fits, df)
 
@@ -376,7 +376,7 @@ def double_exponential_test(counts: DataFrame, samples: dict[str, list], factor:
         logit = lambda q: np.log(q / (1 - q))
         return {"psi_nominator": p[0], "psi_denominator": p[1], "mle_log_fc": (logit(p[0]) - logit(p[1])) / math.log(2), "s2": np.maximum(full, 1e-12) / max(df, 1), "lr": np.maximum(deviance(p0[:, None] * np.ones_like(y)) - full, 0)}
 
-    fits = settle(_by_group(_matrix(counts, names), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double"))
+    fits = settle(_by_group(settle(_matrix(counts, names)), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double"))
     s0, d0 = moderation(fits, df)
 
     @F.pandas_udf(DoubleType())

@@ -88,9 +88,15 @@ def read_counts(alignments: DataFrame) -> DataFrame:
     return joined.withColumn("pairs", F.col("long_pairs") + F.col("short_pairs") + F.col("intersect_pairs"))
 
 
+def _exploded(df: DataFrame, column: str) -> DataFrame:
+    """A row for each element of an array column. Unlike explode it infers no test of the array's size, which would work out
+    the array a second time below the projection that makes it."""
+    return df.withColumn(column, F.explode_outer(column)).where(F.col(column).isNotNull())
+
+
 def blocks(frags: DataFrame) -> DataFrame:
     """One row for each block: sample, chrom, direction, start, end (0-based half-open)."""
-    return frags.select("sample", "chrom", "direction", F.explode(F.flatten("reads")).alias("b")).select("sample", "chrom", "direction", "b.start", "b.end")
+    return _exploded(frags.select("sample", "chrom", "direction", F.flatten("reads").alias("b")), "b").select("sample", "chrom", "direction", "b.start", "b.end")
 
 
 def _by_direction(df: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
@@ -100,8 +106,9 @@ def _by_direction(df: DataFrame, *keys: str, weight: str | None = None) -> DataF
 
 def _runs_of(frags: DataFrame, n: int) -> DataFrame:
     """Runs of n adjacent blocks of one read, all JUNCTION_BLOCK long or longer, as columns b0, b1, ..."""
-    read = frags.select("sample", "chrom", "direction", F.explode("reads").alias("r")).where(F.size("r") >= n)
-    many = read.select("sample", "chrom", "direction", F.explode(F.transform(F.sequence(F.lit(1), F.size("r") - n + 1), lambda i: F.struct(*[F.element_at("r", i + k).alias(f"b{k}") for k in range(n)]))).alias("x")).select("sample", "chrom", "direction", "x.*")
+    read = _exploded(frags.select("sample", "chrom", "direction", F.col("reads").alias("r")), "r").where(F.size("r") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("r") - n + 1), lambda i: F.struct(*[F.element_at("r", i + k).alias(f"b{k}") for k in range(n)]))
+    many = _exploded(read.select("sample", "chrom", "direction", runs.alias("x")), "x").select("sample", "chrom", "direction", "x.*")
     ok = F.lit(True)
     for k in range(n):
         ok = ok & (F.col(f"b{k}.end") - F.col(f"b{k}.start") >= JUNCTION_BLOCK)
