@@ -223,10 +223,16 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     return en.over_representation(found, links)
 
 
-@query(None)
+@query("""WITH p AS (SELECT DISTINCT p_partkey AS gene, p_brand AS term FROM part), f AS (SELECT DISTINCT l_partkey AS gene FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48),
+  c AS (SELECT count(DISTINCT gene) AS m FROM p), k AS (SELECT count(*) AS n FROM f JOIN (SELECT DISTINCT gene FROM p) USING (gene)),
+  o AS (SELECT term, any_value(m) AS m, any_value(n) AS n, count(*) AS s, count(f.gene) AS x FROM p LEFT JOIN f USING (gene), c, k GROUP BY term HAVING count(f.gene) > 0),
+  j AS (SELECT *, unnest(range(x, least(s, n) + 1)) AS i FROM o),
+  t AS (SELECT term, sum(exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + lgamma(m - s + 1) - lgamma(n - i + 1) - lgamma(m - s - n + i + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1))) AS p FROM j WHERE n - i <= m - s GROUP BY term),
+  r AS (SELECT term, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM t)
+  SELECT term AS go_id, round(p, 7) AS p_value, round(least(1.0, min(q) OVER (ORDER BY p DESC)), 7) AS fdr FROM r""")
 def gene_set_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Hypergeometric tails; tests hold them against exact binomials."""
-    return _enriched(spark, sf)
+    """Hypergeometric tails and their adjustment."""
+    return rounded(_enriched(spark, sf).select("go_id", "p_value", "fdr"), "p_value", "fdr", places=7)
 
 
 @query("""WITH p AS (SELECT event_id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS p_value FROM events), r AS (SELECT *, rank() OVER (ORDER BY p_value DESC) AS down, count(*) OVER () AS m FROM p)

@@ -47,6 +47,16 @@ VIEWS = {
           CASE WHEN CAST(floor(o_custkey / 7) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand,
           CASE WHEN o_custkey % 7 = 3 THEN 'retained_intron' ELSE 'protein_coding' END AS biotype
         FROM orders""",
+    "library": """
+        SELECT 's' || CAST(o_custkey AS VARCHAR(20)) AS sample, CAST(sum(CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_orderkey % 3 END) AS BIGINT) AS singles,
+          CAST(sum(CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_orderkey % 29 END) AS BIGINT) AS pairs, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS nucleotides,
+          CAST(min(o_custkey) % 3 - 1 AS INTEGER) AS direction
+        FROM orders GROUP BY o_custkey""",
+    "lines": """
+        SELECT o_orderpriority AS sample, 'c' || CAST(l_orderkey % 3 AS VARCHAR(9)) AS chrom, l_orderkey * 40 + l_linenumber * 7 AS start,
+          l_orderkey * 40 + l_linenumber * 7 + CAST(l_quantity AS BIGINT) AS "end", CASE l_suppkey % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '*' END AS strand,
+          l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS discount, o_custkey AS cust
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "assay": """
         SELECT l_partkey AS event, o_orderpriority AS sample,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS DOUBLE) AS included,
