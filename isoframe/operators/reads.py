@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from isoframe.functions.coords import reverse_complement
 from isoframe.operators import intervals as iv
+from isoframe.operators.sequence import chunked, contig_lengths
+from isoframe.sources.store import settle
 
 #: Least length of the blocks beside a counted junction; of a block that counts at a point, exclusive; where it counts from.
 JUNCTION_BLOCK, SPAN_BLOCK, SPAN_OVERHANG = 5, 9, 5
@@ -319,21 +321,32 @@ def synthetic_reads(genome: DataFrame, length: int = 70, stride: int = 10, error
     """(chrom, pos, name, seq): windows of contigs with one base changed, every other one reverse-complemented.
 
     genome: chrom, seq, and ord (the order of contigs). Windows of half or more other letters than ACGT are left out. The
-    changed base (1-based error_at; N for other letters than ACGT) follows the number of the window, the strand that of the window among those emitted,
-    both counted over all contigs. pos is 1-based.
+    changed base (1-based error_at; N for other letters than ACGT) follows the number of the window, the strand that of the
+    window among those emitted, both counted over all contigs. pos is 1-based.
+
+    Windows are cut from short chunks, each with the first bases of the next one, so that a contig is not one task's work.
     """
-    at = F.sequence(F.lit(1), F.length("seq") - length, F.lit(stride))
-    rows = genome.where(F.length("seq") > length).select("chrom", "ord", F.posexplode(F.transform(at, lambda p: F.struct(p.cast("long").alias("pos"), F.substring("seq", p, F.lit(length)).alias("s")))).alias("k", "w"))
-    rows = rows.select("chrom", "ord", "k", "w.pos", "w.s", (F.length(F.regexp_replace("w.s", "[ACGTacgt]", "")) < length // 2).alias("good"))
-    # Counts of earlier contigs: one row for each contig.
-    per = rows.groupBy("ord").agg(F.count(F.lit(1)).alias("windows"), F.count_if("good").alias("emitted"))
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("ord", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("windows", "emitted")])
-    rows = rows.where("good").join(per, "ord")
-    nth = F.col("emitted") + F.row_number().over(Window.partitionBy("ord").orderBy("pos"))
-    number = F.col("windows") + F.col("k") + 1
+    per_chunk = max(128, -(-length // stride))
+    chunks = settle(chunked(genome, per_chunk * stride))
+    contigs = genome.select("chrom", "ord").join(contig_lengths(chunks), "chrom").where(F.col("length") > length)
+    heads = chunks.select("chrom", (F.col("chunk") - 1).alias("chunk"), F.substring("seq", 1, length - 1).alias("_head"))
+    windows = F.floor((F.col("length") - length - 1) / stride) + 1
+    first = F.col("chunk") * per_chunk
+    last = F.least(first + per_chunk, windows) - 1
+    rows = chunks.join(heads, ["chrom", "chunk"], "left").join(contigs, "chrom").where(first <= last)
+    rows = rows.select("chrom", "ord", "chunk", F.concat("seq", F.coalesce("_head", F.lit(""))).alias("text"), first.alias("first"), last.alias("last"))
+    cut = F.transform(F.sequence("first", "last"), lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), ((k - F.col("first")) * stride + 1).cast("int"), F.lit(length)).alias("s")))
+    rows = rows.select("chrom", "ord", "chunk", F.filter(cut, lambda w: F.length(F.regexp_replace(w["s"], "[ACGTacgt]", "")) < length // 2).alias("w"))
+    # Windows emitted before: of earlier chunks of the contig, and of earlier contigs, one row for each.
+    per = settle(rows.select("ord", "chunk", F.size("w").alias("n")))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = contigs.select("ord", windows.alias("windows")).join(per.groupBy("ord").agg(F.sum("n").alias("emitted")), "ord")
+    total = total.select("ord", *[F.coalesce(F.sum(c).over(earlier(Window.orderBy("ord"))), F.lit(0)).alias(c) for c in ("windows", "emitted")])
+    per = per.select("ord", "chunk", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("ord").orderBy("chunk"))), F.lit(0)).alias("before"))
+    rows = rows.join(per, ["ord", "chunk"]).join(total, "ord").select("chrom", "windows", (F.col("emitted") + F.col("before")).alias("before"), F.posexplode("w").alias("i", "w"))
+    rows = rows.select("chrom", (F.col("w.k") * stride + 1).alias("pos"), (F.col("windows") + F.col("w.k") + 1).alias("number"), (F.col("before") + F.col("i") + 1).alias("nth"), F.col("w.s").alias("s"))
     base = F.substring("s", error_at, 1)
-    changed = F.when(base.rlike("[ACGTacgt]"), F.coalesce(*[F.when(number % 3 == i, F.translate(base, "ACGTacgt", e + e.lower())) for i, e in enumerate(ERRORS)])).otherwise("N")
+    changed = F.when(base.rlike("[ACGTacgt]"), F.coalesce(*[F.when(F.col("number") % 3 == i, F.translate(base, "ACGTacgt", e + e.lower())) for i, e in enumerate(ERRORS)])).otherwise("N")
     seq = F.concat(F.substring("s", 1, error_at - 1), changed, F.substring(F.col("s"), F.lit(error_at + 1), F.lit(length)))
-    rows = rows.select("chrom", "pos", seq.alias("seq"), (nth % 2 == 0).alias("reverse"))
+    rows = rows.select("chrom", "pos", seq.alias("seq"), (F.col("nth") % 2 == 0).alias("reverse"))
     return rows.select("chrom", "pos", F.concat(F.when(F.col("reverse"), "RR!").otherwise("RF!"), "chrom", F.lit("!"), F.col("pos").cast("string")).alias("name"), F.when(F.col("reverse"), reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))

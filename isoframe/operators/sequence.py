@@ -18,10 +18,12 @@ SHORT_RETENTION = 1000
 
 
 def chunked(genome: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chrom, chunk, seq): whole contigs (chrom, seq) in pieces of a fixed length."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.cast("long").alias("chunk"), F.substring("seq", i * size + 1, F.lit(size)).alias("seq")))
-    return genome.where(F.length("seq") > 0).select("chrom", F.explode(parts).alias("c")).select("chrom", "c.chunk", "c.seq")
+    """(chrom, chunk, seq): whole contigs (chrom, seq) in pieces of a fixed length.
+
+    One pass over a contig; substrings would each be sought from its first base.
+    """
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return genome.where(F.length("seq") > 0).select("chrom", F.posexplode(parts).alias("chunk", "seq")).select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq")
 
 
 def contig_lengths(chunks: DataFrame) -> DataFrame:
@@ -46,8 +48,7 @@ def fetch(rows: DataFrame, chunks: DataFrame, key: str, size: int = CHUNK) -> Da
 def _codons(seq: str | Column) -> Column:
     """Whole codons of a sequence, in capitals, with T for U."""
     s = F.translate(F.upper(F.col(seq) if isinstance(seq, str) else seq), "U", "T")
-    last = F.floor(F.length(s) / 3).cast("int")
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, 3 * i - 2, F.lit(3)))).when(last == 0, F.array().cast("array<string>"))
+    return F.regexp_extract_all(s, F.lit("(?s)..."), F.lit(0))
 
 
 def translate(seq: str | Column) -> Column:

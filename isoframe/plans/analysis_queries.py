@@ -13,6 +13,7 @@ from isoframe.operators import enrichment as en
 from isoframe.operators import events as ev
 from isoframe.operators import filters as fl
 from isoframe.operators import intervals as iv
+from isoframe.operators import reads as rd
 from isoframe.operators import sequence as sq
 from isoframe.plans.cube_queries import _CELLS, cells
 from isoframe.plans.domain import rounded, table, view, with_views
@@ -380,7 +381,7 @@ def translated_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", sq.translate("s").alias("peptide"), sq.first_stop("s").alias("stop_pos"))
 
 
-def _contigs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _contigs(spark: SparkSession, sf: str, size: int = 64) -> tuple[DataFrame, DataFrame]:
     """Documents' letters as contigs in chunks, and three exons on each."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"), "doc_id").where(F.length("seq") >= 120)
     n = F.length("seq")
@@ -388,7 +389,7 @@ def _contigs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     parts = F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")) for a, b in ((F.lit(1), third), (third + 11, 2 * third), (2 * third + 11, n))])
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
     exons = d.select("chrom", strand.alias("strand"), F.col("chrom").alias("transcript_id"), F.explode(parts).alias("p")).select("chrom", "strand", "transcript_id", "p.start", "p.end")
-    return sq.chunked(d, 64), exons
+    return sq.chunked(d, size), exons
 
 
 _COMPLEMENT = "reverse(translate({}, 'ACGT', 'TGCA'))"
@@ -404,6 +405,53 @@ def nonsense_mediated_decay(spark: SparkSession, sf: str) -> DataFrame:
     return sq.spliced_nmd(sq.coding_exons(exons, exons), chunks, size=64)
 
 
+#: The three exons of a contig in the order of its strand, and the ten bases between them.
+_PARTS = f"""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS t FROM documents), x AS (SELECT doc_id, t, length(t) AS n, length(t) // 3 AS w, [substr(t, 1, w), substr(t, w + 11, w - 10), substr(t, 2 * w + 11, n - 2 * w - 10)] AS e, [substr(t, w + 1, 10), substr(t, 2 * w + 1, 10)] AS g FROM d WHERE length(t) >= 120),
+  j AS (SELECT doc_id, w, CASE WHEN doc_id % 2 = 0 THEN e ELSE [{_COMPLEMENT.format("e[3]")}, {_COMPLEMENT.format("e[2]")}, {_COMPLEMENT.format("e[1]")}] END AS p, CASE WHEN doc_id % 2 = 0 THEN g ELSE [{_COMPLEMENT.format("g[2]")}, {_COMPLEMENT.format("g[1]")}] END AS q FROM x)"""
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    order = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("transcript_id").orderBy(order)))
+
+
+@query(_PARTS + """ SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST((CASE WHEN doc_id % 2 = 0 THEN i ELSE 3 - i END) * w + 1 AS BIGINT) AS start, substr(q[i], 1, 2) || substr(q[i], 9, 2) AS splice_motif FROM j, (SELECT unnest([1, 2]) AS i)""")
+def splice_motifs(spark: SparkSession, sf: str) -> DataFrame:
+    """Donor and acceptor bases of the stretches between exons."""
+    chunks, exons = _contigs(spark, sf, sq.CHUNK)
+    return an.with_motif(iv.gaps_within(exons, ["transcript_id"]), chunks).select("chrom", "start", "splice_motif")
+
+
+@query(_PARTS + f""", f AS (SELECT doc_id, i, CASE WHEN i < 3 THEN p[i + 1] ELSE '' END AS after, substr(p[i], (3 - CASE i WHEN 1 THEN 0 WHEN 2 THEN length(p[1]) ELSE length(p[1]) + length(p[2]) END % 3) % 3 + 1) AS own FROM j, (SELECT unnest([1, 2, 3]) AS i)),
+  k AS (SELECT doc_id, i, own || substr(after, 1, (3 - length(own) % 3) % 3) AS s FROM f), z AS (SELECT *, {_CODONS} AS codons FROM k)
+  SELECT CAST(doc_id AS VARCHAR) AS transcript_id, CAST(i AS INTEGER) AS exon_number, s AS dna, array_to_string(list_transform(codons, lambda c: {_AMINO}), '') AS peptide FROM z""")
+def peptides_of_exons(spark: SparkSession, sf: str) -> DataFrame:
+    """Exons in frame; a codon over a junction belongs to the exon before it."""
+    chunks, exons = _contigs(spark, sf, sq.CHUNK)
+    return sq.exon_peptides(_numbered(exons).withColumnRenamed("number", "exon_number"), chunks)
+
+
+@query(_PARTS + f""", k AS (SELECT doc_id, i, CASE i WHEN 1 THEN p[1] || q[1] || p[2] ELSE p[1] || p[2] || q[2] END AS s FROM j, (SELECT unnest([1, 2]) AS i)),
+  z AS (SELECT doc_id, i, length(s) AS n, 3 * nullif(list_position(list_transform({_CODONS}, lambda c: c IN ('TAA', 'TAG', 'TGA')), TRUE), 0) - 2 AS stop FROM k)
+  SELECT CAST(doc_id AS VARCHAR) || '_Intron' || CAST(i AS VARCHAR) AS intron_id, CAST(stop AS INTEGER) AS stop_pos, coalesce(n - stop + 1 >= 50, FALSE) AS is_nmd FROM z""")
+def decay_by_retained_introns(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops before the last junction of transcripts that retain one of their introns."""
+    chunks, exons = _contigs(spark, sf, sq.CHUNK)
+    inside = _numbered(iv.gaps_within(exons, ["transcript_id"]))
+    inside = inside.withColumn("intron_id", F.concat("transcript_id", F.lit("_Intron"), F.col("number").cast("string")))
+    return sq.retained_nmd(inside, sq.coding_exons(exons, exons), chunks)
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, length(t) - 69, 10)) AS pos FROM d WHERE length(t) > 70),
+  w AS (SELECT doc_id, pos, substr(t, pos, 70) AS s, row_number() OVER (ORDER BY doc_id, pos) AS number FROM p), g AS (SELECT *, row_number() OVER (ORDER BY number) % 2 = 0 AS rev FROM w WHERE length(regexp_replace(s, '[ACGT]', '', 'g')) < 35),
+  c AS (SELECT *, substr(s, 1, 35) || translate(substr(s, 36, 1), 'ACGT', CASE number % 3 WHEN 0 THEN 'GATC' WHEN 1 THEN 'TGCA' ELSE 'CTAG' END) || substr(s, 37) AS changed FROM g)
+  SELECT CAST(doc_id AS VARCHAR) AS chrom, pos, CASE WHEN rev THEN 'RR!' ELSE 'RF!' END || CAST(doc_id AS VARCHAR) || '!' || CAST(pos AS VARCHAR) AS name, CASE WHEN rev THEN reverse(translate(changed, 'ACGT', 'TGCA')) ELSE changed END AS seq FROM c""")
+def synthetic_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads made of contigs of ACGT and N."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("seq"), F.col("doc_id").alias("ord"))
+    return rd.synthetic_reads(d)
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey * 40 AS b, o_custkey % 90 AS m, CASE WHEN o_orderstatus = 'F' THEN 'SE' ELSE 'MXE' END AS kind FROM orders) SELECT 'e' || CAST(k AS VARCHAR) AS event_name FROM o WHERE kind <> 'MXE' OR m > 40""")
 def filter_exclusive_casettes(spark: SparkSession, sf: str) -> DataFrame:
     """Mutually exclusive exons that share no base."""
