@@ -235,44 +235,29 @@ def intron_records(introns: DataFrame, measured: DataFrame, cover: DataFrame, ju
     base = introns.crossJoin(samples)  # a record for each sample by definition
     plane = F.col("strand") if directional else F.lit("*")
 
-    def measured_depth(parts: DataFrame, name: str, trim: int) -> DataFrame:
-        each = parts.crossJoin(samples).select("sample", "chrom", "plane", (F.col("start") + 1).alias("start"), "end", F.struct("sample", "name").alias("id"))
-        runs = cover.withColumnRenamed("strand", "plane")
-        stats = iv.histogram_stats(iv.depth_histogram(runs, each, "id", ("sample", "chrom", "plane")), "id", trim)
-        if name == "depth":
-            return stats.select("id.sample", "id.name", F.col("covered").alias("coverage"), F.col("trimmed_mean").alias("depth"), "p25", "p50", "p75")
-        return stats.select("id.sample", "id.name", F.col("trimmed_mean").alias(name))
-
-    planes = introns.select("name", plane.alias("plane"))
-    whole = measured_depth(measured.join(planes, "name"), "depth", 30)
+    # The stretches to measure and those at either edge meet the coverage in one join.
+    whole = measured.join(introns.select("name", plane.alias("plane")), "name").withColumn("kind", F.lit("whole"))
     edge = introns.withColumn("plane", plane)
-    first = measured_depth(edge.withColumns({"end": F.col("start") + 55, "start": F.col("start") + 5}), "first50", 30)
-    last = measured_depth(edge.withColumns({"start": F.col("end") - 55, "end": F.col("end") - 5}), "last50", 30)
-    reads = lambda df: df.withColumn("n", F.when(F.lit(directional), F.when(F.col("want") == "-", F.col("neg")).otherwise(F.col("pos"))).otherwise(F.col("total")))
-    ids = base.select("sample", "name", "chrom", "start", "end", F.col("strand").alias("want"))
-
-    def looked_up(counts: DataFrame, on: dict[str, str], name: str) -> DataFrame:
-        right = counts.groupBy("sample", "chrom", *on).agg(*[F.sum(c).alias(c) for c in ("total", "pos", "neg")])
-        for c, at in on.items():
-            right = right.withColumnRenamed(c, f"_{at}")
-        left = ids
-        for at in on.values():
-            left = left.withColumn(f"_{at}", F.col(at))
-        met = reads(left.join(right, ["sample", "chrom", *[f"_{at}" for at in on.values()]]))
-        return met.select("sample", "name", F.col("n").cast("double").alias(name))
-
-    out = base
-    for part in (
-        whole,
-        first,
-        last,
-        looked_up(junctions, {"start": "start"}, "splice_left"),
-        looked_up(junctions, {"end": "end"}, "splice_right"),
-        looked_up(junctions, {"start": "start", "end": "end"}, "splice_exact"),
-        looked_up(spans, {"coord": "start"}, "span_left"),
-        looked_up(spans, {"coord": "end"}, "span_right"),
-    ):
-        out = out.join(part, ["sample", "name"], "left")
+    first = edge.withColumns({"kind": F.lit("first"), "end": F.col("start") + 55, "start": F.col("start") + 5})
+    last = edge.withColumns({"kind": F.lit("last"), "start": F.col("end") - 55, "end": F.col("end") - 5})
+    parts = [df.select("kind", "name", "chrom", "plane", (F.col("start") + 1).alias("start"), "end") for df in (whole, first, last)]
+    each = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(samples).withColumn("id", F.struct("sample", "name", "kind"))
+    stats = iv.histogram_stats(iv.depth_histogram(cover.withColumnRenamed("strand", "plane"), each, "id", ("sample", "chrom", "plane")), "id")
+    of = lambda kind, c: F.max(F.when(F.col("id.kind") == kind, F.col(c)))
+    depths = stats.groupBy("id.sample", "id.name").agg(of("whole", "covered").alias("coverage"), of("whole", "trimmed_mean").alias("depth"), *[of("whole", c).alias(c) for c in ("p25", "p50", "p75")], of("first", "trimmed_mean").alias("first50"), of("last", "trimmed_mean").alias("last50"))
+
+    def looked_up(rows: DataFrame, counts: DataFrame, on: dict[str, str], name: str) -> DataFrame:
+        """rows with the reads that counts has at their places."""
+        found = counts.groupBy("sample", "chrom", *[F.col(c).alias(at) for c, at in on.items()]).agg(*[F.sum(c).alias(f"_{c}") for c in ("total", "pos", "neg")])
+        n = F.when(F.col("strand") == "-", F.col("_neg")).otherwise(F.col("_pos")) if directional else F.col("_total")
+        return rows.join(found, ["sample", "chrom", *on.values()], "left").withColumn(name, n.cast("double")).drop("_total", "_pos", "_neg")
+
+    out = base.join(depths, ["sample", "name"], "left")
+    out = looked_up(out, junctions, {"start": "start"}, "splice_left")
+    out = looked_up(out, junctions, {"end": "end"}, "splice_right")
+    out = looked_up(out, junctions, {"start": "start", "end": "end"}, "splice_exact")
+    out = looked_up(out, spans, {"coord": "start"}, "span_left")
+    out = looked_up(out, spans, {"coord": "end"}, "span_right")
     zero = ("depth", "coverage", "p25", "p50", "p75", "first50", "last50", "splice_left", "splice_right", "splice_exact", "span_left", "span_right")
     out = out.select("sample", *introns.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in zero])
     return out.withColumns({"ir_ratio": ir_ratio(), "warning": intron_warning()})

@@ -70,6 +70,14 @@ def skipped_exon_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.skipped_exons(introns(spark, sf)).select("event_type", "event1a", "event2a", "event1b")
 
 
+@query(_SKIP + """, o AS (SELECT event, transcript_id, intron_number FROM i QUALIFY row_number() OVER (PARTITION BY event ORDER BY transcript_id, intron_number) = 1),
+  f AS (SELECT s.event AS event1a, s.event2 AS event2a, s.skip AS event1b, s.transcript_id AS ta, s.intron_number AS na, o.transcript_id AS tb, o.intron_number AS nb FROM s JOIN o ON o.event = s.skip QUALIFY row_number() OVER (PARTITION BY s.event, s.event2, s.skip ORDER BY s.transcript_id, s.intron_number) = 1)
+  SELECT event1a, event2a, event1b, 'SE:' || ta || '-exon' || CAST(na + 1 AS VARCHAR) || ';' || tb || '-int' || CAST(nb AS VARCHAR) AS event_name FROM f""", "exons")
+def names_of_skipped_exons(spark: SparkSession, sf: str) -> DataFrame:
+    """Events are named by the first transcripts that have their junctions."""
+    return ev.skipped_exons(introns(spark, sf)).select("event1a", "event2a", "event1b", "event_name")
+
+
 @query(_SKIP + ", m AS (SELECT DISTINCT skip, event, event2 FROM s) SELECT a.skip, CAST(count(*) AS BIGINT) AS pairs FROM m a JOIN m b ON a.skip = b.skip AND a.event < b.event AND a.event2 <> b.event2 GROUP BY a.skip", "exons")
 def mutually_exclusive_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.mutually_exclusive(introns(spark, sf)).groupBy(F.col("event_region").alias("skip")).agg(F.count(F.lit(1)).alias("pairs"))
@@ -452,6 +460,25 @@ def synthetic_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rd.synthetic_reads(d)
 
 
+def _gaps_sql(where: str) -> str:
+    return f'SELECT transcript, start, stop FROM (SELECT transcript, max("end") OVER (PARTITION BY transcript ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS start, start - 1 AS stop FROM exons WHERE {where}) WHERE start <= stop'
+
+
+#: Which exons count as coding, and as either untranslated end.
+_CODING, _FIVE, _THREE = "o_orderkey % 5 < 4", "o_orderkey % 7 > 1", "o_orderkey % 3 > 0"
+
+
+@query(f"""WITH g AS ({_gaps_sql("TRUE")}), c AS ({_gaps_sql(_CODING)}), f AS ({_gaps_sql(_FIVE)}), t AS ({_gaps_sql(_THREE)})
+  SELECT g.transcript AS transcript_id, g.start, g.stop AS "end", CASE WHEN t.start IS NOT NULL THEN 'UTR3' WHEN f.start IS NOT NULL THEN 'UTR5' WHEN c.start IS NOT NULL THEN 'CDS' END AS intron_type
+  FROM g LEFT JOIN c USING (transcript, start, stop) LEFT JOIN f USING (transcript, start, stop) LEFT JOIN t USING (transcript, start, stop)""", "exons")
+def types_of_introns(spark: SparkSession, sf: str) -> DataFrame:
+    """Introns between coding parts, or between parts of an untranslated end."""
+    exons = view(spark, sf, "exons").withColumnRenamed("transcript", "transcript_id")
+    utr = exons.where(_FIVE).withColumn("type", F.lit("five_prime_utr")).unionByName(exons.where(_THREE).withColumn("type", F.lit("three_prime_utr")))
+    gaps = iv.gaps_within(exons, ["transcript_id"]).select("transcript_id", "start", "end")
+    return sq.intron_region(gaps, exons.where(_CODING), utr).select("transcript_id", "start", "end", "intron_type")
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey * 40 AS b, o_custkey % 90 AS m, CASE WHEN o_orderstatus = 'F' THEN 'SE' ELSE 'MXE' END AS kind FROM orders) SELECT 'e' || CAST(k AS VARCHAR) AS event_name FROM o WHERE kind <> 'MXE' OR m > 40""")
 def filter_exclusive_casettes(spark: SparkSession, sf: str) -> DataFrame:
     """Mutually exclusive exons that share no base."""

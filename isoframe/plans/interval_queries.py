@@ -348,6 +348,16 @@ def pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rd.read_counts(paired_alignments(spark, sf)).select("sample", "total_reads", "long_pairs", "short_pairs", "intersect_pairs", "pairs", "unpaired", "chimeric")
 
 
+@query("""WITH m AS (SELECT sample, qname, chrom FROM pairs UNION ALL SELECT sample, qname, CASE WHEN w2 % 5 = 1 THEN 'Z' ELSE chrom END FROM pairs WHERE w2 % 5 > 0),
+  n AS (SELECT sample, qname, count(*) AS n, min(chrom) <> max(chrom) AS apart FROM m GROUP BY ALL)
+  SELECT sample, CAST(sum(n) AS BIGINT) AS total_reads, CAST(count_if(n = 1) AS BIGINT) AS unpaired, CAST(count_if(n = 2 AND apart) AS BIGINT) AS chimeric FROM n GROUP BY sample""", "pairs")
+def stray_mates(spark: SparkSession, sf: str) -> DataFrame:
+    """Mates that are missing, and pairs on two contigs."""
+    width = F.when(F.col("flag").bitwiseAND(0x80) != 0, F.regexp_extract("cigar", r"^(\d+)", 1).cast("int") % 5)
+    rows = paired_alignments(spark, sf).withColumn("w", width).where("w is null or w > 0").withColumn("chrom", F.when(F.col("w") == 1, "Z").otherwise(F.col("chrom")))
+    return rd.read_counts(rows).select("sample", "total_reads", "unpaired", "chimeric")
+
+
 @query(_PIECES + "SELECT sample, chrom, e AS \"end\", CAST(sum(total) AS BIGINT) AS total, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM jc GROUP BY ALL", "reads")
 def junction_right_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rd.junction_side_counts(rd.fragments(alignments(spark, sf)), "end")

@@ -173,6 +173,20 @@ def datasets_bound(spark: SparkSession, sf: str) -> DataFrame:
     return both.cells().select("event_name", "sample", "included", "excluded")
 
 
+@query("""WITH j AS (SELECT k, chrom, start, "end", avg(q) AS mean FROM lines GROUP BY ALL)
+  SELECT chrom || ':' || CAST(start AS VARCHAR) || '-' || CAST("end" AS VARCHAR) || '/+' AS event_name, CASE WHEN k % 4 = 3 THEN 'SE' ELSE 'IR' END AS event_type FROM j
+  WHERE k % 4 = 3 OR NOT EXISTS (SELECT 1 FROM j b WHERE b.k = j.k AND b.start <= j."end" AND j.start <= b."end" AND (b.mean > j.mean OR (b.mean = j.mean AND (b.start < j.start OR (b.start = j.start AND b."end" < j."end")))))""", "lines")
+def most_used_introns(spark: SparkSession, sf: str) -> DataFrame:
+    """Retention events of introns that are the most used junction where they lie; lines of different orders do not overlap."""
+    rows = view(spark, sf, "lines").withColumn("strand", F.lit("+")).withColumn("event", coords.format_interval())
+    junctions = rows.select("chrom", "start", "end", "strand", "event").distinct()
+    counts = rows.select("event", "sample", F.col("q").alias("count"))
+    kind = F.when(F.expr("k % 4 = 3"), "SE").otherwise("IR")
+    events = rows.select(F.col("event").alias("event_name"), kind.alias("event_type"), F.col("event").alias("event_region"), F.col("event").alias("event1a")).distinct()
+    data = ds.SpliceDataset(events, rows.select("sample").distinct(), events.select("event_name"), junctions, counts)
+    return ds.drop_overlapping_introns(data).events.select("event_name", "event_type")
+
+
 _WIDE = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
 
 
