@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoframe.llm.op10_rules import ORACLE as OP10_SQL
 from isoframe.llm.op10_rules import op10_rules
+from isoframe.llm.op11_negatives import ORACLE as OP11_SQL
+from isoframe.llm.op11_negatives import op11_negatives
+from isoframe.llm.op12_clusters import ORACLE as OP12_SQL
+from isoframe.llm.op12_clusters import op12_clusters
 from isoframe.llm.op1_quality import op1_quality
 from isoframe.llm.op2_simhash import op2_simhash
 from isoframe.llm.op3_langid import op3_langid
@@ -29,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_licenses": op9_licenses,
     "op10_rules": op10_rules,
+    "op11_negatives": op11_negatives,
+    "op12_clusters": op12_clusters,
 }
 
-ORACLES: dict[str, str] = {"op10_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_rules": OP10_SQL, "op11_negatives": OP11_SQL, "op12_clusters": OP12_SQL}
