@@ -12,6 +12,8 @@ from isoframe.llm.op11_negatives import ORACLE as OP11_SQL
 from isoframe.llm.op11_negatives import op11_negatives
 from isoframe.llm.op12_clusters import ORACLE as OP12_SQL
 from isoframe.llm.op12_clusters import op12_clusters
+from isoframe.llm.op13_substrings import ORACLE as OP13_SQL
+from isoframe.llm.op13_substrings import op13_substrings
 from isoframe.llm.op1_quality import op1_quality
 from isoframe.llm.op2_simhash import op2_simhash
 from isoframe.llm.op3_langid import op3_langid
@@ -35,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rules": op10_rules,
     "op11_negatives": op11_negatives,
     "op12_clusters": op12_clusters,
+    "op13_substrings": op13_substrings,
 }
 
-ORACLES: dict[str, str] = {"op10_rules": OP10_SQL, "op11_negatives": OP11_SQL, "op12_clusters": OP12_SQL}
+ORACLES: dict[str, str] = {"op10_rules": OP10_SQL, "op11_negatives": OP11_SQL, "op12_clusters": OP12_SQL, "op13_substrings": OP13_SQL}
