@@ -1,12 +1,12 @@
 """Repeated passages by super-k-mer partitioning, on words.
 
-A window is 13 words in a row. Its minimiser is the least hash of the 4-word grams in it; consecutive windows that share
+A window is 13 words in a row. Its minimiser is the least hash of the 3-word grams in it; consecutive windows that share
 one travel as a single packed string, a super-k-mer, of as many words as windows and 12 more, to the bucket that the
 minimiser names. Equal windows have equal minimisers and so meet in one bucket, where sorting brings them together and
 the least document of each is known; equal hashes are compared word by word, so counts are exact.
 
 A packed string is a run of numbers into the words that its task has seen; those of one task for one bucket share a list
-of words and are compressed together. Few minimisers may hold many super-k-mers (copies of one passage, a common phrase).
+of words, sorted and without the letters that a word shares with the one before, and are compressed together. Few minimisers may hold many super-k-mers (copies of one passage, a common phrase).
 These are found on a sample of rows, which decides how the work is spread and no result. Their super-k-mers are told apart
 first, so that copies collapse before the shuffle, then cut into windows that are keyed by their own words; what is found
 goes back to the copies by a join that Spark can split.
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from isoframe.llm.common import cut, map_arrow, read_table
 from isoframe.sources.store import discard
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: Windows that one super-k-mer spans at most.
 LONGEST = 64
 #: Bytes of text that a task packs at once, and super-k-mers that a bucket holds on average.
-CHUNK_BYTES, BUCKET_KMERS = 16 << 20, 150_000
+CHUNK_BYTES, BUCKET_KMERS = 16 << 20, 300_000
 #: Share of rows that shows which minimisers are frequent, the least sign of one, and the most there can be.
 SAMPLE, LEAST_SEEN, MOST_FREQUENT = 1 / 32, 16, 1 << 18
 
@@ -58,9 +58,11 @@ def _least(g: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Super-k-mers of some texts: the texts' words as numbers into `words`, and place, length, text and minimiser of each."""
+    """Super-k-mers of some texts: the texts' words as numbers into the sorted `words`, and place, length, text and minimiser
+    of each. `shared` is how many bytes a word begins with that the one before begins with too."""
 
     words: list[bytes]
+    shared: np.ndarray
     ids: np.ndarray
     start: np.ndarray
     length: np.ndarray
@@ -69,6 +71,17 @@ class Chunk:
     minimiser: np.ndarray
 
 
+def _in_common(a: bytes, b: bytes) -> int:
+    """How many bytes both begin with, 255 at most."""
+    most = min(len(a), len(b), 255)
+    if a[:most] == b[:most]:
+        return most
+    n = 0
+    while a[n] == b[n]:
+        n += 1
+    return n
+
+
 def chunk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST) -> Chunk:
     """Cut texts into super-k-mers. Texts of fewer words than a window have none."""
     import xxhash
@@ -76,14 +89,20 @@ def chunk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM, longe
     split = [(t or "").encode().split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
-    words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    seen = coded.dictionary.to_pylist()
+    order = sorted(range(len(seen)), key=seen.__getitem__)
+    words = [seen[k] for k in order]
+    rank = np.empty(len(seen), np.int32)
+    rank[order] = np.arange(len(seen), dtype=np.int32)
+    ids = rank[coded.indices.to_numpy()]
+    shared = np.fromiter((_in_common(a, b) for a, b in zip([b"", *words], words, strict=False)), np.int64, len(words))
     gram = min(gram, window)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     ends = np.cumsum(sizes)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     if len(ids) < window:
         none = np.zeros(0, np.int64)
-        return Chunk(words, ids, none, none, none, ends - sizes, none.astype(np.uint64))
+        return Chunk(words, shared, ids, none, none, none, ends - sizes, none.astype(np.uint64))
     least = _least(_mix(hashes[ids], gram), window - gram + 1)
     at = np.nonzero(text_of[: len(ids) - window + 1] == text_of[window - 1 :])[0]
     value = least[at]
@@ -93,7 +112,7 @@ def chunk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM, longe
     within = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
     starts = np.nonzero(within % longest == 0)[0]
     length = np.diff(np.append(starts, len(at))) + window - 1
-    return Chunk(words, ids, at[starts], length, text_of[at[starts]], ends - sizes, value[starts])
+    return Chunk(words, shared, ids, at[starts], length, text_of[at[starts]], ends - sizes, value[starts])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -123,9 +142,14 @@ def pack(c: Chunk, some: np.ndarray, none: np.ndarray, doc_id: np.ndarray, text_
     used, ids = np.unique(_gather(c.ids, c.start[some], c.length[some]), return_inverse=True)
     t = c.text[some]
     first = np.concatenate(([True], t[1:] != t[:-1]))  # each text's facts once
+    # What two words that stay have in common is the least that neighbours between them have.
+    shared = np.minimum.reduceat(c.shared, np.append(0, used[:-1] + 1)) if len(used) else used
+    shared[:1] = 0
+    number = ids.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
     parts = [
-        b" ".join(c.words[k] for k in used.tolist()),
-        ids.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(),
+        b" ".join([c.words[k][n:] for k, n in zip(used.tolist(), shared.tolist(), strict=True)]),
+        shared.astype(np.uint8).tobytes(),
+        number.view(np.uint8).reshape(len(number), -1).T.tobytes(),
         c.length[some].astype(np.uint16).tobytes(),
         np.diff(c.start[some] - c.first_word[t], prepend=0).astype(np.int32).tobytes(),
         first.tobytes(),
@@ -133,7 +157,7 @@ def pack(c: Chunk, some: np.ndarray, none: np.ndarray, doc_id: np.ndarray, text_
         none[t[first]].tobytes(),
         text_hash[t[first]].tobytes(),
     ]
-    return zstandard.compress(struct.pack("<9q", len(used), *map(len, parts)) + b"".join(parts), 3)
+    return zstandard.compress(struct.pack("<10q", len(used), *map(len, parts)) + b"".join(parts), 3)
 
 
 @dataclass
@@ -153,13 +177,18 @@ def unpack(blob: bytes) -> Packed:
     import zstandard
 
     raw = zstandard.decompress(blob)
-    used, *sizes = struct.unpack("<9q", raw[:72])
-    ends = 72 + np.cumsum(sizes)
-    words, ids, length, start, first, doc_id, none, text_hash = (raw[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True))
+    used, *sizes = struct.unpack("<10q", raw[:80])
+    ends = 80 + np.cumsum(sizes)
+    rest, shared, ids, length, start, first, doc_id, none, text_hash = (raw[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True))
     of = np.cumsum(np.frombuffer(first, bool)) - 1
+    words, last = [], b""
+    for n, w in zip(shared, rest.split(b" "), strict=False):
+        last = last[:n] + w
+        words.append(last)
+    kind = np.uint16 if used <= 1 << 16 else np.uint32
     return Packed(
-        words.split(b" "),
-        np.frombuffer(ids, np.uint16 if used <= 1 << 16 else np.uint32),
+        words,
+        np.frombuffer(np.frombuffer(ids, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind),
         np.frombuffer(length, np.uint16).astype(np.int64),
         np.cumsum(np.frombuffer(start, np.int32).astype(np.int64)),
         np.frombuffer(none, bool)[of],
@@ -179,11 +208,12 @@ def count_bucket(blobs: list[bytes], window: int = WINDOW, mix: Callable[[np.nda
     """(none, doc_id, text_hash, start, stop) of the spans of a bucket whose windows start in a lesser document too."""
     number: dict[bytes, int] = {}
     parts = [unpack(b) for b in blobs]
-    ids = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in p.words), np.int64, len(p.words))[p.ids] for p in parts])
+    ids = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in p.words), np.int32, len(p.words))[p.ids] for p in parts])
     length, start, none, doc_id, text_hash = (np.concatenate([getattr(p, x) for p in parts]) for x in ("length", "start", "none", "doc_id", "text_hash"))
+    del parts
     n = length - window + 1
-    kmer = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(kmer)) - np.repeat(np.cumsum(n) - n, n)
+    kmer = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    within = (np.arange(len(kmer)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     at = np.repeat(np.cumsum(length) - length, n) + within
     key = mix(np.random.default_rng(len(number)).integers(0, 1 << 63, len(number)).astype(np.uint64)[ids], window)[at]
     order = np.argsort(key)
@@ -230,7 +260,7 @@ def frequent(rows: DataFrame, parts: int, window: int = WINDOW, sample: float =
     seen = rows.sample(fraction=sample, seed=1) if sample < 1 else rows
     counts = cut(map_arrow(seen, run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(2 * parts, int(total / sample / BUCKET_KMERS))
+    buckets = max(parts, int(total / sample / BUCKET_KMERS))
     # At most MOST_FREQUENT can have that share of all.
     share = max(least_seen, total / buckets / 4, total / MOST_FREQUENT)
     found = counts.where(F.col("n") >= share).select("minimiser").collect()
