@@ -250,7 +250,7 @@ def _read(t: pa.Table, window: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.n
 
 
 def frequent(rows: DataFrame, parts: int, window: int = WINDOW, sample: float = SAMPLE, least_seen: int = LEAST_SEEN) -> tuple[np.ndarray, int]:
-    """Minimisers that would fill a quarter of a bucket or more, and the number of buckets, as a sample of rows shows them."""
+    """Minimisers that would fill an eighth of a bucket or more, and the number of buckets, as a sample of rows shows them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
@@ -262,7 +262,7 @@ def frequent(rows: DataFrame, parts: int, window: int = WINDOW, sample: float =
     total = counts.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts, int(total / sample / BUCKET_KMERS))
     # At most MOST_FREQUENT can have that share of all.
-    share = max(least_seen, total / buckets / 4, total / MOST_FREQUENT)
+    share = max(least_seen, total / buckets / 8, total / MOST_FREQUENT)
     found = counts.where(F.col("n") >= share).select("minimiser").collect()
     discard(counts)
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64)), buckets
