@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import cut, map_arrow, read_table
+from isoframe.llm.common import cut, map_arrow, read_table, row_hash
 from isoframe.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -221,7 +221,7 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
     chosen = keyed.join(kept, ["_none", "_id", "_hash"])
     if kept.where("_n > 1").isEmpty():
         return chosen.select(*[F.col("_row")[c].alias(c) for c in columns])
-    again = chosen.where("_n > 1").groupBy("_none", "_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    again = chosen.where("_n > 1").groupBy("_none", "_id", "_hash").agg(F.min_by("_row", row_hash(docs.schema, "_row")).alias("_row"))
     return chosen.where("_n = 1").select("_row").unionByName(again.select("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
 
 

@@ -25,7 +25,7 @@ HELD_OUT, HELD_OUT_REST = 3, 1
 UNKNOWN = "und"
 #: Characters of the sample of one language, at most, and the documents it is drawn from, about; of a document an eighth of
 #: the sample or more where there are fewer than eight.
-SAMPLE_CHARS, SAMPLE_DOCS = 64_000, 120
+SAMPLE_CHARS, SAMPLE_DOCS, PIECES = 64_000, 120, 8
 LETTER = regex.compile(r"\p{L}")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 #: A parse that is this many bits behind the best can stop: its odds are below what a double can add to 1.
@@ -139,11 +139,14 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str,
     draw = F.pmod(F.xxhash64("h", F.lit("language sample")), F.lit(1 << 30))
     # Twice as many where there are many: an estimated count must not leave a language without a text.
     limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 30)))) for lang, n in counts.items()], F.lit(0))
-    drawn = known.where(draw < limit).select("lang", draw.alias("draw"), "h", F.substring("text", 1, 2 * sample_chars).alias("text"))
+    # Of a language with many texts an eighth of the sample is used of each at most; four times as much is room for what plain() leaves out.
+    many = [lang for lang, n in counts.items() if n >= 2 * PIECES]
+    length = F.when(F.col("lang").isin(many), F.lit(4 * sample_chars // PIECES)).otherwise(F.lit(2 * sample_chars))
+    drawn = known.where(draw < limit).select("lang", draw.alias("draw"), "h", F.substring("text", F.lit(1), length).alias("text"))
     rows = drawn.groupBy("lang", "draw", "h").agg(F.first("text").alias("text")).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "h", "text"))), 1, SAMPLE_DOCS).alias("own")).collect()
     out = []
     for lang, own in sorted((r["lang"], r["own"]) for r in rows):
-        piece = sample_chars // max(1, min(8, len(own)))
+        piece = sample_chars // max(1, min(PIECES, len(own)))
         text = " ".join(plain(r["text"])[:piece] for r in own)[:sample_chars]
         if LETTER.search(text):
             out.append((lang, text))

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from isoframe.llm.common import cut, read_table
+from isoframe.llm.common import cut, read_table, row_hash
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -109,14 +108,9 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns but maps, which have no order."""
-    return F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)])
-
-
 def _settled(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, size, source_size, target, times, total): units of `times` equal rows and the copies of all of them."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row_hash"), F.col("source").cast("string").alias("source"), _size().alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs.schema).alias("row_hash"), F.col("source").cast("string").alias("source"), _size().alias("size"))
     sizes = cut(rows.groupBy("doc_id", "row_hash", "source", "size").agg(F.count(F.lit(1)).alias("times")))
     targets = cut(source_targets(sizes))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("times")
@@ -174,7 +168,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     null doc_id are told apart by their other columns. An empty table gives an empty one.
     """
     taken = cut(_settled(docs).where("total > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("row_hash").alias("_hash"), "times", "total"))
-    rows = docs.select(F.struct("*").alias("_row"), _row_hash(docs).alias("_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), row_hash(docs.schema).alias("_hash"))
     rows = rows.select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("_row.doc_id").isNull().alias("_none"), "_hash")
     key = ["_id", "_none", "_hash"]
     met = rows.join(taken, key)

@@ -1,10 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so two sketches of whatever sizes
-keep the same hashes of what their texts share: sketches merge by union, and containment and resemblance are ratios of
-counts. The fraction is 1/SCALE; of a text of FINE or fewer distinct shingles, too few to sample, the sketch keeps all.
-Two sketches are compared, and merged, at the coarser of their two thresholds. A fine one that has no hash below it is no
-evidence either way: its containment in a coarse one is undefined.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, 1/SCALE, whatever the length of the
+text; so two sketches of whatever sizes keep the same hashes of what their texts share. Sketches merge by union, and
+containment and resemblance are ratios of counts. A text none of whose hashes lies below keeps its least one, so that it is
+told from an empty text and from others like it; a merge drops that where the other sketch has any below. Such a sketch is
+no evidence of how much a longer text contains: that is undefined.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from isoframe.llm.common import map_arrow, read_table
 
 SHINGLE_WORDS = 5
-#: Sketches keep the hashes below 1/SCALE of the range, those of FINE or fewer distinct shingles all.
-SCALE, FINE = 4, 1024
+#: Sketches keep the hashes below 1/SCALE of the range.
+SCALE = 2
 SEED = 42
 #: Rows in one range of doc_id, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
@@ -53,62 +53,64 @@ def hash_words(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sketch:
-    """Sorted distinct hashes: all of a text's, if fine, else those below 1/scale of the range."""
+    """Sorted distinct hashes below 1/scale of the range or, where there are none, the least one of the text, if any."""
 
     hashes: np.ndarray
-    fine: bool
     scale: int = SCALE
 
-    def at(self, scale: int) -> np.ndarray:
-        """The hashes that a sketch of 1/scale would have."""
-        return self.hashes[self.hashes <= np.uint64((1 << 64) // scale - 1)]
+    @property
+    def below(self) -> np.ndarray:
+        """The hashes below the threshold."""
+        return self.hashes[self.hashes <= np.uint64((1 << 64) // self.scale - 1)]
 
 
 def _of(hashes: np.ndarray, scale: int) -> Sketch:
-    whole = Sketch(hashes, True, scale)
-    return whole if len(hashes) <= FINE else Sketch(whole.at(scale), False, scale)
+    below = Sketch(hashes, scale).below
+    return Sketch(below if len(below) else hashes[:1], scale)
 
 
 def sketch(text: str | None, scale: int = SCALE) -> Sketch:
     return _of(np.unique(shingle_hashes(text)), scale)
 
 
-def _common(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of both at the coarser threshold."""
+def _like(a: Sketch, b: Sketch) -> None:
     if a.scale != b.scale:
         raise ValueError("sketches of different scales")
-    return (a.hashes, b.hashes) if a.fine == b.fine else (a.at(a.scale), b.at(a.scale))
 
 
 def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of the union of what two sketches stand for."""
-    both = np.union1d(*_common(a, b))
-    return _of(both, a.scale) if a.fine and b.fine else Sketch(both, False, a.scale)
+    _like(a, b)
+    return _of(np.union1d(a.hashes, b.hashes), a.scale)
 
 
 def resemblance(a: Sketch, b: Sketch) -> float:
-    """Estimated Jaccard likeness; 1 for two empty sketches."""
-    x, y = _common(a, b)
+    """Estimated Jaccard likeness; 1 for two empty sketches. Without hashes below the threshold on either side, whether the least are equal."""
+    _like(a, b)
+    x, y = (a.below, b.below) if len(a.below) + len(b.below) else (a.hashes, b.hashes)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def containment(a: Sketch, b: Sketch) -> float | None:
-    """Estimated share of a's shingles that b has; 1 for an empty a, None where no hash of a lies below b's threshold."""
-    x, y = _common(a, b)
-    if not len(x):
-        return None if len(a.hashes) else 1.0
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
+    """Estimated share of a's shingles that b has; 1 for an empty a, 0 in an empty b, None where no hash of a lies below the threshold."""
+    _like(a, b)
+    if not len(a.hashes):
+        return 1.0
+    if not len(b.hashes):
+        return 0.0
+    x = a.below
+    return len(np.intersect1d(x, b.hashes, assume_unique=True)) / len(x) if len(x) else 1.0 if np.array_equal(a.hashes, b.hashes) else None
 
 
 def encode(a: Sketch) -> str:
-    """The scale (1 for a fine sketch) and the hashes in base 64."""
-    return f"{1 if a.fine else a.scale}:{base64.b64encode(a.hashes.astype('<u8').tobytes()).decode()}"
+    """The scale and the hashes in base 64."""
+    return f"{a.scale}:{base64.b64encode(a.hashes.astype('<u8').tobytes()).decode()}"
 
 
-def decode(s: str, scale: int = SCALE) -> Sketch:
+def decode(s: str) -> Sketch:
     head, body = s.split(":")
-    return Sketch(np.frombuffer(base64.b64decode(body), "<u8").astype(np.uint64), head == "1", scale if head == "1" else int(head))
+    return Sketch(np.frombuffer(base64.b64decode(body), "<u8").astype(np.uint64), int(head))
 
 
 def edited(text: str, following: str) -> str:

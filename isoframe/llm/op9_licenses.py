@@ -11,6 +11,7 @@ on a boundary of the longest class and no window reaches past its end, so what i
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -53,9 +54,10 @@ TEMPLATES: dict[str, str] = {
     "Unlicense notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-#: A notice that comes with another one, which is not reported beside it.
+#: A notice that comes with another one, which is not reported within NEAR words of it.
+NEAR = 64
 PART_OF = {"BSD-3-Clause notice": "BSD-2-Clause notice"}
-#: Notices so alike that one nearly contains the other: those that are contained best are reported.
+#: Notices so alike that one nearly contains the other: at one place, the one that matches what the other matches and more.
 ALIKE = [("AGPL notice", "GPL notice", "LGPL notice")]
 
 #: ASCII letters and digits in lower case and all bytes beyond ASCII are word characters, others separate words.
@@ -105,20 +107,30 @@ def _index(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
 
 
-def scan(index: Index, texts: list[str | None]) -> list[dict[int, float]]:
-    """For each text the templates it contains, with the share of their shingles in the best window."""
-    found: list[dict[int, float]] = [{} for _ in texts]
+@dataclass(frozen=True)
+class Hit:
+    """A window that contains a template: its shingles [first, last), the template's share in it, the places matched."""
+
+    first: int
+    last: int
+    share: float
+    at: np.ndarray
+
+
+def hits(index: Index, texts: list[str | None]) -> tuple[list[np.ndarray], list[dict[int, list[Hit]]]]:
+    """For each text its shingles, and the verified windows of each template in it."""
+    found: list[dict[int, list[Hit]]] = [{} for _ in texts]
     hashes = [hash_words(w) if len(w) >= SHINGLE_WORDS else np.zeros(0, np.uint64) for w in map(fold, texts)]
     longest = max(index.classes)
     ends = np.cumsum([-(-len(h) // longest) * longest for h in hashes])
     if not len(ends) or not ends[-1]:
-        return found
+        return hashes, found
     starts = np.concatenate(([0], ends[:-1]))
     stream, blank = np.zeros(ends[-1], np.uint64), np.ones(ends[-1], bool)
     for h, s in zip(hashes, starts.tolist(), strict=True):
         stream[s : s + len(h)] = h
         blank[s : s + len(h)] = False
-    hits: dict[int, dict[int, set[int]]] = {n: {} for n in index.classes}
+    maybe: dict[int, dict[int, set[int]]] = {n: {} for n in index.classes}
     for band in range(BANDS):
         low, n = band_hash(stream, band), 1
         low[blank] = LAST
@@ -130,35 +142,51 @@ def scan(index: Index, texts: list[str | None]) -> list[dict[int, float]]:
                 values, table = index.bands[n][band]
                 for w in np.nonzero(table[(window >> np.uint64(48)).astype(np.int64)])[0].tolist():
                     for member in np.nonzero(values == window[w])[0].tolist():
-                        hits[n].setdefault(w, set()).add(index.classes[n][member])
+                        maybe[n].setdefault(w, set()).add(index.classes[n][member])
             if n < longest:
                 low = np.minimum(low[0::2], low[1::2])
             n *= 2
-    for n, windows in hits.items():
+    for n, windows in maybe.items():
         for w, members in windows.items():
             d = int(np.searchsorted(ends, w * n, "right"))
             first = w * n - int(starts[d])
             part = hashes[d][first : first + 2 * n]
             for i in members:
                 share = float(np.isin(index.shingles[i], part).mean())
-                if share >= CONTAINMENT and share > found[d].get(i, 0.0):
-                    found[d][i] = share
-    return [resolve(index, f) for f in found]
+                if share >= CONTAINMENT:
+                    found[d].setdefault(i, []).append(Hit(first, first + len(part), share, first + np.nonzero(np.isin(part, index.shingles[i]))[0]))
+    return hashes, found
+
+
+def _accounted(index: Index, i: int, x: Hit, found: dict[int, list[Hit]], h: np.ndarray) -> bool:
+    """Whether another template explains this window of template i, at the same place."""
+    name = index.names[i]
+    of = lambda other: index.number.get(other, -1)
+    for whole, part in PART_OF.items():
+        if name == part and any(max(x.at[0] - y.at[-1], y.at[0] - x.at[-1]) <= NEAR for y in found.get(of(whole), ())):
+            return True
+    for other in (o for group in ALIKE if name in group for o in group if o != name):
+        if any(y.first < x.last and x.first < y.last for y in found.get(of(other), ())):
+            theirs = np.isin(h[x.first : x.last], index.shingles[of(other)])
+            if theirs[x.at - x.first].all() and theirs.sum() > len(x.at):
+                return True
+    return False
 
 
-def resolve(index: Index, found: dict[int, float]) -> dict[int, float]:
-    """What is found without notices that another one accounts for."""
-    gone = {part for whole, part in PART_OF.items() if index.number.get(whole) in found}
-    for group in ALIKE:
-        shares = {name: found[index.number[name]] for name in group if index.number.get(name) in found}
-        gone |= {name for name, share in shares.items() if share < max(shares.values())}
-    return {i: share for i, share in found.items() if index.names[i] not in gone}
+def scan(index: Index, texts: list[str | None]) -> list[dict[int, float]]:
+    """For each text the templates it contains, with the share of their shingles in the best window; a window that another
+    template accounts for does not count, wherever else in the text that one is."""
+    out = []
+    for h, found in zip(*hits(index, texts), strict=True):
+        left = {i: [x.share for x in windows if not _accounted(index, i, x, found, h)] for i, windows in found.items()}
+        out.append({i: max(shares) for i, shares in left.items() if shares})
+    return out
 
 
 def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_licenses, licenses (names in order, joined by "; "), containment (the largest).
 
-    Null and empty texts and texts of fewer than five words contain none; containment is 0 then. Repeated rows and a null
+    Texts of any length are scanned whole. Where notices that are alike match one place equally well, all are reported. Null and empty texts and texts of fewer than five words contain none; containment is 0 then. Repeated rows and a null
     doc_id keep their rows. Other columns of docs are neither read nor returned. An empty table gives no rows.
     """
     chosen = tuple(sorted((TEMPLATES if templates is None else templates).items()))

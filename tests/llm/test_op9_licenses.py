@@ -3,32 +3,27 @@ import random
 import numpy as np
 import pytest
 
-from isoframe.llm.op7_sketches import hash_words
-from isoframe.llm.op9_licenses import ALIKE, BANDS, CONTAINMENT, PART_OF, TEMPLATES, Index, band_hash, fold, scan, scan_documents
+from isoframe.llm.op9_licenses import BANDS, CONTAINMENT, TEMPLATES, Index, band_hash, fold, hits, scan, scan_documents
 
 SCHEMA = "doc_id long, text string, licenses string, containment string"
 
 
+def grams(text):
+    w = fold(text)
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
 def brute(texts):
-    """Every window of two class sizes, from every multiple of the class size."""
+    """Every window of two class sizes, from every multiple of the class size, by tuples of words."""
     out = []
     for t in texts:
-        h = hash_words(fold(t)) if len(fold(t)) >= 5 else np.zeros(0, np.uint64)
-        found = {}
+        h, found = grams(t), {}
         for name, body in TEMPLATES.items():
-            want = np.unique(hash_words(fold(body)))
-            n = 1 << (len(fold(body)) - 5).bit_length()
-            best = max((float(np.isin(want, h[s : s + 2 * n]).mean()) for s in range(0, len(h), n)), default=0.0)
-            if best >= CONTAINMENT:
-                found[name] = best
-        for whole, part in PART_OF.items():
-            if whole in found:
-                found.pop(part, None)
-        for group in ALIKE:
-            best = max((found[n] for n in group if n in found), default=0)
-            for n in group:
-                if found.get(n, 1) < best:
-                    del found[n]
+            want = set(grams(body))
+            n = 1 << (len(grams(body)) - 1).bit_length()
+            shares = {s: len(want & set(h[s : s + 2 * n])) / len(want) for s in range(0, len(h), n)}
+            if max(shares.values(), default=0) >= CONTAINMENT:
+                found[name] = {s: x for s, x in shares.items() if x >= CONTAINMENT}
         out.append(found)
     return out
 
@@ -56,7 +51,7 @@ def test_finds_what_brute_force_finds_in_any_batch():
     want = brute(texts)
     assert sum(map(len, want)) > 100
     for rows in (1, 7, 500):
-        got = [{index.names[i]: share for i, share in f.items()} for at in range(0, len(texts), rows) for f in scan(index, texts[at : at + rows])]
+        got = [{index.names[i]: {x.first: x.share for x in f[i]} for i in f} for at in range(0, len(texts), rows) for f in hits(index, texts[at : at + rows])[1]]
         assert got == want
 
 
@@ -69,6 +64,26 @@ def test_variants_are_told_apart():
     assert names(TEMPLATES["AGPL notice"]) == {"AGPL notice"} and names(TEMPLATES["GPL notice"]) == {"GPL notice"}
 
 
+def test_notices_at_different_places_are_all_reported():
+    """What is near or alike settles by place: another notice far away, or next to it, hides none."""
+    index = Index(TEMPLATES)
+    names = lambda *parts: {index.names[i] for i in scan(index, [" ".join(parts)])[0]}
+    rng = random.Random(1)
+    other = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    gpl, lgpl, agpl = (TEMPLATES[f"{x} notice"] for x in ("GPL", "LGPL", "AGPL"))
+    words = lgpl.split()
+    words[len(words) // 2] = "changed"
+    edited = " ".join(words)
+    assert names(edited) == {"LGPL notice"}
+    for between in (other, "", "x"):
+        assert names(gpl, between, edited) == names(edited, between, gpl) == {"GPL notice", "LGPL notice"}
+        assert names(gpl, between, edited, between, agpl) == {"GPL notice", "LGPL notice", "AGPL notice"}
+    two, three = TEMPLATES["BSD-2-Clause notice"], TEMPLATES["BSD-3-Clause notice"]
+    assert names(two, other, "3.", three) == names("3.", three, other, two) == {"BSD-2-Clause notice", "BSD-3-Clause notice"}
+    assert names(two, "3.", three, other) == {"BSD-3-Clause notice"}
+    assert names(two, other, two, "3.", three) == {"BSD-2-Clause notice", "BSD-3-Clause notice"}
+
+
 def test_bands_collide_nearly_always():
     rng = np.random.default_rng(0)
     missed = 0
