@@ -101,6 +101,17 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
+def t_isf2(p, df: float):
+    """The t whose two-sided tail is p, by bisection on its logarithm."""
+    p = np.asarray(p, float)
+    lo, hi = np.full(p.shape, -30.0), np.full(p.shape, 30.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        above = t_sf2(np.exp(mid), df) > p
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return np.exp((lo + hi) / 2)
+
+
 def hypergeometric_sf(k: int, universe: int, marked: int, drawn: int) -> float:
     """P(X >= k) of marked ones among drawn."""
     choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)

@@ -3,7 +3,8 @@
 Counts are long: event_name, sample, included, excluded. Events are dealt to groups by a hash, so that one Arrow batch is
 a matrix of many events; every fit is vectorised over them. What passes through the driver is of the number of samples,
 or a handful of hyperparameters. The engines follow published methods (moderated t, negative-binomial quasi-likelihood
-and Wald tests with shrunken dispersions, quasi-binomial tests of ratios) and do not claim identity with any package.
+and Wald tests with dispersions shrunken to a trend, double-exponential tests of ratios with a marginal-likelihood prior) and
+do not claim identity with any package.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql.types import DoubleType
 
 from isoframe.functions import designs as dg
 from isoframe.functions import special as sp
+from isoframe.operators import dispersion as dp
+from isoframe.operators import shrinkage as sh
+from isoframe.operators.dispersion import nb_deviance, nb_fit, nb_profile
 from isoframe.sources.store import settle
 
 EVENTS_IN_GROUP = 512
-DISPERSIONS = np.exp(np.linspace(math.log(1e-4), math.log(4.0), 25))
-PRIOR_EVENTS = 10.0
+#: Events whose included or excluded mean log2 count is at most this above the least of all say nothing of a ratio.
+FLOOR = 1.0
 
 
 def select_events(events: DataFrame, ir_mode: str = "all", drop_anti: tuple[str, ...] = ("anti-over",)) -> DataFrame:
@@ -171,8 +175,11 @@ def ols(y: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def moderation(fits: DataFrame, df: int) -> tuple[float, float]:
-    """Prior variance and its degrees from the spread of log variances over all events."""
-    r = fits.where("s2 > 1e-15").agg(F.avg(F.ln("s2")).alias("m"), F.var_samp(F.ln("s2")).alias("v")).first()
+    """Prior variance and its degrees from the spread of log variances over all events; variances of next to nothing, which would
+    swamp it, count as 1e-5 of the median."""
+    middle = fits.agg(F.percentile_approx("s2", 0.5, 100000)).first()[0]
+    floored = fits.select(F.greatest("s2", F.lit(1e-5 * (middle or 0.0))).alias("s2"))
+    r = floored.where("s2 > 1e-15").agg(F.avg(F.ln("s2")).alias("m"), F.var_samp(F.ln("s2")).alias("v")).first()
     if r["m"] is None:
         return 1.0, float("inf")
     e = r["m"] - float(sp.digamma(df / 2)) + math.log(df / 2)
@@ -183,11 +190,16 @@ def moderation(fits: DataFrame, df: int) -> tuple[float, float]:
     return math.exp(e + float(sp.digamma(d0 / 2)) - math.log(d0 / 2)), d0
 
 
-def limma_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None) -> DataFrame:
+def _ordered(df: DataFrame, by: Column, ordered: bool) -> DataFrame:
+    return df.orderBy(by, "event_name") if ordered else df
+
+
+def limma_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None, floor: float = FLOOR, ordered: bool = True) -> DataFrame:
     """Moderated t (or F) tests of log counts per million for included, excluded, and their ratio.
 
-    Returns event_name, log_fc, ave_expr, statistic, p_value, fdr, log_fc_inc, log_fc_exc, ordered by p. Events whose
-    included or excluded mean log count is at the floor of all are left out.
+    Returns event_name, log_fc, ave_expr, statistic, p_value, fdr, b, log_fc_inc, log_fc_exc, by falling b (log-odds that the
+    effect is not null), or by p where there are several contrasts and hence no b. Mean log counts are measured from the least
+    of all events, included and excluded; events of which one is not more than `floor` above it are left out.
     """
     names = samples["sample"]
     x, c = count_design(samples, factor, nominator, denominator, batches, degrees)
@@ -202,67 +214,35 @@ def limma_test(counts: DataFrame, samples: dict[str, list], factor: str, nominat
         be, *_ = ols(cpm(exc), x, c)
         br, s2, cov, _ = ols(np.column_stack([raw(inc), raw(exc)]), rx, rc)
         inv = np.linalg.pinv(cov)
-        return {"log_fc": br[:, 0], "q": np.einsum("ij,jk,ik->i", br, inv, br), "s2": s2, "ave_expr": np.column_stack([cpm(inc), cpm(exc)]).mean(axis=1), "log_fc_inc": bi[:, 0], "log_fc_exc": be[:, 0], "low": np.minimum(inc.mean(axis=1), exc.mean(axis=1))}
+        ai, ae = cpm(inc).mean(axis=1), cpm(exc).mean(axis=1)
+        return {"log_fc": br[:, 0], "q": np.einsum("ij,jk,ik->i", br, inv, br), "s2": s2, "ave_expr": (ai + ae) / 2, "log_fc_inc": bi[:, 0], "log_fc_exc": be[:, 0], "low": np.minimum(ai, ae)}
 
-    fits = settle(_by_group(settle(_matrix(counts, names)), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double").where("low > 0"))
+    everything = settle(_by_group(settle(_matrix(counts, names)), fit, "log_fc double, q double, s2 double, ave_expr double, log_fc_inc double, log_fc_exc double, low double"))
+    least = everything.agg(F.min("low")).first()[0]
+    fits = everything.where(F.col("low") - F.lit(least or 0.0) > floor)
+    n = fits.count()
     df = len(rx) - int(np.linalg.matrix_rank(rx))
     s0, d0 = moderation(fits, df)
+    total = min(d0 + df, float(max(n, 1) * df))
 
     @F.pandas_udf(DoubleType())
     def tail(f: pd.Series) -> pd.Series:
-        return pd.Series(sp.f_sf(f.to_numpy(), k, d0 + df))
+        return pd.Series(sp.f_sf(f.to_numpy(), k, total))
 
     post = F.col("s2") if not df else (F.lit(s0) if math.isinf(d0) else (d0 * s0 + df * F.col("s2")) / (d0 + df))
-    f = F.col("q") / k / post
-    out = fits.withColumn("_f", f).withColumns({"statistic": F.signum("log_fc") * F.sqrt("_f") if k == 1 else F.col("_f"), "p_value": tail("_f")})
-    return adjust(out.select("event_name", "log_fc", "ave_expr", "statistic", "p_value", "log_fc_inc", "log_fc_exc")).orderBy("p_value", "event_name")
+    out = fits.withColumn("_f", F.col("q") / k / post)
+    out = out.withColumns({"statistic": F.signum("log_fc") * F.sqrt("_f") if k == 1 else F.col("_f"), "p_value": tail("_f")})
+    b = F.lit(None).cast("double")
+    if k == 1 and n:
+        _, _, cov, _ = ols(np.zeros((1, len(rx))), rx, rc)
+        b = sh.log_odds(out, "statistic", n, float(cov[0, 0]), s0, d0, total)
+    done = adjust(out.select("event_name", "log_fc", "ave_expr", "statistic", "p_value", b.alias("b"), "log_fc_inc", "log_fc_exc"))
+    return _ordered(done, F.col("b").desc() if k == 1 else F.col("p_value"), ordered)
 
 
 # --- negative-binomial models ----------------------------------------------------------------------------------------
 
 
-def nb_fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and fitted means of NB log-linear models, by damped IRLS over all rows at once."""
-    mu = np.maximum(y, 0.25)
-    beta = np.log(mu / np.exp(offset)) @ np.linalg.pinv(x).T
-    ridge = 1e-8 * np.eye(x.shape[1])
-    for _ in range(steps):
-        eta = np.clip(beta @ x.T + offset, -30, 30)
-        mu = np.exp(eta)
-        w = mu / (1 + phi[:, None] * mu)
-        z = (eta - offset) + (y - mu) / mu
-        a = np.einsum("en,np,nq->epq", w, x, x) + ridge
-        b = np.einsum("en,np,en->ep", w, x, z)
-        new = np.linalg.solve(a, b[..., None])[..., 0]
-        step = np.clip(new - beta, -5, 5)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta, np.exp(np.clip(beta @ x.T + offset, -30, 30))
-
-
-def nb_deviance(y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    p = phi[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        first = np.where(y > 0, y * np.log(y / mu), 0.0)
-        second = np.where(p > 1e-10, (y + 1 / np.maximum(p, 1e-10)) * np.log((1 + p * mu) / (1 + p * y)), mu - y)
-    return 2 * (first + second).sum(axis=1)
-
-
-def nb_profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Cox-Reid adjusted profile log-likelihoods of each row at DISPERSIONS."""
-    out = []
-    for d in DISPERSIONS:
-        phi = np.full(len(y), d)
-        _, mu = nb_fit(y, x, offset, phi, steps=12)
-        r = 1 / d
-        ll = (sp.lgamma(y + r) - sp.lgamma(r) - sp.lgamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(np.maximum(mu, 1e-30) / (r + mu))).sum(axis=1)
-        w = mu / (1 + d * mu)
-        _, logdet = np.linalg.slogdet(np.einsum("en,np,nq->epq", w, x, x) + 1e-10 * np.eye(x.shape[1]))
-        out.append(ll - 0.5 * logdet)
-    return np.column_stack(out)
-
-
 def _null(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The design under which the contrasts are zero."""
     _, s, vt = np.linalg.svd(c)
@@ -270,51 +250,72 @@ def _null(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x @ vt[rank:].T
 
 
-def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.ndarray, test: str = "qlf", normalise: str = "tmm") -> DataFrame:
-    """Included, excluded and ratio tests by NB log-linear models with shrunken dispersions.
+def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.ndarray, test: str = "qlf", normalise: str = "tmm", trend: str = "local", ordered: bool = True) -> DataFrame:
+    """Included, excluded and ratio tests by NB log-linear models whose dispersions follow a trend over abundance.
 
-    test: qlf (quasi-likelihood F), lrt (likelihood ratio), wald. normalise: tmm, ratio (medians of ratios), none. Dispersions
-    maximise the event's adjusted profile likelihood plus PRIOR_EVENTS times the mean one of all events.
+    test: qlf (quasi-likelihood F, at the trend), lrt (likelihood ratio) or wald (both at dispersions shrunken to it).
+    normalise: tmm, ratio (medians of ratios), none. trend: local (smoothed profiles; the events' weight against it comes from
+    the spread of their deviances) or parametric (a0 + a1 / mean with a log-normal prior).
     """
     names = samples["sample"]
     sizes = library_sizes(counts, names)
     scale = {"tmm": lambda: sizes * tmm_factors(counts, names, sizes), "ratio": lambda: size_factors(counts, names), "none": lambda: np.ones(len(names))}[normalise]()
-    offset = np.log(scale / np.exp(np.mean(np.log(scale))))
+    scale = scale / np.exp(np.mean(np.log(scale)))
     rx, rc = ratio_design(x, c)
-    matrix = settle(_matrix(counts, names))
     views = {
-        "inc": (lambda inc, exc: inc, x, c, offset),
-        "exc": (lambda inc, exc: exc, x, c, offset),
-        "ratio": (lambda inc, exc: np.column_stack([inc, exc]), rx, rc, np.zeros(2 * len(names))),
+        "inc": (lambda inc, exc: inc, x, c, scale),
+        "exc": (lambda inc, exc: exc, x, c, scale),
+        "ratio": (lambda inc, exc: np.column_stack([inc, exc]), rx, rc, np.ones(2 * len(names))),
     }
     used = {k: v for k, v in views.items() if k == "ratio" or len(x) > np.linalg.matrix_rank(x)}
+    free = {k: max(len(d) - int(np.linalg.matrix_rank(d)), 1) for k, (_, d, _, _) in used.items()}
 
     def profiles(inc: np.ndarray, exc: np.ndarray) -> dict:
-        return {f"grid_{k}": list(nb_profile(pick(inc, exc), d, o)) for k, (pick, d, _, o) in used.items()}
-
-    grid = settle(_by_group(matrix, profiles, ", ".join(f"grid_{k} array<double>" for k in used)))
-    shared = {k: np.array([grid.agg(*[F.avg(F.col(f"grid_{k}")[i]).alias(str(i)) for i in range(len(DISPERSIONS))]).first()]).ravel() for k in used}
-
-    def fit(inc: np.ndarray, exc: np.ndarray, *profile: np.ndarray) -> dict:
-        out: dict = {}
-        for (k, (pick, d, con, o)), own in zip(used.items(), profile, strict=True):
+        out: dict = {"inc": list(inc), "exc": list(exc)}
+        for k, (pick, d, _, o) in used.items():
             y = pick(inc, exc)
-            phi = DISPERSIONS[np.argmax(own + PRIOR_EVENTS * shared[k], axis=1)]
-            beta, mu = nb_fit(y, d, o, phi)
-            null = _null(d, con)
-            _, mu0 = nb_fit(y, null, o, phi)
-            dev, dev0 = nb_deviance(y, mu, phi), nb_deviance(y, mu0, phi)
-            w = mu / (1 + phi[:, None] * mu)
-            cov = np.linalg.pinv(np.einsum("en,np,nq->epq", w, d, d))
-            est = beta @ con.T
-            se = np.sqrt(np.maximum(np.einsum("kp,epq,kq->ek", con, cov, con), 1e-30))
-            out |= {f"fc_{k}": est[:, 0] / math.log(2), f"lr_{k}": np.maximum(dev0 - dev, 0), f"z_{k}": est[:, 0] / se[:, 0], f"s2_{k}": np.maximum(dev, 1e-12) / max(len(d.T[0]) - np.linalg.matrix_rank(d), 1), f"phi_{k}": phi}
+            grid = nb_profile(y, d, np.log(o))
+            out |= {f"grid_{k}": list(grid), f"a_{k}": dp.abundance(y, o), f"mean_{k}": (y / o).mean(axis=1), f"own_{k}": np.exp(dp.peak(grid))}
         return out
 
-    cols = ", ".join(f"{n}_{k} double" for k in used for n in ("fc", "lr", "z", "s2", "phi"))
-    fits = settle(_by_group(matrix.join(grid, "event_name").select("event_name", "inc", "exc", *[f"grid_{k}" for k in used]), fit, cols))
+    columns = ", ".join(f"grid_{k} array<double>, a_{k} double, mean_{k} double, own_{k} double" for k in used)
+    known = settle(_by_group(settle(_matrix(counts, names)), profiles, f"inc array<double>, exc array<double>, {columns}"))
+
+    def at(phi_of, more: bool):
+        """Fits of all views at the dispersions phi_of(view, profile, a, mean); the null models too, if more."""
+
+        def fit(inc: np.ndarray, exc: np.ndarray, *facts: np.ndarray) -> dict:
+            out: dict = {}
+            for j, (k, (pick, d, con, o)) in enumerate(used.items()):
+                y, (grid, a, mean, _) = pick(inc, exc), facts[4 * j : 4 * j + 4]
+                phi = phi_of(k, grid, a, mean)
+                beta, mu = nb_fit(y, d, np.log(o), phi)
+                dev = nb_deviance(y, mu, phi)
+                out |= {f"s2_{k}": np.maximum(dev, 1e-12) / free[k]}
+                if more:
+                    _, mu0 = nb_fit(y, _null(d, con), np.log(o), phi)
+                    cov = np.linalg.pinv(np.einsum("en,np,nq->epq", mu / (1 + phi[:, None] * mu), d, d))
+                    est = beta @ con.T
+                    se = np.sqrt(np.maximum(np.einsum("kp,epq,kq->ek", con, cov, con), 1e-30))
+                    out |= {f"fc_{k}": est[:, 0] / math.log(2), f"lr_{k}": np.maximum(nb_deviance(y, mu0, phi) - dev, 0), f"z_{k}": est[:, 0] / se[:, 0], f"phi_{k}": phi}
+            return out
+
+        names = ("s2", "fc", "lr", "z", "phi") if more else ("s2",)
+        return settle(_by_group(known, fit, ", ".join(f"{n}_{k} double" for k in used for n in names)))
+
+    if trend == "parametric":
+        curves = {k: dp.parametric_trend(known.select(F.col(f"mean_{k}").alias("mean"), F.col(f"own_{k}").alias("own")), free[k]) for k in used}
+        fits = at(lambda k, grid, a, mean: curves[k].shrink(grid, mean), True)
+    else:
+        local = {k: dp.local_trend(known, f"grid_{k}", f"a_{k}") for k in used}
+        if test == "qlf":
+            fits = at(lambda k, grid, a, mean: local[k].dispersions(a), True)
+        else:
+            spread = at(lambda k, grid, a, mean: local[k].dispersions(a), False)
+            prior = {k: min(moderation(spread.withColumn("s2", F.col(f"s2_{k}")), free[k])[1] / free[k], 1e4) for k in used}
+            fits = at(lambda k, grid, a, mean: np.exp(dp.peak(grid + prior[k] * local[k].at(a))), True)
     k = len(c)
-    df = len(rx) - int(np.linalg.matrix_rank(rx))
+    df = free["ratio"]
     s0, d0 = moderation(fits.withColumn("s2", F.col("s2_ratio")), df) if test == "qlf" else (1.0, 0.0)
 
     @F.pandas_udf(DoubleType())
@@ -327,12 +328,12 @@ def nb_test(counts: DataFrame, samples: dict[str, list], x: np.ndarray, c: np.nd
         return pd.Series(sp.chi2_sf(lr.to_numpy(), k))
 
     out = fits.select("event_name", F.col("fc_ratio").alias("log_fc"), F.col("lr_ratio").alias("statistic"), F.col("phi_ratio").alias("dispersion"), tail("lr_ratio", "z_ratio", "s2_ratio").alias("p_value"), *[F.col(f"fc_{v}").alias(f"log_fc_{v}") for v in used if v != "ratio"])
-    return adjust(out).orderBy("p_value", "event_name")
+    return _ordered(adjust(out), F.col("p_value"), ordered)
 
 
-def edger_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None, quasi: bool = True) -> DataFrame:
-    """Quasi-likelihood F or likelihood-ratio tests, TMM-normalised."""
-    return nb_test(counts, samples, *count_design(samples, factor, nominator, denominator, batches, degrees), test="qlf" if quasi else "lrt", normalise="tmm")
+def edger_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None, quasi: bool = True, ordered: bool = True) -> DataFrame:
+    """Quasi-likelihood F or likelihood-ratio tests, TMM-normalised, dispersions by a smoothed trend."""
+    return nb_test(counts, samples, *count_design(samples, factor, nominator, denominator, batches, degrees), test="qlf" if quasi else "lrt", normalise="tmm", ordered=ordered)
 
 
 def edger_custom(counts: DataFrame, samples: dict[str, list], full: str, reduced: str | None = None, contrast: dict[str, float] | None = None, quasi: bool = True) -> DataFrame:
@@ -348,24 +349,31 @@ def edger_custom(counts: DataFrame, samples: dict[str, list], full: str, reduced
     return nb_test(counts, samples, x, c, test="qlf" if quasi else "lrt", normalise="tmm")
 
 
-def deseq_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None) -> DataFrame:
-    """Wald tests of two levels, or likelihood ratios of all levels where none are named; medians-of-ratios normalised."""
+def deseq_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str | None = None, denominator: str | None = None, batches: Sequence[str] = (), degrees: int | None = None, ordered: bool = True) -> DataFrame:
+    """Wald tests of two levels, or likelihood ratios of all levels where none are named; medians-of-ratios normalised, dispersions by a
+    parametric trend."""
     two = bool(nominator and denominator)
-    return nb_test(counts, samples, *count_design(samples, factor, nominator, denominator, batches, degrees), test="wald" if two else "lrt", normalise="ratio").where("p_value is not null")
+    return nb_test(counts, samples, *count_design(samples, factor, nominator, denominator, batches, degrees), test="wald" if two else "lrt", normalise="ratio", trend="parametric", ordered=ordered).where("p_value is not null")
 
 
-def double_exponential_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str, denominator: str) -> DataFrame:
-    """Tests of two levels' inclusion ratios with overdispersion shrunk over events; pseudocount 1 on both sides.
+def double_exponential_test(counts: DataFrame, samples: dict[str, list], factor: str, nominator: str, denominator: str, ordered: bool = True) -> DataFrame:
+    """Tests of two levels' inclusion ratios in the double-exponential binomial family; pseudocount 1 on both sides.
 
-    Returns event_name, psi_nominator, psi_denominator, mle_log_fc (difference of logits over ln 2), p_value, fdr.
+    An event's dispersion is its residual deviance over its degrees of freedom. The prior of dispersions maximises their marginal
+    likelihood over all events; an event weighs by the share of samples in which it has reads, and samples without reads give
+    no degrees of freedom. Tests are F tests at the posterior dispersions.
+
+    Returns event_name, psi_nominator, psi_denominator, mle_log_fc (difference of logits over ln 2), dispersion (posterior),
+    p_value, fdr.
     """
     use = [i for i, v in enumerate(samples[factor]) if v in (nominator, denominator)]
     names = [samples["sample"][i] for i in use]
     group = np.array([samples[factor][i] == nominator for i in use])
-    df = len(names) - 2
 
     def fit(inc: np.ndarray, exc: np.ndarray) -> dict:
         y, m = inc + 1, inc + exc + 2
+        seen = (inc + exc > 0).sum(axis=1)
+        df = np.maximum(seen - 2, 0)
         p = [(y[:, g].sum(axis=1) / m[:, g].sum(axis=1)) for g in (group, ~group)]
         p0 = y.sum(axis=1) / m.sum(axis=1)
 
@@ -374,17 +382,18 @@ def double_exponential_test(counts: DataFrame, samples: dict[str, list], factor:
 
         full = deviance(np.where(group[None, :], p[0][:, None], p[1][:, None]))
         logit = lambda q: np.log(q / (1 - q))
-        return {"psi_nominator": p[0], "psi_denominator": p[1], "mle_log_fc": (logit(p[0]) - logit(p[1])) / math.log(2), "s2": np.maximum(full, 1e-12) / max(df, 1), "lr": np.maximum(deviance(p0[:, None] * np.ones_like(y)) - full, 0)}
+        return {"psi_nominator": p[0], "psi_denominator": p[1], "mle_log_fc": (logit(p[0]) - logit(p[1])) / math.log(2), "s2": np.maximum(full, 0) / np.maximum(df, 1), "lr": np.maximum(deviance(p0[:, None] * np.ones_like(y)) - full, 0), "df": df.astype(np.int32), "weight": seen / len(names)}
 
-    fits = settle(_by_group(settle(_matrix(counts, names)), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double"))
-    s0, d0 = moderation(fits, df)
+    fits = settle(_by_group(settle(_matrix(counts, names)), fit, "psi_nominator double, psi_denominator double, mle_log_fc double, s2 double, lr double, df int, weight double"))
+    s0, d0 = sh.dispersion_prior(fits)
+    post = F.lit(s0) if math.isinf(d0) else (d0 * s0 + F.col("df") * F.col("s2")) / (d0 + F.col("df"))
 
     @F.pandas_udf(DoubleType())
-    def tail(lr: pd.Series, s2: pd.Series) -> pd.Series:
-        post = np.full(len(s2), s0) if math.isinf(d0) else (d0 * s0 + df * s2.to_numpy()) / (d0 + df)
-        return pd.Series(sp.f_sf(lr.to_numpy() / post, 1, d0 + df))
+    def tail(f: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(sp.f_sf(f.to_numpy(), 1, d0 + df.to_numpy()))
 
-    return adjust(fits.select("event_name", "psi_nominator", "psi_denominator", "mle_log_fc", tail("lr", "s2").alias("p_value"))).orderBy("p_value", "event_name")
+    out = fits.withColumn("dispersion", post).select("event_name", "psi_nominator", "psi_denominator", "mle_log_fc", "dispersion", tail(F.col("lr") / F.col("dispersion"), F.col("df")).alias("p_value"))
+    return _ordered(adjust(out), F.col("p_value"), ordered)
 
 
 # --- results ---------------------------------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.sources.store import settle
+
 Order = Sequence[str | Column]
 
 
@@ -67,6 +69,39 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Order, name: str) -> Da
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def number_all(df: DataFrame, order: Order, name: str = "position") -> DataFrame:
+    """All rows numbered from 1 in the order given. Rows are dealt to ranges of the order and numbered within; what comes before a
+    range is one sum. Rows alike in order keep the numbers that they are dealt once."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = settle(df.repartitionByRange(*columns).sortWithinPartitions(*columns).select("*", F.monotonically_increasing_id().alias("_id")).withColumn("_range", F.shiftright("_id", 33)))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    # An id counts from 0 within its range.
+    number = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.join(F.broadcast(sizes), "_range").withColumn(name, number).drop("_range", "_id", "_before")
+
+
+def look_up(x: DataFrame, y: DataFrame, on: Sequence[str], y_order: Order, x_order: Order) -> DataFrame:
+    """X[Y]: every row of y in y's order, once for each row of x of its key in x's order, or once with nulls in x's columns.
+
+    Columns: position (of y's row, from 1), `on`, the others of y, the others of x; those with a name that y has too get the suffix
+    _x. A null key has no match. The position goes through the join, and the result is sorted by it over ranges, so that its
+    partitions, read one after the other, are in order.
+    """
+    rest = {c: c if c not in y.columns else f"{c}_x" for c in x.columns if c not in on}
+    placed = number_all(y, y_order)
+    xs = x.select(*on, *[F.col(c).alias(n) for c, n in rest.items()], F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(x_order)]).alias("_nth"))
+    met = placed.join(xs, list(on), "left")
+    out = met.repartitionByRange("position", "_nth").sortWithinPartitions("position", "_nth")
+    return out.select("position", *on, *[c for c in y.columns if c not in on], *rest.values())
+
+
+def write_in_order(df: DataFrame, path: str, order: Order) -> None:
+    """Rows written as Parquet so that the part files, by name, hold ranges of the order one after the other, each sorted."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, columns: Sequence[str]) -> DataFrame:
     """Every row of left once, with `columns` of the right row of its key that is last at or before its time, or nulls.
 

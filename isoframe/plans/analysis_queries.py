@@ -268,7 +268,7 @@ def linear_model_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _contrast(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list]]:
-    c = cells(spark, sf).select("event_name", "sample", "included", "excluded")
+    c = settle(cells(spark, sf).select("event_name", "sample", "included", "excluded"))
     names = sorted(r[0] for r in c.select("sample").distinct().collect())
     return c, {"sample": names, "cond": ["A" if s < "3" else "B" for s in names]}
 

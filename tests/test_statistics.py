@@ -54,7 +54,7 @@ def counts(spark, n=60, moved=6):
 def test_engines_find_what_moved(spark, engine):
     df = counts(spark)
     run = {
-        "limma": lambda: de.limma_test(df, SAMPLES, "cond", "A", "B", ["batch"]),
+        "limma": lambda: de.limma_test(df, SAMPLES, "cond", "A", "B", ["batch"], floor=-1.0),
         "edger": lambda: de.edger_test(df, SAMPLES, "cond", "A", "B"),
         "edger_lrt": lambda: de.edger_custom(df, SAMPLES, "~ 1 + cond", "~ 1", quasi=False),
         "deseq": lambda: de.deseq_test(df, SAMPLES, "cond", "A", "B"),
@@ -77,7 +77,7 @@ def test_time_series_finds_a_trend(spark):
             inc = int(rng.binomial(150, 0.15 + 0.13 * i if e < 4 else 0.5))
             rows.append((f"e{e:02d}", s, float(inc), 150.0 - inc))
     df = spark.createDataFrame(rows, "event_name string, sample string, included double, excluded double")
-    got = de.limma_test(df, SAMPLES, "time", degrees=1).collect()
+    got = de.limma_test(df, SAMPLES, "time", degrees=1, floor=-1.0).collect()
     assert {r.event_name for r in got[:4]} == {"e00", "e01", "e02", "e03"}
 
 
@@ -159,7 +159,7 @@ def test_adjustment_equals_the_formula(spark):
 
 def test_results_of_any_engine_have_one_form(spark):
     df = counts(spark, n=20, moved=2)
-    for results in (de.limma_test(df, SAMPLES, "cond", "A", "B"), de.double_exponential_test(df, SAMPLES, "cond", "A", "B")):
+    for results in (de.limma_test(df, SAMPLES, "cond", "A", "B", floor=-1.0), de.double_exponential_test(df, SAMPLES, "cond", "A", "B")):
         got = de.unify(results)
         assert got.columns == ["event_name", "log_fc", "p_value", "fdr"] and got.where("log_fc is null or p_value is null or fdr is null").isEmpty()
 
