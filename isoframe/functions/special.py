@@ -123,6 +123,25 @@ def hypergeometric_sf(k: int, universe: int, marked: int, drawn: int) -> float:
     return min(1.0, math.fsum(map(math.exp, terms)))
 
 
+def hypergeometric_tail(k, universe, marked, drawn, at_once: int = 1 << 20) -> np.ndarray:
+    """P(X >= k) of marked ones among drawn, for arrays: all terms at once, up to at_once of them."""
+    k, universe, marked, drawn = (np.asarray(v, np.int64) for v in (k, universe, marked, drawn))
+    out = np.ones(len(k))
+    if not len(k):
+        return out
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(universe.max()) + 1)))))  # of factorials
+    choose = lambda n, r: logs[n] - logs[r] - logs[n - r]
+    open_ = np.nonzero(k > np.maximum(0, drawn - (universe - marked)))[0]
+    terms = np.maximum(np.minimum(marked, drawn)[open_] - k[open_] + 1, 0)
+    out[open_] = 0.0
+    for part in np.split(np.arange(len(open_)), np.nonzero(np.diff(np.cumsum(terms) // at_once))[0] + 1):
+        row = np.repeat(open_[part], terms[part])
+        i = k[row] + np.arange(len(row)) - np.repeat(np.cumsum(terms[part]) - terms[part], terms[part])
+        p = np.exp(choose(marked[row], i) + choose(universe[row] - marked[row], drawn[row] - i) - choose(universe[row], drawn[row]))
+        np.add.at(out, row, p)
+    return np.minimum(out, 1.0)
+
+
 def digamma(x):
     x = np.array(x, float)
     out = np.zeros_like(x)

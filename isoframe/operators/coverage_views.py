@@ -28,11 +28,12 @@ def get_coverage(cover: DataFrame, chrom: str, start: int, end: int, strand: str
     return rows.withColumns({"start": F.greatest("start", F.lit(start)), "end": F.least("end", F.lit(end))})
 
 
-def coverage_per_base(cover: DataFrame, chrom: str, start: int, end: int, strand: str = "*") -> DataFrame:
-    """(sample, x, depth) of every base of a region, 0 where nothing covers it."""
+def coverage_per_base(cover: DataFrame, chrom: str, start: int, end: int, strand: str = "*", samples: DataFrame | None = None) -> DataFrame:
+    """(sample, x, depth) of every base of a region, 0 where nothing covers it; of all samples, which cover has unless they are given."""
     runs = get_coverage(cover, chrom, start, end, strand)
     deep = runs.select("sample", F.explode(F.sequence("start", "end")).alias("x"), "depth")
-    every = cover.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("x"))
+    named = cover.select("sample").distinct() if samples is None else samples
+    every = named.select("sample", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("x"))
     return every.join(deep, ["sample", "x"], "left").select("sample", "x", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
@@ -54,12 +55,12 @@ def bin_breaks(start: int, end: int, bins: int = 2000) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def binned_coverage(cover: DataFrame, chrom: str, start: int, end: int, strand: str = "*", bins: int = 2000) -> DataFrame:
+def binned_coverage(cover: DataFrame, chrom: str, start: int, end: int, strand: str = "*", bins: int = 2000, samples: DataFrame | None = None) -> DataFrame:
     """(sample, bin, start, end, mean) over the bins of a region."""
     spark = cover.sparkSession
     breaks = spark.createDataFrame([(chrom, a, b, "*", i) for i, (a, b) in enumerate(bin_breaks(start, end, bins))], "chrom string, start long, end long, strand string, name long")
     runs = get_coverage(cover, chrom, start, end, strand).withColumn("strand", F.lit("*"))
-    base = region_means_exact(runs, breaks, cover.select("sample").distinct())
+    base = region_means_exact(runs, breaks, cover.select("sample").distinct() if samples is None else samples)
     return base.join(breaks.select(F.col("name").alias("bin"), "start", "end"), "bin")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from isoframe.functions.coords import strip_version
-from isoframe.functions.special import hypergeometric_sf
+from isoframe.functions.special import hypergeometric_tail
 from isoframe.operators.differential import adjust
 
 
@@ -39,7 +39,7 @@ def genes_of_events(events: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _tail(k: pd.Series, universe: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_sf(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, universe, marked, drawn, strict=True)])
+    return pd.Series(hypergeometric_tail(k, universe, marked, drawn))
 
 
 def over_representation(genes: DataFrame, links: DataFrame, universe: DataFrame | None = None, ontology: str | None = None) -> DataFrame:

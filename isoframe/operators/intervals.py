@@ -9,7 +9,7 @@ step is bounded by the genome, not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,7 +90,7 @@ def overlap_join(
     if how != "inner":
         # Whether a row overlaps depends on its coordinates alone, so these are matched once and joined back.
         at = [*keys, "start", "end", "strand"]
-        places = left.select(*at).distinct()
+        places = settle(left.select(*at).distinct())
         # What overlaps some interval overlaps their union: merged, they meet each place a few times at most.
         others = settle(reduce(right, (*keys, "strand"))) if kind == "any" else right
         hits = overlap_join(places, others.select(*at), kind, ignore_strand, "inner", suffixes, base, keys, bins)
@@ -133,6 +133,25 @@ def anti_overlap(left: DataFrame, right: DataFrame, **options) -> DataFrame:
     return overlap_join(left, right, how="left_anti", **options)
 
 
+def overlap_update(left: DataFrame, right: DataFrame, columns: Mapping[str, str], order: Sequence[str], **options) -> DataFrame:
+    """An update of left by overlap: where some right interval meets a row, its `columns` (left name: right name) become those of
+    the hit that is last in `order`, nulls included; other rows keep what they have, or null for a new column.
+
+    A row's hits depend on its place alone, so places are matched once. Each hit carries its ordinal, and the last one of a place
+    is one aggregate, combined before the shuffle. Of hits alike in order the greatest by value counts. options: as overlap_join.
+    """
+    keys = options.get("keys", ("chrom",))
+    at = [*keys, "start", "end", "strand"]
+    named = {f"_n{i}": F.col(c) for i, c in enumerate(order)} | {f"_v{i}": F.col(c) for i, c in enumerate(columns.values())}
+    subjects = right.select(*at, *[c.alias(n) for n, c in named.items()])
+    hits = overlap_join(left.select(*at).distinct(), subjects, how="inner", suffixes=("", "_hit"), **options)
+    last = hits.groupBy(*at).agg(F.max(F.struct(*[F.col(f"{n}_hit").alias(n) for n in named])).alias("_last"))
+    joined = left.join(last, at, "left")
+    new = {c: F.col(f"_last._v{i}") for i, c in enumerate(columns)}
+    kept = [F.when(F.col("_last").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in left.columns]
+    return joined.select(*kept, *[new[c].alias(c) for c in columns if c not in left.columns])
+
+
 def _islands(df: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
@@ -227,15 +246,19 @@ def row_difference(start_a: Column, end_a: Column, start_b: Column, end_b: Colum
     )
 
 
-def depth_histogram(runs: DataFrame, blocks: DataFrame, key: str, run_keys: Sequence[str] = ("chrom",), base: int | None = None) -> DataFrame:
-    """(key, depth, bases): how many bases of each key's blocks lie at each depth, uncovered ones at depth 0."""
+def depth_histogram(runs: DataFrame, blocks: DataFrame, key: str, run_keys: Sequence[str] = ("chrom",), base: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(key, by, depth, bases): how many bases of each key's blocks lie at each depth, uncovered ones at depth 0.
+
+    by: columns of the runs (a sample, say) that have a histogram each; keys that no run of theirs meets have none then.
+    """
     a = blocks.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", key)
     # Runs are worked out from all reads: once, for the lengths and the join.
-    b = settle(runs.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", "depth"))
+    b = settle(runs.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", "depth", *by))
     met = overlap_join(a, b, keys=run_keys, base=base, suffixes=("", "_run"))
-    covered = met.groupBy(key, F.col("depth_run").alias("depth")).agg(F.sum(F.least("end", "end_run") - F.greatest("start", "start_run") + 1).alias("bases"))
+    covered = met.groupBy(key, *[F.col(f"{c}_run").alias(c) for c in by], F.col("depth_run").alias("depth")).agg(F.sum(F.least("end", "end_run") - F.greatest("start", "start_run") + 1).alias("bases"))
     whole = blocks.groupBy(key).agg(F.sum(width()).alias("_whole"))
-    rest = whole.join(covered.groupBy(key).agg(F.sum("bases").alias("_seen")), key, "left").select(key, F.lit(0).cast("long").alias("depth"), (F.col("_whole") - F.coalesce("_seen", F.lit(0))).alias("bases")).where("bases > 0")
+    seen = covered.groupBy(key, *by).agg(F.sum("bases").alias("_seen"))
+    rest = whole.join(seen, key, "inner" if by else "left").select(key, *by, F.lit(0).cast("long").alias("depth"), (F.col("_whole") - F.coalesce("_seen", F.lit(0))).alias("bases")).where("bases > 0")
     return covered.unionByName(rest)
 
 
@@ -277,10 +300,12 @@ def splice_site_points(introns: DataFrame, upstream: bool) -> DataFrame:
     return introns.withColumns({"start": at, "end": at})
 
 
-def stack_levels(df: DataFrame, view: Sequence[str], item: str) -> DataFrame:
-    """The row on which each item of a view is drawn, from 1: items that overlap get different rows, first fit.
+def stack_levels(df: DataFrame, view: Sequence[str], item: str, stretch: int = 1 << 20) -> DataFrame:
+    """The row on which each item of a view is drawn, from 1: items that overlap get different rows, first fit by start, end
+    and item.
 
-    Views are what one plot shows; each is laid out by one task.
+    Islands of overlapping items do not affect each other: each begins with all rows free. So the items are laid out in stretches
+    of whole islands, those that begin within `stretch` positions together, and no task holds a view.
     """
     import pandas as pd
 
@@ -293,10 +318,13 @@ def stack_levels(df: DataFrame, view: Sequence[str], item: str) -> DataFrame:
                 ends.append(0)
             ends[level] = r.end
             levels.append((r.Index, level + 1))
-        out = rows.copy()
+        out = rows.drop(columns="_stretch")
         out["level"] = pd.Series(dict(levels))
         return out
 
-    spans = df.groupBy(*view, item).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema)
-    return spans.groupBy(*view).applyInPandas(layout, f"{kinds}, level long")
+    spans = settle(df.groupBy(*view, item).agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("strand", F.lit("*")))
+    islands = settle(reduce(spans, list(view), 0).withColumn("strand", F.lit("*")))
+    met = overlap_join(spans, islands, kind="within", keys=view, suffixes=("", "_island"))
+    rows = met.select(*view, item, "start", "end", F.floor(F.col("start_island") / stretch).alias("_stretch"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema if f.name != "strand")
+    return rows.groupBy(*view, "_stretch").applyInPandas(layout, f"{kinds}, level long")

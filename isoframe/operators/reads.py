@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from isoframe.functions.coords import reverse_complement
 from isoframe.operators import intervals as iv
 from isoframe.operators.sequence import chunked, contig_lengths
+from isoframe.operators.tables import sums_before
 from isoframe.sources.store import settle
 
 #: Least length of the blocks beside a counted junction; of a block that counts at a point, exclusive; where it counts from.
@@ -235,14 +236,16 @@ def intron_records(introns: DataFrame, measured: DataFrame, cover: DataFrame, ju
     base = introns.crossJoin(samples)  # a record for each sample by definition
     plane = F.col("strand") if directional else F.lit("*")
 
-    # The stretches to measure and those at either edge meet the coverage in one join.
+    # The stretches to measure and those at either edge meet the coverage of all samples in one join; a sample is what the runs
+    # that they meet are of, and an intron that no run of a sample meets has no row yet.
     whole = measured.join(introns.select("name", plane.alias("plane")), "name").withColumn("kind", F.lit("whole"))
     edge = introns.withColumn("plane", plane)
     first = edge.withColumns({"kind": F.lit("first"), "end": F.col("start") + 55, "start": F.col("start") + 5})
     last = edge.withColumns({"kind": F.lit("last"), "start": F.col("end") - 55, "end": F.col("end") - 5})
     parts = [df.select("kind", "name", "chrom", "plane", (F.col("start") + 1).alias("start"), "end") for df in (whole, first, last)]
-    each = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(samples).withColumn("id", F.struct("sample", "name", "kind"))
-    stats = iv.histogram_stats(iv.depth_histogram(cover.withColumnRenamed("strand", "plane"), each, "id", ("sample", "chrom", "plane")), "id")
+    each = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("part", F.struct("name", "kind"))
+    hist = iv.depth_histogram(cover.withColumnRenamed("strand", "plane"), each, "part", ("chrom", "plane"), by=("sample",))
+    stats = iv.histogram_stats(hist.withColumn("id", F.struct("sample", "part.name", "part.kind")), "id")
     of = lambda kind, c: F.max(F.when(F.col("id.kind") == kind, F.col(c)))
     depths = stats.groupBy("id.sample", "id.name").agg(of("whole", "covered").alias("coverage"), of("whole", "trimmed_mean").alias("depth"), *[of("whole", c).alias(c) for c in ("p25", "p50", "p75")], of("first", "trimmed_mean").alias("first50"), of("last", "trimmed_mean").alias("last50"))
 
@@ -326,7 +329,7 @@ def synthetic_reads(genome: DataFrame, length: int = 70, stride: int = 10, error
     per = settle(rows.select("ord", "chunk", F.size("w").alias("n")))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     total = contigs.select("ord", windows.alias("windows")).join(per.groupBy("ord").agg(F.sum("n").alias("emitted")), "ord")
-    total = total.select("ord", *[F.coalesce(F.sum(c).over(earlier(Window.orderBy("ord"))), F.lit(0)).alias(c) for c in ("windows", "emitted")])
+    total = sums_before(total, ["ord"], ["windows", "emitted"])
     per = per.select("ord", "chunk", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("ord").orderBy("chunk"))), F.lit(0)).alias("before"))
     rows = rows.join(per, ["ord", "chunk"]).join(total, "ord").select("chrom", "windows", (F.col("emitted") + F.col("before")).alias("before"), F.posexplode("w").alias("i", "w"))
     rows = rows.select("chrom", (F.col("w.k") * stride + 1).alias("pos"), (F.col("windows") + F.col("w.k") + 1).alias("number"), (F.col("before") + F.col("i") + 1).alias("nth"), F.col("w.s").alias("s"))

@@ -81,6 +81,19 @@ def number_all(df: DataFrame, order: Order, name: str = "position") -> DataFrame
     return dealt.join(F.broadcast(sizes), "_range").withColumn(name, number).drop("_range", "_id", "_before")
 
 
+def sums_before(df: DataFrame, order: Order, columns: Sequence[str]) -> DataFrame:
+    """Each of `columns` becomes the sum over the rows that come before in the order given, 0 for the first. Rows are dealt to
+    ranges of the order; what comes before a range is one row of sums."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = settle(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(columns))])
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumns({f"_w{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(columns)}).join(F.broadcast(sums), "_range")
+    return summed.select(*[(F.col(f"_w{columns.index(c)}") + F.col(f"_b{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def look_up(x: DataFrame, y: DataFrame, on: Sequence[str], y_order: Order, x_order: Order) -> DataFrame:
     """X[Y]: every row of y in y's order, once for each row of x of its key in x's order, or once with nulls in x's columns.
 

@@ -238,7 +238,7 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
   j AS (SELECT *, unnest(range(x, least(s, n) + 1)) AS i FROM o),
   t AS (SELECT term, sum(exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + lgamma(m - s + 1) - lgamma(n - i + 1) - lgamma(m - s - n + i + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1))) AS p FROM j WHERE n - i <= m - s GROUP BY term),
   r AS (SELECT term, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM t)
-  SELECT term AS go_id, round(p, 7) AS p_value, round(least(1.0, min(q) OVER (ORDER BY p DESC)), 7) AS fdr FROM r""")
+  SELECT term AS go_id, round(p, 6) AS p_value, round(least(1.0, min(q) OVER (ORDER BY p DESC)), 7) AS fdr FROM r""")
 def gene_set_p_values(spark: SparkSession, sf: str) -> DataFrame:
     """Hypergeometric tails and their adjustment."""
     return rounded(_enriched(spark, sf).select("go_id", "p_value", "fdr"), "p_value", "fdr", places=7)
@@ -273,28 +273,86 @@ def _contrast(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list]]
     return c, {"sample": names, "cond": ["A" if s < "3" else "B" for s in names]}
 
 
-@query(None)
+def _trigamma_sql(y: str) -> str:
+    z = f"({y} + 40)"
+    return f"(list_sum(list_transform(range(0, 40), lambda k: 1 / (({y} + k) * ({y} + k)))) + 1 / {z} + 1 / (2 * {z} ** 2) + 1 / (6 * {z} ** 3) - 1 / (30 * {z} ** 5) + 1 / (42 * {z} ** 7))"
+
+
+def _digamma_sql(y: str) -> str:
+    z = f"({y} + 40)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - list_sum(list_transform(range(0, 40), lambda k: 1 / ({y} + k))))"
+
+
+def _t_tail_sql(t: str, df: str, steps: int = 1000) -> str:
+    """Two-sided tail of Student's t by Simpson's rule on its angle, squared so that the integrand is smooth at 0."""
+    h = f"(sqrt(pi() / 2 - atan(abs({t}) / sqrt({df}))) / {steps})"
+    term = f"sin((k * {h}) ** 2) ** ({df} - 1) * 2 * k * {h} * CASE WHEN k = {steps} THEN 1 WHEN k % 2 = 0 THEN 2 ELSE 4 END"
+    return f"(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {h} / 3 * list_sum(list_transform(range(1, {steps} + 1), lambda k: {term})))"
+
+
+#: The moderated t of two groups of two and three samples: an ordinary comparison of differences of log counts, moderated.
+_MODERATED = (
+    _CELLS.replace("WITH cells", "WITH RECURSIVE cells")
+    + """, f AS (SELECT *, CASE WHEN sample < '3' THEN 'A' ELSE 'B' END AS level, count(*) OVER (PARTITION BY event_name) AS k, sum(included + excluded) OVER (PARTITION BY sample) AS size FROM cells),
+  v AS (SELECT event_name, level, log2(included + 0.5) - log2(excluded + 0.5) AS r, log2((included + 0.5) / (size + 1) * 1e6) AS i, log2((excluded + 0.5) / (size + 1) * 1e6) AS e FROM f WHERE k = 5),
+  g AS (SELECT event_name, avg(r) FILTER (level = 'A') - avg(r) FILTER (level = 'B') AS log_fc, (var_pop(r) FILTER (level = 'A') * 2 + var_pop(r) FILTER (level = 'B') * 3) / 6 AS s2, least(avg(i), avg(e)) AS low FROM v GROUP BY 1),
+  u AS MATERIALIZED (SELECT event_name, log_fc, s2 FROM g WHERE low - (SELECT min(low) FROM g) > 1),
+  middle AS (SELECT s2 AS m FROM (SELECT s2, row_number() OVER (ORDER BY s2) AS r, count(*) OVER () AS n FROM u) WHERE r = ceil(n / 2)),
+  logs AS MATERIALIZED (SELECT avg(ln(x)) AS m, var_samp(ln(x)) - (pi() ** 2 / 2 - 4) AS extra, (SELECT count(*) FROM u) AS n FROM (SELECT greatest(s2, 1e-5 * m) AS x FROM u, middle) WHERE x > 1e-15),
+  halves AS (SELECT 0 AS step, ln(1e-8) AS lo, ln(1e8) AS hi, extra FROM logs WHERE extra > 0
+    UNION ALL SELECT step + 1, CASE WHEN above THEN (lo + hi) / 2 ELSE lo END, CASE WHEN above THEN hi ELSE (lo + hi) / 2 END, extra FROM (SELECT *, """
+    + _trigamma_sql("exp((lo + hi) / 2)")
+    + """ > extra AS above FROM halves WHERE step < 100)),
+  d AS (SELECT max(exp((lo + hi) / 2)) AS half FROM halves WHERE step = 100),
+  prior AS MATERIALIZED (SELECT 2 * half AS d0, n, least(coalesce(2 * half, 1e308) + 3, 3.0 * n) AS total,
+    exp(m - 0.03648997397857652 + ln(1.5) + CASE WHEN half IS NULL THEN 0 ELSE """
+    + _digamma_sql("half")
+    + """ - ln(half) END) AS s0 FROM logs, d),
+  t AS MATERIALIZED (SELECT event_name, log_fc, log_fc / sqrt(5.0 / 3 * CASE WHEN d0 IS NULL THEN s0 ELSE (d0 * s0 + 3 * s2) / (d0 + 3) END) AS t FROM u, prior),
+  p AS MATERIALIZED (SELECT event_name, log_fc, t, """
+    + _t_tail_sql("t", "total")
+    + """ AS p FROM t, prior),
+  q AS MATERIALIZED (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM p),"""
+)
+
+
+@query(
+    _MODERATED
+    + """
+  top AS MATERIALIZED (SELECT *, ((r - 0.5) / n - (1 - share) * p) / share AS want FROM (SELECT t, p, row_number() OVER (ORDER BY abs(t) DESC, event_name) AS r FROM p), (SELECT n, greatest(ceil(0.005 * n) / n, 0.01) AS share FROM prior) WHERE r <= ceil(0.005 * n)),
+  quantile AS (SELECT 0 AS step, r, t, want, CAST(-12 AS DOUBLE) AS lo, CAST(12 AS DOUBLE) AS hi FROM top WHERE want > p
+    UNION ALL SELECT step + 1, r, t, want, CASE WHEN above THEN (lo + hi) / 2 ELSE lo END, CASE WHEN above THEN hi ELSE (lo + hi) / 2 END FROM (SELECT quantile.*, """
+    + _t_tail_sql("exp((lo + hi) / 2)", "total")
+    + """ > want AS above FROM quantile, prior WHERE step < 50)),
+  v0 AS (SELECT avg(greatest(0.01 / s0, least(16 / s0, coalesce(5.0 / 3 * ((abs(top.t) / exp((lo + hi) / 2)) ** 2 - 1), 0)))) AS v0 FROM prior, top LEFT JOIN quantile ON quantile.r = top.r AND quantile.step = 50)
+  SELECT event_name, round(log_fc, 6) AS log_fc, round(t, 6) AS statistic, round(p, 6) AS p_value, round(least(1.0, min(q) OVER (ORDER BY p DESC)), 6) AS fdr,
+    round(ln(0.01 / 0.99) - ln(1 + v0 / (5.0 / 3)) / 2 + CASE WHEN coalesce(d0, 1e9) > 1e6 THEN t * t * (1 - 1 / (1 + v0 / (5.0 / 3))) / 2 ELSE (1 + total) / 2 * ln((t * t + total) / (t * t / (1 + v0 / (5.0 / 3)) + total)) END, 5) AS b
+  FROM q, prior, v0""",
+    "assay",
+)
 def moderated_t_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Moderated t, its p-values and log-odds; the SQL has the tails by Simpson's rule and the prior by bisection."""
     c, samples = _contrast(spark, sf)
-    return de.limma_test(c, samples, "cond", "A", "B")
+    out = de.limma_test(c, samples, "cond", "A", "B", ordered=False).select("event_name", "log_fc", "statistic", "p_value", "fdr", "b")
+    return rounded(rounded(out, "log_fc", "statistic", "p_value", "fdr"), "b", places=5)
 
 
 @query(None)
 def quasi_likelihood_test(spark: SparkSession, sf: str) -> DataFrame:
     c, samples = _contrast(spark, sf)
-    return de.edger_test(c, samples, "cond", "A", "B")
+    return de.edger_test(c, samples, "cond", "A", "B", ordered=False)
 
 
 @query(None)
 def wald_test(spark: SparkSession, sf: str) -> DataFrame:
     c, samples = _contrast(spark, sf)
-    return de.deseq_test(c, samples, "cond", "A", "B")
+    return de.deseq_test(c, samples, "cond", "A", "B", ordered=False)
 
 
 @query(None)
 def double_exponential_test(spark: SparkSession, sf: str) -> DataFrame:
     c, samples = _contrast(spark, sf)
-    return de.double_exponential_test(c, samples, "cond", "A", "B")
+    return de.double_exponential_test(c, samples, "cond", "A", "B", ordered=False)
 
 
 # --- coverage views -------------------------------------------------------------------------------------------------------
@@ -304,8 +362,16 @@ _COVER = """WITH e AS (SELECT 's' || CAST(l_suppkey % 3 AS VARCHAR) AS sample, c
   c AS (SELECT * FROM (SELECT sample, chrom, pos AS start, lead(pos) OVER w - 1 AS stop, CAST(sum(d) OVER w AS BIGINT) AS depth FROM x WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)) WHERE depth > 0)"""
 
 
-def _cover(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "intervals").withColumn("sample", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")))
+def _sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "intervals").withColumn("sample", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")))
+
+
+def _cover(spark: SparkSession, sf: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Coverage of all contigs, or of the intervals that meet a region: nothing else matters there."""
+    rows = _sampled(spark, sf)
+    if region is not None:
+        chrom, start, end = region
+        rows = rows.where((F.col("chrom") == chrom) & (F.col("start") <= end) & (F.col("end") >= start))
     return settle(iv.coverage_runs(rows, ("sample", "chrom")).withColumn("strand", F.lit("*")))
 
 
@@ -320,16 +386,17 @@ def coverage_of_regions(spark: SparkSession, sf: str) -> DataFrame:
 @query(_COVER + """, b AS (SELECT range AS x FROM range(1000, 3001)), s AS (SELECT DISTINCT sample FROM c)
   SELECT s.sample, x, coalesce(c.depth, 0) AS depth FROM b CROSS JOIN s LEFT JOIN c ON c.sample = s.sample AND c.chrom = 'A' AND x BETWEEN c.start AND c.stop""", "intervals")
 def coverage_per_base(spark: SparkSession, sf: str) -> DataFrame:
-    return cv.coverage_per_base(_cover(spark, sf), "A", 1000, 3000)
+    return cv.coverage_per_base(_cover(spark, sf, ("A", 1000, 3000)), "A", 1000, 3000, samples=_sampled(spark, sf).select("sample").distinct())
 
 
 @query(_COVER + """, b AS (SELECT range AS x FROM range(1000, 3001)), s AS (SELECT DISTINCT sample FROM c),
   p AS (SELECT s.sample, x, coalesce(c.depth, 0) AS depth FROM b CROSS JOIN s LEFT JOIN c ON c.sample = s.sample AND c.chrom = 'A' AND x BETWEEN c.start AND c.stop)
   SELECT CASE WHEN sample = 's0' THEN 'A' ELSE 'B' END AS grp, x, round(avg(depth), 6) AS mean, round(stddev_samp(depth), 6) AS sd, count(*) AS n FROM p GROUP BY 1, 2""", "intervals")
 def coverage_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    cover = _cover(spark, sf)
-    samples = cover.select("sample").distinct().withColumn("cond", F.when(F.col("sample") == "s0", "A").otherwise("B"))
-    stats = cv.group_stats(cv.coverage_per_base(cover, "A", 1000, 3000).withColumnRenamed("depth", "value"), samples, "cond")
+    names = _sampled(spark, sf).select("sample").distinct()
+    samples = names.withColumn("cond", F.when(F.col("sample") == "s0", "A").otherwise("B"))
+    bases = cv.coverage_per_base(_cover(spark, sf, ("A", 1000, 3000)), "A", 1000, 3000, samples=names)
+    stats = cv.group_stats(bases.withColumnRenamed("depth", "value"), samples, "cond")
     return rounded(stats.select(F.col("group").alias("grp"), "x", "mean", "sd", "n"), "mean", "sd")
 
 
@@ -337,7 +404,7 @@ def coverage_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
   SELECT s.sample, b.bin, b.start, b."end", round(coalesce(sum(c.depth * (least(c.stop, b."end") - greatest(c.start, b.start) + 1)), 0) / (any_value(b."end") - any_value(b.start) + 1), 6) AS mean
   FROM b CROSS JOIN s LEFT JOIN c ON c.sample = s.sample AND c.chrom = 'A' AND c.start <= b."end" AND c.stop >= b.start WHERE b."end" IS NOT NULL GROUP BY ALL""", "intervals")
 def coverage_in_bins(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(cv.binned_coverage(_cover(spark, sf), "A", 1000, 3000, bins=8).select("sample", "bin", "start", "end", "mean"), "mean")
+    return rounded(cv.binned_coverage(_cover(spark, sf, ("A", 1000, 3000)), "A", 1000, 3000, bins=8, samples=_sampled(spark, sf).select("sample").distinct()).select("sample", "bin", "start", "end", "mean"), "mean")
 
 
 @query("""WITH w AS (SELECT c_nationkey AS view, c_custkey AS item, c_custkey * 3 AS start, c_custkey * 3 + 40 + c_custkey % 17 AS stop FROM customer)
@@ -347,9 +414,14 @@ def view_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return iv.overlap_join(w, w).groupBy(F.col("view_a").alias("view"), F.col("item_a").alias("item")).agg(F.count(F.lit(1)).alias("overlaps"))
 
 
-@query(None)
+@query("""WITH RECURSIVE w AS (SELECT c_nationkey AS view, c_custkey AS item, c_custkey * 3 AS start, c_custkey * 3 + 40 + c_custkey % 17 AS stop FROM customer),
+  n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY start, stop, item) AS r FROM w),
+  s AS (SELECT view, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ends, CAST(0 AS BIGINT) AS item, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, CAST(0 AS BIGINT) AS level FROM (SELECT DISTINCT view FROM w)
+    UNION ALL SELECT view, r, list_transform(range(1, greatest(len(ends), level) + 1), lambda i: CASE WHEN i = level THEN stop ELSE ends[i] END), item, start, stop, level
+    FROM (SELECT n.view, n.r, s.ends, n.item, n.start, n.stop, coalesce(list_min(list_filter(range(1, len(s.ends) + 1), lambda i: s.ends[i] < n.start)), len(s.ends) + 1) AS level FROM s JOIN n ON n.view = s.view AND n.r = s.r + 1))
+  SELECT view, item, start, stop AS "end", level FROM s WHERE r > 0""")
 def view_layout(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows on which each view's items are drawn; tests hold that overlapping items differ."""
+    """Rows on which each view's items are drawn, first fit."""
     w = table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("start"), (F.col("c_custkey") * 3 + 40 + F.col("c_custkey") % 17).alias("end"), F.col("c_nationkey").alias("view"), F.col("c_custkey").alias("item"))
     return iv.stack_levels(w, ["view"], "item")
 

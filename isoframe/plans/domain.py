@@ -77,7 +77,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """SQL over the views it names, for the oracle."""
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
-    return f"WITH {views}\n{sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {views}, {sql.lstrip()[5:]}"
+    body = sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views}\n{sql}"
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:

@@ -71,6 +71,15 @@ def overlap_anti(spark: SparkSession, sf: str) -> DataFrame:
     return iv.anti_overlap(view(spark, sf, "genes"), view(spark, sf, "intervals"))
 
 
+@query(f"""WITH h AS (SELECT g.gene, i.l_partkey, i.l_suppkey, i.start FROM genes g JOIN intervals i ON {_MEET} AND {_STRAND} QUALIFY row_number() OVER (PARTITION BY g.gene ORDER BY i.l_partkey DESC, i.l_suppkey DESC, i.start DESC) = 1)
+  SELECT g.gene, g.chrom, coalesce(h.start, g.start) AS start, g.start AS own, h.l_partkey AS part, h.l_suppkey AS supp FROM genes g LEFT JOIN h USING (gene)""", "genes", "intervals")
+def overlap_last_hit(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes updated from the last of the intervals that they meet, by part, supplier and start."""
+    genes = view(spark, sf, "genes")
+    out = iv.overlap_update(genes.withColumn("begin", F.col("start")), view(spark, sf, "intervals"), {"begin": "start", "part": "l_partkey", "supp": "l_suppkey"}, ["l_partkey", "l_suppkey", "start"])
+    return out.select("gene", "chrom", F.col("begin").alias("start"), F.col("start").alias("own"), "part", "supp")
+
+
 def _reduce_sql(source: str, gap: int) -> str:
     return f"""WITH r AS (SELECT chrom, strand, start, "end", max("end") OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
       n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
@@ -225,6 +234,15 @@ def ordered_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("o_custkey", F.col("o_orderkey_a").alias("first_order"), F.col("o_orderkey_b").alias("second_order"))
 
 
+@query("""WITH y AS (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS position FROM customer)
+  SELECT position, c_custkey AS cust, c_acctbal, o_orderkey, o_totalprice FROM y LEFT JOIN orders ON o_custkey = c_custkey""")
+def look_up_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders looked up for customers in the order of their balances; unmatched customers stay."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("cust"), "o_orderkey", "o_totalprice", "o_orderdate")
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("cust"), "c_acctbal")
+    return tb.look_up(orders, customers, ["cust"], ["c_acctbal", "cust"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
 @query("""SELECT coalesce(s.s_nationkey, c.c_nationkey) AS nation, coalesce(s.n, c.n) AS n FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON s.s_nationkey = c.c_nationkey""")
 def upsert_tables(spark: SparkSession, sf: str) -> DataFrame:
     new = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))

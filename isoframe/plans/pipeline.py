@@ -15,13 +15,14 @@ from isoframe.operators import reads as rd
 from isoframe.operators import sequence as sq
 from isoframe.operators.dataset import SpliceDataset, drop_overlapping_introns, drop_overlapping_introns_iterative
 from isoframe.sources import text
+from isoframe.sources.fasta import read_fasta_chunks
 from isoframe.sources.store import Store, scratch, settle
 
 
 def get_resources(store: Store, fasta: str, gtf: str, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, model): the genome in chunks and the repaired annotation on its contigs."""
     spark = store.spark
-    chunks = store.write("chunks", sq.chunked(text.read_fasta(spark, fasta)), overwrite)
+    chunks = store.write("chunks", read_fasta_chunks(spark, fasta), overwrite)
     if overwrite or not store.has("model"):
         store.write("model", an.repair(an.reconcile_contigs(text.read_gtf(spark, gtf), chunks.select("chrom").distinct())), overwrite)
     return chunks, store.read("model")

@@ -96,10 +96,11 @@ def strands_of_junctions(spark: SparkSession, sf: str) -> DataFrame:
     return qt.annotate_strand(found, rows.where("supp % 5 = 0"), contigs)
 
 
-@query("""WITH j AS (SELECT DISTINCT chrom, start, "end", strand FROM lines WHERE supp % 4 <> 1),
-  t AS (SELECT DISTINCT a.chrom, a.start AS start1, a."end" AS end1, b.start AS start2, b."end" AS end2 FROM lines a JOIN lines b ON a.k = b.k AND b.n = a.n + 1)
-  SELECT t.*, CASE WHEN x.strand <> '*' THEN x.strand ELSE y.strand END AS strand FROM t JOIN j x ON t.chrom = x.chrom AND start1 = x.start AND end1 = x."end" JOIN j y ON t.chrom = y.chrom AND start2 = y.start AND end2 = y."end"
-  WHERE x.strand = y.strand OR x.strand = '*' OR y.strand = '*'""", "lines")
+@query("""WITH l AS MATERIALIZED (SELECT * FROM lines), j AS MATERIALIZED (SELECT DISTINCT chrom || ':' || CAST(start AS VARCHAR) || '-' || CAST("end" AS VARCHAR) AS place, strand FROM l WHERE supp % 4 <> 1),
+  t AS MATERIALIZED (SELECT DISTINCT a.chrom, a.start AS start1, a."end" AS end1, b.start AS start2, b."end" AS end2 FROM l a JOIN l b ON CAST(a.k AS VARCHAR) || '/' || CAST(a.n + 1 AS VARCHAR) = CAST(b.k AS VARCHAR) || '/' || CAST(b.n AS VARCHAR)),
+  x AS MATERIALIZED (SELECT t.*, j.strand AS s1 FROM t JOIN j ON j.place = chrom || ':' || CAST(start1 AS VARCHAR) || '-' || CAST(end1 AS VARCHAR)),
+  y AS MATERIALIZED (SELECT x.*, j.strand AS s2 FROM x JOIN j ON j.place = chrom || ':' || CAST(start2 AS VARCHAR) || '-' || CAST(end2 AS VARCHAR))
+  SELECT chrom, start1, end1, start2, end2, CASE WHEN s1 <> '*' THEN s1 ELSE s2 END AS strand FROM y WHERE s1 = s2 OR s1 = '*' OR s2 = '*'""", "lines")
 def strands_of_tandem_junctions(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring lines of an order as tandem junctions."""
     rows = view(spark, sf, "lines")
@@ -108,7 +109,7 @@ def strands_of_tandem_junctions(spark: SparkSession, sf: str) -> DataFrame:
     return qt.annotate_tandem(tandem, rows.where("supp % 4 <> 1").select("chrom", "start", "end", "strand").distinct())
 
 
-_SITES = """SELECT chrom, k % 300 * 40 AS start, k % 300 * 40 + 100 + part % 9 * 10 AS "end", CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, max(CASE WHEN part % 4 = 0 THEN 1 ELSE 0 END) = 1 AS annotated,
+_SITES = """SELECT chrom, CAST(floor(k / 12) AS BIGINT) * 40 AS start, CAST(floor(k / 12) AS BIGINT) * 40 + 100 + part % 9 * 10 AS "end", CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, max(CASE WHEN part % 4 = 0 THEN 1 ELSE 0 END) = 1 AS annotated,
   count(DISTINCT sample) AS samples, CAST(sum(CASE WHEN q >= 49 THEN 1 ELSE 0 END) AS BIGINT) AS samples_over FROM lines WHERE part % 13 < 9 GROUP BY 1, 2, 3, 4"""
 
 
@@ -116,7 +117,7 @@ _SITES = """SELECT chrom, k % 300 * 40 AS start, k % 300 * 40 + 100 + part % 9 *
   AND (EXISTS (SELECT 1 FROM s a WHERE a.annotated AND a.chrom = s.chrom AND a.strand = s.strand AND a.start = s.start) OR EXISTS (SELECT 1 FROM s a WHERE a.annotated AND a.chrom = s.chrom AND a.strand = s.strand AND a."end" = s."end"))""", "lines")
 def novel_junctions_of_known_sites(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "lines").where("part % 13 < 9")
-    s = rows.groupBy("chrom", F.expr("k % 300 * 40").alias("start"), F.expr("k % 300 * 40 + 100 + part % 9 * 10").alias("end"), F.when(F.expr("k % 2 = 0"), "+").otherwise("-").alias("strand"))
+    s = rows.groupBy("chrom", F.expr("k div 12 * 40").alias("start"), F.expr("k div 12 * 40 + 100 + part % 9 * 10").alias("end"), F.when(F.expr("k % 2 = 0"), "+").otherwise("-").alias("strand"))
     s = settle(s.agg((F.max(F.expr("part % 4 = 0"))).alias("annotated"), F.count_distinct("sample").alias("samples"), F.count_if(F.expr("q >= 49")).alias("samples_over")))
     # Junctions of both strands at one place have one prevalence, so places are told apart by strand.
     at = [F.concat("chrom", "strand").alias("chrom"), "start", "end"]
@@ -240,8 +241,8 @@ _FULL = ", f AS (SELECT *, CASE WHEN sample < '3' THEN 'A' ELSE 'B' END AS level
 
 
 @query(_CELLS + _FULL + """, v AS (SELECT event_name, level, log2(included + 0.5) - log2(excluded + 0.5) AS r, log2((included + 0.5) / (size + 1) * 1e6) AS i, log2((excluded + 0.5) / (size + 1) * 1e6) AS e, included, excluded FROM f WHERE k = 5),
-  g AS (SELECT event_name, avg(r) FILTER (level = 'A') - avg(r) FILTER (level = 'B') AS log_fc, avg(i) FILTER (level = 'A') - avg(i) FILTER (level = 'B') AS log_fc_inc, avg(e) FILTER (level = 'A') - avg(e) FILTER (level = 'B') AS log_fc_exc, (avg(i) + avg(e)) / 2 AS ave_expr, least(avg(included), avg(excluded)) AS low FROM v GROUP BY 1)
-  SELECT event_name, round(log_fc, 6) AS log_fc, round(log_fc_inc, 6) AS log_fc_inc, round(log_fc_exc, 6) AS log_fc_exc, round(ave_expr, 6) AS ave_expr FROM g WHERE low > 0""", "assay")
+  g AS (SELECT event_name, avg(r) FILTER (level = 'A') - avg(r) FILTER (level = 'B') AS log_fc, avg(i) FILTER (level = 'A') - avg(i) FILTER (level = 'B') AS log_fc_inc, avg(e) FILTER (level = 'A') - avg(e) FILTER (level = 'B') AS log_fc_exc, (avg(i) + avg(e)) / 2 AS ave_expr, least(avg(i), avg(e)) AS low FROM v GROUP BY 1)
+  SELECT event_name, round(log_fc, 6) AS log_fc, round(log_fc_inc, 6) AS log_fc_inc, round(log_fc_exc, 6) AS log_fc_exc, round(ave_expr, 6) AS ave_expr FROM g WHERE low - (SELECT min(low) FROM g) > 1""", "assay")
 def moderated_t_estimates(spark: SparkSession, sf: str) -> DataFrame:
     """What the moderated t test estimates; its p-values are held against references by tests."""
     c, samples = _contrast(spark, sf)
@@ -294,13 +295,13 @@ def plain_gene_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tracks of a view: suppliers are samples in two groups of two ---------------------------------------------------------
 
-_TRACKS = """WITH d AS (SELECT 's' || CAST(supp % 4 AS VARCHAR) AS sample, k % 100 AS x, CAST(sum(q) AS BIGINT) AS depth FROM lines GROUP BY 1, 2), z AS (SELECT DISTINCT sample, CAST(substr(sample, 2) AS INTEGER) * 3 + 4 AS norm, CASE WHEN sample < 's2' THEN 'A' ELSE 'B' END AS level FROM d),
+_TRACKS = """WITH d AS (SELECT 's' || CAST(supp % 4 AS VARCHAR) AS sample, CAST(floor(k / 24) AS BIGINT) AS x, CAST(sum(q) AS BIGINT) AS depth FROM lines GROUP BY 1, 2), z AS (SELECT DISTINCT sample, CAST(substr(sample, 2) AS INTEGER) * 3 + 4 AS norm, CASE WHEN sample < 's2' THEN 'A' ELSE 'B' END AS level FROM d),
   v AS (SELECT level, sample, x, depth / norm AS value FROM d JOIN z USING (sample))"""
 
 
 def _tracks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coverage, norms, samples)"""
-    d = settle(view(spark, sf, "lines").groupBy(_name("s", "supp % 4").alias("sample"), F.expr("k % 100").alias("x")).agg(F.sum("q").alias("depth")))
+    d = settle(view(spark, sf, "lines").groupBy(_name("s", "supp % 4").alias("sample"), F.expr("k div 24").alias("x")).agg(F.sum("q").alias("depth")))
     one = d.select("sample").distinct()
     depths = one.select(F.lit("e1").alias("event_name"), "sample", F.expr("int(substr(sample, 2)) * 3 + 4D").alias("depth"))
     return d, cv.event_norms(depths, "e1"), one.withColumn("cond", F.when(F.col("sample") < "s2", "A").otherwise("B"))
@@ -326,13 +327,13 @@ def base_differences(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cv.difference(stats, "A", "B", 2, 2), "score", places=5)
 
 
-@query("""WITH j AS (SELECT 's' || CAST(supp % 4 AS VARCHAR) AS sample, chrom, k % 50 * 100 AS start, k % 50 * 100 + n * 10 AS "end", CAST(sum(q) AS DOUBLE) AS count, sum(discount) / 1000 AS psi FROM lines GROUP BY 1, 2, 3, 4),
+@query("""WITH j AS (SELECT 's' || CAST(supp % 4 AS VARCHAR) AS sample, chrom, CAST(floor(k / 24) AS BIGINT) * 100 AS start, CAST(floor(k / 24) AS BIGINT) * 100 + n * 10 AS "end", CAST(sum(q) AS DOUBLE) AS count, sum(discount) / 1000 AS psi FROM lines GROUP BY 1, 2, 3, 4),
   g AS (SELECT CASE WHEN sample < 's2' THEN 'A' ELSE 'B' END AS grp, chrom, start, "end", avg(count / (CAST(substr(sample, 2) AS INTEGER) * 3 + 4)) AS mean_count, stddev_samp(count / (CAST(substr(sample, 2) AS INTEGER) * 3 + 4)) AS sd_count, avg(psi) AS mean_psi FROM j WHERE sample <> 's0' GROUP BY 1, 2, 3, 4),
   h AS (SELECT *, mean_count / max(mean_count) OVER (PARTITION BY grp) AS height FROM g)
   SELECT grp, chrom, start, "end", round(mean_count, 6) AS mean_count, round(sd_count, 6) AS sd_count, round(mean_psi, 6) AS mean_psi, round(height, 6) AS height FROM h WHERE height >= 0.123456""", "lines")
 def junction_tracks_of_groups(spark: SparkSession, sf: str) -> DataFrame:
     _, norms, samples = _tracks(spark, sf)
-    rows = view(spark, sf, "lines").groupBy(_name("s", "supp % 4").alias("sample"), "chrom", F.expr("k % 50 * 100").alias("start"), F.expr("k % 50 * 100 + n * 10").alias("end"), F.lit("+").alias("strand")).agg(F.sum("q").cast("double").alias("count"), (F.sum("discount") / 1000).alias("psi"))
+    rows = view(spark, sf, "lines").groupBy(_name("s", "supp % 4").alias("sample"), "chrom", F.expr("k div 24 * 100").alias("start"), F.expr("k div 24 * 100 + n * 10").alias("end"), F.lit("+").alias("strand")).agg(F.sum("q").cast("double").alias("count"), (F.sum("discount") / 1000).alias("psi"))
     out = cv.junction_tracks(rows, norms, samples, "cond", least=0.123456).withColumnRenamed("group", "grp")
     return rounded(out.select("grp", "chrom", "start", "end", "mean_count", "sd_count", "mean_psi", "height"), "mean_count", "sd_count", "mean_psi", "height")
 

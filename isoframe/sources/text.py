@@ -10,6 +10,9 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoframe.sources import bgzip
+from isoframe.sources.store import settle
+
 GTF_COLUMNS = ("chrom", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 ATTRIBUTES = ("gene_id", "gene_name", "gene_biotype", "gene_type", "transcript_id", "transcript_name", "transcript_biotype", "transcript_type", "transcript_support_level", "exon_number", "exon_id", "ccds_id", "protein_id")
 
@@ -23,8 +26,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gtf(spark: SparkSession, path: str, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """Rows of a GTF with the attributes asked for as columns; attributes that no row has are left out."""
-    raw = spark.read.csv(path, sep="\t", comment="#", quote="", schema=", ".join(f"{c} {'long' if c in ('start', 'end') else 'string'}" for c in GTF_COLUMNS))
+    """Rows of a GTF, plain, gzip or block-gzip, with the attributes asked for as columns; attributes that no row has are left out."""
+    if bgzip.is_block_gzip(path):  # many tasks, where Spark's own reader has one for a compressed file
+        cells = F.split("value", "\t")
+        raw = bgzip.read_lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(*[cells[i].cast("long" if c in ("start", "end") else "string").alias(c) for i, c in enumerate(GTF_COLUMNS)])
+    else:
+        raw = spark.read.csv(path, sep="\t", comment="#", quote="", schema=", ".join(f"{c} {'long' if c in ('start', 'end') else 'string'}" for c in GTF_COLUMNS))
     value = lambda a: F.nullif(F.regexp_extract("attributes", rf'(?:^|;\s*){a}\s+"?([^";]*)"?', 1), F.lit(""))
     rows = raw.select("chrom", "source", "type", "start", "end", "strand", "phase", *[value(a).alias(a) for a in attributes])
     found = rows.agg(*[F.max(F.col(a).isNotNull()).alias(a) for a in attributes]).first()
@@ -93,7 +100,8 @@ def read_blocks(spark: SparkSession, paths: dict[str, str], wanted: Sequence[str
     by_tail = F.create_map(*[x for p, s in names.items() for x in (F.lit(os.path.basename(p)), F.lit(s))]) if len({os.path.basename(p) for p in names}) == len(names) else None
     plain = F.regexp_replace("path", r"^file:/+", "/")
     by_path = F.create_map(*[x for p, s in names.items() for x in (F.lit(os.path.abspath(p)), F.lit(s))])
-    rows = rows.withColumn("sample", F.coalesce(by_path[plain], by_tail[tail]) if by_tail is not None else by_path[plain]).drop("path").cache()
+    rows = rows.withColumn("sample", F.coalesce(by_path[plain], by_tail[tail]) if by_tail is not None else by_path[plain]).drop("path")
+    rows = settle(rows)  # read for the headers, for the kinds of columns, and for each table
     out: dict[str, DataFrame] = {}
     for r in rows.groupBy("block").agg(F.first("header").alias("header")).collect():
         own = rows.where(F.col("block") == r["block"]).select("sample", *[F.get("row", F.lit(i)).alias(c) for i, c in enumerate(r["header"])])
