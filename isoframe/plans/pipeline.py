@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.functions.coords import format_interval
+from isoframe.functions.coords import format_interval, strip_version
 from isoframe.operators import annotation as an
 from isoframe.operators import events as ev
 from isoframe.operators import quant as qt
 from isoframe.operators import reads as rd
 from isoframe.operators import sequence as sq
 from isoframe.operators.dataset import SpliceDataset, drop_overlapping_introns, drop_overlapping_introns_iterative
+from isoframe.operators.enrichment import normalise_terms
 from isoframe.sources import text
 from isoframe.sources.fasta import read_fasta_chunks
 from isoframe.sources.store import Store, scratch, settle
@@ -76,12 +77,48 @@ def _build(store: Store, fasta: str | None, gtf: str | None, excluded: DataFrame
     return store
 
 
-def view(reference: Store, what: str) -> DataFrame:
-    """Reader's views of the reference: events, introns, exons, genes, transcripts, proteins, retention, nmd, peptides."""
-    tables = {"events": "events", "introns": "introns", "exons": "exons", "genes": "genes", "transcripts": "transcripts", "proteins": "proteins", "retention": "introns_nd", "nmd": "intron_nmd", "peptides": "event_peptides"}
+def view(reference: Store, what: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Reader's views of the reference: events, introns, exons, genes, transcripts, proteins, retention, nmd, peptides, gene_sets;
+    of the columns asked for, those that the table has."""
+    tables = {"events": "events", "introns": "introns", "exons": "exons", "genes": "genes", "transcripts": "transcripts", "proteins": "proteins", "retention": "introns_nd", "nmd": "intron_nmd", "peptides": "event_peptides", "gene_sets": "gene_sets"}
     if what not in tables:
         raise ValueError(f"views are {sorted(tables)}")
-    return reference.read(tables[what])
+    if not reference.has(tables[what]):
+        raise FileNotFoundError(f"the reference has no {what}")
+    rows = reference.read(tables[what])
+    return rows if columns is None else rows.select(*[c for c in columns if c in rows.columns])
+
+
+def add_gene_sets(reference: Store, links: DataFrame, terms: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """Gene sets of the reference's genes: gene_id, gene_name, go_id, go_term, ontology. links as for normalise_terms; versions
+    of gene ids do not count."""
+    genes = reference.read("genes").select(strip_version("gene_id").alias("_id"), "gene_id", "gene_name").distinct()
+    own = normalise_terms(links, terms).withColumn("_id", strip_version("gene_id")).drop("gene_id")
+    return reference.write("gene_sets", own.join(genes, "_id").select("gene_id", "gene_name", "go_id", "go_term", "ontology").distinct(), overwrite)
+
+
+def check_experiment(experiment: DataFrame) -> dict[str, tuple[str, ...]]:
+    """sample to its files, from a table whose first column names samples and whose others name files: result tables, then
+    coverage. Raised are fewer than two columns, null or repeated samples, and files that do not exist. Its rows are samples, a few
+    thousand at most; nulls among files of all samples leave that column out."""
+    if len(experiment.columns) < 2:
+        raise ValueError("an experiment has a column of samples and one of files at least")
+    rows = [tuple(r) for r in experiment.collect()]
+    names = [r[0] for r in rows]
+    if any(n is None or str(n) == "" for n in names) or len(set(names)) < len(names):
+        raise ValueError("samples must be named, each once")
+    used = [k for k in range(1, len(experiment.columns)) if k == 1 or not any(r[k] is None for r in rows)]
+    spark = experiment.sparkSession
+
+    def there(path: str | None) -> bool:
+        if path is None:
+            return False
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+    if gone := sorted(str(r[k]) for r in rows for k in used if not there(r[k])):
+        raise FileNotFoundError(f"files of the experiment do not exist: {gone}")
+    return {str(r[0]): tuple(r[k] for k in used) for r in rows}
 
 
 def process_alignments(out: Store, reference: Store, alignments: DataFrame, directional: bool = False, overwrite: bool = False) -> Store:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,5 +100,70 @@ class Store:
         return self.read(name)
 
     def describe(self) -> str:
-        """The manifest: each table's columns, as JSON."""
+        """Each table's columns, as JSON."""
         return json.dumps({n: self.read(n).dtypes for n in self.names()})
+
+    # A manifest names the version, and for each table its place (relative to the folder, or absolute where it lies elsewhere), its
+    # columns and its number of files, so that a folder can be moved as a whole and is checked when it is opened.
+
+    def _path(self, place: str) -> str:
+        return place if "://" in place or place.startswith("/") else f"{self.path}/{place}"
+
+    def _files(self, place: str) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(place))
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return 0
+        found, n = fs.listFiles(p, True), 0
+        while found.hasNext():
+            n += found.next().getPath().getName().startswith("part-")
+        return n
+
+    def write_manifest(self, version: int, places: dict[str, str] | None = None) -> dict:
+        """The manifest of all finished tables, and of those in `places`, which lie elsewhere."""
+        at = {n: n for n in self.names()} | (places or {})
+        found = {n: {"path": p, "columns": [list(c) for c in self.spark.read.parquet(self._path(p)).dtypes], "files": self._files(p)} for n, p in sorted(at.items())}
+        manifest = {"version": version, "tables": found}
+        fs, p = self._fs("manifest.json")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(manifest, indent=1).encode()))
+        out.close()
+        return manifest
+
+    def manifest(self) -> dict | None:
+        """The manifest, if there is one."""
+        fs, p = self._fs("manifest.json")
+        if not fs.exists(p):
+            return None
+        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
+
+    def check(self, version: int, migrations: dict[int, Callable[[Store], None]] | None = None) -> dict[str, DataFrame]:
+        """The tables of the manifest, brought to a version and checked.
+
+        migrations: version to a step that brings it to the next one; the manifest is written anew after each. Raised are a missing
+        manifest, a version without a step, one that is newer, and all tables at once that are gone, lack files or have other columns.
+        """
+        now = self.manifest()
+        if now is None:
+            raise FileNotFoundError(f"{self.path} has no manifest")
+        while now["version"] < version:
+            step = (migrations or {}).get(now["version"])
+            if step is None:
+                raise ValueError(f"no step from version {now['version']} of {self.path}")
+            step(self)
+            elsewhere = {n: t["path"] for n, t in now["tables"].items() if t["path"] != n}
+            now = self.write_manifest(now["version"] + 1, elsewhere)
+        if now["version"] > version:
+            raise ValueError(f"{self.path} is of version {now['version']}, newer than {version}")
+        wrong, out = [], {}
+        for n, t in now["tables"].items():
+            files = self._files(t["path"])
+            if files < t["files"]:
+                wrong.append(f"{n}: {files} of {t['files']} files")
+                continue
+            out[n] = self.spark.read.parquet(self._path(t["path"]))
+            if [list(c) for c in out[n].dtypes] != t["columns"]:
+                wrong.append(f"{n}: other columns")
+        if wrong:
+            raise ValueError(f"{self.path}: " + "; ".join(wrong))
+        return out
