@@ -58,9 +58,11 @@ def adjust(df: DataFrame, p: str = "p_value", name: str = "fdr") -> DataFrame:
     sums = dealt.groupBy("_range").agg(F.sum("_k").alias("_s"))
     sums = sums.select("_range", (F.sum("_s").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_m"))
     inside = Window.partitionBy("_range").orderBy("_p")
+    # A running frame from the other end: Spark works out a frame that ends with the partition anew for each row.
+    down = Window.partitionBy("_range").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rank = F.col("_before") + F.sum("_k").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ranked = dealt.join(sums, "_range").withColumn("_q", F.col("_p") * F.col("_m") / rank)
-    ranked = settle(ranked.select("_p", "_range", F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_q")))
+    ranked = settle(ranked.select("_p", "_range", F.min("_q").over(down).alias("_q")))
     least = ranked.groupBy("_range").agg(F.min("_q").alias("_l"))
     after = least.select("_range", F.min("_l").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     done = ranked.join(after, "_range").select("_p", F.least(F.lit(1.0), "_q", F.coalesce("_after", F.lit(1.0))).alias(name))
