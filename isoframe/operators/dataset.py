@@ -97,7 +97,8 @@ class SpliceDataset:
         return replace(self, events=self.events.unionByName(other.events, allowMissingColumns=True), assays=self.assays.unionByName(other.assays, allowMissingColumns=True))
 
     def realize(self) -> SpliceDataset:
-        return replace(self, events=self.events.cache(), samples=self.samples.cache(), assays=self.assays.cache())
+        """The dataset read from what is written of it now, not worked out again."""
+        return replace(self, events=settle(self.events), samples=settle(self.samples), assays=settle(self.assays))
 
     def validate(self) -> None:
         """Raise unless names are unique and every assay cell belongs to an event and a sample."""

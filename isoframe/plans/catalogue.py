@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.plans import analysis_queries, cube_queries, interval_queries, result_queries
+from isoframe.plans import analysis_queries, cube_queries, interval_queries, reference_queries, result_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_queries.QUERIES, **cube_queries.QUERIES, **analysis_queries.QUERIES, **result_queries.QUERIES}
-ORACLES: dict[str, str] = {**interval_queries.ORACLES, **cube_queries.ORACLES, **analysis_queries.ORACLES, **result_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_queries.QUERIES, **cube_queries.QUERIES, **analysis_queries.QUERIES, **result_queries.QUERIES, **reference_queries.QUERIES}
+ORACLES: dict[str, str] = {**interval_queries.ORACLES, **cube_queries.ORACLES, **analysis_queries.ORACLES, **result_queries.ORACLES, **reference_queries.ORACLES}
