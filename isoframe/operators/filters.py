@@ -93,8 +93,9 @@ def run_filter(cells: DataFrame, f: EventFilter, samples: DataFrame | None = Non
             need = F.count(F.lit(1)) if f.min_cond < 0 else F.lit(f.min_cond)
             kept = levels.groupBy("event_name", "event_type").agg((F.count_if("pass") >= need).alias("keep"))
         return kept.where(F.col("keep") | ~named).select("event_name")
-    # An event's columns are those of its first sample.
-    events = cells.groupBy("event_name").agg(F.min_by(F.struct(*cells.columns), "sample").alias("_first")).select("_first.*")
+    # An event's columns are those of its first sample; where cells have none, a hash of the row decides.
+    first = F.col("sample") if "sample" in cells.columns else F.xxhash64(*cells.columns)
+    events = cells.groupBy("event_name").agg(F.min_by(F.struct(*cells.columns), first).alias("_first")).select("_first.*")
     if f.filter_type == "StrictAltSS":
         return _strict_alt_ss(events, introns, named).select("event_name")
     return events.where(_annotation(f, named)).select("event_name")
