@@ -82,7 +82,7 @@ def dispersion_prior(fits: DataFrame, s2: str = "s2", df: str = "df", weight: st
     """(s0, d0) that maximise the weighted marginal likelihood of all events' residual dispersions.
 
     Newton steps; each works out the sums of `marginal` in one aggregate, with a row for each number of degrees of freedom.
-    Dispersions of zero and events without degrees of freedom say nothing. d0 beyond `most` is infinity: no spread is left.
+    Dispersions of zero and events without degrees of freedom say nothing. d0 is sought up to `most`; beyond a tenth of it, it is infinity: no spread is left.
     """
     rows = settle(fits.where((F.col(s2) > 1e-12) & (F.col(df) > 0)).select(F.col(s2).alias("s"), F.col(df).cast("int").alias("df"), F.col(weight).cast("double").alias("w")))
 
@@ -110,4 +110,7 @@ def dispersion_prior(fits: DataFrame, s2: str = "s2", df: str = "df", weight: st
         moved, now, (ll, g, h) = np.abs(new - now).max(), new, found
         if moved < 1e-9 or now[1] >= math.log(most):
             break
-    return math.exp(now[0]), math.inf if now[1] >= math.log(most) else math.exp(now[1])
+    if now[1] < math.log(most / 10):
+        return math.exp(now[0]), math.exp(now[1])
+    # One dispersion for all: the maximum is their weighted mean.
+    return rows.agg(F.sum(F.col("w") * F.col("df") * F.col("s")) / F.sum(F.col("w") * F.col("df"))).first()[0], math.inf
