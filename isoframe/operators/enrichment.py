@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from isoframe.functions.coords import strip_version
 from isoframe.functions.special import hypergeometric_tail
 from isoframe.operators.differential import adjust
+from isoframe.sources.store import settle
 
 
 def normalise_terms(links: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -56,7 +57,8 @@ def over_representation(genes: DataFrame, links: DataFrame, universe: DataFrame
     per = marked.groupBy("go_id", "go_term").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("_in"), F.lit(0)).alias("overlap")).where("overlap > 0")
     expected = F.ceil(F.lit(n) * F.col("size") / F.lit(max(n_pool, 1)))
     per = per.withColumns({"expected": expected.cast("long"), "fold_enrichment": F.round(F.col("overlap") / (expected + 0.001), 2)})
-    per = per.withColumn("p_value", _tail("overlap", F.lit(n_pool).cast("long"), "size", F.lit(n).cast("long")))
+    # One row a term, which the adjustment reads twice.
+    per = settle(per.withColumn("p_value", _tail("overlap", F.lit(n_pool).cast("long"), "size", F.lit(n).cast("long"))))
     return adjust(per).orderBy("p_value", "go_id")
 
 

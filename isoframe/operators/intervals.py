@@ -175,38 +175,45 @@ def coverage_runs(df: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step
     """Runs of equal depth above zero, as (keys, start, end, depth), end included."""
     edges = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("e"))
     steps = edges.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    return _runs(steps, keys, step).where("depth > 0")
+    return _runs(steps, keys, step).where("depth > 0").drop("_step")
 
 
 def _runs(steps: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """Runs between changes of depth: (keys, start, end, depth)."""
-    steps = steps.withColumn("_step", F.floor(F.col("pos") / step))
+    """Runs between changes of depth: (keys, _step, start, end, depth), dealt by (keys, _step), the bin that a run starts in."""
+    # Read for the sums of bins and for the runs within; each would explode and sum up the intervals again.
+    steps = settle(steps.withColumn("_step", F.floor(F.col("pos") / step)))
     per = steps.groupBy(*keys, "_step").agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
     order = Window.partitionBy(*keys).orderBy("_step")
     per = per.select(*keys, "_step", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(order).alias("_next"))
     inner = Window.partitionBy(*keys, "_step").orderBy("pos")
     runs = steps.join(per, [*keys, "_step"])
     depth = (F.col("_base") + F.sum("d").over(inner.rowsBetween(Window.unboundedPreceding, 0))).cast("long")
-    return runs.select(*keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inner), F.col("_next")) - 1).alias("end"), depth.alias("depth")).where("end is not null")
+    return runs.select(*keys, "_step", F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inner), F.col("_next")) - 1).alias("end"), depth.alias("depth")).where("end is not null")
 
 
 def _sweep(a: DataFrame, b: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """Runs of (keys, start, end) with how often a and b cover them."""
+    """Runs of (keys, _step, start, end) with how often a and b cover them."""
     side = lambda df, i: df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.pos", *[(F.col("e.d") if i == n else F.lit(0)).cast("long").alias(f"d{n}") for n in (0, 1)])
     # Both depths travel in one number: b in the low 32 bits.
     packed = side(a, 0).unionByName(side(b, 1)).groupBy(*keys, "pos").agg((F.sum("d0") * (1 << 32) + F.sum("d1")).alias("d"))
     runs = _runs(packed, keys, step)
-    return runs.select(*keys, "start", "end", F.shiftright("depth", 32).alias("a"), F.col("depth").bitwiseAND((1 << 32) - 1).alias("b"))
+    return runs.select(*keys, "_step", "start", "end", F.shiftright("depth", 32).alias("a"), F.col("depth").bitwiseAND((1 << 32) - 1).alias("b"))
+
+
+def _joined(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs that touch as one: first within bins, as they are dealt, then what is left of a contig."""
+    local = _islands(runs.select(*keys, "_step", "start", "end"), [*keys, "_step"], 1)
+    return _islands(local.select(*keys, "start", "end"), list(keys), 1)
 
 
 def setdiff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:
     """Merged parts of a that b does not cover, within each key."""
-    return reduce(_sweep(a, b, keys, step).where("a > 0 and b = 0"), keys, 1, step)
+    return _joined(_sweep(a, b, keys, step).where("a > 0 and b = 0"), keys)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:
     """Merged parts that a and b both cover, within each key."""
-    return reduce(_sweep(a, b, keys, step).where("a > 0 and b > 0"), keys, 1, step)
+    return _joined(_sweep(a, b, keys, step).where("a > 0 and b > 0"), keys)
 
 
 def gaps_within(df: DataFrame, group: Sequence[str], keep: Sequence[str] = ("chrom", "strand")) -> DataFrame:
