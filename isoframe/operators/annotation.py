@@ -208,16 +208,20 @@ def measurable_introns(intron_rows: DataFrame, exon_rows: DataFrame, gene_rows:
     one = settle(one)
     inner = one.select("chrom", (F.col("start") + TRIM).alias("start"), (F.col("end") - TRIM).alias("end"), "strand", "intron_id", "known_exon")
     padded = exon_rows.select("chrom", (F.col("start") - TRIM).alias("start"), (F.col("end") + TRIM).alias("end"), F.lit("*").alias("strand") if ignore else F.col("strand")).distinct()
-    zones = settle(iv.reduce(padded.unionByName(merged.select("chrom", "start", "end", "strand")), ("chrom", "strand")))
-    met = iv.overlap_join(inner, zones, suffixes=("", "_z"))
-    # Introns within exons keep what exons alone would cut.
-    cuts = met.where("not known_exon").select("intron_id", F.greatest("start", "start_z").alias("start"), F.least("end", "end_z").alias("end"))
-    if excluded is not None:
-        known = iv.overlap_join(inner.where("known_exon"), merged, suffixes=("", "_z")).select("intron_id", F.greatest("start", "start_z").alias("start"), F.least("end", "end_z").alias("end"))
-        cuts = cuts.unionByName(known)
+    # What is cut out of introns of each strand, and of introns within exons, which keep what exons alone would cut.
+    meets = F.when(F.col("strand") == "*", F.array(*map(F.lit, "+-*"))).otherwise(F.array("strand", F.lit("*")))
+    either = merged.select("chrom", "start", "end", F.lit("*").alias("strand"))
+    cutting = padded.withColumn("known_exon", F.lit(False)).unionByName(either.withColumn("known_exon", F.lit(False))).unionByName(either.withColumn("known_exon", F.lit(True)))
+    by = ("chrom", "strand", "known_exon")
+    zones = settle(iv.reduce(cutting.withColumn("strand", F.explode(meets)), by))
+    # Summed first: introns that lose too much are never cut into blocks.
+    left = width() - F.coalesce("covered", F.lit(0))
+    sized = iv.covered_bases(inner, zones, by).select("intron_id", left.alias("inclbases")).where("inclbases > 0")
+    out = settle(one.join(sized, "intron_id").withColumn("exclbases", width() - F.col("inclbases")).where(F.col("exclbases") / width() < MAX_EXCLUDED))
+    inner = inner.join(out.select("intron_id"), "intron_id", "left_semi")
+    cuts = iv.overlap_join(inner, zones, suffixes=("", "_z"), keys=by).select("intron_id", F.greatest("start", "start_z").alias("start"), F.least("end", "end_z").alias("end"))
     blocks = settle(iv.setdiff(inner.select("intron_id", "start", "end"), cuts, ("intron_id",)))
-    size = blocks.groupBy("intron_id").agg(F.count(F.lit(1)).alias("num_blocks"), F.sum(width()).alias("inclbases"))
-    out = one.join(size, "intron_id").withColumn("exclbases", width() - F.col("inclbases")).where(F.col("exclbases") / width() < MAX_EXCLUDED)
+    out = out.join(blocks.groupBy("intron_id").agg(F.count(F.lit(1)).alias("num_blocks")), "intron_id")
     return out.withColumn("ir_name", intron_name(directional)), blocks.join(out.select("intron_id", "chrom"), "intron_id")
 
 

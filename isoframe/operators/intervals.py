@@ -102,13 +102,15 @@ def overlap_join(
     def posted(df: DataFrame, suffix: str, others: frozenset[int]) -> DataFrame:
         """At its own level and at each coarser one that the other table uses."""
         own = _level(base, bins.levels)
-        above = F.filter(F.array(*map(F.lit, sorted(others))), lambda n: n > own)
-        rows = df.select("*", F.explode(F.concat(F.array(own), above)).alias("_level"), own.alias("_own"))
+        above = [F.filter(F.array(*map(F.lit, sorted(others))), lambda n: n > own)] if others else []
+        rows = df.select("*", F.explode(F.concat(F.array(own), *above)).alias("_level"), own.alias("_own"))
         places = F.array_distinct(F.array(_bin("start", F.col("_level"), base), _bin("end", F.col("_level"), base)))
         rows = rows.select("*", F.explode(places).alias("_bin"))
         return rows.select(*[F.col(c).alias(c if c in ("_level", "_bin") else c + suffix) for c in rows.columns], *[F.col(c).alias(f"_key_{c}") for c in keys])
 
-    a, b = posted(left, suffixes[0], bins.right).alias("a"), posted(right, suffixes[1], bins.left).alias("b")
+    # What holds an interval is no shorter, so that such a pair meets at the level of the right one, which has no need of others.
+    above = bins.left if kind == "any" else frozenset()
+    a, b = posted(left, suffixes[0], bins.right).alias("a"), posted(right, suffixes[1], above).alias("b")
     s = lambda c, i: F.col(c + suffixes[i])
     if kind == "within":
         met = (s("start", 1) <= s("start", 0)) & (s("end", 0) <= s("end", 1))
@@ -175,6 +177,11 @@ def coverage_runs(df: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step
     """Runs of equal depth above zero, as (keys, start, end, depth), end included."""
     edges = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("e"))
     steps = edges.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+    return runs_of_changes(steps, keys, step)
+
+
+def runs_of_changes(steps: DataFrame, keys: Sequence[str], step: int = STEP) -> DataFrame:
+    """Runs of equal depth above zero from (keys, pos, d), one row for each place where the depth changes by d."""
     return _runs(steps, keys, step).where("depth > 0").drop("_step")
 
 
@@ -216,6 +223,29 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chrom", "stran
     return _joined(_sweep(a, b, keys, step).where("a > 0 and b > 0"), keys)
 
 
+def covered_bases(df: DataFrame, zones: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:
+    """df with `covered`: how many bases of each row lie in the zones of its key, which must not overlap each other.
+
+    Up to a place x lie the sum of d (x + 1 - p) over the changes d of depth at places p up to x. These are two running sums, within
+    bins and over bins, so that a row costs two places and not one pair for each zone that it meets.
+    """
+    row = lambda pos, d: F.struct(pos.alias("pos"), F.lit(d).cast("long").alias("d"))
+    nothing = F.lit(None).cast("long")
+    edges = zones.select(*keys, nothing.alias("start"), nothing.alias("end"), F.explode(F.array(row(F.col("start"), 1), row(F.col("end") + 1, -1))).alias("e"))
+    edges = edges.select(*keys, "start", "end", "e.*", F.lit(0).cast("long").alias("sign"))
+    asked = df.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    asked = asked.select("*", F.explode(F.array(row(F.col("start") - 1, -1), row(F.col("end"), 1))).alias("e"))
+    asked = asked.select(*keys, "start", "end", "e.pos", F.lit(0).cast("long").alias("d"), F.col("e.d").alias("sign"))
+    places = edges.unionByName(asked).withColumns({"_step": F.floor(F.col("pos") / step), "p": F.col("d") * F.col("pos")})
+    over = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    per = places.groupBy(*keys, "_step").agg(F.sum("d").alias("_d"), F.sum("p").alias("_p"))
+    per = per.select(*keys, "_step", *[F.coalesce(F.sum(f"_{c}").over(over), F.lit(0)).alias(f"_{c}") for c in "dp"])
+    inner = Window.partitionBy(*keys, "_step").orderBy("pos", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = (F.col("pos") + 1) * (F.col("_d") + F.sum("d").over(inner)) - (F.col("_p") + F.sum("p").over(inner))
+    found = places.join(per, [*keys, "_step"]).withColumn("_upto", upto).where("sign <> 0").groupBy(*keys, "start", "end").agg(F.sum(F.col("sign") * F.col("_upto")).alias("covered"))
+    return df.join(found, [*keys, "start", "end"], "left")
+
+
 def gaps_within(df: DataFrame, group: Sequence[str], keep: Sequence[str] = ("chrom", "strand")) -> DataFrame:
     """The stretches between the merged intervals of each group (introns between the exons of a transcript)."""
     by = list(dict.fromkeys([*group, *keep]))

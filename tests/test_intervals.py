@@ -131,3 +131,25 @@ def test_match_joins(spark):
     assert {r.k: r.v for r in merged.collect()} == {1: "x", 2: "y", 3: "z", 4: "new"}
     pairs = tables.all_pairs(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "c")], "g long, o long, n string"), ["g"], ["o"], "n")
     assert sorted((r.n_a, r.n_b) for r in pairs.collect()) == [("a", "b"), ("b", "a")]
+
+
+@pytest.mark.parametrize("step", [16, 1 << 16])
+def test_covered_bases_are_running_sums(spark, step):
+    rng = random.Random(7)
+    asked, zones = random_intervals(rng, 60, 400), random_intervals(rng, 40)
+    merged = iv.reduce(spark.createDataFrame(zones, SCHEMA), gap=1)
+    lie = {(c, k, p) for c, s, e, k, _ in zones for p in range(s, e + 1)}
+    want = {x[4]: sum((x[0], x[3], p) in lie for p in range(x[1], x[2] + 1)) for x in asked}
+    got = iv.covered_bases(spark.createDataFrame(asked, SCHEMA), merged, step=step)
+    assert {r.name: r.covered or 0 for r in got.collect()} == want
+
+
+def test_short_intervals_are_not_posted_to_hold_long_ones(spark):
+    """A long interval and very many short ones in it: for "within", no pair of them is looked at."""
+    long = spark.createDataFrame([("a", 1, 1 << 20, "+", 0)], SCHEMA)
+    short = spark.range(2000).selectExpr("'a' chrom", "id * 500 start", "id * 500 + 9 end", "'+' strand", "id name")
+    both = short.unionByName(long)
+    joined = iv.overlap_join(long, both, kind="within")
+    assert [r.name_b for r in joined.collect()] == [0]
+    right = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert right.count("filter(") == 1, "only the left side is posted above its own level"
