@@ -100,8 +100,9 @@ def alternative_last(introns: DataFrame, a3ss: DataFrame) -> DataFrame:
 def retained_introns(measurable: DataFrame, exons: DataFrame) -> DataFrame:
     """Measurable introns that lie within an exon."""
     held = iv.overlap_join(measurable.select("chrom", "start", "end", "strand", *_INTRON), exons.select("chrom", "start", "end", "strand", "transcript_id", "transcript_name"), kind="within")
-    rows = unique_first(held, ["event_a"], ["transcript_name_b", "transcript_id_b"])
-    rows = rows.select(F.col("event_a").alias("event1a"), F.col("event_a").alias("event1b"), F.col("event_a").alias("event_region"), F.col("gene_id_a").alias("gene_id"), F.col("gene_id_a").alias("gene_id_b"), F.col("strand_a").alias("strand"), F.col("transcript_id_b").alias("transcript_id_a"), F.col("transcript_name_b").alias("transcript_name_a"), F.lit(0).alias("intron_number_a"), F.col("transcript_id_a").alias("transcript_id_b"), F.col("transcript_name_a").alias("transcript_name_b"), F.col("intron_number_a").alias("intron_number_b"))
+    # The first transcript by name, combined before the shuffle: an intron may lie within very many exons.
+    rows = held.groupBy(F.col("event_a").alias("event1a")).agg(F.min(F.struct("transcript_name_b", "transcript_id_b", "gene_id_a", "strand_a", "transcript_id_a", "transcript_name_a", "intron_number_a")).alias("x")).select("event1a", "x.*")
+    rows = rows.select("event1a", F.col("event1a").alias("event1b"), F.col("event1a").alias("event_region"), F.col("gene_id_a").alias("gene_id"), F.col("gene_id_a").alias("gene_id_b"), F.col("strand_a").alias("strand"), F.col("transcript_id_b").alias("transcript_id_a"), F.col("transcript_name_b").alias("transcript_name_a"), F.lit(0).alias("intron_number_a"), F.col("transcript_id_a").alias("transcript_id_b"), F.col("transcript_name_a").alias("transcript_name_b"), F.col("intron_number_a").alias("intron_number_b"))
     name = F.concat(F.lit("RI:"), "transcript_name_a", F.lit("-exon;"), "transcript_name_b", F.lit("-int"), F.col("intron_number_b").cast("string"))
     return _finish(rows, "RI", name, ["event1a"])
 

@@ -218,3 +218,15 @@ def test_nmd(spark, strand):
     assert first.is_nmd
     pep = {r.exon_number: r.peptide for r in sq.exon_peptides(ex.withColumn("exon_number", F.col("start").cast("int")), chunks).collect()}
     assert "".join(pep[s] for s, _ in (place if strand == "+" else place)) == translated(body)
+
+
+def test_retained_introns_name_the_first_exon_without_a_window(spark):
+    """An intron within very many exons: the first by name is combined before the shuffle."""
+    from isoframe.operators import events as ev
+
+    introns = spark.createDataFrame([("c1", 100, 200, "+", "c1:100-200/+", "g", "t9", "n9", 1)], "chrom string, start long, end long, strand string, event string, gene_id string, transcript_id string, transcript_name string, intron_number int")
+    exons = spark.range(300).selectExpr("'c1' chrom", "50 - id % 5 start", "300 + id end", "'+' strand", "concat('t', id) transcript_id", "concat('n', lpad(id, 4, '0')) transcript_name")
+    out = ev.retained_introns(introns, exons)
+    assert [(r.event1a, r.transcript_name_a, r.transcript_id_b) for r in out.collect()] == [("c1:100-200/+", "n0000", "t9")]
+    ranked = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "transcript_name_b" in line]
+    assert not ranked
