@@ -327,7 +327,7 @@ def strand_evidence(spark: SparkSession, sf: str) -> DataFrame:
   r AS (SELECT sample, chrom, site + 1 AS start, lead(site) OVER w AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM s WINDOW w AS (PARTITION BY sample, chrom ORDER BY site))
   SELECT * FROM r WHERE depth > 0""", "reads")
 def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.coverage(rd.fragments(alignments(spark, sf))).where("strand = '*'").drop("strand")
+    return rd.coverage(rd.fragments(alignments(spark, sf)), ("*",)).drop("strand")
 
 
 @query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY user_id, ts)
@@ -421,7 +421,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     frags = settle(rd.fragments(alignments(spark, sf)))
     introns = view(spark, sf, "genes").where("end - start >= 60").select(F.col("gene").alias("name"), "chrom", "start", "end", "strand")
     points = introns.select("chrom", F.explode(F.array("start", "end")).alias("coord"))
-    return rd.intron_records(introns, introns.select("name", "chrom", "start", "end"), settle(rd.coverage(frags)), rd.junction_counts(frags), rd.span_counts(frags, points))
+    return rd.intron_records(introns, introns.select("name", "chrom", "start", "end"), settle(rd.coverage(frags, ("*",))), rd.junction_counts(frags), rd.span_counts(frags, points))
 
 
 _RECORD = ("depth", "coverage", "first50", "last50", "ir_ratio")
