@@ -166,11 +166,27 @@ def reduce(df: DataFrame, keys: Sequence[str] = ("chrom", "strand"), gap: int =
     """Merged intervals of each key: those that overlap, touch, or have fewer than `gap` bases between them.
 
     gap = 1 merges overlapping and adjacent ones. Equal intervals collapse before any sort, then neighbours within bins of
-    `step` bases, then what is left of a contig.
+    `step` bases, then islands of neighbouring bins.
     """
     distinct = df.select(*keys, "start", "end").distinct().withColumn("_step", F.floor(F.col("start") / step))
-    local = _islands(distinct, [*keys, "_step"], gap)
-    return _islands(local.select(*keys, "start", "end"), list(keys), gap)
+    return _across_bins(_islands(distinct, [*keys, "_step"], gap), keys, gap)
+
+
+def _across_bins(local: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Islands of whole contigs from the islands of each bin, (keys, _step, start, end).
+
+    What reaches into a bin is the island that was opened last before it, so a bin needs to know where that began and how far
+    earlier ones reach: one row a bin. Only these rows are sorted by contig; islands stay dealt by bin.
+    """
+    local = settle(local)
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    per = local.groupBy(*keys, "_step").agg(F.max("end").alias("_top"), F.max("start").alias("_start")).withColumn("_reach", F.max("_top").over(before))
+    opens = lambda c: F.col("_reach").isNull() | (F.col(c) > F.col("_reach") + gap)
+    per = per.withColumn("_owner", F.max(F.when(opens("_start"), F.col("_start"))).over(before))
+    per = per.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*keys, "_step"))], "_reach", "_owner")
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*keys, "_step"))]
+    owned = local.join(per, on).select(*keys, F.when(opens("start"), F.col("start")).otherwise(F.col("_owner")).alias("start"), "end")
+    return owned.groupBy(*keys, "start").agg(F.max("end").alias("end"))
 
 
 def coverage_runs(df: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:
@@ -209,8 +225,7 @@ def _sweep(a: DataFrame, b: DataFrame, keys: Sequence[str], step: int) -> DataFr
 
 def _joined(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Runs that touch as one: first within bins, as they are dealt, then what is left of a contig."""
-    local = _islands(runs.select(*keys, "_step", "start", "end"), [*keys, "_step"], 1)
-    return _islands(local.select(*keys, "start", "end"), list(keys), 1)
+    return _across_bins(_islands(runs.select(*keys, "_step", "start", "end"), [*keys, "_step"], 1), keys, 1)
 
 
 def setdiff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:

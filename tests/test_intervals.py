@@ -153,3 +153,20 @@ def test_short_intervals_are_not_posted_to_hold_long_ones(spark):
     assert [r.name_b for r in joined.collect()] == [0]
     right = joined._jdf.queryExecution().optimizedPlan().toString()
     assert right.count("filter(") == 1, "only the left side is posted above its own level"
+
+
+@pytest.mark.parametrize("gap", [0, 1, 9])
+def test_merged_islands_cross_bins_without_a_window_over_contigs(spark, gap):
+    rng = random.Random(gap)
+    rows = random_intervals(rng, 120, 200)
+    merged = iv.reduce(spark.createDataFrame(rows, SCHEMA), gap=gap, step=32)
+    want = []
+    for c, k in sorted({(r[0], r[3]) for r in rows}):
+        for s, e in sorted(r[1:3] for r in rows if (r[0], r[3]) == (c, k)):
+            if want and want[-1][:2] == [c, k] and s <= want[-1][3] + gap:
+                want[-1][3] = max(want[-1][3], e)
+            else:
+                want.append([c, k, s, e])
+    assert sorted([r.chrom, r.strand, r.start, r.end] for r in merged.collect()) == want
+    over = [line for line in merged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert over and all("_step" in line for line in over)
