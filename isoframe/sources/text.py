@@ -151,4 +151,5 @@ def find_outputs(folder: str, level: int = 0) -> list[tuple[str, ...]]:
 def rename_contigs(df: DataFrame, alias: DataFrame) -> DataFrame:
     """df with contigs named by alias (old, new); names it lacks stay. Each old and each new name counts once, the first."""
     one = alias.select("old", "new").where("old is not null and new is not null").groupBy("old").agg(F.min("new").alias("new")).groupBy("new").agg(F.min("old").alias("old"))
-    return df.join(one, df.chrom == one.old, "left").withColumn("chrom", F.coalesce("new", "chrom")).drop("old", "new")
+    # As many rows as there are contigs: sent to all tasks, for a join by name would make each contig's rows one task's.
+    return df.join(F.broadcast(one), df.chrom == one.old, "left").withColumn("chrom", F.coalesce("new", "chrom")).drop("old", "new")

@@ -2,6 +2,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from isoframe.operators import coverage_views as cv
 from isoframe.operators import reads as rd
@@ -41,6 +42,15 @@ def test_blocks_and_files(spark, tmp_path):
     assert {r.chrom for r in text.rename_contigs(spark.createDataFrame([("c1",), ("c9",)], "chrom string"), alias).collect()} == {"chr1", "c9"}
 
 
+def test_contigs_are_renamed_where_their_rows_are(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise("c1").alias("chrom"), "id")
+    # Aliases of unknown size, as an aggregate is.
+    alias = settle(spark.createDataFrame([("c1", "chr1"), ("c2", "chr2")], "old string, new string"))
+    named = text.rename_contigs(rows, alias)
+    assert "hashpartitioning(chrom" not in named._jdf.queryExecution().executedPlan().toString()
+    assert {(r.chrom, r["count"]) for r in named.groupBy("chrom").count().collect()} == {(None, 11112), ("chr1", 88888)}
+
+
 @pytest.mark.parametrize("range_bytes", [1 << 30, 1500])
 def test_bam_round_trip(spark, tmp_path, range_bytes):
     rng = random.Random(0)
@@ -143,6 +153,9 @@ def test_view(spark, cover):
     assert cv.difference(both, "A", "B", 2, 1).count() == 12
     track = cv.junction_tracks(view.junctions, norms, samples, "cond").first()
     assert track.mean_count == pytest.approx(0.75) and track.height == 1
+    # A group's junctions are not one task's: no window, and no shuffle by group alone.
+    plan = cv.junction_tracks(view.junctions, norms, samples, "cond")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
     introns = spark.createDataFrame([("c:5-12/+", "t1")], "event string, transcript_id string")
     assert {r.transcript_id: r.highlight for r in cv.highlight(exons, introns, events).collect()} == {"t1": "a", "t2": None}
     qc = spark.createDataFrame([("s1", 1.0, 5.0, 2.0), ("s2", 2.0, 5.0, 1.0), ("s3", 4.0, 5.0, 7.0)], "sample string, a double, b double, c double")
