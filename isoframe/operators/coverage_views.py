@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.functions.coords import parse_interval, width
 from isoframe.functions.special import t_quantile
 from isoframe.operators import intervals as iv
 from isoframe.operators.differential import t_test
+from isoframe.sources.store import settle
 
 MIN_NORM = 5.0
 
@@ -152,11 +153,14 @@ def junction_tracks(junctions: DataFrame, norms: DataFrame, samples: DataFrame,
 
     Counts are normalised; junctions below `least` of the group's largest mean are left out; height falls with the share.
     """
-    rows = junctions.join(norms, "sample").join(samples.select("sample", F.col(condition).alias("group")), "sample")
+    rows = junctions.join(F.broadcast(norms), "sample").join(F.broadcast(samples.select("sample", F.col(condition).alias("group"))), "sample")
     value = F.col("count") / F.col("norm")
     out = rows.groupBy("group", "chrom", "start", "end", "strand").agg(F.avg(value).alias("mean_count"), F.stddev_samp(value).alias("sd_count"), F.avg("psi").alias("mean_psi"), F.stddev_samp("psi").alias("sd_psi"))
-    top = F.max("mean_count").over(Window.partitionBy("group"))
-    return out.withColumn("height", F.try_divide("mean_count", top)).where(F.col("height") >= least)
+    # A window by group would hold a group's junctions in one task; its largest mean is one row.
+    out = settle(out)
+    top = out.groupBy(F.col("group").alias("_group")).agg(F.max("mean_count").alias("_top"))
+    met = out.join(F.broadcast(top), F.col("group").eqNullSafe(F.col("_group")))
+    return met.withColumn("height", F.try_divide("mean_count", "_top")).where(F.col("height") >= least).drop("_group", "_top")
 
 
 def highlight(exons: DataFrame, introns: DataFrame, event: DataFrame) -> DataFrame:
