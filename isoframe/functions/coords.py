@@ -32,11 +32,12 @@ def parse_interval(text: Name) -> Column:
     start > end is null as well; use check_intervals to raise instead.
     """
     t = _col(text)
-    head = F.regexp_extract(t, r"^(.+):(\d+)(?:-(\d+))?(?:/([+*-]))?$", 1)
-    start = F.regexp_extract(t, r"^(.+):(\d+)(?:-(\d+))?(?:/([+*-]))?$", 2).try_cast("bigint")
-    end = F.coalesce(F.regexp_extract(t, r"^(.+):(\d+)(?:-(\d+))?(?:/([+*-]))?$", 3).try_cast("bigint"), start)
-    strand = F.regexp_extract(t, r"^(.+):(\d+)(?:-(\d+))?(?:/([+*-]))?$", 4)
-    return F.when((head != "") & (start <= end), F.struct(head.alias("chrom"), start.alias("start"), end.alias("end"), F.when(strand == "", "*").otherwise(strand).alias("strand")))
+    # One match a text: its four parts are told apart by line ends, which none of them can hold; what does not match has empty ones.
+    parts = F.split(F.regexp_replace(t, r"^(.+):(\d+)(?:-(\d+))?(?:/([+*-]))?$|[\s\S]+", "$1\n$2\n$3\n$4\n"), "\n")
+    start = F.get(parts, 1).try_cast("bigint")
+    end = F.coalesce(F.get(parts, 2).try_cast("bigint"), start)
+    strand = F.get(parts, 3)
+    return F.when(start <= end, F.struct(F.get(parts, 0).alias("chrom"), start.alias("start"), end.alias("end"), F.when(strand == "", "*").otherwise(strand).alias("strand")))
 
 
 def format_interval(chrom: Name = "chrom", start: Name = "start", end: Name = "end", strand: Name | None = "strand") -> Column:

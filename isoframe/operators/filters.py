@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions.coords import parse_interval
 from isoframe.operators import intervals as iv
+from isoframe.sources.store import settle
 
 TYPES = ("IR", "MXE", "SE", "A3SS", "A5SS", "AFE", "ALE", "RI")
 DATA = ("Depth", "Participation", "Consistency")
@@ -95,9 +96,10 @@ def run_filter(cells: DataFrame, f: EventFilter, samples: DataFrame | None = Non
         return kept.where(F.col("keep") | ~named).select("event_name")
     # An event's columns are those of its first sample; where cells have none, a hash of the row decides.
     first = F.col("sample") if "sample" in cells.columns else F.xxhash64(*cells.columns)
-    events = cells.groupBy("event_name").agg(F.min_by(F.struct(*cells.columns), first).alias("_first")).select("_first.*")
+    columns = ["event_name", "event_type", "event1a", "event1b"] if f.filter_type == "StrictAltSS" else cells.columns
+    events = cells.groupBy("event_name").agg(F.min_by(F.struct(*columns), first).alias("_first")).select("_first.*")
     if f.filter_type == "StrictAltSS":
-        return _strict_alt_ss(events, introns, named).select("event_name")
+        return _strict_alt_ss(events, introns, named)
     return events.where(_annotation(f, named)).select("event_name")
 
 
@@ -129,13 +131,15 @@ def _casettes_overlap() -> Column:
 
 
 def _strict_alt_ss(events: DataFrame, introns: DataFrame, named: Column) -> DataFrame:
-    """Drops alternative splice sites whose extra stretch holds a whole reference intron."""
-    alt = events.where(F.col("event_type").isin("A5SS", "A3SS") & named)
-    a, b = parse_interval("event1a"), parse_interval("event1b")
-    rest = iv.row_difference(b["start"], b["end"], a["start"], a["end"])
-    extra = alt.select("event_name", b["chrom"].alias("chrom"), b["strand"].alias("strand"), rest.alias("r")).where("r is not null").select("event_name", "chrom", "strand", "r.start", "r.end")
-    holds = iv.overlap_join(introns.select("chrom", "start", "end", "strand").distinct(), extra, kind="within").select(F.col("event_name_b").alias("event_name")).distinct()
-    return events.join(holds, "event_name", "left_anti")
+    """(event_name) without alternative splice sites whose extra stretch holds a whole reference intron."""
+    alt = F.col("event_type").isin("A5SS", "A3SS") & named
+    # Settled: places are parsed once an event, not again in each condition on them that reaches down to here.
+    sites = settle(events.select("event_name", alt.alias("alt"), *[parse_interval(f"event1{s}").alias(s) for s in "ab"]))
+    rest = iv.row_difference(F.col("b.start"), F.col("b.end"), F.col("a.start"), F.col("a.end"))
+    extra = sites.where("alt").select("event_name", "b.chrom", "b.strand", rest.alias("r")).where("r is not null").select("event_name", "chrom", "strand", "r.start", "r.end")
+    inside = settle(introns.select("chrom", "start", "end", "strand").distinct())
+    holds = iv.overlap_join(inside, extra, kind="within").select(F.col("event_name_b").alias("event_name")).distinct()
+    return sites.select("event_name").join(holds, "event_name", "left_anti")
 
 
 def apply_filters(cells: DataFrame, filters: list[EventFilter], samples: DataFrame | None = None, introns: DataFrame | None = None) -> DataFrame:

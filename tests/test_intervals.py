@@ -114,6 +114,11 @@ def test_coordinates(spark):
     got = [r[0] for r in rows.select(coords.parse_interval("t")).collect()]
     assert got[0] == ("chr1", 5, 5, "*") and got[1] == ("c", 2, 9, "-") and got[2:] == [None] * 3
     assert coords.check_intervals(rows.limit(2), "t").count() == 2
+    # One match a text; line ends are no part of what is parsed, but for one at the end.
+    assert str(coords.parse_interval("t")).count("regexp_extract") == 0
+    odd = ["a:b:3-4/+", "c:5-5/-\n", "c:5-5/-\r\n", "1\n2\n3\n+\nc", "c:1-2\nx", ":5", "c:99999999999999999999", "c:7-99999999999999999999", "c:1-2/", "c:-5"]
+    got = [r.p and tuple(r.p) for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", coords.parse_interval("t").alias("p")).orderBy("i").collect()]
+    assert got == [("a:b", 3, 4, "+"), ("c", 5, 5, "-"), ("c", 5, 5, "-"), None, None, None, None, ("c", 7, 7, "*"), None, None]
     with pytest.raises(Exception, match="not an interval"):
         coords.check_intervals(rows, "t").collect()
     one = spark.range(1).select(coords.reverse_complement(F.lit("AACGn")), coords.strip_version(F.lit("ENSG1.4")), coords.strip_version(F.lit("X.1"))).first()
