@@ -118,18 +118,20 @@ def drop_overlapping_introns(data: SpliceDataset) -> SpliceDataset:
     """Of introns that overlap, keeps retention events of the one with the highest mean count, first by place on ties.
 
     A retention event stays if, among the junctions that overlap its intron, it is itself the most used one; events whose
-    intron is no junction go.
+    intron is no junction go. Of places alike in all but the strand the first strand by code point counts.
+
+    Junctions meet junctions: one that a more used one overlaps is beaten, so that no pair leaves the join but for its name.
     """
     mean = data.junction_assays.groupBy("event").agg(F.avg("count").alias("mean"))
     used = data.junctions.join(mean, "event").select("chrom", "start", "end", "strand", "event", "mean")
-    ir = data.events.where("event_type = 'IR'").select("event_name", "event_region", "event1a")
-    from isoframe.functions.coords import parse_interval
-
-    at = ir.select("event_name", F.col("event1a").alias("own"), parse_interval("event1a").alias("_r")).select("event_name", "own", "_r.*")
-    met = iv.overlap_join(at, used, suffixes=("", "_j")).groupBy("event_name", "own").agg(F.max_by("event_j", F.struct("mean_j", -F.col("start_j"), -F.col("end_j"))).alias("best"))
-    gone = ir.select("event_name").join(met.where("own = best").select("event_name"), "event_name", "left_anti")
-    kept = data.events.select("event_name").join(gone, "event_name", "left_anti")
-    return data.subset(events=kept)
+    rank = lambda s: F.struct(F.col(f"mean{s}"), -F.col(f"start{s}"), -F.col(f"end{s}"))
+    better = (rank("_j") > rank("")) | ((rank("_j") == rank("")) & (F.col("strand_j") < F.col("strand")))
+    met = iv.overlap_join(used, used.drop("event"), suffixes=("", "_j"), bins=iv.choose_bins(data.junctions, data.junctions))
+    beaten = met.where(better).select("event").distinct()
+    best = used.select("event").join(beaten, "event", "left_anti").select(F.col("event").alias("event1a"))
+    ir = F.coalesce(F.col("event_type") == "IR", F.lit(False))
+    kept = data.events.where(~ir).unionByName(data.events.where(ir).join(best, "event1a", "left_semi").select(*data.events.columns))
+    return replace(data, events=kept, assays=data.assays.join(kept.select("event_name"), "event_name", "left_semi"))
 
 
 def drop_overlapping_introns_iterative(data: SpliceDataset) -> SpliceDataset:

@@ -180,10 +180,11 @@ def datasets_bound(spark: SparkSession, sf: str) -> DataFrame:
 def most_used_introns(spark: SparkSession, sf: str) -> DataFrame:
     """Retention events of introns that are the most used junction where they lie; lines of different orders do not overlap."""
     rows = view(spark, sf, "lines").withColumn("strand", F.lit("+")).withColumn("event", coords.format_interval())
-    junctions = rows.select("chrom", "start", "end", "strand", "event").distinct()
     counts = rows.select("event", "sample", F.col("q").alias("count"))
-    kind = F.when(F.expr("k % 4 = 3"), "SE").otherwise("IR")
-    events = rows.select(F.col("event").alias("event_name"), kind.alias("event_type"), F.col("event").alias("event_region"), F.col("event").alias("event1a")).distinct()
+    # Names are written where they are read: what is told apart and settled are places.
+    places = settle(rows.select("chrom", "start", "end", F.expr("k % 4 = 3").alias("se")).distinct()).withColumn("strand", F.lit("+")).withColumn("event", coords.format_interval())
+    junctions = places.select("chrom", "start", "end", "strand", "event")
+    events = places.select(F.col("event").alias("event_name"), F.when(F.col("se"), "SE").otherwise("IR").alias("event_type"), F.col("event").alias("event_region"), F.col("event").alias("event1a"))
     data = ds.SpliceDataset(events, rows.select("sample").distinct(), events.select("event_name"), junctions, counts)
     return ds.drop_overlapping_introns(data).events.select("event_name", "event_type")
 
