@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.functions import special as sp
+from isoframe.sources.store import settle
 
 DISPERSIONS = np.exp(np.linspace(math.log(1e-4), math.log(4.0), 25))
 GRID = np.log(DISPERSIONS)
@@ -26,22 +27,82 @@ GRID = np.log(DISPERSIONS)
 RANGE, SPAN = 0.25, 0.3
 
 
+Pairs = dict[tuple[int, int], np.ndarray]
+
+
+def _information(w: np.ndarray, x: np.ndarray, ridge: float) -> Pairs:
+    """x' w x of each row of weights, with the ridge on its diagonal: an array over rows for each pair of columns (i, j), i >= j, but
+    for pairs that are zero whatever the weights, here and in the factors."""
+    p = x.shape[1]
+    pairs = {(i, j) for i in range(p) for j in range(i + 1) if i == j or (x[:, i] * x[:, j]).any()}
+    for j in range(p):
+        below = [i for i in range(j + 1, p) if (i, j) in pairs]
+        pairs |= {(i, k) for i in below for k in below if i >= k}
+    order = sorted(pairs)
+    rows = np.stack([x[:, i] * x[:, j] for i, j in order]) @ w.T
+    return {(i, j): row + ridge if i == j else row for (i, j), row in zip(order, rows, strict=True)}
+
+
+def _factors(a: Pairs, p: int) -> tuple[Pairs, np.ndarray]:
+    """L (below its diagonal) and D of a = L D L', each step for all rows."""
+    a, d = dict(a), []
+    for j in range(p):
+        d.append(a[j, j])
+        below = {i: a[i, j] / d[j] for i in range(j + 1, p) if (i, j) in a}
+        for i, row in below.items():
+            for k in below:
+                if i >= k:
+                    a[i, k] = a[i, k] - row * a[k, j]
+        a |= {(i, j): row for i, row in below.items()}
+    return a, np.stack(d)
+
+
+def _dense(a: Pairs, p: int, rows: np.ndarray) -> np.ndarray:
+    """Whole matrices (rows, p, p) of some rows."""
+    out = np.zeros((int(rows.sum()), p, p))
+    for (i, j), v in a.items():
+        out[:, i, j] = out[:, j, i] = v[rows]
+    return out
+
+
+def _solve(a: Pairs, b: np.ndarray) -> np.ndarray:
+    """Solutions (rows, p) for right sides b (p, rows)."""
+    p = len(b)
+    low, d = _factors(a, p)
+    z = list(b)
+    for j in range(p):
+        for i in range(j + 1, p):
+            if (i, j) in low:
+                z[i] = z[i] - low[i, j] * z[j]
+    z = [v / e for v, e in zip(z, d, strict=True)]
+    for j in range(p - 1, -1, -1):
+        for i in range(j):
+            if (j, i) in low:
+                z[i] = z[i] - low[j, i] * z[j]
+    out = np.stack(z, axis=1)
+    bad = ~(np.isfinite(out).all(axis=1) & (d > 0).all(axis=0))
+    if bad.any():  # next to singular: with pivots
+        out[bad] = np.linalg.solve(_dense(a, p, bad), b[:, bad].T[..., None])[..., 0]
+    return out
+
+
 def nb_fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and fitted means of NB log-linear models, by damped IRLS over all rows at once."""
     mu = np.maximum(y, 0.25)
     beta = np.log(mu / np.exp(offset)) @ np.linalg.pinv(x).T
-    ridge = 1e-8 * np.eye(x.shape[1])
-    for _ in range(steps):
-        eta = np.clip(beta @ x.T + offset, -30, 30)
+    open_ = np.arange(len(y))
+    for _ in range(steps):  # of rows that have not settled
+        ys, phis, base = y[open_], phi[open_, None], beta[open_]
+        eta = np.clip(base @ x.T + offset, -30, 30)
         mu = np.exp(eta)
-        w = mu / (1 + phi[:, None] * mu)
-        z = (eta - offset) + (y - mu) / mu
-        a = np.einsum("en,np,nq->epq", w, x, x) + ridge
-        b = np.einsum("en,np,en->ep", w, x, z)
-        new = np.linalg.solve(a, b[..., None])[..., 0]
-        step = np.clip(new - beta, -5, 5)
-        beta = beta + step
-        if np.abs(step).max(initial=0) < 1e-8:
+        w = mu / (1 + phis * mu)
+        z = (eta - offset) + (ys - mu) / mu
+        with np.errstate(all="ignore"):
+            new = _solve(_information(w, x, 1e-8), x.T @ (w * z).T)
+        step = np.clip(new - base, -5, 5)
+        beta[open_] = base + step
+        open_ = open_[np.abs(step).max(axis=1, initial=0) >= 1e-8]
+        if not len(open_):
             break
     return beta, np.exp(np.clip(beta @ x.T + offset, -30, 30))
 
@@ -55,16 +116,26 @@ def nb_deviance(y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
 
 
 def nb_profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Cox-Reid adjusted profile log-likelihoods of each row at DISPERSIONS."""
+    """Cox-Reid adjusted profile log-likelihoods of each row at DISPERSIONS, some of which are fitted at once."""
+    p = x.shape[1]
+    # Counts repeat: a logarithm for each that differs.
+    known, at = np.unique(y, return_inverse=True)
+    at, factorials = at.reshape(y.shape), sp.lgamma(known + 1)
     out = []
-    for d in DISPERSIONS:
-        phi = np.full(len(y), d)
-        _, mu = nb_fit(y, x, offset, phi, steps=12)
-        r = 1 / d
-        ll = (sp.lgamma(y + r) - sp.lgamma(r) - sp.lgamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(np.maximum(mu, 1e-30) / (r + mu))).sum(axis=1)
-        w = mu / (1 + d * mu)
-        _, logdet = np.linalg.slogdet(np.einsum("en,np,nq->epq", w, x, x) + 1e-10 * np.eye(x.shape[1]))
-        out.append(ll - 0.5 * logdet)
+    for some in np.array_split(DISPERSIONS, 5):
+        phi = np.repeat(some, len(y))
+        _, fitted = nb_fit(np.tile(y, (len(some), 1)), x, offset, phi, steps=12)
+        with np.errstate(all="ignore"):
+            information = _information(fitted / (1 + phi[:, None] * fitted), x, 1e-10)
+            diagonal = _factors(information, p)[1]
+            logdet = np.log(diagonal).sum(axis=0)
+        bad = ~(diagonal > 0).all(axis=0)
+        if bad.any():
+            logdet[bad] = np.linalg.slogdet(_dense(information, p, bad))[1]
+        for d, mu, det in zip(some, fitted.reshape(len(some), *y.shape), logdet.reshape(len(some), len(y)), strict=True):
+            r = 1 / d
+            ll = ((sp.lgamma(known + r) - sp.lgamma(r) - factorials)[at] + r * np.log(r / (r + mu)) + y * np.log(np.maximum(mu, 1e-30) / (r + mu))).sum(axis=1)
+            out.append(ll - 0.5 * det)
     return np.column_stack(out)
 
 
@@ -152,7 +223,8 @@ def parametric_trend(own: DataFrame, df: int, steps: int = 60) -> ParametricTren
     """The trend of columns `mean` and `own` (each event's dispersion): gamma regression with identity link, reweighted until it
     settles, each step one aggregate of five sums; then the robust spread of log residuals. Events at the lower end of the
     grid have no sign of dispersion and do not count."""
-    use = own.where((F.col("mean") > 0) & (F.col("own") > float(DISPERSIONS[0]) * 1.01)).select((1 / F.col("mean")).alias("x"), F.col("own").alias("y"))
+    # Two numbers an event, read at each step; the rows they come from hold whole profiles.
+    use = settle(own.where((F.col("mean") > 0) & (F.col("own") > float(DISPERSIONS[0]) * 1.01)).select((1 / F.col("mean")).alias("x"), F.col("own").alias("y")))
     first = use.agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n")).first()
     if not first["n"]:
         return ParametricTrend(float(DISPERSIONS[0]), 0.0, 0.25, 0.25)
