@@ -191,9 +191,20 @@ def _across_bins(local: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
 
 def coverage_runs(df: DataFrame, keys: Sequence[str] = ("chrom", "strand"), step: int = STEP) -> DataFrame:
     """Runs of equal depth above zero, as (keys, start, end, depth), end included."""
-    edges = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("e"))
-    steps = edges.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    return runs_of_changes(steps, keys, step)
+    return runs_of_changes(changes_of_intervals(df, keys), keys, step)
+
+
+def changes_of_runs(runs: DataFrame, keys: Sequence[str] = ("chrom", "strand"), weight: str = "depth") -> DataFrame:
+    """(keys, pos, d): the places where the depth of runs changes, by how much; runs that touch give a place twice."""
+    edge = lambda pos, d: F.struct(pos.alias("pos"), d.cast("long").alias("d"))
+    edges = F.array(edge(F.col("start"), F.col(weight)), edge(F.col("end") + 1, -F.col(weight)))
+    return runs.select(*keys, F.inline(edges))
+
+
+def changes_of_intervals(df: DataFrame, keys: Sequence[str] = ("chrom", "strand")) -> DataFrame:
+    """(keys, pos, d): one row for each place where the number of intervals that cover it changes by d."""
+    edges = changes_of_runs(df.withColumn("_n", F.lit(1)), keys, "_n")
+    return edges.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
 
 
 def runs_of_changes(steps: DataFrame, keys: Sequence[str], step: int = STEP) -> DataFrame:
@@ -202,16 +213,24 @@ def runs_of_changes(steps: DataFrame, keys: Sequence[str], step: int = STEP) ->
 
 
 def _runs(steps: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """Runs between changes of depth: (keys, _step, start, end, depth), dealt by (keys, _step), the bin that a run starts in."""
-    # Read for the sums of bins and for the runs within; each would explode and sum up the intervals again.
-    steps = settle(steps.withColumn("_step", F.floor(F.col("pos") / step)))
-    per = steps.groupBy(*keys, "_step").agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
+    """Runs between changes of depth: (keys, _step, start, end, depth), dealt by (keys, _step), the bin that a run starts in.
+
+    What a bin has to know of others, the depth before it and the first change after it, goes into it as one more row, at its head.
+    So changes are shuffled once to where they are sorted, and both readers of `steps` share the shuffle that summed them up.
+    """
+    steps = steps.where("pos is not null").withColumn("_step", F.floor(F.col("pos") / step))
+    nothing = F.lit(None).cast("long")
     order = Window.partitionBy(*keys).orderBy("_step")
-    per = per.select(*keys, "_step", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(order).alias("_next"))
-    inner = Window.partitionBy(*keys, "_step").orderBy("pos")
-    runs = steps.join(per, [*keys, "_step"])
-    depth = (F.col("_base") + F.sum("d").over(inner.rowsBetween(Window.unboundedPreceding, 0))).cast("long")
-    return runs.select(*keys, "_step", F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inner), F.col("_next")) - 1).alias("end"), depth.alias("depth")).where("end is not null")
+    per = steps.groupBy(*keys, "_step").agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
+    before = F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*keys, "_step", nothing.alias("pos"), before.alias("d"), F.lead("_first").over(order).alias("_next"))
+    rows = steps.select(*keys, "_step", "pos", "d", nothing.alias("_next")).unionByName(per)
+    # The bin first: rows that compare unequal by a number are the cheapest to sort.
+    inner = Window.partitionBy("_step", *keys).orderBy(F.col("pos").asc_nulls_first())
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.coalesce(F.lead("pos").over(inner), F.first("_next").over(upto)) - 1
+    runs = rows.select(*keys, "_step", F.col("pos").alias("start"), end.alias("end"), F.sum("d").over(upto).cast("long").alias("depth"))
+    return runs.where("start is not null and end is not null")
 
 
 def _sweep(a: DataFrame, b: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
@@ -302,15 +321,33 @@ def depth_histogram(runs: DataFrame, blocks: DataFrame, key: str, run_keys: Sequ
     """(key, by, depth, bases): how many bases of each key's blocks lie at each depth, uncovered ones at depth 0.
 
     by: columns of the runs (a sample, say) that have a histogram each; keys that no run of theirs meets have none then.
+
+    Both are cut at bins of `base` positions, about twice the mean length of a block if None, and parts meet in their bin. Runs of one
+    kind do not overlap, so cutting adds one part a bin at most; of blocks, about as many as there are.
     """
-    a = blocks.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", key)
-    # Runs are worked out from all reads: once, for the lengths and the join.
-    b = settle(runs.withColumn("strand", F.lit("*")).select(*run_keys, "start", "end", "strand", "depth", *by))
-    met = overlap_join(a, b, keys=run_keys, base=base, suffixes=("", "_run"))
-    covered = met.groupBy(key, *[F.col(f"{c}_run").alias(c) for c in by], F.col("depth_run").alias("depth")).agg(F.sum(F.least("end", "end_run") - F.greatest("start", "start_run") + 1).alias("bases"))
+    if base is None:
+        mean = blocks.agg(F.avg(width())).first()[0] or 1
+        base = 1 << max(8, min(17, int(2 * mean).bit_length()))
+
+    def cut(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
+        bins = F.sequence(F.floor(F.col("start") / base), F.floor(F.col("end") / base))
+        parts = df.where("start <= end").select(*run_keys, *columns, "start", "end", F.explode(bins).alias("_bin"))
+        parts = parts.withColumns({"start": F.greatest("start", F.col("_bin") * base), "end": F.least("end", (F.col("_bin") + 1) * base - 1)})
+        return parts.select(*[F.col(c).alias(c if c in (*run_keys, "_bin") else c + suffix) for c in parts.columns])
+
+    met = cut(blocks, "", key).join(cut(runs, "_run", "depth", *by), [*run_keys, "_bin"]).where("start <= end_run and start_run <= end")
+    bases = F.least("end", "end_run") - F.greatest("start", "start_run") + 1
+    none = F.lit(0).cast("long")
+    if not by:
+        # What a run covers is not uncovered: one aggregate of all of a key's bases, less those.
+        moved = F.inline(F.array(F.struct(F.col("depth_run").alias("depth"), bases.alias("bases")), F.struct(none.alias("depth"), (-bases).alias("bases"))))
+        rows = met.select(key, moved).unionByName(blocks.select(key, none.alias("depth"), width().alias("bases")))
+        return rows.groupBy(key, "depth").agg(F.sum("bases").alias("bases")).where("bases > 0")
+    # Read twice below; the runs and the join are worked out once.
+    covered = settle(met.groupBy(key, *[F.col(f"{c}_run").alias(c) for c in by], F.col("depth_run").alias("depth")).agg(F.sum(bases).alias("bases")))
     whole = blocks.groupBy(key).agg(F.sum(width()).alias("_whole"))
     seen = covered.groupBy(key, *by).agg(F.sum("bases").alias("_seen"))
-    rest = whole.join(seen, key, "inner" if by else "left").select(key, *by, F.lit(0).cast("long").alias("depth"), (F.col("_whole") - F.coalesce("_seen", F.lit(0))).alias("bases")).where("bases > 0")
+    rest = whole.join(seen, key).select(key, *by, none.alias("depth"), (F.col("_whole") - F.col("_seen")).alias("bases")).where("bases > 0")
     return covered.unionByName(rest)
 
 

@@ -175,3 +175,35 @@ def test_merged_islands_cross_bins_without_a_window_over_contigs(spark, gap):
     assert sorted([r.chrom, r.strand, r.start, r.end] for r in merged.collect()) == want
     over = [line for line in merged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert over and all("_step" in line for line in over)
+
+
+def counted(monkeypatch, df_of):
+    """What df_of() gives, and how many tables it wrote on the way."""
+    made, settle = [], iv.settle
+    monkeypatch.setattr(iv, "settle", lambda df: made.append(1) or settle(df))
+    return df_of(), len(made)
+
+
+def test_depth_histogram_joins_once_and_writes_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    a, b = random_intervals(rng, 80), random_intervals(rng, 40, 900)
+    x, y = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
+    hist, written = counted(monkeypatch, lambda: iv.depth_histogram(iv.coverage_runs(x, ("chrom",), step=50), y, "name"))
+    plan = hist._jdf.queryExecution().optimizedPlan().toString()
+    assert written == 0 and plan.count("Join ") == 1
+    for base in (None, 16, 1 << 12):
+        got = {(r["name"], r.depth): r.bases for r in iv.depth_histogram(iv.coverage_runs(x, ("chrom",), step=50), y, "name", base=base).collect()}
+        want = {}
+        for c, s, e, _, n in b:
+            for p in range(s, e + 1):
+                d = sum(i[0] == c and i[1] <= p <= i[2] for i in a)
+                want[n, d] = want.get((n, d), 0) + 1
+        assert got == want
+
+
+def test_runs_cross_empty_bins_and_keep_null_keys(spark):
+    rows = [("a", -130, 400, "+", 1), ("a", 5, 9, "+", 2), (None, 10, 300, "+", 3), (None, 10, 20, "+", 4), ("b", 7, None, "+", 5), ("b", 1, 3, "+", 6)]
+    x = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.chrom, r.start, r.end, r.depth) for r in iv.coverage_runs(x.where("end is not null"), ("chrom",), step=50).collect()}
+    assert got == {("a", -130, 4, 1), ("a", 5, 9, 2), ("a", 10, 400, 1), (None, 10, 20, 2), (None, 21, 300, 1), ("b", 1, 3, 1)}
+    assert ("b", 1, 3, 1) in {(r.chrom, r.start, r.end, r.depth) for r in iv.coverage_runs(x, ("chrom",), step=50).collect()}
