@@ -40,12 +40,21 @@ def coverage_per_base(cover: DataFrame, chrom: str, start: int, end: int, strand
 
 def region_means(cover: DataFrame, regions: DataFrame, stranded: str = "unstranded", places: int = 2) -> DataFrame:
     """(sample, name, mean): mean depth of each region (chrom, start, end, strand, name) in each sample, rounded."""
-    asked = regions.withColumn("plane", plane(stranded, F.col("strand"))).withColumn("strand", F.lit("*"))
-    runs = cover.withColumn("plane", F.col("strand")).withColumn("strand", F.lit("*"))
-    met = iv.overlap_join(asked, runs, keys=("chrom", "plane"), suffixes=("", "_c"))
-    total = met.groupBy(F.col("sample_c").alias("sample"), "name").agg(F.sum(F.col("depth_c") * (F.least("end", "end_c") - F.greatest("start", "start_c") + 1)).alias("_t"))
-    every = regions.select("name", width().alias("_w")).crossJoin(cover.select("sample").distinct())  # a mean for each sample by definition
-    return every.join(total, ["sample", "name"], "left").select("sample", "name", F.round(F.coalesce("_t", F.lit(0)) / F.col("_w"), places).alias("mean"))
+    changes = iv.changes_of_runs(cover, ("sample", "chrom", "strand"))
+    means = region_means_of_changes(changes, cover.select("sample").distinct(), regions, stranded, places)
+    return means.select("sample", "name", "mean", F.explode(F.array_repeat(F.lit(0), F.col("regions").cast("int")))).drop("col")
+
+
+def region_means_of_changes(changes: DataFrame, samples: DataFrame, regions: DataFrame, stranded: str = "unstranded", places: int = 2) -> DataFrame:
+    """(sample, name, mean, regions): region_means() of coverage that is given as its changes (sample, chrom, strand, pos, d), for the
+    samples named; regions of one name are one row, which says how many they are.
+
+    A mean is two running sums looked up at either end of a region, so that no run meets a region.
+    """
+    each = regions.withColumn("strand", plane(stranded, F.col("strand"))).crossJoin(F.broadcast(samples))  # a mean for each sample by definition
+    sums = iv.depth_sums(each, changes, ("sample", "chrom", "strand"), ("sample", "name"))
+    mean = F.round(F.coalesce("sum", F.lit(0)) / (F.col("bases") / F.col("n")), places)
+    return sums.select("sample", "name", mean.alias("mean"), F.col("n").alias("regions"))
 
 
 def bin_breaks(start: int, end: int, bins: int = 2000) -> list[tuple[int, int]]:

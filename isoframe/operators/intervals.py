@@ -280,6 +280,34 @@ def covered_bases(df: DataFrame, zones: DataFrame, keys: Sequence[str] = ("chrom
     return df.join(found, [*keys, "start", "end"], "left")
 
 
+def depth_sums(asked: DataFrame, changes: DataFrame, keys: Sequence[str], by: Sequence[str], step: int = STEP) -> DataFrame:
+    """(by, n, bases, sum): the depth of every base of the rows asked for (keys, start, end, by), summed up over all n rows that are
+    equal in `by` and have so many bases together.
+
+    changes: (keys, pos, d), where the depth changes by d. Up to a place x the sum is that of d (x + 1 - p) over changes at p up to x:
+    two running sums, so that a row costs two places, however many changes it meets. As in `_runs`, what lies before a bin goes into it
+    as one more row at its head. Rows with a null among their keys meet nothing, and their sum is 0.
+    """
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
+    binned = lambda df: df.withColumn("_step", F.floor(F.col("pos") / step))
+    ends = F.inline(F.array(F.struct((F.col("start") - 1).alias("pos"), F.lit(-1).cast("long").alias("sign")), F.struct(F.col("end").alias("pos"), F.lit(1).cast("long").alias("sign"))))
+    asked = binned(asked.select(*dict.fromkeys([*keys, *by]), ends).withColumns({"pos": F.col("pos").cast("long"), "d": zero, "p": zero}))
+    known = changes.dropna(subset=[*keys, "pos"])
+    places = binned(known.select(*keys, F.col("pos").cast("long").alias("pos"), "d", (F.col("d") * F.col("pos")).alias("p")))
+    order = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [places.select(*keys, "_step", "d", "p"), asked.select(*keys, "_step", "d", "p")]
+    per = sums[0].unionByName(sums[1]).groupBy(*keys, "_step").agg(F.sum("d").alias("_d"), F.sum("p").alias("_p"))
+    before = {c: F.coalesce(F.sum(f"_{c}").over(order), zero).alias(c) for c in "dp"}
+    heads = per.select(*keys, "_step", nothing.alias("pos"), *before.values())
+    rows = asked.unionByName(places.unionByName(heads), allowMissingColumns=True)
+    # The bin first: rows that compare unequal by a number are the cheapest to sort. A change at a place counts there.
+    inner = Window.partitionBy("_step", *keys).orderBy(F.col("pos").asc_nulls_first(), F.col("sign").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = (F.col("pos") + 1) * F.sum("d").over(inner) - F.sum("p").over(inner)
+    found = rows.select(*by, "sign", "pos", upto.alias("_upto")).where("sign is not null")
+    signed = lambda c: F.sum(F.col("sign") * F.col(c))
+    return found.groupBy(*by).agg(F.count_if(F.col("sign") == 1).alias("n"), signed("pos").alias("bases"), signed("_upto").alias("sum"))
+
+
 def gaps_within(df: DataFrame, group: Sequence[str], keep: Sequence[str] = ("chrom", "strand")) -> DataFrame:
     """The stretches between the merged intervals of each group (introns between the exons of a transcript)."""
     by = list(dict.fromkeys([*group, *keep]))

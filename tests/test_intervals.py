@@ -207,3 +207,16 @@ def test_runs_cross_empty_bins_and_keep_null_keys(spark):
     got = {(r.chrom, r.start, r.end, r.depth) for r in iv.coverage_runs(x.where("end is not null"), ("chrom",), step=50).collect()}
     assert got == {("a", -130, 4, 1), ("a", 5, 9, 2), ("a", 10, 400, 1), (None, 10, 20, 2), (None, 21, 300, 1), ("b", 1, 3, 1)}
     assert ("b", 1, 3, 1) in {(r.chrom, r.start, r.end, r.depth) for r in iv.coverage_runs(x, ("chrom",), step=50).collect()}
+
+
+@pytest.mark.parametrize("step", [1 << 16, 50])
+def test_depth_sums_equal_bases(spark, step):
+    rng = random.Random(7)
+    a, b = random_intervals(rng, 80), random_intervals(rng, 40, 900) + [("a", -500, -400, "*", 90), ("b", 9000, 9100, "*", 91), (None, 1, 600, "*", 92), ("a", 1, 5, "*", 93), ("a", 4, 9, "*", 93)]
+    x, y = spark.createDataFrame([*a, (None, 1, 50, "+", 0)], SCHEMA), spark.createDataFrame(b, SCHEMA)
+    sums = iv.depth_sums(y, iv.changes_of_intervals(x, ("chrom",)), ("chrom",), ("name",), step)
+    assert " Join " not in sums._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for c, s, e, _, n in b:
+        want[n] = want.get(n, 0) + sum(max(0, min(e, i[2]) - max(s, i[1]) + 1) for i in a if i[0] == c)
+    assert {r["name"]: r["sum"] for r in sums.collect()} == want

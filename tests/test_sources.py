@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoframe.operators import coverage_views as cv
+from isoframe.operators import intervals as iv
 from isoframe.operators import reads as rd
 from isoframe.operators.dataset import SpliceDataset
 from isoframe.sources import bam, text
@@ -117,6 +118,20 @@ def cover(spark):
     return spark.createDataFrame(COVER, "sample string, chrom string, strand string, start long, end long, depth long")
 
 
+def test_region_means_meet_no_runs(spark, cover):
+    """Means are looked up in running sums: joins are with the samples only; regions of one name share their sum."""
+    rows = [("c", 1, 20, "+", "r"), ("c", 1, 20, "+", "r"), ("d", 1, 9, "+", "far"), (None, 1, 9, "+", "none")]
+    regions = spark.createDataFrame(rows, "chrom string, start long, end long, strand string, name string")
+    means = cv.region_means(cover, regions)
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("Join Cross") > 0
+    want = {(s, n): m if n == "r" else 0.0 for s, m in {"s1": 6.0, "s2": 10.0, "s3": 12.0}.items() for n in ("r", "far", "none")}
+    assert sorted((r["sample"], r["name"], r["mean"]) for r in means.collect()) == sorted((*k, m) for k, m in want.items() for _ in range(1 + (k[1] == "r")))
+    changes = iv.changes_of_runs(cover, ("sample", "chrom", "strand"))
+    once = cv.region_means_of_changes(changes, cover.select("sample").distinct(), regions).collect()
+    assert {(r["sample"], r["name"]): (r["mean"], r["regions"]) for r in once} == {k: (m, 1 + (k[1] == "r")) for k, m in want.items()} and len(once) == 9
+
+
 def test_coverage_regions_and_bins(spark, cover):
     base = {(r["sample"], r.x): r.depth for r in cv.coverage_per_base(cover, "c", 8, 22).collect()}
     assert base["s1", 8] == 2 and base["s1", 11] == 4 and base["s1", 21] == 0 and base["s2", 15] == 0 and len(base) == 45
