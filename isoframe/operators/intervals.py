@@ -379,15 +379,16 @@ def depth_histogram(runs: DataFrame, blocks: DataFrame, key: str, run_keys: Sequ
     return covered.unionByName(rest)
 
 
-def histogram_stats(hist: DataFrame, key: str, trim: int = 30) -> DataFrame:
-    """Per key: mean, mean of the central part (trim percent cut from either end), covered fraction, quartiles.
+def histogram_stats(hist: DataFrame, key: str | Sequence[str], trim: int = 30, sums: Sequence[str] = ()) -> DataFrame:
+    """Per key: mean, mean of the central part (trim percent cut from either end), covered fraction, quartiles; and sums of columns.
 
     The trimmed mean cuts floor(size x trim / 100) bases at both ends of the sorted depths. Quartiles interpolate at
     (n + 1) p / 100 among the sorted bases.
     """
-    w = Window.partitionBy(key).orderBy("depth")
-    cum = hist.groupBy(key, "depth").agg(F.sum("bases").alias("bases"))
-    cum = cum.withColumns({"cum": F.sum("bases").over(w.rowsBetween(Window.unboundedPreceding, 0)), "size": F.sum("bases").over(Window.partitionBy(key)), "next": F.lead("depth").over(w)})
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy("depth")
+    cum = hist.groupBy(*keys, "depth").agg(*[F.sum(c).alias(c) for c in ("bases", *sums)])
+    cum = cum.withColumns({"cum": F.sum("bases").over(w.rowsBetween(Window.unboundedPreceding, 0)), "size": F.sum("bases").over(Window.partitionBy(*keys)), "next": F.lead("depth").over(w)})
     prev = F.col("cum") - F.col("bases")
     skip = F.floor(F.col("size") * trim / 100)
     inside = F.greatest(F.lit(0), F.least(F.col("cum"), F.col("size") - skip) - F.greatest(prev, skip))
@@ -406,8 +407,8 @@ def histogram_stats(hist: DataFrame, key: str, trim: int = 30) -> DataFrame:
         here = (whole > prev) & (whole <= F.col("cum"))
         after = F.when(whole < F.col("cum"), F.col("depth")).otherwise(F.coalesce("next", "depth"))
         out.append(F.max(F.when(here, F.col("depth") + part * (after - F.col("depth")))).cast("double").alias(f"p{p}"))
-    stats = cum.groupBy(key).agg(*out)
-    return stats.select(key, "size", (F.col("_sum") / F.col("size")).alias("mean"), F.try_divide("_mid", "_kept").alias("trimmed_mean"), (1 - F.col("_zero") / F.col("size")).alias("covered"), "p25", "p50", "p75")
+    stats = cum.groupBy(*keys).agg(*out, *[F.sum(c).alias(c) for c in sums])
+    return stats.select(*keys, "size", (F.col("_sum") / F.col("size")).alias("mean"), F.try_divide("_mid", "_kept").alias("trimmed_mean"), (1 - F.col("_zero") / F.col("size")).alias("covered"), "p25", "p50", "p75", *sums)
 
 
 def splice_site_points(introns: DataFrame, upstream: bool) -> DataFrame:

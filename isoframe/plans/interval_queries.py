@@ -418,10 +418,8 @@ _BASES = _PIECES + """, v AS (SELECT gene AS name, chrom, start AS s, "end" AS e
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    frags = settle(rd.fragments(alignments(spark, sf)))
     introns = view(spark, sf, "genes").where("end - start >= 60").select(F.col("gene").alias("name"), "chrom", "start", "end", "strand")
-    points = introns.select("chrom", F.explode(F.array("start", "end")).alias("coord"))
-    return rd.intron_records(introns, introns.select("name", "chrom", "start", "end"), rd.coverage(frags, ("*",)), settle(rd.junction_counts(frags)), rd.span_counts(frags, points))
+    return rd.intron_records_of_fragments(rd.fragments(alignments(spark, sf)), introns, introns.select("name", "chrom", "start", "end"))
 
 
 _RECORD = ("depth", "coverage", "first50", "last50", "ir_ratio")
